@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import importlib.util
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +59,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each Spark application, as spark-submit --py-files would."""
+    context = spark.sparkContext
+    if any("tallymark-code" in name for name in context.listFiles):
+        return
+    root = Path(importlib.util.find_spec("tallymark").origin).parent
+    archive = Path(tempfile.mkdtemp(prefix="tallymark-")) / "tallymark-code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, Path("tallymark") / path.relative_to(root))
+    context.addPyFile(str(archive))
