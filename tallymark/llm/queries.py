@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import token_digests
 from .common import documents, ship
 from .fingerprints import fingerprints
 from .line_dedup import line_dedup
+from .mixing import Mix, mixed
 from .quality import quality_verdicts
+from .sharding import sharded
 from .simhash import near_duplicates
+from .token_files import token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,3 +57,25 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(documents(spark, sf_dir), 40)
+
+
+#: Domains by the number of a document's source.
+DOMAIN = F.concat(F.lit("d"), F.floor(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") / 5).cast("string"))
+MIX = Mix(weights={"domain": {"d0": 4.0, "d1": 2.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0}, "source": {"src0": 2.0}})
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(documents(spark, sf_dir).withColumn("domain", DOMAIN), MIX).drop("tm_text")
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
