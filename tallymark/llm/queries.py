@@ -12,7 +12,9 @@ from .common import documents, ship
 from .fingerprints import fingerprints
 from .line_dedup import line_dedup
 from .mixing import Mix, mixed
+from .pii import personal_data
 from .quality import quality_verdicts
+from .secret_scan import secrets
 from .sharding import sharded
 from .simhash import near_duplicates
 from .token_files import token_files
@@ -79,3 +81,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(documents(spark, sf_dir))
+
+
+@query
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
