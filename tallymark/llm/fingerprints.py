@@ -37,10 +37,11 @@ def paragraphs(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """One row for each distinct (doc_id, text): tm_doc, tm_text, doc_id, text, tm_times."""
+    """One row for each distinct (doc_id, text): tm_doc, tm_text, text, tm_times."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("tm_doc"), digest60(text).alias("tm_text"))
-    return rows.groupBy("tm_doc", "tm_text").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("tm_times"))
+    rows = docs.select(text.alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("tm_doc"), digest60(text).alias("tm_text"))
+    once = rows.groupBy("tm_doc", "tm_text").agg(F.first("text").alias("text"), F.count("*").alias("tm_times"))
+    return once.where("tm_times > 0")  # true for all; both uses of this frame then read all its columns and share one shuffle
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -67,12 +68,19 @@ def versions(docs: DataFrame) -> DataFrame:
     heads = pairs.join(source, ["tm_doc2", "tm_text2"]).select("tm_doc", "tm_text", "tm_seq", "tm_next", "n_chars", "tm_need", F.expr("substring(tm_other, 1, tm_need)").alias("tm_head"))
     both = texts.join(heads, ["tm_doc", "tm_text"])
     both = both.withColumn("tm_edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - tm_need)"), "tm_head"))
+    doc_id = F.nullif("tm_doc", F.lit("")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
     return stored(
-        both.select("tm_seq", "tm_next", "tm_times", "doc_id", "n_chars", F.sha2("tm_edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("tm_own"), paragraphs(F.col("tm_edited")).alias("tm_edit")),
+        both.select("tm_seq", "tm_next", "tm_times", doc_id, "n_chars", F.sha2("tm_edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("tm_own"), paragraphs(F.col("tm_edited")).alias("tm_edit")),
         "versions",
     )
 
 
+def together(rows: DataFrame) -> DataFrame:
+    """rows with all those of a document in one partition. The number is explicit, as cells take many times the room of
+    the arrays that the shuffle measures."""
+    return rows.repartition(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tm_seq")
+
+
 def places(digest: Column, size: Column) -> list[Column]:
     """The cell of digest in each of the three rows."""
     return [t * size + F.shiftrightunsigned(digest, 20 * t).bitwiseAND(size - 1) for t in range(3)]
@@ -91,22 +99,22 @@ def sketched(items: DataFrame, keys: list[str]) -> DataFrame:
     ).withColumn("tm_out", F.col("tm_cell") < 0)
 
 
-def freed(cells: DataFrame, keys: list[str], row: int) -> DataFrame:
-    """cells after the digests that lie alone in a cell of the given row went into rows with tm_out true."""
+def freed(cells: DataFrame, keys: list[str], row: int, name: bool) -> DataFrame:
+    """cells after the digests that lie alone in a cell of the given row went into rows with tm_out true: tm_cell is the
+    digest if name, else they are only counted, under -2 for those of the first version and -3 for those of the second."""
     where = places(F.col("tm_key"), F.col("tm_size"))
     alone = ~F.col("tm_out") & (F.abs("tm_n") == 1) & (F.col("tm_key") % PRIME == F.col("tm_check")) & (F.col("tm_cell") == where[row])
     put = lambda out, cell, n, key, check: F.struct(out.alias("tm_out"), cell.alias("tm_cell"), n.alias("tm_n"), key.alias("tm_key"), check.alias("tm_check"))
     n, key, check, zero = F.col("tm_n"), F.col("tm_key"), F.col("tm_check"), F.lit(0).cast("long")
-    gone = [put(F.lit(False), where[t], -n, key, check) for t in range(3) if t != row] + [put(F.lit(True), key, n, zero, zero)]
+    gone = [put(F.lit(False), where[t], -n, key, check) for t in range(3) if t != row] + [put(F.lit(True), key if name else F.when(n > 0, F.lit(-2)).otherwise(F.lit(-3)).cast("long"), n, zero, zero)]
     stay = F.array(put(F.col("tm_out"), F.col("tm_cell"), n, key, check))
     moved = cells.select(*keys, "tm_size", F.inline(F.when(alone, F.array(*gone)).otherwise(stay)))
     summed = moved.groupBy(*keys, "tm_size", "tm_out", "tm_cell").agg(F.sum("tm_n").alias("tm_n"), F.bit_xor("tm_key").alias("tm_key"), F.bit_xor("tm_check").alias("tm_check"))
     return summed.where(F.col("tm_out") | (F.col("tm_n") != 0) | (F.col("tm_key") != 0) | (F.col("tm_check") != 0))
 
 
-def peeled(pairs: DataFrame) -> DataFrame:
-    """pairs: tm_seq, tm_kind, tm_size and two arrays tm_a, tm_b of paragraph hashes. Gives tm_seq, tm_kind, tm_size,
-    tm_left (cells that could not be resolved), tm_less and tm_more (digests of tm_a and of tm_b only)."""
+def resolved(pairs: DataFrame, name: bool) -> DataFrame:
+    """The cells that are left of the pairs' differences after peeling, and what was freed, as freed() says."""
     keys = ["tm_seq", "tm_kind"]
     signed = lambda a, sign: F.transform(a, lambda h: F.struct(F.lit(sign).alias("tm_sign"), h.alias("tm_hash")))
     mark = F.array(F.struct(F.lit(0).alias("tm_sign"), F.lit(None).cast("long").alias("tm_hash")))
@@ -114,10 +122,20 @@ def peeled(pairs: DataFrame) -> DataFrame:
     cells = sketched(items, keys)
     cells = cells.where(F.col("tm_out") | (F.col("tm_n") != 0) | (F.col("tm_key") != 0) | (F.col("tm_check") != 0))
     for k in range(3 * ROUNDS):
-        cells = freed(cells, keys, k % 3)
-    count = lambda c: F.count_if(c)
-    out = F.col("tm_out")
-    return cells.groupBy(*keys, "tm_size").agg(count(~out).alias("tm_left"), count(out & (F.col("tm_n") > 0)).alias("tm_less"), count(out & (F.col("tm_n") < 0)).alias("tm_more"))
+        cells = freed(cells, keys, k % 3, name)
+    return cells
+
+
+def peeled(pairs: DataFrame) -> DataFrame:
+    """pairs: tm_seq, tm_kind, tm_size and two arrays tm_a, tm_b of paragraph hashes. Gives tm_seq, tm_kind, tm_size,
+    tm_left (cells that could not be resolved), tm_less and tm_more (number of digests of tm_a and of tm_b only)."""
+    summed = lambda cell: F.abs(F.coalesce(F.sum(F.when(F.col("tm_cell") == cell, F.col("tm_n"))), F.lit(0)))
+    return resolved(pairs, False).groupBy("tm_seq", "tm_kind", "tm_size").agg(F.count_if(~F.col("tm_out")).alias("tm_left"), summed(-2).alias("tm_less"), summed(-3).alias("tm_more"))
+
+
+def differing_digests(pairs: DataFrame) -> DataFrame:
+    """tm_seq, tm_kind, digest and side (1: of tm_a only, -1: of tm_b only) recovered from the sketches' difference."""
+    return resolved(pairs, True).where("tm_out and tm_cell >= 0 and tm_n <> 0").select("tm_seq", "tm_kind", F.col("tm_cell").alias("digest"), F.signum("tm_n").cast("int").alias("side"))
 
 
 def likeness(pairs: DataFrame) -> DataFrame:
@@ -140,7 +158,7 @@ def likeness(pairs: DataFrame) -> DataFrame:
         over = todo.where(F.col("tm_size") > LARGEST)  # beyond the largest sketch the digests themselves are compared
         exact = over.select("tm_seq", "tm_kind", "tm_size", F.lit(0).cast("long").alias("tm_left"), F.size(F.array_except("tm_a", "tm_b")).cast("long").alias("tm_less"), F.size(F.array_except("tm_b", "tm_a")).cast("long").alias("tm_more"))
         done.append(exact)
-        todo = todo.where(F.col("tm_size") <= LARGEST).repartition("tm_seq")
+        todo = together(todo.where(F.col("tm_size") <= LARGEST))
     all_done = done[0]
     for d in done[1:]:
         all_done = all_done.unionByName(d)
@@ -170,9 +188,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     following = rows.select(F.col("tm_seq").alias("tm_next"), F.col("tm_own").alias("tm_after"))
     slim = stored(rows.join(following, "tm_next").select("tm_seq", "tm_own", "tm_edit", "tm_after"), "digests")
     both = F.array(F.struct(F.lit("e").alias("tm_kind"), F.col("tm_edit").alias("tm_b")), F.struct(F.lit("n").alias("tm_kind"), F.col("tm_after").alias("tm_b")))
-    pairs = slim.repartition("tm_seq").select("tm_seq", F.col("tm_own").alias("tm_a"), F.inline(both))
+    pairs = together(slim).select("tm_seq", F.col("tm_own").alias("tm_a"), F.inline(both))
     near = likeness(pairs).groupBy("tm_seq").agg(F.max(F.when(F.col("tm_kind") == "e", F.col("tm_near"))).alias("near_edited"), F.max(F.when(F.col("tm_kind") == "n", F.col("tm_near"))).alias("near_next"))
-    shown = printed(slim.select("tm_seq", "tm_own", "tm_edit").repartition("tm_seq"))
+    shown = printed(together(slim.select("tm_seq", "tm_own", "tm_edit")))
     facts = rows.select("tm_seq", "tm_times", "doc_id", "n_chars", "edited_sha256")
     out = facts.join(near, "tm_seq").join(shown, "tm_seq", "left")
     blank = F.lit("0" * (27 * 3 * BASE))
