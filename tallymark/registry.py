@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.queries import ORACLE, QUERIES
+
+FLAGSHIP, SMALLEST = "scan_full", "/root/testdata/sf0.001"
+
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.range(1)
+    return QUERIES[FLAGSHIP](spark, SMALLEST)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE
