@@ -106,8 +106,10 @@ def packing_date(a: Column, as_of: Column) -> Column:
 
 
 def repaired(c: Column) -> Column:
-    value = clean(c)
-    upper = F.upper(value)
+    return let(clean(c), lambda value: let(F.upper(value), lambda upper: respelled(value, upper)))
+
+
+def respelled(value: Column, upper: Column) -> Column:
     for name, variants, form, right in REPAIRS:
         spelled = F.contains(upper, F.lit(variants[0]))
         for v in variants[1:]:
@@ -124,8 +126,10 @@ def any_in(c: Column, parts: tuple[str, ...]) -> Column:
 
 
 def is_company(c: Column) -> Column:
-    value = clean(F.coalesce(c, F.lit("")))
-    upper, low = F.upper(value), F.lower(value)
+    return let(clean(F.coalesce(c, F.lit(""))), lambda value: let(F.upper(value), lambda upper: let(F.lower(value), lambda low: names_company(value, upper, low))))
+
+
+def names_company(value: Column, upper: Column, low: Column) -> Column:
     words = F.filter(F.split(value, " "), lambda w: w != "")
     bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"^[.,()]+|[.,()]+$", ""))
     telling = F.exists(bare, lambda w: ~w.isin(*LEGAL_WORDS) & (F.length(w) >= 3))
@@ -144,8 +148,8 @@ def is_company(c: Column) -> Column:
 
 
 def address_evidence(c: Column) -> Column:
-    value = clean(F.coalesce(c, F.lit("")))
-    return any_in(F.lower(value), ADDRESS_WORDS) | value.rlike(r"\b\d{6}\b") | F.contains(value, F.lit(","))
+    shown = lambda value: let(F.lower(value), lambda low: any_in(low, ADDRESS_WORDS)) | value.rlike(r"\b\d{6}\b") | F.contains(value, F.lit(","))
+    return let(clean(F.coalesce(c, F.lit(""))), shown)
 
 
 def trimmed(c: Column) -> Column:
@@ -154,9 +158,8 @@ def trimmed(c: Column) -> Column:
 
 def declared(c: Column, end: Column) -> Column:
     """struct<name, address, end> of a company declaration, null where it names no company."""
-    full = trimmed(c)
-    name = repaired(full)
-    return F.when(is_company(name), F.struct(name.alias("name"), F.when(address_evidence(full), full).alias("address"), end.cast("int").alias("end")))
+    made = lambda full, name: F.when(is_company(name), F.struct(name.alias("name"), F.when(address_evidence(full), full).alias("address"), end.cast("int").alias("end")))
+    return let(trimmed(c), lambda full: let(repaired(full), lambda name: made(full, name)))
 
 
 def has_form(c: Column) -> Column:
@@ -168,11 +171,11 @@ def joined_lines(a: Column, start: Column) -> Column:
     zero = F.struct(F.lit("").alias("text"), (start - 1).cast("int").alias("last"), F.lit(False).alias("stop"))
 
     def step(acc: Column, k: Column) -> Column:
-        line = trimmed(F.coalesce(at(a, start + k), F.lit("")))
-        ends = acc["stop"] | ((k > 0) & is_major(line)) | at(a, start + k).isNull()
-        text = clean(F.concat_ws(" ", acc["text"], line))
-        more = F.struct(text.alias("text"), F.when(line == "", acc["last"]).otherwise((start + k).cast("int")).alias("last"), has_form(text).alias("stop"))
-        return F.when(ends, F.struct(acc["text"].alias("text"), acc["last"].alias("last"), F.lit(True).alias("stop"))).otherwise(more)
+        ends = lambda line: acc["stop"] | ((k > 0) & is_major(line)) | at(a, start + k).isNull()
+        more = lambda line, text: F.struct(text.alias("text"), F.when(line == "", acc["last"]).otherwise((start + k).cast("int")).alias("last"), has_form(text).alias("stop"))
+        stay = F.struct(acc["text"].alias("text"), acc["last"].alias("last"), F.lit(True).alias("stop"))
+        grow = lambda line: let(clean(F.concat_ws(" ", acc["text"], line)), lambda text: F.when(ends(line), stay).otherwise(more(line, text)))
+        return let(trimmed(F.coalesce(at(a, start + k), F.lit(""))), grow)
 
     return F.aggregate(F.array(F.lit(0), F.lit(1), F.lit(2)), zero, step)
 
@@ -182,11 +185,16 @@ def maker_explicit(a: Column) -> Column:
     label = r"^(?i)(?:mfd\.?\s*by|manufactured\s*by|packed\s*by|marketed\s*by)[ \t:.\-]*(.*?)[ \t]*$"
 
     def near(x: Column) -> Column:
-        rest, below = trimmed(F.regexp_extract(x["line"], label, 1)), at(a, x["i"] + 1)
-        goes_on = ~has_form(rest) & F.coalesce((below != "") & ~is_major(below), F.lit(False))
-        lone = let(joined_lines(a, x["i"] + 1), lambda j: declared(j["text"], j["last"]))
-        more = F.when(goes_on, declared(clean(F.concat_ws(" ", rest, below)), x["i"] + 1)).otherwise(declared(rest, x["i"]))
-        return F.when(rest == "", lone).otherwise(more)
+        below = at(a, x["i"] + 1)
+
+        def of(rest: Column) -> Column:
+            goes_on = ~has_form(rest) & F.coalesce((below != "") & ~is_major(below), F.lit(False))
+            part = lambda text, end: F.struct(text.alias("text"), end.cast("int").alias("last"))
+            more = F.when(goes_on, part(F.concat_ws(" ", rest, below), x["i"] + 1)).otherwise(part(rest, x["i"]))
+            lone = let(joined_lines(a, x["i"] + 1), lambda j: part(j["text"], j["last"]))
+            return let(F.when(rest == "", lone).otherwise(more), lambda d: declared(d["text"], d["last"]))
+
+        return let(trimmed(F.regexp_extract(x["line"], label, 1)), of)
 
     hits = F.transform(F.filter(numbered(a), lambda x: x["line"].rlike(label)), near)
     return first(F.filter(hits, lambda d: d.isNotNull()))
@@ -200,8 +208,8 @@ def maker_at(a: Column) -> Column:
         start, one, two = trimmed(F.regexp_extract(x["line"], label, 1)), at(a, x["i"] + 1), at(a, x["i"] + 2)
         stop = F.coalesce(is_major(one), F.lit(True))
         with_one = F.when(stop, start).otherwise(clean(F.concat_ws(" ", start, one)))
-        add_two = ~stop & ~has_form(with_one) & F.coalesce(~is_major(two), F.lit(False))
-        return declared(F.when(add_two, clean(F.concat_ws(" ", with_one, two))).otherwise(with_one), x["i"])
+        add_two = lambda t: ~stop & ~has_form(t) & F.coalesce(~is_major(two), F.lit(False))
+        return declared(let(with_one, lambda t: F.when(add_two(t), F.concat_ws(" ", t, two)).otherwise(t)), x["i"])
 
     hits = F.transform(F.filter(numbered(a), lambda x: x["line"].rlike(label)), near)
     return first(F.filter(hits, lambda d: d.isNotNull()))
@@ -216,7 +224,10 @@ def maker_split(a: Column) -> Column:
 
 def maker_score(line: Column) -> Column:
     """Points of a line as a company name, null where it cannot be one."""
-    low, upper, name = F.lower(line), F.upper(line), repaired(line)
+    return let(repaired(line), lambda name: let(F.lower(line), lambda low: let(F.upper(line), lambda upper: name_score(line, name, low, upper))))
+
+
+def name_score(line: Column, name: Column, low: Column, upper: Column) -> Column:
     skip = F.lit(False)
     for s in SKIP_STARTS:
         skip = skip | F.startswith(low, F.lit(s))
@@ -247,9 +258,9 @@ def maker_address(a: Column, maker: Column) -> Column:
     def step(acc: Column, k: Column) -> Column:
         line = at(a, maker["end"] + k)
         stop = acc["stop"] | line.isNull() | F.coalesce(is_major(line), F.lit(False))
-        evidence = ~stop & address_evidence(line)
-        last = line.rlike(r"\b\d{6}\b") | any_in(F.lower(line), ADDRESS_END)
-        return F.struct(F.when(evidence, clean(F.concat_ws(" ", acc["text"], line))).otherwise(acc["text"]).alias("text"), (stop | F.coalesce(evidence & last, F.lit(False))).alias("stop"))
+        last = F.coalesce(line.rlike(r"\b\d{6}\b") | any_in(F.lower(line), ADDRESS_END), F.lit(False))
+        kept = lambda evidence: F.struct(F.when(evidence, clean(F.concat_ws(" ", acc["text"], line))).otherwise(acc["text"]).alias("text"), (stop | (evidence & last)).alias("stop"))
+        return let(~stop & address_evidence(line), kept)
 
     near = F.nullif(F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), zero, step, lambda acc: acc["text"]), F.lit(""))
     unfit = lambda x: F.lower(x).rlike(r"^(?:from |visit us|manufactured for|for sale)")

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import nonblank, windows
 
@@ -48,12 +49,6 @@ def known_brand(scans: DataFrame, products: DataFrame, few: int = 1_000) -> Data
     return hits.groupBy("scan_id").agg(F.min("brand").alias("brand"))
 
 
-@F.pandas_udf("double")
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2 M / T of the longest matching blocks, lower case. Built-in distances differ, so Arrow batches go to Python."""
-    return pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
 def by_brand(scans: DataFrame, products: DataFrame) -> DataFrame:
     """scan_id, reference_product_id, score for scans (scan_id, text, brand) with a guessed brand: 0.85 for a product of
     that brand whose name is in the text, else 0.6; the best, the first of equals. An equi-join on the brand."""
@@ -65,6 +60,15 @@ def by_brand(scans: DataFrame, products: DataFrame) -> DataFrame:
     return pairs.groupBy("scan_id").agg(best.alias("tm_best")).select("scan_id", "tm_best.reference_product_id", "tm_best.score")
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """2 M / T of the longest matching blocks, lower case. Built-in distances differ, so Arrow batches go to Python."""
+
+    def ratios(x: pd.Series, y: pd.Series) -> pd.Series:  # local, so that it travels to the workers by value
+        return pd.Series([SequenceMatcher(None, p.lower(), q.lower()).ratio() for p, q in zip(x, y)], dtype="float64")
+
+    return F.pandas_udf(ratios, T.DoubleType())(a, b)
+
+
 def by_similarity(scans: DataFrame, products: DataFrame) -> DataFrame:
     """scan_id, reference_product_id, score of the most similar product at or above THRESHOLD, the first of equals.
 
@@ -75,7 +79,7 @@ def by_similarity(scans: DataFrame, products: DataFrame) -> DataFrame:
     text = scans.select("scan_id", F.substring("text", 1, PREFIX).alias("tm_text")).withColumn("tm_n", F.length("tm_text"))
     factor = (2 - THRESHOLD) / THRESHOLD
     text = text.where("tm_n > 0").withColumn("tm_size", F.explode(F.sequence(F.ceil(F.col("tm_n") / factor).cast("int"), F.floor(F.col("tm_n") * factor).cast("int"))))
-    pairs = text.join(label, "tm_size").withColumn("score", similarity("tm_label", "tm_text")).where(F.col("score") >= THRESHOLD)
+    pairs = text.join(label, "tm_size").withColumn("score", similarity(F.col("tm_label"), F.col("tm_text"))).where(F.col("score") >= THRESHOLD)
     best = F.max_by(F.struct("reference_product_id", "score"), F.struct("score", -F.col("catalogue_pos")))
     return pairs.groupBy("scan_id").agg(best.alias("tm_best")).select("scan_id", "tm_best.reference_product_id", F.round("tm_best.score", 3).alias("score"))
 

@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..shipping import ship
+
 Adapter = Callable[[pd.DataFrame], pd.DataFrame]
 REGISTRY: dict[str, tuple[Adapter, str]] = {}
 
@@ -29,6 +31,7 @@ def run(images: DataFrame, name: str) -> DataFrame:
     if name not in REGISTRY:
         return images.limit(0).select("scan_id")
     adapter, schema = REGISTRY[name]
+    ship(images.sparkSession)
     names = [part.split()[0] for part in schema.split(",")]
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
