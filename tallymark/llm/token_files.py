@@ -49,17 +49,44 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes; the vocabulary writes each as one sign
+        for token, number in vocabulary.items():
+            self.lengths[number] = len(token)
+
+    def fresh(self, new: list[str]) -> list[bytes]:
+        """Ids of chunks. Those that begin with a lone space and do not end in white space are encoded as one text, as
+        the pre-tokenizer joins nothing across their borders; token lengths tell where each ends."""
+        alone = [c[:1] != " " or c[1:2].isspace() or len(c) == 1 or c[-1].isspace() for c in new]
+        together = [c for c, a in zip(new, alone) if not a]
+        out: dict[str, bytes] = {}
+        if together:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(together)], add_special_tokens=False)[0].ids)
+            ends = np.cumsum([len(c.encode()) for c in together])
+            upto = np.cumsum(self.lengths[ids])
+            cuts = np.searchsorted(upto, ends) + 1
+            if not np.array_equal(upto[cuts - 1], ends):
+                raise ValueError("a token crosses the border of two chunks")
+            data, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
+            for c, start, end in zip(together, [0, *cuts[:-1].tolist()], cuts.tolist()):
+                out[c] = data[start * size : end * size]
+        rest = [c for c, a in zip(new, alone) if a]
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []):
+            out[c] = np.array(e.ids, self.kind).tobytes()
+        return [out[c] for c in new]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [chunks(t) if t else [] for t in texts]
         if len(self.known) >= CHUNKS:
             self.known.clear()
-        fresh = list({c for parts in cut for c in parts if c not in self.known})
-        new = dict(zip(fresh, (np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)))) if fresh else {}
-        long_ones = {c: v for c, v in new.items() if len(c) > 64}
-        self.known.update((c, v) for c, v in new.items() if len(c) <= 64)
         known = self.known
-        return [b"".join([known[c] if c in known else long_ones[c] for c in parts]) for parts in cut]
+        new = list({c for parts in cut for c in parts if c not in known})
+        known.update(zip(new, self.fresh(new)))
+        out = [b"".join([known[c] for c in parts]) for parts in cut]
+        for c in new:
+            if len(c) > 64:
+                del known[c]
+        return out
 
 
 def encoder(path: str) -> Encoder:
