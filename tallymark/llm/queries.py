@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import token_digests
@@ -66,14 +66,17 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(documents(spark, sf_dir), 40)
 
 
-#: Domains by the number of a document's source.
-DOMAIN = F.concat(F.lit("d"), F.floor(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") / 5).cast("string"))
+def domain() -> Column:
+    """Domains by the number of a document's source."""
+    return F.concat(F.lit("d"), F.floor(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") / 5).cast("string"))
+
+
 MIX = Mix(weights={"domain": {"d0": 4.0, "d1": 2.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0}, "source": {"src0": 2.0}})
 
 
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(documents(spark, sf_dir).withColumn("domain", DOMAIN), MIX).drop("tm_text")
+    return mixed(documents(spark, sf_dir).withColumn("domain", domain()), MIX).drop("tm_text")
 
 
 @query
