@@ -72,9 +72,10 @@ def test_twin(spark, sf, name):
 def test_quality_leaves_copies_and_takes_boilerplate(spark):
     rules = quality.QualityRules(max_docs=5)
     notice = "please accept the terms of use of this site before you go on reading it"
-    own = [(k, "\n".join(f"sentence {k} {j} tells of things that no other page says in this way" for j in range(6)) + f"\n{notice}", "h") for k in range(20)]
+    line = lambda *names: " ".join(f"w{'x'.join(map(str, names))}x{i}" for i in range(10))
+    own = [(k, "\n".join(line(k, j) for j in range(6)) + f"\n{notice}", "h") for k in range(20)]
     thin = [(100, f"{notice}\nshort rest of the page", "h")]
-    near = [(200 + k, "\n".join(f"shared sentence {j} of a text that was copied again and again by all" for j in range(12)) + f"\nand {k} was added to the copy at its very end", "h") for k in range(30)]
+    near = [(200 + k, "\n".join(line("all", j) for j in range(12)) + f"\nand {k} was added to the copy at its very end", "h") for k in range(30)]
     same = [(300 + k, own[0][1].replace(notice, "x y"), "h") for k in range(30)]
     rows = spark.createDataFrame(own + thin + near + same, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in quality.quality_verdicts(rows, rules=rules).collect()}
@@ -350,7 +351,7 @@ def test_gray_index_finds_all_links():
     want = np.arange(len(codes))
     for _ in range(20):
         want = np.array([want[row].min() for row in near])
-    assert (got == want).all()
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))  # the same sets, whatever their names
 
 
 def test_representatives(odd, none):
