@@ -7,7 +7,8 @@ where the vocabulary allows it. A task writes under a name of its own attempt an
 lost attempt leaves one whole file.
 
 The ids are those of the tokenizers library. Texts are cut before lone spaces, which the vocabulary's pre-tokenizer never
-joins across (see bpe.chunks); chunks met before come from a bounded table.
+joins across (see bpe.chunks); chunks met before come from a bounded table. An added token that a text spells out gets its
+own id, as the library does by default.
 
 Defined results: null and empty texts have only the end id; documents of equal doc_id follow one another in the order of
 a digest of their text; a null doc_id comes first; an empty table writes no file and gives no row.
@@ -46,7 +47,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -57,7 +58,7 @@ class Encoder:
     def fresh(self, new: list[str]) -> list[bytes]:
         """Ids of chunks. Those that begin with a lone space and do not end in white space are encoded as one text, as
         the pre-tokenizer joins nothing across their borders; token lengths tell where each ends."""
-        alone = [c[:1] != " " or c[1:2].isspace() or len(c) == 1 or c[-1].isspace() for c in new]
+        alone = [c[:1] != " " or c[1:2].isspace() or len(c) == 1 or c[-1].isspace() or any(t in c for t in self.added) for c in new]
         together = [c for c, a in zip(new, alone) if not a]
         out: dict[str, bytes] = {}
         if together:

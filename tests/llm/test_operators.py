@@ -250,7 +250,8 @@ def test_token_files(docs, odd, none):
 
     path = public.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    spelled = ["a <|endoftext|>b", "<|endoftext|>", "x\n <|endoftext|> y <|endof text|>", "one two\x1c three  <|endoftext|>\n"]
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in token_files.Encoder(path).encode(spelled)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in spelled]
     at = 0
     got = {r.doc_id: tuple(r)[1:] for r in token_files.token_files(docs, path, 2, length=128).collect()}
     for i, t in sorted((r.doc_id, r.text or "") for r in docs.collect()):
