@@ -17,7 +17,7 @@ from tallymark.llm.common import documents, ship, stored
 from tallymark.llm.line_dedup import without_repeated_lines
 from tallymark.llm.mixing import Mix, mixed_documents
 from tallymark.llm.quality import clean_documents
-from tallymark.llm.simhash import FIVE_WORDS, representatives
+from tallymark.llm.simhash import representatives
 
 #: Languages are thinned to these weights, sources within a language evenly; no document is repeated. The share of all
 #: words is high, as the mix is to shape the corpus rather than to shrink it.
@@ -36,9 +36,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group whose five-word shingles are about 0.8 alike or more."""
+    """Keeps one document of each group whose sets of five-word shingles are 0.8 alike or more (Jaccard)."""
     ship(spark)
-    return representatives(docs, FIVE_WORDS)
+    return representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

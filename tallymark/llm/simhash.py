@@ -5,7 +5,8 @@ bit, and a bit is set if it is set in over half of them. Wider fingerprints take
 
 Links: fingerprints within ``max_bits`` differing bits. A fingerprint goes to one bucket for each of ``blocks`` slices of
 its bits. With more blocks than max_bits two linked fingerprints agree in a slice and meet there, so no link is lost.
-Buckets over ``bucket_limit`` are dealt again by slices of their other bits, by the same argument. Within a bucket the
+Buckets over ``bucket_limit`` are dealt again by slices of their other bits, by the same argument. Fewer blocks would lose
+links and are refused. Within a bucket the
 fingerprints are sorted by Gray rank and grouped level by level; a node holds the bits its members share as a mask and a
 pattern, each child only those not in its parent. A search adds up differences on the way down and drops a whole group
 when they exceed max_bits. A bucket reports a spanning forest of its links, at most one row for a fingerprint.
@@ -45,10 +46,9 @@ class SimHash:
     bucket_limit: int = 20_000
     depth: int = 6  # times a bucket is dealt again at most
 
-
-#: Five-word shingles at a similarity of about 0.8: the share of differing bits is then arccos(0.89)/pi = 0.15. With
-#: 640 bits its standard deviation is 9 bits; 40 slices of 16 bits miss 5 in 100 of such pairs and fewer of closer ones.
-FIVE_WORDS = SimHash(shingle=5, lanes=10, blocks=40, max_bits=108)
+    def __post_init__(self) -> None:
+        if self.blocks <= self.max_bits:
+            raise ValueError("links are only all found with more blocks than max_bits")
 
 
 def code_of(text: str, config: SimHash) -> bytes:
@@ -297,9 +297,11 @@ def near_duplicates(docs: DataFrame, config: SimHash = SimHash()) -> DataFrame:
     return marked.join(members, "tm_node").select("doc_id", "tm_text", F.lower(F.hex("tm_code")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, config: SimHash = FIVE_WORDS) -> DataFrame:
-    """One row of docs for each component: the one with the least doc_id, then the least digest of its text."""
-    groups = near_duplicates(docs, config)
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of docs for each group of near copies: the one with the least doc_id, then the least digest of its text."""
+    from .jaccard import near_copies  # which uses the components above
+
+    groups = near_copies(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tm_text").alias("text")))
     # components without any doc_id are told apart by their fingerprints
     chosen = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("tm_f")).agg(first.alias("tm_c"))

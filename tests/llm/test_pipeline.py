@@ -35,3 +35,61 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, "").collect()}
     assert kept == set(range(60))
     assert corpus_pipeline.quality(spark, rows, "").count() == len(docs)
+
+
+def alike(a, b):
+    x, y = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_at_the_limit_go_and_those_below_stay(spark):
+    """Pairs just at or above 0.8 and just below, and a chain, against the exact similarity."""
+    ship(spark)
+    rng = random.Random(11)
+    docs, expected = [], set()
+    for k in range(0, 800, 2):
+        n = rng.randrange(40, 400)
+        w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        edited = list(w)
+        steps = max(1, round((n - 4) / 45)) + rng.randrange(2)
+        for at in rng.sample(range(n), steps):
+            edited[at] = f"x{rng.randrange(10**6)}"
+        docs += [(k, " ".join(w)), (k + 1, " ".join(edited))]
+        expected |= {k} if alike(docs[-1][1], docs[-2][1]) >= 0.8 else {k, k + 1}
+    near = sum(0.8 <= alike(docs[i][1], docs[i + 1][1]) < 0.86 for i in range(0, 800, 2))
+    assert near > 80 and len(expected) > 480  # both sides of the limit are well covered
+    rows = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, "").collect()} == expected
+
+
+def test_large_buckets_are_worked_off_whole(spark):
+    """Copies that are alike to the first text, but mostly not to each other, in buckets above the small size."""
+    from tallymark.llm import jaccard
+
+    ship(spark)
+    rng = random.Random(5)
+    texts = []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(200)]
+        texts.append(base)
+        for _ in range(40):
+            w = list(base)
+            for at in rng.sample(range(200), 4):
+                w[at] = f"x{rng.randrange(10**6)}"
+            texts.append(w)
+    docs = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    rng.shuffle(docs)
+    label = {i: i for i, _ in docs}
+    grew = True
+    links = [(a, b) for a, s in docs for b, t in docs if a < b and a // 41 == b // 41 and alike(s, t) >= 0.8]
+    while grew:
+        grew = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            if label[a] != label[b]:
+                label[a] = label[b] = low
+                grew = True
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    for small in (2, 16):
+        got = {r.doc_id: r.component_id for r in jaccard.near_copies(rows, jaccard.Shingles(small=small)).collect()}
+        assert got == label
