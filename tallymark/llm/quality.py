@@ -1,11 +1,12 @@
 """Quality rules with cross-document line frequency (operator 1).
 
 Normalised lines are hashed together with their host. A line is boilerplate where more than ``max_docs`` distinct
-documents of one host hold it. Documents are told apart by their text, so exact copies count once. Near copies would
-still make each of their lines frequent although nothing but the copying repeats; therefore a line also needs
-``min_context_share`` as many distinct contexts as documents. Its context in a document is the least hash among the
-document's other lines, which copies nearly always share and different documents hardly ever do. Copies are thus left
-to the near-duplicate operators.
+documents of one host hold it. Documents are told apart by their text, so exact copies count once, and so does a group
+of near copies, in which each line would be frequent although nothing but the copying repeats. Candidates are the lines
+that are frequent by documents alone. A document is taken for a near copy where its other lines, its own part, have
+at most ``near_own`` of the words of its distinct lines: two such documents are alike by 0.8 of their words. It counts
+for the group of its least candidate line, any other document for itself. However many lines a template has, its pages
+thus count one by one as long as they are not near copies, which are left to the near-duplicate operators.
 
 Boilerplate lines are removed; a document is depleted, and rejected, where fewer than ``min_left_words`` words or
 ``min_left_share`` of its words remain. Everything is DataFrame expressions; counting aggregates before each shuffle, so
@@ -33,7 +34,7 @@ class QualityRules:
     min_words: int = 20
     max_repeat_percent: int = 30
     max_docs: int = 20
-    min_context_share: float = 0.5
+    near_own: float = 1 / 9  # then shared / (shared + 2 own), the likeness of two such documents, is 0.8
     min_left_words: int = 20
     min_left_share: float = 0.3
 
@@ -92,24 +93,27 @@ def line_key(line: Column, host: Column) -> Column:
 
 
 def host_lines(docs: DataFrame, host: str) -> DataFrame:
-    """A row for each non-blank line: doc_id, tm_text, tm_line, tm_context, tm_at (its number) and tm_words."""
+    """A row for each non-blank line: doc_id, tm_text, tm_page (the text on its host), tm_total (words of its distinct
+    lines), tm_line, tm_at (the line's number) and tm_words."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
-    own = docs.where(F.col("text").isNotNull()).select("doc_id", text_id(F.col("text")).alias("tm_text"), lines.alias("tm_lines"), F.col(host).alias("tm_host"))
-    own = own.withColumn("tm_keys", F.transform("tm_lines", lambda x: line_key(x, F.col("tm_host"))))
-    first = F.slice(F.sort_array(F.array_distinct("tm_keys")), 1, 2)
-    both = F.arrays_zip("tm_keys", "tm_lines")
-    rows = own.select("doc_id", "tm_text", first.alias("tm_first"), F.posexplode(both).alias("tm_at", "tm_l"))
-    other = F.when(F.col("tm_l.tm_keys") == F.get("tm_first", F.lit(0)), F.get("tm_first", F.lit(1))).otherwise(F.get("tm_first", F.lit(0)))
-    size = F.size(F.split(F.btrim("tm_l.tm_lines", F.lit(BLANKS)), BLANK_RUN))
-    return rows.select("doc_id", "tm_text", F.col("tm_l.tm_keys").alias("tm_line"), F.coalesce(other, F.lit(0)).alias("tm_context"), "tm_at", size.alias("tm_words"))
+    size = lambda x: F.size(F.split(F.btrim(x, F.lit(BLANKS)), BLANK_RUN))
+    keyed = F.transform(lines, lambda x: F.struct(line_key(x, F.col(host)).alias("k"), size(x).alias("w")))
+    own = docs.where(F.col("text").isNotNull()).select("doc_id", text_id(F.col("text")).alias("tm_text"), F.xxhash64(text_id(F.col("text")), host).alias("tm_page"), keyed.alias("tm_keys"))
+    total = F.aggregate(F.array_distinct("tm_keys"), F.lit(0), lambda a, x: a + x["w"])
+    rows = own.select("doc_id", "tm_text", "tm_page", total.alias("tm_total"), F.posexplode("tm_keys").alias("tm_at", "tm_l"))
+    return rows.select("doc_id", "tm_text", "tm_page", "tm_total", F.col("tm_l.k").alias("tm_line"), "tm_at", F.col("tm_l.w").alias("tm_words"))
 
 
 def frequent_lines(lines: DataFrame, rules: QualityRules) -> DataFrame:
-    """tm_line of each line that is boilerplate on its host, with its distinct documents."""
-    by_text = lines.select("tm_line", "tm_context", "tm_text").distinct()
-    by_context = by_text.groupBy("tm_line", "tm_context").agg(F.count("*").alias("tm_n"))
-    totals = by_context.groupBy("tm_line").agg(F.sum("tm_n").alias("tm_docs"), F.count("*").alias("tm_contexts"))
-    return totals.where((F.col("tm_docs") > rules.max_docs) & (F.col("tm_contexts") >= rules.min_context_share * F.col("tm_docs")))
+    """tm_line of each line that is boilerplate on its host, with the documents that count for it."""
+    held = lines.groupBy("tm_line", "tm_page").agg(F.max("tm_words").alias("tm_words"), F.max("tm_total").alias("tm_total"))
+    often = held.groupBy("tm_line").count().where(F.col("count") > rules.max_docs).select("tm_line")
+    hits = held.join(often, "tm_line")
+    pages = hits.groupBy("tm_page").agg(F.min("tm_line").alias("tm_least"), (F.max("tm_total") - F.sum("tm_words")).alias("tm_own"), F.max("tm_total").alias("tm_total"))
+    near = F.col("tm_own") <= rules.near_own * F.col("tm_total")
+    groups = pages.select("tm_page", F.struct(near.alias("near"), F.when(near, F.col("tm_least")).otherwise(F.col("tm_page")).alias("id")).alias("tm_group"))
+    counted = hits.select("tm_line", "tm_page").join(groups, "tm_page").select("tm_line", "tm_group").distinct()
+    return counted.groupBy("tm_line").agg(F.count("*").alias("tm_docs")).where(F.col("tm_docs") > rules.max_docs)
 
 
 def removed_lines(docs: DataFrame, host: str, rules: QualityRules) -> DataFrame:

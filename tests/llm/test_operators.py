@@ -85,6 +85,17 @@ def test_quality_leaves_copies_and_takes_boilerplate(spark):
     assert notice not in cleaned[3] and cleaned[205] == near[5][1] and 100 not in cleaned
 
 
+@pytest.mark.parametrize("shared", [1, 6, 8, 20])
+def test_quality_rejects_pages_that_are_mostly_template(spark, shared):
+    line = lambda *names: " ".join(f"w{'x'.join(map(str, names))}x{i}" for i in range(6))
+    template = [line("t", j) for j in range(shared)]
+    page = lambda k, own: "\n".join(template + [line(k, j) for j in range(own)])
+    rows = [(k, page(k, 3), "h") for k in range(50)] + [(100 + k, page(100 + k, 30), "h") for k in range(5)]
+    got = {r.doc_id: r for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(r.n_removed_lines == shared and r.left_words == (180 if i >= 100 else 18) for i, r in got.items())
+    assert {i for i, r in got.items() if r.kept} == set(range(100, 105))
+
+
 def test_quality_odd_rows(odd, none):
     got = {r.doc_id: r for r in quality.quality_verdicts(odd).collect()}
     assert got[1].n_words == 0 and got[1].base_failed and got[20].n_repeat_words == 30_000
