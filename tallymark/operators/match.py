@@ -84,10 +84,10 @@ def by_similarity(scans: DataFrame, products: DataFrame) -> DataFrame:
     return pairs.groupBy("scan_id").agg(best.alias("tm_best")).select("scan_id", "tm_best.reference_product_id", F.round("tm_best.score", 3).alias("score"))
 
 
-def matched(scans: DataFrame, products: DataFrame, fuzzy: bool = False) -> DataFrame:
+def matched(scans: DataFrame, products: DataFrame, fuzzy: bool = True) -> DataFrame:
     """scans (scan_id, text, barcode, brand) with reference_found, reference_product_id, match_method, match_score.
 
-    Barcode hits come first; only the rest go on. With fuzzy, scans without a brand hit are compared by similarity.
+    Barcode hits come first; only the rest go on. Scans without a sufficient brand hit are compared by similarity.
     """
     exact = by_barcode(scans, products).select("scan_id", "reference_product_id", F.lit("barcode").alias("match_method"), F.lit(1.0).alias("match_score"))
     rest = scans.join(exact, "scan_id", "left_anti")

@@ -42,6 +42,20 @@ def test_match_cascade(spark, products):
     assert got == {0: ("p0", "barcode", 1.0), 1: ("p0", "fuzzy", 0.85), 2: (None, None, 0.0), 3: (None, None, 0.0), 4: (None, None, 0.0)}
 
 
+def test_match_cascade_goes_on_to_similarity(spark, products):
+    from difflib import SequenceMatcher
+
+    texts = ["acne glucose", "Azme Cream", "ced cola", "nothing like it", "zed something", None]
+    s = scans(spark, *((t, None, "success") for t in texts))
+    s = s.join(match.known_brand(s, products), "scan_id", "left")
+    got = {r.scan_id: (r.reference_product_id, r.match_method, r.match_score) for r in match.matched(s, products).collect()}
+    labels = [("p0", "acme glucose"), ("p1", "acme cream"), ("p2", "zed cola")]
+    for i, t in enumerate(texts):
+        ratio, name = max(((round(SequenceMatcher(None, v, (t or "").lower()).ratio(), 3), n) for n, v in labels), key=lambda x: x[0])
+        assert got[i] == ((name, "fuzzy", ratio) if ratio >= 0.72 else (None, None, 0.0))
+    assert [got[i][0] for i in range(3)] == ["p0", "p1", "p2"]
+
+
 def test_many_brands_give_the_same(spark, products):
     s = scans(spark, ("ACME glucose", None, "success"), ("unzedded", None, "success"), ("nothing", None, "success"))
     rows = lambda few: sorted(map(tuple, match.known_brand(s, products, few).collect()))
