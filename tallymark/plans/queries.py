@@ -309,8 +309,7 @@ def match_brand_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def match_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans, products = view(spark, sf_dir, "label_scans"), view(spark, sf_dir, "products")
-    first_line = F.get(F.split("text", "\n"), F.lit(0))
-    return match.by_similarity(scans.where("scan_id % 5 <> 4").select("scan_id", first_line.alias("text")), products)
+    return match.by_similarity(scans, products)
 
 
 @query(
