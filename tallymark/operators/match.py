@@ -75,11 +75,12 @@ def by_similarity(scans: DataFrame, products: DataFrame) -> DataFrame:
     The ratio of texts of lengths a and b is 2 min(a, b) / (a + b) at most, so a scan meets only products whose label is
     about as long: pairs are made by an equi-join on the label's length, which each scan explodes to its feasible range.
     """
-    label = products.select("reference_product_id", "catalogue_pos", F.concat_ws(" ", F.col("brand"), F.col("product_name")).alias("tm_label")).withColumn("tm_size", F.length("tm_label"))
-    text = scans.select("scan_id", F.substring("text", 1, PREFIX).alias("tm_text")).withColumn("tm_n", F.length("tm_text"))
+    own = F.lower("brand") if "brand" in scans.columns else F.lit(None).cast("string")  # a guessed brand's products are scored by by_brand
+    label = products.select("reference_product_id", "catalogue_pos", F.lower("brand").alias("tm_brand"), F.concat_ws(" ", F.col("brand"), F.col("product_name")).alias("tm_label")).withColumn("tm_size", F.length("tm_label"))
+    text = scans.select("scan_id", own.alias("tm_own"), F.substring("text", 1, PREFIX).alias("tm_text")).withColumn("tm_n", F.length("tm_text"))
     factor = (2 - THRESHOLD) / THRESHOLD
     text = text.where("tm_n > 0").withColumn("tm_size", F.explode(F.sequence(F.ceil(F.col("tm_n") / factor).cast("int"), F.floor(F.col("tm_n") * factor).cast("int"))))
-    pairs = text.join(label, "tm_size").withColumn("score", similarity(F.col("tm_label"), F.col("tm_text"))).where(F.col("score") >= THRESHOLD)
+    pairs = text.join(label, "tm_size").where("not coalesce(tm_own = tm_brand, false)").withColumn("score", similarity(F.col("tm_label"), F.col("tm_text"))).where(F.col("score") >= THRESHOLD)
     best = F.max_by(F.struct("reference_product_id", "score"), F.struct("score", -F.col("catalogue_pos")))
     return pairs.groupBy("scan_id").agg(best.alias("tm_best")).select("scan_id", "tm_best.reference_product_id", F.round("tm_best.score", 3).alias("score"))
 
@@ -87,15 +88,18 @@ def by_similarity(scans: DataFrame, products: DataFrame) -> DataFrame:
 def matched(scans: DataFrame, products: DataFrame, fuzzy: bool = True) -> DataFrame:
     """scans (scan_id, text, barcode, brand) with reference_found, reference_product_id, match_method, match_score.
 
-    Barcode hits come first; only the rest go on. Scans without a sufficient brand hit are compared by similarity.
+    Barcode hits come first; only the rest go on. The best of brand and similarity counts.
     """
     exact = by_barcode(scans, products).select("scan_id", "reference_product_id", F.lit("barcode").alias("match_method"), F.lit(1.0).alias("match_score"))
     rest = scans.join(exact, "scan_id", "left_anti")
     branded = by_brand(rest.where("brand is not null"), products).where(F.col("score") >= THRESHOLD)
-    found = exact.unionByName(branded.select("scan_id", "reference_product_id", F.lit("fuzzy").alias("match_method"), F.col("score").alias("match_score")))
     if fuzzy:
-        other = by_similarity(rest.join(branded, "scan_id", "left_anti"), products)
-        found = found.unionByName(other.select("scan_id", "reference_product_id", F.lit("fuzzy").alias("match_method"), F.col("score").alias("match_score")))
+        other = by_similarity(rest, products)
+        place = small(products.select("reference_product_id", "catalogue_pos"))
+        scored = branded.unionByName(other).join(place, "reference_product_id")
+        best = F.max_by(F.struct("reference_product_id", "score"), F.struct("score", -F.col("catalogue_pos"))).alias("b")
+        branded = scored.groupBy("scan_id").agg(best).select("scan_id", "b.reference_product_id", "b.score")
+    found = exact.unionByName(branded.select("scan_id", "reference_product_id", F.lit("fuzzy").alias("match_method"), F.col("score").alias("match_score")))
     both = scans.join(found, "scan_id", "left")
     return both.withColumn("reference_found", F.col("reference_product_id").isNotNull()).withColumn("match_score", F.coalesce("match_score", F.lit(0.0)))
 
