@@ -257,7 +257,7 @@ def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, translate(substr(text, 1, 40), 'OoIlS', '00115') AS digits, regexp_full_match(regexp_replace(regexp_replace(substr(text, 1, 3), '[\\s()]', '', 'g'), '(?i)^(?:₹|rs\\.?|inr)', ''), '[0-9OoIlS.,/]+') AS numeric_like FROM documents")
 def ocr_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.digits_for_letters(F.substring("text", 1, 40)).alias("digits"), text.looks_numeric(F.substring("text", 1, 3)).alias("numeric_like"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.digits_for_letters(F.col("text")).alias("digits"), text.looks_numeric(F.col("text")).alias("numeric_like"))
 
 
 @query("SELECT scan_id, regexp_replace(text, '(?i)\\b(?:rs\\.|rs\\b|inr\\b)', '₹', 'g') AS marked FROM label_scans", "label_scans")
@@ -267,7 +267,7 @@ def currency_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, coalesce(nullif(right(regexp_replace(replace(trim(substr(text, 1, 130)), ' ', '_'), '[^A-Za-z0-9._-]', '', 'g'), 100), ''), 'upload') AS name FROM documents")
 def filename_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.safe_file_name(F.substring("text", 1, 130)).alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.safe_file_name(F.col("text")).alias("name"))
 
 
 @query("SELECT doc_id, 'local://scans/' || sha256(text) || '/label.png' AS reference FROM documents")

@@ -99,3 +99,13 @@ def test_article_numbers(spark):
     assert codes("890171912387", "0") == ["8901719123870"]
     assert codes("99 8901719123870") == ["8901719123870"]
     assert codes("8901719123871") == [] and codes("", "abc") == []
+
+
+def test_queries_take_whole_texts(spark, tmp_path):
+    from tallymark.plans.queries import QUERIES
+
+    long = "".join(f"x{i}O" for i in range(100))
+    spark.createDataFrame([(1, long), (2, "123 O5"), (3, "123 abc")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda name: {r.doc_id: tuple(r)[1:] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert rows("ocr_confusions") == {1: (long.replace("O", "0"), False), 2: ("123 05", True), 3: ("123 abc", False)}
+    assert rows("filename_sanitize") == {1: (long[-100:],), 2: ("123_O5",), 3: ("123_abc",)}
