@@ -41,10 +41,38 @@ def digest60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def text_id(text: Column) -> Column:
+    """Digest of a text; null counts as empty."""
+    return digest60(F.coalesce(text, F.lit("")))
+
+
+#: Values that hold more than one in HOT of the rows of a join are spread over several tasks.
+HOT = 2000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, sizes: DataFrame, by: Column) -> DataFrame:
+    """left joined with right on a column some of whose values may hold a large part of left.
+
+    sizes: (on, tm_rows) with one row for each value of right, tm_rows counting the rows of left that hold it. A value
+    with more than one in HOT of all these rows is dealt over as many salts as it holds such parts, left by the hash
+    ``by``, right once for each salt. At most HOT values can be that hot, which bounds what is broadcast.
+    """
+    total = sizes.agg(F.sum("tm_rows").alias("tm_total"))
+    hot = sizes.join(F.broadcast(total)).where(F.col("tm_rows") * HOT > F.col("tm_total"))  # total is one row
+    hot = F.broadcast(hot.select(on, F.ceil(F.col("tm_rows") * HOT / F.col("tm_total")).cast("int").alias("tm_salts")))
+    salts = F.coalesce("tm_salts", F.lit(1))
+    one = left.join(hot, on, "left").withColumn("tm_salt", F.pmod(by, salts).cast("int")).drop("tm_salts")
+    many = right.join(hot, on, "left").withColumn("tm_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("tm_salts")
+    return one.join(many, [on, "tm_salt"]).drop("tm_salt")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share, named by spark.checkpoint.dir. Only a local master, where all is one
+    process, gets a temporary folder if none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tallymark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -1,17 +1,20 @@
-"""Near copies by the exact similarity of shingle sets (the near-duplicate stage of the pipeline).
+"""Near copies of the pipeline: candidates of the SimHash operator, confirmed by the exact similarity of shingle sets.
 
-A text's words, ASCII letters lower-cased, make shingles; a text's set is their distinct 64-bit hashes. Two sets are
-linked where their intersection is at least ``percent`` of their union. Equal sets are one node.
+A text's words, ASCII letters lower-cased, make shingles of five words; a text's set is their distinct 64-bit hashes. Two
+sets are linked where their intersection is at least ``percent`` of their union. Equal sets are one node.
 
-Candidates: ``bands`` keys, each of the least values of ``rows`` random orders of the set. Two sets of similarity s share
-one key with probability s ** rows, so a pair at exactly 0.8 is without a common key in 0.59 ** 40, or 7 in 10 ** 10,
-cases, a closer one more rarely. Unlike sets hardly ever share a key, so buckets hold little but near copies and are
-never dealt again, sampled or cut.
+Candidates come from two sides. The SimHash operator (fingerprints of the same shingles, linked through its Gray-order
+index) gives the close ones, which are most of the copies. At a similarity of 0.8, though, two fingerprints differ in 15 %
+of their bits, far beyond what any index of them can search without comparing nearly all pairs. So the rest comes from
+``bands`` keys a set, each of the least values of ``rows`` random orders: sets of similarity s share one key with
+probability s ** rows, so a pair at exactly 0.8 is without a common key in 0.59 ** 40, or 7 in 10 ** 10, cases, a closer
+one more rarely. Unlike sets hardly ever share a key, so buckets are never sampled or cut.
 
 Links: each pair that shares a bucket is held against the exact similarity, unless other links connect it already.
-Buckets are worked off in rounds from their pivots, the sets with most companions: these are held against the rest of
-the bucket, and a bucket ends when its members are connected or all of them have been pivots. A large group of copies of
-one text thus costs a row a copy, and not one for each two copies.
+Buckets are worked off in rounds. Each round takes pivots, the members with most companions in each of 1, 2, 4, ... parts
+of the bucket, and holds them against the rest; a bucket ends when its members are connected or all have been pivots. A
+large group of copies of one text thus costs a row a copy, and not one for each two copies; no bucket is sorted or held as
+a whole, and one that holds a large part of the rows is spread over several tasks.
 
 Defined results: texts without words have the empty set, which is linked to itself only; a text shorter than a shingle is
 one shingle; otherwise as in simhash.
@@ -26,11 +29,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest60, stored
-from .simhash import components
+from . import simhash
+from .common import spread_join, stored, text_id
 
 
 @dataclass(frozen=True)
@@ -40,6 +43,7 @@ class Shingles:
     bands: int = 40
     rows: int = 4
     small: int = 16  # all members of a bucket up to this size are pivots at once
+    index: simhash.SimHash = simhash.SimHash(shingle=5)
 
 
 FIVE_WORDS = Shingles()
@@ -88,7 +92,8 @@ def listed(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sets(docs: DataFrame, config: Shingles, values: bool) -> DataFrame:
-    """doc_id, tm_text, tm_node and tm_list, which is the set with values and else its keys, for each row of docs."""
+    """doc_id, tm_text, tm_node, tm_code (SimHash) and tm_list, which is the set with values and else its keys, for each
+    row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch], config: Shingles, values: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,11 +101,12 @@ def sets(docs: DataFrame, config: Shingles, values: bool) -> DataFrame:
                 rows = batch.slice(at, 500)
                 own = [set_of(t.as_py() or "", config.shingle) for t in rows.column("text")]
                 nodes = pa.array((xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in own), pa.int64())
+                codes = pa.array((simhash.voted(s) if len(s) and not values else 0 for s in own), pa.int64())
                 lists = listed(own if values else [keys_of(s, config) for s in own])
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tm_text"), nodes, lists], names=["doc_id", "tm_text", "tm_node", "tm_list"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tm_text"), nodes, codes, lists], names=["doc_id", "tm_text", "tm_node", "tm_code", "tm_list"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "tm_text", "text").mapInArrow(partial(run, config=config, values=values), f"doc_id {kind}, tm_text long, tm_node long, tm_list array<long>")
+    return docs.select("doc_id", "tm_text", "text").mapInArrow(partial(run, config=config, values=values), f"doc_id {kind}, tm_text long, tm_node long, tm_code long, tm_list array<long>")
 
 
 def alike(a: Column, b: Column, config: Shingles) -> Column:
@@ -108,54 +114,91 @@ def alike(a: Column, b: Column, config: Shingles) -> Column:
     return 100 * both >= config.percent * (F.size(a) + F.size(b) - both)
 
 
+def index_pairs(nodes: DataFrame, config: Shingles) -> DataFrame:
+    """a, b: candidates of the SimHash operator, where each fingerprint stands for its least node."""
+    named = nodes.where(F.size("tm_list") > 0).groupBy("tm_code").agg(F.min("tm_node").alias("tm_first"), F.count("*").alias("tm_rows"))
+    named = stored(named, "codes")
+    links = simhash.links(named.select(F.col("tm_code").alias("tm_node")), config.index)
+    one = lambda side: named.select(F.col("tm_code").alias(side), F.col("tm_first").alias(f"tm_{side}"))
+    near = links.join(one("a"), "a").join(one("b"), "b").select(F.col("tm_a").alias("a"), F.col("tm_b").alias("b"))
+    same = spread_join(nodes.where(F.size("tm_list") > 0).select("tm_code", "tm_node"), named.select("tm_code", "tm_first"), "tm_code", named.select("tm_code", "tm_rows"), F.xxhash64("tm_node"))
+    same = same.where("tm_node <> tm_first").select(F.col("tm_first").alias("a"), F.col("tm_node").alias("b"))
+    return near.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def buckets(nodes: DataFrame, config: Shingles) -> DataFrame:
-    """tm_key, tm_node, tm_at (place in the bucket, by companions) and tm_n (size) for buckets of two or more."""
+    """tm_key, tm_node, tm_n (size of the bucket) and tm_with (companions in all buckets) for buckets of two or more."""
     rows = nodes.select("tm_node", F.explode("tm_list").alias("tm_key"))
-    shared = rows.groupBy("tm_key").agg(F.count("*").alias("tm_n")).where("tm_n > 1")
-    rows = stored(rows.join(shared, "tm_key"), "shared-keys")
-    rows = rows.join(rows.groupBy("tm_node").agg(F.sum("tm_n").alias("tm_with")), "tm_node")
-    order = Window.partitionBy("tm_key").orderBy(F.desc("tm_with"), "tm_node")
-    return stored(rows.select("tm_key", "tm_node", "tm_n", F.row_number().over(order).alias("tm_at")), "buckets")
+    shared = stored(rows.groupBy("tm_key").agg(F.count("*").alias("tm_rows")).where("tm_rows > 1"), "shared-keys")
+    rows = spread_join(rows, shared.select("tm_key", F.col("tm_rows").alias("tm_n")), "tm_key", shared, F.xxhash64("tm_node"))
+    rows = stored(rows.select("tm_key", "tm_node", "tm_n"), "bucket-rows")
+    return rows.join(rows.groupBy("tm_node").agg(F.sum("tm_n").alias("tm_with")), "tm_node")
+
+
+def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
+    return rows.drop("root").join(links.withColumnRenamed("node", "tm_node"), "tm_node", "left").withColumn("root", F.coalesce("root", "tm_node"))
+
 
+def sized(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("tm_key").agg(F.count("*").alias("tm_rows"))
 
-def roots_of(links: DataFrame, rows: DataFrame) -> DataFrame:
-    return rows.join(links.withColumnRenamed("node", "tm_node"), "tm_node", "left").withColumn("root", F.coalesce("root", "tm_node"))
+
+def still_open(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets whose members are not all connected yet."""
+    state = rows.groupBy("tm_key").agg(F.min("root").alias("m"), F.max("root").alias("n"), F.count("*").alias("tm_rows")).where("m <> n")
+    return spread_join(rows, state.select("tm_key"), "tm_key", state.select("tm_key", "tm_rows"), F.xxhash64("tm_node"))
 
 
 def linked(docs: DataFrame, nodes: DataFrame, config: Shingles) -> DataFrame:
     """node, root: the least node of each node that is linked to a lesser one, over one row of docs for each node."""
-    spark = docs.sparkSession
-    rows = buckets(nodes, config)
-    wanted = rows.select("tm_node").distinct()
+    near = stored(index_pairs(nodes, config), "index-pairs")
+    rows = stored(buckets(nodes, config), "buckets")
+    wanted = rows.select("tm_node").unionByName(near.select(F.col("a").alias("tm_node"))).unionByName(near.select(F.col("b").alias("tm_node"))).distinct()
     one = nodes.join(wanted, "tm_node", "left_semi").select("tm_text").distinct()
     own = sets(docs.join(one, "tm_text", "left_semi").dropDuplicates(["tm_text"]), config, values=True)
     own = stored(own.dropDuplicates(["tm_node"]).select("tm_node", "tm_list"), "sets")
-    edges = spark.createDataFrame([], "a long, b long")
-    links = spark.createDataFrame([], "node long, root long")
-    low, high = 0, 1
-    while not rows.isEmpty():
-        pivot = (F.col("tm_at") > low) & ((F.col("tm_at") <= high) | (F.lit(low == 0) & (F.col("tm_n") <= config.small)))
-        first = rows.where(pivot).select("tm_key", F.col("tm_node").alias("a"), F.col("tm_at").alias("tm_first"), F.col("root").alias("ra") if "root" in rows.columns else F.col("tm_node").alias("ra"))
-        rest = rows.select("tm_key", F.col("tm_node").alias("b"), "tm_at", F.col("root").alias("rb") if "root" in rows.columns else F.col("tm_node").alias("rb"))
-        pairs = first.join(rest, "tm_key").where("tm_first < tm_at and ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(own.select(F.col("tm_node").alias("a"), F.col("tm_list").alias("x")), "a").join(own.select(F.col("tm_node").alias("b"), F.col("tm_list").alias("y")), "b")
-        edges = stored(edges.unionByName(pairs.where(alike(F.col("x"), F.col("y"), config)).select("a", "b")), "edges")
-        links = stored(components(edges), "roots")
-        # pivots are done with; a bucket goes on while what is left of it is more than one set and not connected
-        left = roots_of(links, rows.where((F.col("tm_at") > high) & (F.lit(low > 0) | (F.col("tm_n") > config.small))).drop("root"))
-        open_ = left.groupBy("tm_key").agg(F.min("root").alias("m"), F.max("root").alias("n")).where("m <> n").select("tm_key")
-        rows = stored(left.join(open_, "tm_key", "left_semi"), "open")
-        low, high = high, 2 * high + 1
+        return pairs.where(alike(F.col("x"), F.col("y"), config)).select("a", "b")
+
+    edges = stored(confirmed(near), "edges")
+    links = stored(simhash.components(edges), "roots")
+    rows, width = stored(still_open(with_roots(rows, links)), "open"), 1
+    while not rows.isEmpty():
+        part = F.pmod(F.xxhash64("tm_node"), F.lit(width))
+        first = rows.groupBy("tm_key", part.alias("tm_part")).agg(F.max_by(F.struct("tm_node", "root"), F.struct("tm_with", -F.col("tm_node"))).alias("p"))
+        first = first.select("tm_key", F.col("p.tm_node").alias("a"), F.col("p.root").alias("ra"))
+        if width == 1:
+            first = first.unionByName(rows.where(F.col("tm_n") <= config.small).select("tm_key", F.col("tm_node").alias("a"), F.col("root").alias("ra"))).distinct()
+        first = stored(first, "pivots")
+        rest = rows.select("tm_key", F.col("tm_node").alias("b"), F.col("root").alias("rb"))
+        pairs = spread_join(rest, first, "tm_key", sized(rows), F.xxhash64("b")).where("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        edges = stored(edges.unionByName(confirmed(pairs)), "edges")
+        links = stored(simhash.components(edges), "roots")
+        left = rows.join(first.select("tm_key", F.col("a").alias("tm_node")), ["tm_key", "tm_node"], "left_anti")
+        rows, width = stored(still_open(with_roots(left, links)), "open"), 2 * width
     return links
 
 
 def near_copies(docs: DataFrame, config: Shingles = FIVE_WORDS) -> DataFrame:
     """doc_id, tm_text, fingerprint (of the set) and component_id (least doc_id of the component) for each row of docs."""
-    texts = docs.select("doc_id", digest60(F.coalesce("text", F.lit(""))).alias("tm_text"), "text")
+    texts = docs.select("doc_id", text_id(F.col("text")).alias("tm_text"), "text")
     marked = stored(sets(texts, config, values=False), "keys")
-    nodes = stored(marked.groupBy("tm_node").agg(F.min("doc_id").alias("tm_least"), F.min("tm_text").alias("tm_text"), F.first("tm_list").alias("tm_list")), "nodes")
-    roots = linked(texts, nodes, config)
-    named = nodes.select("tm_node", "tm_least").join(roots, F.col("tm_node") == F.col("node"), "left").select("tm_node", "tm_least", F.coalesce("root", "tm_node").alias("tm_root"))
-    least = named.groupBy("tm_root").agg(F.min("tm_least").alias("component_id"))
-    members = named.select("tm_node", "tm_root").join(least, "tm_root").select("tm_node", "component_id")
-    return marked.join(members, "tm_node").select("doc_id", "tm_text", F.hex("tm_node").alias("fingerprint"), "component_id")
+    first = lambda c: F.first(c).alias(c)  # noqa: E731  # the same for all rows of a node
+    nodes = marked.groupBy("tm_node").agg(F.min("doc_id").alias("tm_least"), F.count("*").alias("tm_rows"), F.min("tm_text").alias("tm_text"), first("tm_code"), first("tm_list"))
+    nodes = stored(nodes, "nodes")
+    found = simhash.with_components(marked.select("doc_id", "tm_text", "tm_node"), nodes.select("tm_node", "tm_least", "tm_rows"), linked(texts, nodes, config))
+    return found.select("doc_id", "tm_text", F.hex("tm_node").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, config: Shingles = FIVE_WORDS) -> DataFrame:
+    """One row of docs for each group of near copies: the one with the least doc_id, then the least digest of its text."""
+    groups = near_copies(docs, config)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tm_text").alias("text")))
+    # components without any doc_id are told apart by their fingerprints
+    chosen = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("tm_f")).agg(first.alias("c"))
+    chosen = chosen.select(F.col("c.id").alias("tm_id"), F.col("c.text").alias("tm_text2")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("tm_row"), "doc_id", text_id(F.col("text")).alias("tm_text"))
+    kept = rows.join(chosen, (F.col("tm_text") == F.col("tm_text2")) & F.col("doc_id").eqNullSafe(F.col("tm_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "tm_text"]).select("tm_row.*")

@@ -1,21 +1,26 @@
 """SimHash near-duplicates over a Gray-order hierarchical index (operator 10).
 
 Fingerprints: a text's words, ASCII letters lower-cased, make shingles; XXH64 (seed 42) of each shingle votes on every
-bit, and a bit is set if it is set in over half of them. Wider fingerprints take further hashes mixed from the first.
+bit, and a bit is set if it is set in over half of them.
 
-Links: fingerprints within ``max_bits`` differing bits. A fingerprint goes to one bucket for each of ``blocks`` slices of
-its bits. With more blocks than max_bits two linked fingerprints agree in a slice and meet there, so no link is lost.
-Buckets over ``bucket_limit`` are dealt again by slices of their other bits, by the same argument. Fewer blocks would lose
-links and are refused. Within a bucket the
-fingerprints are sorted by Gray rank and grouped level by level; a node holds the bits its members share as a mask and a
-pattern, each child only those not in its parent. A search adds up differences on the way down and drops a whole group
-when they exceed max_bits. A bucket reports a spanning forest of its links, at most one row for a fingerprint.
+Links: fingerprints within ``max_bits`` differing bits. The 64 bits are cut into ``blocks`` slices. With more blocks than
+max_bits two linked fingerprints agree in a slice, so no link is lost when each slice in turn is rotated to the front and
+only fingerprints that agree there are compared; fewer blocks would lose links and are refused.
+
+Index: for each rotation the fingerprints are range-partitioned and sorted by Gray rank, in which neighbours share long
+runs of bits. Equal front slices stay in one partition. Over each stretch of some ten thousand fingerprints a tree is
+built: a node holds the bits that all its members share as a mask and a pattern, a child only those not in its parent. A
+search adds up differences on the way down and drops a whole group when they exceed max_bits or touch the front slice.
+A front slice that more than ``bucket_limit`` fingerprints share is dealt again by slices of the bits behind it, by the
+same argument. A stretch reports a spanning forest of its links, at most one row for a fingerprint.
 
 Components: alternating large-star and small-star steps over the links, written to the shared folder after each round.
+A fingerprint, hub or component that holds a large part of the rows is spread over several tasks in each join.
 
 Defined results: texts without words have fingerprint zero, linked like any other; equal fingerprints are one node, so
 copies need no pairs; a null doc_id never names a component unless all its members are null; repeated rows get equal
-results; an empty table gives an empty result; columns other than doc_id and text play no part.
+results; an empty table gives an empty result; a very long text is one row of a task, hashed as a whole; columns other
+than doc_id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,170 +32,157 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest60, stored
+from .common import spread_join, stored, text_id
 
-FANOUT, SMALL = 8, 48
-#: Comparisons a bucket search holds in memory at once.
-FRONT = 1 << 19
+FANOUT = 8
+#: Fingerprints a tree is built over, at least, and comparisons a search holds in memory at once.
+STRETCH, FRONT = 1 << 15, 1 << 19
+#: Front slices this long are not dealt again: what is left has 65,536 values at most.
+LONGEST = 48
 
 
 @dataclass(frozen=True)
 class SimHash:
     shingle: int = 3
-    lanes: int = 1  # of 64 bits
     blocks: int = 3
     max_bits: int = 2
     bucket_limit: int = 20_000
-    depth: int = 6  # times a bucket is dealt again at most
 
     def __post_init__(self) -> None:
         if self.blocks <= self.max_bits:
             raise ValueError("links are only all found with more blocks than max_bits")
 
 
-def code_of(text: str, config: SimHash) -> bytes:
-    """The fingerprint of text, most significant bit first."""
+def voted(h: np.ndarray) -> int:
+    """The signed 64-bit number whose bits are set in over half of the hashes h."""
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(h), 255):
+        votes += bits[at : at + 255].sum(axis=0, dtype=np.uint8)
+    return int.from_bytes(np.packbits(2 * votes > len(h)).tobytes(), "big", signed=True)
+
+
+def code_of(text: str, shingle: int) -> int:
+    """The fingerprint of text as a signed number."""
     w = text.encode().lower().split()  # bytes: ASCII letters and ASCII white space only
-    k = config.shingle
     if not w:
-        return bytes(8 * config.lanes)
-    grams = [b" ".join(w)] if len(w) < k else map(b" ".join, zip(*(w[i:] for i in range(k))))
-    n = max(1, len(w) - k + 1)
-    h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, n)
-    lanes = []
-    for lane in range(config.lanes):
-        if lane:
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(lane)
-            h ^= h >> np.uint64(29)
-        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        votes = np.zeros(64, np.int64)
-        for at in range(0, n, 255):
-            votes += bits[at : at + 255].sum(axis=0, dtype=np.uint8)
-        lanes.append(np.packbits(2 * votes > n).tobytes())
-    return b"".join(lanes)
-
-
-def node_of(code: bytes) -> int:
-    """A long that stands for code: its bits if there are 64, else their hash."""
-    return int.from_bytes(code if len(code) == 8 else xxhash.xxh64_digest(code), "big", signed=True)
+        return 0
+    n = max(1, len(w) - shingle + 1)
+    grams = [b" ".join(w)] if n == 1 else map(b" ".join, zip(*(w[i:] for i in range(shingle))))
+    return voted(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, config: SimHash) -> DataFrame:
-    """doc_id, tm_text (digest of the text), tm_node and tm_code for each row of docs."""
+    """doc_id, tm_text (digest of the text) and tm_node (the fingerprint) for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [code_of(t.as_py() or "", config) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tm_text"), pa.array(map(node_of, codes), pa.int64()), pa.array(codes, pa.binary())], names=["doc_id", "tm_text", "tm_node", "tm_code"])
+            codes = pa.array((code_of(t.as_py() or "", config.shingle) for t in batch.column("text")), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tm_text"), codes], names=["doc_id", "tm_text", "tm_node"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", digest60(F.coalesce("text", F.lit(""))).alias("tm_text"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, tm_text long, tm_node long, tm_code binary")
+    return docs.select("doc_id", text_id(F.col("text")).alias("tm_text"), "text").mapInArrow(run, f"doc_id {kind}, tm_text long, tm_node long")
 
 
-# --- buckets
+# --- rotations
 
 
-def slices(path: bytes, bits: int, blocks: int) -> list[np.ndarray]:
-    """The slices that a bucket's bits are cut into; path has the number of the slice taken at each level so far."""
-    left = np.arange(bits)
-    for taken in path:
-        left = np.setdiff1d(left, np.array_split(left, blocks)[taken])
-    return [s for s in np.array_split(left, blocks) if len(s)]
+def gray_rank(code: Column) -> Column:
+    """The Gray rank (prefix XOR) as a signed number in the same order. Its first k bits follow from code's first k."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        code = code.bitwiseXOR(F.shiftrightunsigned(code, shift))
+    return code.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def dealt(batches: Iterator[pa.RecordBatch], config: SimHash) -> Iterator[pa.RecordBatch]:
-    """A row for each fingerprint and slice: tm_path, tm_key (of the bucket), tm_node, tm_code."""
-    for batch in batches:
-        paths, keys = (np.array(batch.column(c).to_pylist(), object) for c in ("tm_path", "tm_key"))
-        for path in set(paths):
-            own = np.flatnonzero(paths == path)
-            codes = batch.column("tm_code").take(pa.array(own))
-            nodes = batch.column("tm_node").take(pa.array(own))
-            bits = np.unpackbits(np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(own), -1), axis=1)
-            for number, s in enumerate(slices(path, 64 * config.lanes, config.blocks)):
-                values = np.packbits(bits[:, s], axis=1)
-                new = [k + bytes([number]) + v.tobytes() for k, v in zip(keys[own], values)]
-                yield pa.RecordBatch.from_arrays([pa.array([path + bytes([number])] * len(own), pa.binary()), pa.array(new, pa.binary()), nodes, codes], names=["tm_path", "tm_key", "tm_node", "tm_code"])
-
-
-def buckets(codes: DataFrame, config: SimHash) -> DataFrame:
-    """tm_key, tm_node, tm_code: distinct fingerprints dealt to buckets, large ones dealt again."""
-    deal = lambda rows: rows.mapInArrow(partial(dealt, config=config), "tm_path binary, tm_key binary, tm_node long, tm_code binary")
-    rows = deal(codes.select(F.lit(b"").alias("tm_path"), F.lit(b"").alias("tm_key"), "tm_node", "tm_code"))
-    done = None
-    for _ in range(config.depth):
-        large = stored(rows.groupBy("tm_key").count().where(F.col("count") > config.bucket_limit).select("tm_key"), "large")
-        if large.isEmpty():
-            break
-        kept = rows.join(large, "tm_key", "left_anti")
-        done = kept if done is None else done.unionByName(kept)
-        rows = stored(deal(rows.join(large, "tm_key", "left_semi")), "dealt")
-    return (rows if done is None else done.unionByName(rows)).select("tm_key", "tm_node", "tm_code")
+def dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    """rows (tm_way, tm_exact, tm_code, tm_node) once for each slice of the bits behind the first tm_exact, these bits
+    rotated so that the slice comes first; tm_exact then ends with it and tm_way numbers the choices so far."""
+    parts = rows.select("*", F.explode(F.array(*map(F.lit, range(blocks)))).alias("tm_j"))
+    begin, end = (F.floor((64 - F.col("tm_exact")) * (F.col("tm_j") + k) / blocks).cast("int") for k in (0, 1))
+    parts = parts.select("tm_way", "tm_exact", "tm_code", "tm_node", "tm_j", begin.alias("tm_begin"), (end - begin).alias("tm_width"))
+    parts = parts.withColumn("tm_mask", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.col("tm_exact")))
+    low = F.col("tm_code").bitwiseAND(F.col("tm_mask"))
+    turned = F.call_function("shiftleft", low, F.col("tm_begin")).bitwiseOR(F.call_function("shiftrightunsigned", low, 64 - F.col("tm_exact") - F.col("tm_begin"))).bitwiseAND(F.col("tm_mask"))
+    code = F.col("tm_code").bitwiseAND(F.bitwise_not("tm_mask")).bitwiseOR(turned)
+    return parts.select((F.col("tm_way") * (blocks + 1) + F.col("tm_j") + 1).alias("tm_way"), (F.col("tm_exact") + F.col("tm_width")).alias("tm_exact"), code.alias("tm_code"), "tm_node")
 
 
-# --- the index
+def ranked(rows: DataFrame) -> DataFrame:
+    """rows with tm_rank (Gray rank) and tm_front (that of the first tm_exact bits)."""
+    out = rows.withColumn("tm_rank", gray_rank(F.col("tm_code")))
+    return out.withColumn("tm_front", F.call_function("shiftright", F.col("tm_rank"), 64 - F.col("tm_exact")))
 
 
-def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of rows of lanes."""
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32)
+def rotations(codes: DataFrame, config: SimHash) -> DataFrame:
+    """tm_way, tm_exact, tm_code, tm_node, tm_rank, tm_front: fingerprints (tm_node) in all rotations; front slices that
+    too many share are dealt again."""
+    front = ["tm_way", "tm_front"]
+    rows = ranked(dealt(codes.select(F.lit(0).cast("long").alias("tm_way"), F.lit(0).alias("tm_exact"), F.col("tm_node").alias("tm_code"), "tm_node"), config.blocks))
+    done = None
+    while True:
+        crowded = rows.where(F.col("tm_exact") <= LONGEST).groupBy(*front).count().where(F.col("count") > config.bucket_limit)
+        crowded = stored(crowded.select(*front), "crowded")
+        if crowded.isEmpty():
+            return rows if done is None else done.unionByName(rows)
+        kept = rows.join(crowded, front, "left_anti").select(rows.columns)
+        done = kept if done is None else done.unionByName(kept)
+        again = rows.join(crowded, front, "left_semi").select("tm_way", "tm_exact", "tm_code", "tm_node")
+        rows = stored(ranked(dealt(again, config.blocks)), "dealt")
 
 
-def gray_order(codes: np.ndarray) -> np.ndarray:
-    """Positions of codes (rows of big-endian lanes) in the order of their Gray ranks, the rank being the prefix XOR."""
-    bits = np.unpackbits(codes.astype(">u8").view(np.uint8).reshape(len(codes), -1), axis=1)
-    ranks = np.packbits(np.bitwise_xor.accumulate(bits, axis=1), axis=1)
-    return np.lexsort(ranks.T[::-1])
+# --- the index
 
 
 class GrayIndex:
-    """Levels from the root down; a level has each node's pattern, its mask without the bits of its parent's, and where
-    its children begin and end on the level below."""
+    """A tree over codes (unsigned, in Gray order). Levels from the root down: each node's pattern and its mask without
+    the bits of its parent's. Node k of a level has the nodes FANOUT k and following below it."""
 
     def __init__(self, codes: np.ndarray):
-        pattern, mask = codes, np.full_like(codes, ~np.uint64(0))
-        self.levels: list[tuple] = []
-        begin = end = None
-        while True:
-            n = len(pattern)
-            if n <= FANOUT:
-                self.levels.insert(0, (pattern, mask, begin, end))
-                return
-            starts = np.arange(0, n, FANOUT)
-            parent = np.repeat(np.arange(len(starts)), FANOUT)[:n]
+        self.codes, self.levels = codes, [(codes, np.full_like(codes, ~np.uint64(0)))]
+        self.visited = self.pruned = 0
+        while len(self.levels[0][0]) > FANOUT:
+            pattern, mask = self.levels[0]
+            starts = np.arange(0, len(pattern), FANOUT)
+            parent = np.arange(len(pattern)) // FANOUT
             first = pattern[starts]
-            differ = np.bitwise_or.reduceat(pattern ^ first[parent], starts, axis=0)
-            shared = np.bitwise_and.reduceat(mask, starts, axis=0) & ~differ
-            self.levels.insert(0, (pattern, mask & ~shared[parent], begin, end))
-            begin, end = starts, np.minimum(starts + FANOUT, n)
-            pattern, mask = first & shared, shared
-
-    def links(self, queries: np.ndarray, numbers: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, code number) of pairs within most bits, the code after the query."""
-        top = len(self.levels[0][0])
-        q, node, sofar = np.repeat(np.arange(len(queries)), top), np.tile(np.arange(top), len(queries)), 0
-        for depth, (pattern, mask, begin, end) in enumerate(self.levels):
-            sofar = sofar + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node]).sum(axis=1, dtype=np.int32)
-            near = sofar <= most
+            differ = np.bitwise_or.reduceat(pattern ^ first[parent], starts)
+            shared = np.bitwise_and.reduceat(mask, starts) & ~differ
+            self.levels[0] = pattern, mask & ~shared[parent]
+            self.levels.insert(0, (first & shared, shared))
+
+    def links(self, queries: np.ndarray, most: int, front: np.uint64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (a, b), b after a, of codes within most differing bits, none of them in front; a among queries."""
+        top, bottom = len(self.levels[0][0]), len(self.levels) - 1
+        open_ = [(0, np.repeat(queries, top), np.tile(np.arange(top), len(queries)), np.zeros(top * len(queries), np.uint8))]
+        while open_:
+            depth, q, node, sofar = open_.pop()
+            pattern, mask = self.levels[depth]
+            differ = (self.codes[q] ^ pattern[node]) & mask[node]
+            sofar = sofar + np.bitwise_count(differ)
+            later = (node + 1) * FANOUT ** (bottom - depth) > q + 1  # the group ends behind the query
+            near = (sofar <= most) & (differ & front == 0) & later
+            self.visited, self.pruned = self.visited + len(q), self.pruned + len(q) - int(near.sum())
             q, node, sofar = q[near], node[near], sofar[near]
-            if depth + 1 < len(self.levels):
-                size = end[node] - begin[node]
-                offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                q, sofar, node = np.repeat(q, size), np.repeat(sofar, size), np.repeat(begin[node], size) + offset
-        later = node > numbers[q]
-        return numbers[q[later]], node[later]
+            if depth == bottom:
+                yield q, node
+                continue
+            below = len(self.levels[depth + 1][0])
+            for at in range(0, len(q), FRONT // FANOUT):
+                part = slice(at, at + FRONT // FANOUT)
+                child = (node[part, None] * FANOUT + np.arange(FANOUT)).ravel()
+                real = child < below
+                open_.append((depth + 1, np.repeat(q[part], FANOUT)[real], child[real], np.repeat(sofar[part], FANOUT)[real]))
 
 
 def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """labels (each the least member of its set so far) after the sets of a and b are united pairwise."""
     while len(a):
         x, y = labels[a], labels[b]
-        apart_yet = x != y
-        a, b, x, y = a[apart_yet], b[apart_yet], x[apart_yet], y[apart_yet]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
         low = np.minimum(x, y)
         np.minimum.at(labels, x, low)
         np.minimum.at(labels, y, low)
@@ -202,79 +194,66 @@ def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return labels
 
 
-def group_links(key_at: np.ndarray, codes: np.ndarray, most: int) -> np.ndarray:
-    """For rows sorted by bucket (key_at: number of the bucket), the first row of each row's linked set."""
-    labels = np.arange(len(codes))
-    sizes = np.bincount(key_at)
-    small = sizes[key_at] <= SMALL
-    for step in range(1, SMALL):
-        at = np.flatnonzero((key_at[:-step] == key_at[step:]) & small[:-step])
-        if not len(at):
-            break
-        at = at[apart(codes[at], codes[at + step]) <= most]
-        labels = joined(labels, at, at + step)
-    starts = np.cumsum(sizes) - sizes
-    for bucket in np.flatnonzero(sizes > SMALL):
-        rows = np.arange(starts[bucket], starts[bucket] + sizes[bucket])
-        rows = rows[gray_order(codes[rows])]
-        own, inner = codes[rows], np.arange(len(rows))
-        index, chunk = GrayIndex(own), max(1, FRONT // len(rows))
-        for at in range(0, len(rows), chunk):
-            numbers = np.arange(at, min(at + chunk, len(rows)))
-            inner = joined(inner, *index.links(own[numbers], numbers, most))
-        labels[rows] = rows[inner]
+def linked_sets(index: GrayIndex, most: int, exact: int) -> np.ndarray:
+    """For each code the position of the first of its linked set."""
+    labels, front = np.arange(len(index.codes)), np.uint64(((1 << exact) - 1) << (64 - exact))
+    step = FRONT // FANOUT
+    for at in range(0, len(labels), step):
+        for a, b in index.links(np.arange(at, min(at + step, len(labels))), most, front):
+            labels = joined(labels, a, b)
     return labels
 
 
 def forest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """a, b: links that span each bucket's linked sets. Batches are sorted by tm_key; one bucket is held at a time."""
-
-    def found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys = np.array([k for part in rows for k in part[0]], object)
-        if len(keys) < 2:
-            return
-        nodes = np.concatenate([p[1] for p in rows])
-        codes = np.frombuffer(b"".join(c for p in rows for c in p[2]), ">u8").reshape(len(keys), -1).astype(np.uint64)
-        key_at = np.cumsum(np.r_[False, keys[1:] != keys[:-1]])
-        labels = group_links(key_at, codes, most)
+    """a, b: links that span the linked sets of rows sorted by tm_way and Gray rank. A tree covers a stretch of one way
+    that ends with a front slice, so it holds STRETCH rows and those of one slice at most."""
+
+    def found(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        nodes = rows["tm_node"]
+        labels = linked_sets(GrayIndex(rows["tm_code"].view(np.uint64)), most, int(rows["tm_exact"][0]))
         child = np.flatnonzero(labels != np.arange(len(labels)))
         if len(child):
             yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[labels[child]])], names=["a", "b"])
 
-    held: list[tuple] = []
+    columns, held = ("tm_way", "tm_exact", "tm_front", "tm_node", "tm_code"), None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, nodes, codes = batch.column("tm_key").to_pylist(), batch.column("tm_node").to_numpy(), batch.column("tm_code").to_pylist()
-        cut = len(keys) - 1
-        while cut > 0 and keys[cut - 1] == keys[-1]:
-            cut -= 1
-        if cut or (held and held[-1][0][-1] != keys[0]):
-            yield from found([*held, (keys[:cut], nodes[:cut], codes[:cut])])
-            held = []
-        held.append((keys[cut:], nodes[cut:], codes[cut:]))
-    if held:
+        rows = {c: batch.column(c).to_numpy() for c in columns}
+        held = rows if held is None else {c: np.concatenate([held[c], rows[c]]) for c in columns}
+        while len(held["tm_way"]):
+            own = int(np.searchsorted(held["tm_way"], held["tm_way"][0], side="right"))
+            if own == len(held["tm_way"]):  # the way, and its last front slice, may go on
+                own = int(np.searchsorted(held["tm_front"], held["tm_front"][-1])) if own >= STRETCH else 0
+            if not own:
+                break
+            yield from found({c: v[:own] for c, v in held.items()})
+            held = {c: v[own:] for c, v in held.items()}
+    if held is not None and len(held["tm_way"]):
         yield from found(held)
 
 
 def links(codes: DataFrame, config: SimHash) -> DataFrame:
-    """a, b: nodes of distinct fingerprints (tm_node, tm_code) whose links connect all that max_bits connects."""
-    dealt_rows = buckets(codes, config)
-    return dealt_rows.repartition("tm_key").sortWithinPartitions("tm_key").mapInArrow(partial(forest, most=config.max_bits), "a long, b long")
+    """a, b: distinct fingerprints (tm_node) whose links connect all that max_bits connects."""
+    rows = rotations(codes, config).repartitionByRange("tm_way", "tm_front").sortWithinPartitions("tm_way", "tm_rank")
+    return rows.select("tm_way", "tm_exact", "tm_front", "tm_node", "tm_code").mapInArrow(partial(forest, most=config.max_bits), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of the component, for each node of edges (a, b) that is not the root itself."""
     state = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+
+    def joined_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+        """A hub's rows may be most of all."""
+        return spread_join(rows, least.select("u", "m"), "u", least.select("u", "tm_rows"), F.xxhash64("v"))
+
     before = mark(state)
     while before[0]:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("tm_rows"))
+        large = joined_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("tm_rows"))
+        small = joined_least(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         now = mark(state)
         if now == before:
@@ -286,26 +265,20 @@ def components(edges: DataFrame) -> DataFrame:
 # --- results
 
 
+def with_components(marked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """marked (tm_node, ...) with component_id. nodes: tm_node, tm_least (least doc_id) and tm_rows (rows of marked) of
+    each node; roots: node, root of those that are not roots themselves."""
+    named = nodes.join(roots, F.col("tm_node") == F.col("node"), "left").select("tm_node", "tm_least", "tm_rows", F.coalesce("root", "tm_node").alias("tm_root"))
+    named = stored(named, "roots")
+    least = named.groupBy("tm_root").agg(F.min("tm_least").alias("component_id"), F.count("*").alias("tm_rows"))
+    members = spread_join(named.drop("tm_least"), least.drop("tm_rows"), "tm_root", least.drop("component_id"), F.xxhash64("tm_node"))
+    members = stored(members.select("tm_node", "component_id", "tm_rows"), "members")
+    return spread_join(marked, members.drop("tm_rows"), "tm_node", members.drop("component_id"), F.xxhash64("doc_id", "tm_text"))
+
+
 def near_duplicates(docs: DataFrame, config: SimHash = SimHash()) -> DataFrame:
     """doc_id, tm_text, fingerprint (hex) and component_id (least doc_id of the component) for each row of docs."""
     marked = stored(fingerprints(docs.select("doc_id", "text"), config), "fingerprints")
-    distinct = stored(marked.groupBy("tm_node", "tm_code").agg(F.min("doc_id").alias("tm_least")), "codes")
-    roots = components(links(distinct.select("tm_node", "tm_code"), config))
-    nodes = distinct.join(roots, F.col("tm_node") == F.col("node"), "left").select("tm_node", "tm_least", F.coalesce("root", "tm_node").alias("tm_root"))
-    named = nodes.groupBy("tm_root").agg(F.min("tm_least").alias("component_id"))
-    members = nodes.select("tm_node", "tm_root").join(named, "tm_root").select("tm_node", "component_id")
-    return marked.join(members, "tm_node").select("doc_id", "tm_text", F.lower(F.hex("tm_code")).alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame) -> DataFrame:
-    """One row of docs for each group of near copies: the one with the least doc_id, then the least digest of its text."""
-    from .jaccard import near_copies  # which uses the components above
-
-    groups = near_copies(docs)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tm_text").alias("text")))
-    # components without any doc_id are told apart by their fingerprints
-    chosen = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("tm_f")).agg(first.alias("tm_c"))
-    chosen = chosen.select(F.col("tm_c.id").alias("tm_id"), F.col("tm_c.text").alias("tm_text2")).distinct()
-    rows = docs.withColumn("tm_text", digest60(F.coalesce("text", F.lit(""))))
-    kept = rows.join(chosen, (F.col("tm_text") == F.col("tm_text2")) & F.col("doc_id").eqNullSafe(F.col("tm_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "tm_text"]).select(*docs.columns)
+    nodes = stored(marked.groupBy("tm_node").agg(F.min("doc_id").alias("tm_least"), F.count("*").alias("tm_rows")), "codes")
+    roots = components(links(nodes.select("tm_node"), config))
+    return with_components(marked, nodes, roots).select("doc_id", "tm_text", F.lower(F.lpad(F.hex("tm_node"), 16, "0")).alias("fingerprint"), "component_id")

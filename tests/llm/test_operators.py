@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, fingerprints, line_dedup, mixing, pii, quality, secret_scan, sharding, simhash, token_files
+from tallymark.llm import bpe, fingerprints, jaccard, line_dedup, mixing, pii, quality, secret_scan, sharding, simhash, token_files
 from tallymark.llm.common import ship
 from tallymark.llm.oracle import ORACLE_SQL
 from tallymark.llm.queries import QUERIES
@@ -353,20 +353,38 @@ def test_simhash(docs, odd, limit):
         assert int(r.fingerprint, 16) == prints[r.doc_id] and r.component_id == least[label[prints[r.doc_id]]]
 
 
-def test_gray_index_finds_all_links():
+def test_gray_index_prunes_groups_and_finds_all_links():
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, (30, 2), dtype=np.uint64)
-    flips = [base ^ (np.uint64(1) << rng.integers(0, 63, (30, 2)).astype(np.uint64)) for _ in range(10)]
-    codes = np.unique(np.concatenate([base, *flips, rng.integers(0, 2**63, (300, 2), dtype=np.uint64)]), axis=0)
-    got = simhash.group_links(np.zeros(len(codes), int), codes, 3)
-    near = np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2) <= 3
-    want = np.arange(len(codes))
-    for _ in range(20):
-        want = np.array([want[row].min() for row in near])
-    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))  # the same sets, whatever their names
-
-
-def test_representatives(odd, none):
-    kept = [r.doc_id for r in simhash.representatives(odd).collect()]
+    base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    flips = [base ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)) for _ in range(2)]
+    codes = np.unique(np.concatenate([base, *flips, rng.integers(0, 2**63, 3000, dtype=np.uint64)]))
+    rank = codes.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(shift)
+    codes = codes[np.argsort(rank)]
+    for most, front in ((2, 0), (2, 21), (0, 0)):
+        index = simhash.GrayIndex(codes)
+        mask = np.uint64(((1 << front) - 1) << (64 - front))
+        got = {(int(a), int(b)) for q, n in index.links(np.arange(len(codes)), most, mask) for a, b in zip(q, n)}
+        differ = codes[:, None] ^ codes[None]
+        a, b = np.nonzero((np.bitwise_count(differ) <= most) & (differ & mask == 0))
+        assert got == {(int(x), int(y)) for x, y in zip(a, b) if x < y}
+        assert 0 < index.pruned < index.visited < len(codes) ** 2 / 8  # groups go as a whole
+        assert front == 0 or index.visited < 80 * len(codes)
+
+
+def test_index_is_built_at_every_size(spark):
+    """Two fingerprints are enough for a tree, and a stretch ends between front slices."""
+    import pyarrow as pa
+
+    row = lambda c: {"tm_way": 1, "tm_exact": 21, "tm_front": c >> 43, "tm_node": c, "tm_code": c}
+    run = lambda codes: [(x, y) for b in simhash.forest(iter(pa.Table.from_pylist(list(map(row, codes))).to_batches(max_chunksize=3)), 2) for x, y in zip(*b.to_pydict().values())]
+    assert run([4, 5]) == [(5, 4)] and run([4, 4 + 7 * 8]) == [] and run([1 << 50, (1 << 50) + 1, 3, 2]) == [((1 << 50) + 1, 1 << 50), (2, 3)]
+
+
+def test_representatives(spark, odd, none):
+    kept = [r.doc_id for r in jaccard.representatives(odd).collect()]
     assert kept.count(4) == 1 and 1 in kept and 2 not in kept and 3 not in kept
-    assert simhash.representatives(odd).columns == odd.columns and simhash.representatives(none).count() == 0
+    assert jaccard.representatives(odd).columns == odd.columns and jaccard.representatives(none).count() == 0
+    clash = spark.createDataFrame([(1, "a b c", "own", 5), (2, "a b c", "own", 5)], "doc_id long, text string, tm_text string, tm_id long")
+    assert [tuple(r) for r in jaccard.representatives(clash).collect()] == [(1, "a b c", "own", 5)]
