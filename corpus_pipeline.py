@@ -17,7 +17,7 @@ from tallymark.llm.common import documents, ship, stored
 from tallymark.llm.line_dedup import without_repeated_lines
 from tallymark.llm.mixing import Mix, mixed_documents
 from tallymark.llm.quality import clean_documents
-from tallymark.llm.simhash import representatives
+from tallymark.llm.jaccard import representatives
 
 #: Languages are thinned to these weights, sources within a language evenly; no document is repeated. The share of all
 #: words is high, as the mix is to shape the corpus rather than to shrink it.
