@@ -4,16 +4,18 @@ Patterns find assignments, access keys and long hex runs. Beyond these, candidat
 and reported only when their bytes parse as what they claim to be:
 
 * ``jwt``: three base64url segments, of which the first decodes to a JSON object with an "alg" text;
-* ``pem``: a BEGIN/END block of a key whose body is base64 of well-nested DER (or of an OpenSSH key);
-* ``der``: base64 or hex of a DER sequence whose nested lengths add up to the very number of bytes and which looks like
-  a key (a version number or an algorithm identifier comes first);
+* ``pem``: a BEGIN/END block of a key whose body is base64 of well-nested DER (or of an OpenSSH key), or, after header
+  lines that name a cipher, of whole cipher blocks;
+* ``der``: base64 (either alphabet, also over several lines) or hex of a DER sequence whose nested lengths add up to the
+  very number of bytes and whose members are those of a key: see ``is_key_der``;
 * ``ssh``: base64 of an SSH public key: length-prefixed fields, the first a known key type, that fill the whole.
 
 Rows are independent: an Arrow pass with no shuffle, in which a text that lacks a rare substring of a pattern is never
 scanned for it.
 
-Defined results: a null text is empty; spans are code points, end exclusive; equal spans of two kinds are both kept;
-repeated rows get equal results; extra columns play no part; an empty table gives an empty result.
+Defined results: a null text is empty; spans are code points, end exclusive; equal spans of two kinds are both kept, in
+the order of the kinds; a very long text is scanned as a whole; repeated rows get equal results; extra columns play no
+part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,12 +37,26 @@ ASSIGN_HINTS = ("passw", "secret", "token", "key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{48,}+={0,2}(?![A-Za-z0-9+/=_-])")
+#: Base64 of a brace and a quote or white space starts so; the parser decides.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])e[yw][A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----\s*+((?:[A-Za-z0-9-]+: [^\n]*\n)*+)([A-Za-z0-9+/=\s]++)-----END \1-----")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_-])AAAA[A-Za-z0-9+/]{44,}+={0,2}(?![A-Za-z0-9+/=_-])")
+#: Base64 of a DER sequence starts so; BODY is what may follow, line by line.
+DER_START = re.compile(r"(?<![A-Za-z0-9+/=_-])M[A-Za-z0-9+/_-]{15}")
+BODY = re.compile(r"[A-Za-z0-9+/_-]++(?:\r?\n(?=[A-Za-z0-9+/_-]))?")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}+(?![0-9A-Fa-f])")
 SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521", b"sk-ssh-ed25519@openssh.com", b"sk-ecdsa-sha2-nistp256@openssh.com")
-SEQUENCE, INTEGER, OID = 0x30, 0x02, 0x06
+SEQUENCE, INTEGER, BITS, OCTETS, OID = 0x30, 0x02, 0x03, 0x04, 0x06
+#: The encoded beginnings of the algorithm identifiers of keys and of encrypted keys.
+KEY_ALGORITHMS = tuple(map(bytes.fromhex, (
+    "2a864886f70d0101",  # RSA and its variants
+    "2a8648ce3804",  # DSA
+    "2a8648ce3d0201",  # elliptic curves
+    "2a864886f70d0103",  # Diffie-Hellman
+    "2a8648ce3e0201",
+    "2b656e", "2b656f", "2b6570", "2b6571",  # X25519, X448, Ed25519, Ed448
+)))
+CIPHERS = tuple(map(bytes.fromhex, ("2a864886f70d0105", "2a864886f70d010c01")))
 
 
 def decoded(text: str) -> bytes | None:
@@ -52,42 +68,87 @@ def decoded(text: str) -> bytes | None:
         return None
 
 
-def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of the items that fill data exactly, constructed ones checked inside as well; else None."""
-    items, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data) or depth > 12:
+def der_size(data: bytes, at: int) -> tuple[int, int] | None:
+    """Where the content of the item at ``at`` begins and ends; None where its head is cut off or no DER."""
+    if at + 2 > len(data):
+        return None
+    size, begin = data[at + 1], at + 2
+    if size & 0x80:
+        more = size & 0x7F
+        if not 1 <= more <= 4 or begin + more > len(data):
             return None
-        tag, size = data[at], data[at + 1]
-        at += 2
-        if size & 0x80:
-            more = size & 0x7F
-            if not 1 <= more <= 4 or at + more > len(data):
+        size, begin = int.from_bytes(data[begin : begin + more], "big"), begin + more
+    return begin, begin + size
+
+
+def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
+    """(tag, content) of the items that fill data exactly, constructed ones checked inside at any depth; else None."""
+    items, open_ = [], [(0, len(data), True)]
+    while open_:
+        at, end, outer = open_.pop()
+        while at < end:
+            head = der_size(data, at)
+            if head is None or head[1] > end:
                 return None
-            size = int.from_bytes(data[at : at + more], "big")
-            at += more
-        if at + size > len(data):
-            return None
-        content = data[at : at + size]
-        if tag & 0x20 and der_items(content, depth + 1) is None:
-            return None
-        items.append((tag, content))
-        at += size
+            if outer:
+                items.append((data[at], data[head[0] : head[1]]))
+            if data[at] & 0x20:
+                open_.append((*head, False))
+            at = head[1]
     return items
 
 
 def is_key_der(data: bytes) -> bool:
-    """Whether data is one DER sequence that begins as keys do: a small version, or an algorithm with its OID."""
+    """Whether data is one DER sequence with the members of a key:
+
+    * a version of one byte, at most 3, then a private key in octets, an algorithm, or a modulus or prime of 64 bytes or
+      more and another number;
+    * a modulus of 64 bytes or more and an odd exponent of 8 bytes at most, and nothing else;
+    * a known algorithm, then the key's bits, or a cipher, then the encrypted key.
+    """
     outer = der_items(data)
     if not outer or len(outer) != 1 or outer[0][0] != SEQUENCE:
         return False
     inner = der_items(outer[0][1])
     if not inner or len(inner) < 2:
         return False
-    tag, content = inner[0]
+    (tag, content), (tag2, content2) = inner[:2]
+    if tag == INTEGER and len(content) == 1 and content[0] <= 3:
+        return tag2 == OCTETS or (tag2 == SEQUENCE and has_algorithm(content2, KEY_ALGORITHMS)) or (tag2 == INTEGER and len(content2) >= 64 and len(inner) > 2 and inner[2][0] == INTEGER)
     if tag == INTEGER:
-        return len(content) >= 1
-    return tag == SEQUENCE and content[:1] == bytes([OID])
+        return len(inner) == 2 and tag2 == INTEGER and len(content) >= 64 and 1 <= len(content2) <= 8 and content2[-1] % 2 == 1
+    return tag == SEQUENCE and (tag2 == BITS and has_algorithm(content, KEY_ALGORITHMS) or tag2 == OCTETS and has_algorithm(content, CIPHERS))
+
+
+def has_algorithm(content: bytes, known: tuple[bytes, ...]) -> bool:
+    """Whether the first item of content is an object identifier that begins as one of the known."""
+    items = der_items(content)
+    return bool(items) and items[0][0] == OID and items[0][1].startswith(known)
+
+
+def base64_key(text: str, start: int) -> int | None:
+    """The end of a base64 key that begins at start: as many signs as its own length asks for, over lines if need be."""
+    head = decoded(text[start : start + 16])
+    size = der_size(head, 0) if head and head[0] == SEQUENCE else None
+    if size is None or size[1] < 36:
+        return None
+    need, parts, at = -(-size[1] * 4 // 3), [], start
+    if need > len(text) - start:
+        return None
+    while need > 0:
+        m = BODY.match(text, at)
+        if m is None:
+            return None
+        part = m[0].rstrip("\r\n")
+        parts.append(part)
+        need, last, at = need - len(part), at + len(part), m.end()
+    if need < 0:
+        return None
+    at = last
+    while at < len(text) and text[at] == "=" and at < last + 2:
+        at += 1
+    data = decoded("".join(parts))
+    return at if data and text[at : at + 1] != "=" and is_key_der(data) else None
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -113,21 +174,28 @@ def is_token_header(segment: str) -> bool:
 
 def confirmed(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of candidates whose structure parses."""
-    if "eyJ" in text:
+    if "ey" in text or "ew" in text:
         for m in JWT.finditer(text):
             if is_token_header(m[0].split(".")[0]):
                 yield *m.span(), "jwt"
+    blocks = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = decoded(m[2])
-            if data and (data.startswith(b"openssh-key-v1\0") or is_key_der(data)):
+            data = decoded(m[3])
+            if data and (data.startswith(b"openssh-key-v1\0") or is_key_der(data) or ("DEK-Info:" in m[2] and len(data) % 8 == 0)):
+                blocks.append(m.span())
                 yield *m.span(), "pem"
-    for m in BASE64.finditer(text):
-        if m[0][0] == "M":  # base64 of a DER sequence starts so
-            data = decoded(m[0])
-            if data and is_key_der(data):
-                yield *m.span(), "der"
-        elif m[0].startswith("AAAA"):
+    upto = block = 0
+    for m in DER_START.finditer(text):
+        while block < len(blocks) and blocks[block][1] <= m.start():
+            block += 1
+        if block < len(blocks) and blocks[block][0] <= m.start():
+            continue  # the body of a block that is reported as such
+        if m.start() >= upto and (end := base64_key(text, m.start())):
+            upto = end
+            yield m.start(), end, "der"
+    if "AAAA" in text:
+        for m in BASE64.finditer(text):
             data = decoded(m[0])
             if data and is_ssh_key(data):
                 yield *m.span(), "ssh"
