@@ -1,14 +1,18 @@
 """Sharding through fixed virtual slots (operator 6).
 
 A record's slot is a hash of its key, one of SLOTS, for good. Bytes are added up by slot, and a versioned map gives each
-slot its shard. Version 1 deals slots out evenly; each rebalancing edits single entries (moves and swaps between the
-fullest and the emptiest shard) and gives the next version, so most records stay where they are. Growing by a shard
-edits the map likewise. The map and the sums have SLOTS rows whatever the input; only they come to the driver.
-
-Where one slot alone is larger than a shard's share, nothing can make the shards equal; records are whole.
-
-Defined results: a null text has 16 bytes and the checksum of no bytes; null keys share a slot; repeated rows get
-places of their own; an empty table gives an empty result.
+slot its shard. The map is a table of versions. Version 1 deals slots out evenly; each rebalancing loads the latest
+version, edits single entries (moves and swaps between the fullest and the emptiest shard) and adds the next version, so
+most records stay where they are. Growing by a shard edits the map likewise. The map and the sums have SLOTS rows whatever
+the input; only they come to the driver.
+
+Places within a shard follow from row counts by slot and input partition, so a slot that holds most of the rows is
+numbered by many tasks. Where one slot alone is larger than a shard's share, nothing can make the shards equal: records
+are whole and a key's records stay together.
+
+Defined results: a null text has 16 bytes and the checksum of no bytes; null keys are hashed by their text instead;
+repeated rows get places of their own, and ties go by the rows' places in the input; a very long text is one record; extra
+columns play no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh_path, stored
 
 SLOTS, OVERHEAD = 4096, 16
 
@@ -80,14 +84,14 @@ class SlotMap:
         return F.element_at(F.array(*map(F.lit, self.shard_of)), slot + 1)
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(slots)).cast("int")
+def slot_of(key: Column, text: Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), text, F.lit(""))), F.lit(slots)).cast("int")
 
 
 def records(docs: DataFrame, key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
     """key, size, text_crc32 and virtual_slot of each row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col(key), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(F.col(key), slots).alias("virtual_slot"))
+    return docs.select(F.col(key), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(F.col(key), text, slots).alias("virtual_slot"))
 
 
 def slot_sums(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -98,25 +102,36 @@ def slot_sums(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]
     return sizes, counts
 
 
+def rebalance(spark: SparkSession, map_path: str, sizes: Sequence[int], shards: int | None = None) -> SlotMap:
+    """Edits the latest map at map_path, adds the new version there and gives it as it was stored."""
+    SlotMap.load(spark, map_path).rebalanced(sizes, shards).save(spark, map_path)
+    return SlotMap.load(spark, map_path)
+
+
 def sharded(docs: DataFrame, shards: int = 40, key: str = "doc_id", map_path: str | None = None) -> DataFrame:
     """Each row of docs with its size, checksum, shard and slot, its place in the shard counted from 0 without gaps.
 
-    With map_path the latest map there is edited and the new version added; else version 1 is edited.
+    The latest map at map_path is edited. Without a path a table of maps is begun in the shared folder by an even one.
     """
     spark = docs.sparkSession
-    rows = stored(records(docs.select(key, "text"), key), "records")
+    rows = stored(records(docs.select(key, "text"), key).withColumn("tm_row", F.monotonically_increasing_id()), "records")
     sizes, counts = slot_sums(rows)
-    slots = (SlotMap.load(spark, map_path) if map_path else SlotMap.even(shards)).rebalanced(sizes, shards)
-    if map_path:
-        slots.save(spark, map_path)
+    if map_path is None:
+        map_path = fresh_path(spark, "slot-maps")
+        SlotMap.even(shards).save(spark, map_path)
+    slots = rebalance(spark, map_path, sizes, shards)
     before, filled = [], [0] * slots.shards  # rows of the same shard in earlier virtual slots
     for slot, shard in enumerate(slots.shard_of):
         before.append(filled[shard])
         filled[shard] += counts[slot]
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(key, "text_crc32", "size")) - 1
+    part = ["virtual_slot", "tm_part"]
+    rows = rows.withColumn("tm_part", F.shiftright("tm_row", 33))  # the partition that wrote the row
+    earlier = Window.partitionBy("virtual_slot").orderBy("tm_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*part).agg(F.count("*").alias("tm_n")).select(*part, F.coalesce(F.sum("tm_n").over(earlier), F.lit(0)).alias("tm_start"))
+    place = F.row_number().over(Window.partitionBy(*part).orderBy(key, "text_crc32", "size", "tm_row")) - 1
     table = spark.createDataFrame(list(zip(range(SLOTS), slots.shard_of, before)), "virtual_slot int, shard int, tm_before long")
-    placed = rows.withColumn("tm_place", place).join(F.broadcast(table), "virtual_slot")  # SLOTS rows
+    placed = rows.withColumn("tm_place", place).join(starts, part).join(F.broadcast(table), "virtual_slot")  # SLOTS rows
     return placed.select(
-        key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("tm_before") + F.col("tm_place")).cast("long").alias("slot"),
+        key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("tm_before") + F.col("tm_start") + F.col("tm_place")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slots.version).alias("map_version"),
     )
