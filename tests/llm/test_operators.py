@@ -182,6 +182,19 @@ def test_secret_structures():
     assert kinds(token) == ["jwt"] and kinds(base64.b64encode(key).decode()) == kinds(key.hex()) == ["der"]
     assert kinds("-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(key).decode() + "-----END PRIVATE KEY-----") == ["pem"]
     assert kinds(base64.b64encode(b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(32)))).decode()) == ["ssh"]
+    wrapped = base64.urlsafe_b64encode(key).decode()
+    wrapped = "\n".join(wrapped[i : i + 40] for i in range(0, len(wrapped), 40))
+    spki = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("2b6570"))) + tlv(3, b"\0" + bytes(range(32))))
+    public = tlv(0x30, tlv(2, bytes(range(1, 120))) + tlv(2, b"\x01\0\x01"))
+    signature = tlv(0x30, tlv(2, bytes(range(1, 33))) + tlv(2, bytes(range(2, 34))))
+    deep = b"x"
+    for _ in range(2000):  # a nesting that no recursion would survive
+        deep = b"\x30\x83" + len(deep).to_bytes(3, "big") + deep
+    assert kinds(wrapped) == kinds(base64.b64encode(spki).decode()) == kinds(base64.b64encode(public).decode()) == ["der"]
+    assert kinds(base64.b64encode(signature).decode()) == kinds(signature.hex()) == kinds(base64.b64encode(spki.replace(b"+ep", b"+ez")).decode()) == kinds(base64.b64encode(deep).decode()) == []
+    assert kinds(base64.urlsafe_b64encode(b'{ "alg": "HS256"}').rstrip(b"=").decode() + ".e30.x") == kinds(base64.urlsafe_b64encode(b'{\n"alg":"x"}').rstrip(b"=").decode() + ".e30.") == ["jwt"]
+    sealed = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + base64.encodebytes(bytes(range(64))).decode() + "-----END RSA PRIVATE KEY-----"
+    assert kinds(sealed) == ["pem"] and kinds(sealed.replace("DEK-Info", "Other")) == []
     assert kinds(base64.b64encode(key[:-1]).decode()) == kinds("eyJhbGci.e30.x") == kinds("A" * 80) == kinds("30" * 30) == []
 
 
@@ -201,6 +214,69 @@ def test_base_spans_by_force():
         assert pii.listed(pii.base_spans(t)) == pii.listed(b)
 
 
+def test_secret_query_by_force(docs, odd):
+    """Counts, digest and spans of the whole table: the base by plain patterns, the spans a superset of it."""
+    assign = re.compile(r"""(?a:(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
+    rows = docs.select("doc_id", "text").unionByName(odd.where("doc_id is not null").select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
+    text = {r.doc_id: r.text or "" for r in rows.collect()}
+    for r in secret_scan.secrets(rows).collect():
+        t = text[r.doc_id]
+        base = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 6] + [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        shown = [f"{k}:{s}:{e}" for s, _, e, k in sorted(base)]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b[3] == k for b in base) for k in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest() and set(shown) <= set(r.spans.split(",")) | {""}
+
+
+def bootstrapped(texts, config):
+    """Trusted patterns and the reported spans by brute force over dictionaries."""
+    seen = [(i, *o) for i, t in texts.items() for o in pii.occurrences(t, pii.base_spans(t), config.context_words)]
+    edges = collections.defaultdict(bool)
+    for _, pattern, instance, _, _, seed in seen:
+        edges[pattern, instance] |= seed
+    patterns = {p: [x for q, x in edges if q == p] for p, _ in edges}
+    precision = {p: sum(edges[p, x] for x in xs) / (len(xs) + config.prior) for p, xs in patterns.items()}
+    while True:
+        right = {}
+        for p, x in edges:
+            others = [1 - min(precision[q], 0.999999) for q in patterns if q != p and (q, x) in edges]
+            right[p, x] = 1.0 if edges[p, x] else 1 - float(np.prod(others)) if others else 0.0
+        new = {p: sum(right[p, x] for x in xs) / (len(xs) + config.prior) for p, xs in patterns.items()}
+        grown, precision = max(new[p] - precision[p] for p in new), new
+        if grown <= config.tolerance:
+            break
+    trusted = {p for p, xs in patterns.items() if len(xs) >= config.min_support and precision[p] >= config.min_precision}
+    return trusted, {(i, s, e) for i, p, _, s, e, seed in seen if p in trusted and not seed}
+
+
+def test_bootstrapping_by_force(spark):
+    """Patterns without a seed are reached over identifiers that others have discovered."""
+    ship(spark)
+    rng = random.Random(9)
+    ids = [f"k-{rng.randrange(10**6)}-{i}" for i in range(12)]
+    lines = [f"user id: {n}@mail{i}.org" for i, n in enumerate("abcdefgh")] + [f"user id: {x}" for x in ids[:6]]
+    lines += [f"ticket of owner {x}" for x in ids[:6]] + [f"ticket of owner {x}" for x in ids[6:8]] + [f"room near gate {x}" for x in ids[6:]] + [f"in block {i}x{i}x{i}" for i in range(9)]
+    rng.shuffle(lines)
+    texts = {i: " \n ".join(lines[i::15]) for i in range(15)}
+    config = pii.Bootstrap()
+    trusted, spans = bootstrapped(texts, config)
+    assert {"id :", "of owner"} <= trusted and "in block" not in trusted
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, *map(int, s.split(":")[1:])) for r in pii.personal_data(rows, config).collect() for s in r.spans.split(",") if s.startswith("context")}
+    assert got == spans and got
+
+
+def test_long_texts_of_personal_data_take_linear_time():
+    import time
+
+    assert pii.base_spans(f"at 1.2.3.{'0' * 5000}4 x") == [(3, 5010, "ip")] and pii.base_spans(f"at 1.2.3.{'9' * 5000}") == []
+    text = " ".join(f"user{i}@host{i}.org and item no {i}-{i}" for i in range(20_000))
+    began = time.time()
+    found = list(pii.occurrences(text, pii.base_spans(text), 2))
+    assert sum(o[4] for o in found) == 20_000 - 1 and time.time() - began < 20
+    token = "a1" * 500
+    assert [(o[1], o[4]) for o in pii.occurrences(f"the name is{' ' * 90}{token}...", [], 2)] == [(token, False)]
+
+
 def test_contexts_discover_identifiers(spark):
     ship(spark)
     texts = [f"Contact user id: {v}" for v in ("bob@x.com", "amy@y.org", "sue@z.net", "q-7781-zz", "kk_9912_pp")] + ["in the year 19871987x it was", None, ""]
@@ -226,7 +302,17 @@ def test_shards(docs, odd, none, spark, tmp_path):
     assert all(r.size == len(text[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in rows)
     totals = [sum(r.size for r in v) for v in by.values()]
     assert max(totals) - min(totals) <= max(r.size for r in rows)
-    assert sharding.sharded(odd, 3).count() == len(ODD) and sharding.sharded(none, 3).count() == 0
+    placed = sharding.sharded(odd, 3).collect()
+    assert sorted((r.shard, r.slot) for r in placed) == [(s, k) for s in range(3) for k in range(sum(r.shard == s for r in placed))] and len(placed) == len(ODD)
+    assert sharding.sharded(none, 3).count() == 0
+    hot = spark.createDataFrame([(None if k % 3 else 7, f"text {k}") for k in range(600)], "doc_id long, text string").repartition(5)
+    path = str(tmp_path / "maps")
+    sharding.SlotMap.even(4).save(spark, path)
+    for version in (2, 3):  # each run edits the stored map and adds a version
+        placed = sharding.sharded(hot, 4, map_path=path).collect()
+        assert {r.map_version for r in placed} == {version} and sharding.SlotMap.load(spark, path).version == version
+        assert sorted((r.shard, r.slot) for r in placed) == [(s, k) for s in range(4) for k in range(sum(r.shard == s for r in placed))]
+    assert len({r.virtual_slot for r in placed if r.doc_id is None}) > 100
     sizes = [random.Random(1).randrange(100) for _ in range(sharding.SLOTS)]
     first = sharding.SlotMap.even(8).rebalanced(sizes)
     first.save(spark, str(tmp_path / "map"))
