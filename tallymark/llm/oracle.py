@@ -8,16 +8,17 @@ _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 OP1 = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source, {_WORDS} AS w FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source, {_WORDS} AS w FROM documents),
 n AS (SELECT r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols FROM d),
-l AS (SELECT r, doc_id, text, source, i, s[i] AS line FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS s FROM d)) WHERE trim(s[i], {_BLANKS}) <> ''),
+l AS MATERIALIZED (SELECT r, doc_id, text, source, i, s[i] AS line FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS s FROM d)) WHERE trim(s[i], {_BLANKS}) <> ''),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY r),
 win AS (SELECT r, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
 rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win), (SELECT unnest(range(0, 8)) AS k) WHERE c > 1 GROUP BY r),
-k AS (SELECT r, doc_id, text, i, substr(md5(coalesce(source, '') || chr(31) || lower(trim(line, {_BLANKS}))), 1, 15) AS h, len(string_split_regex(trim(line, {_BLANKS}), '[\\x20\\x09-\\x0D]+')) AS lw FROM l),
-low AS (SELECT r, list_slice(list_sort(list_distinct(list(h))), 1, 2) AS f FROM k GROUP BY r),
-ctx AS (SELECT DISTINCT h, CASE WHEN h = f[1] THEN f[2] ELSE f[1] END AS c, text FROM k JOIN low USING (r)),
-freq AS (SELECT h FROM (SELECT h, sum(n) AS docs, count(*) AS ctxs FROM (SELECT h, c, count(*) AS n FROM ctx GROUP BY h, c) GROUP BY h) WHERE docs > 20 AND ctxs >= 0.5 * docs),
+k AS MATERIALIZED (SELECT r, coalesce(source, '') AS host, text, i, md5(coalesce(source, '') || chr(31) || lower(trim(line, {_BLANKS}))) AS h, len(string_split_regex(trim(line, {_BLANKS}), '[\\x20\\x09-\\x0D]+')) AS lw FROM l),
+held AS MATERIALIZED (SELECT DISTINCT h, md5(host || chr(31) || md5(text)) AS page, lw FROM k),
+hit AS MATERIALIZED (SELECT * FROM held WHERE h IN (SELECT h FROM held GROUP BY h HAVING count(*) > 20)),
+pg AS (SELECT page, least, CASE WHEN total - shared <= 0.1111111111111111::double * total THEN 'copy ' || least ELSE 'page ' || page END AS grp FROM (SELECT page, sum(lw) AS total FROM held GROUP BY page) JOIN (SELECT page, min(h) AS least, sum(lw) AS shared FROM hit GROUP BY page) USING (page)),
+freq AS (SELECT h FROM hit JOIN pg USING (page) GROUP BY h HAVING count(DISTINCT grp) > 20),
 gone AS (SELECT r, count(*) AS n_removed_lines, sum(lw) AS lost FROM k WHERE h IN (SELECT h FROM freq) GROUP BY r),
 j AS (SELECT n.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed_lines, 0) AS n_removed_lines, n_words - coalesce(lost, 0) AS left_words FROM n LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM j)

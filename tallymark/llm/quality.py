@@ -9,12 +9,15 @@ for the group of its least candidate line, any other document for itself. Howeve
 thus count one by one as long as they are not near copies, which are left to the near-duplicate operators.
 
 Boilerplate lines are removed; a document is depleted, and rejected, where fewer than ``min_left_words`` words or
-``min_left_share`` of its words remain. Everything is DataFrame expressions; counting aggregates before each shuffle, so
-a hot host or line spreads over all tasks.
+``min_left_share`` of its words remain. Everything is DataFrame expressions. Counting aggregates before each shuffle; the
+joins back to the lines, whose keys are the most frequent lines by nature, spread each of these over many tasks.
+
+Lines and texts are told apart by all 128 bits of their MD5.
 
 Defined results: a null text has no words and fails the base rules; blank lines are never counted or removed; a null
-host is a host of its own; repeated rows get equal results; an empty table gives an empty result. Input columns other
-than the named ones are ignored by the verdicts and passed through by ``clean_documents``.
+host is a host of its own; a very long text is one row, whose lines are rows of their own; there are no ties, as counts
+alone decide; repeated rows get equal results; an empty table gives an empty result. Input columns other than the named
+ones are ignored by the verdicts and passed through by ``clean_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, BLANKS, digest60, let, words
+from .common import BLANK_RUN, BLANKS, let, spread_join, stored, words
 
 WINDOW = 8
 
@@ -84,12 +87,16 @@ def base_counts(docs: DataFrame, rules: QualityRules = QualityRules(), keep: tup
     return counted.withColumn("base_failed", failed)
 
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
 def text_id(text: Column) -> Column:
-    return digest60(F.coalesce(text, F.lit("")))
+    return digest(F.coalesce(text, F.lit("")))
 
 
 def line_key(line: Column, host: Column) -> Column:
-    return digest60(F.concat(F.coalesce(host, F.lit("\x00")), F.lit("\x1f"), F.lower(F.btrim(line, F.lit(BLANKS)))))
+    return digest(F.concat(F.coalesce(host, F.lit("\x00")), F.lit("\x1f"), F.lower(F.btrim(line, F.lit(BLANKS)))))
 
 
 def host_lines(docs: DataFrame, host: str) -> DataFrame:
@@ -98,28 +105,31 @@ def host_lines(docs: DataFrame, host: str) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     size = lambda x: F.size(F.split(F.btrim(x, F.lit(BLANKS)), BLANK_RUN))
     keyed = F.transform(lines, lambda x: F.struct(line_key(x, F.col(host)).alias("k"), size(x).alias("w")))
-    own = docs.where(F.col("text").isNotNull()).select("doc_id", text_id(F.col("text")).alias("tm_text"), F.xxhash64(text_id(F.col("text")), host).alias("tm_page"), keyed.alias("tm_keys"))
+    own = docs.where(F.col("text").isNotNull()).select("doc_id", text_id(F.col("text")).alias("tm_text"), F.col(host).alias("tm_host"), keyed.alias("tm_keys"))
     total = F.aggregate(F.array_distinct("tm_keys"), F.lit(0), lambda a, x: a + x["w"])
-    rows = own.select("doc_id", "tm_text", "tm_page", total.alias("tm_total"), F.posexplode("tm_keys").alias("tm_at", "tm_l"))
+    page = digest(F.concat(F.coalesce(F.col("tm_host"), F.lit("\x00")), F.lit("\x1f"), F.hex("tm_text")))
+    rows = own.select("doc_id", "tm_text", page.alias("tm_page"), total.alias("tm_total"), F.posexplode("tm_keys").alias("tm_at", "tm_l"))
     return rows.select("doc_id", "tm_text", "tm_page", "tm_total", F.col("tm_l.k").alias("tm_line"), "tm_at", F.col("tm_l.w").alias("tm_words"))
 
 
 def frequent_lines(lines: DataFrame, rules: QualityRules) -> DataFrame:
-    """tm_line of each line that is boilerplate on its host, with the documents that count for it."""
-    held = lines.groupBy("tm_line", "tm_page").agg(F.max("tm_words").alias("tm_words"), F.max("tm_total").alias("tm_total"))
-    often = held.groupBy("tm_line").count().where(F.col("count") > rules.max_docs).select("tm_line")
-    hits = held.join(often, "tm_line")
+    """tm_line of each line that is boilerplate on its host, with tm_rows, the number of pages that hold it."""
+    held = stored(lines.groupBy("tm_line", "tm_page").agg(F.max("tm_words").alias("tm_words"), F.max("tm_total").alias("tm_total")), "held-lines")
+    often = stored(held.groupBy("tm_line").agg(F.count("*").alias("tm_rows")).where(F.col("tm_rows") > rules.max_docs), "often")
+    hits = stored(spread_join(held, often.select("tm_line"), "tm_line", often, F.xxhash64("tm_page")), "line-hits")
     pages = hits.groupBy("tm_page").agg(F.min("tm_line").alias("tm_least"), (F.max("tm_total") - F.sum("tm_words")).alias("tm_own"), F.max("tm_total").alias("tm_total"))
     near = F.col("tm_own") <= rules.near_own * F.col("tm_total")
     groups = pages.select("tm_page", F.struct(near.alias("near"), F.when(near, F.col("tm_least")).otherwise(F.col("tm_page")).alias("id")).alias("tm_group"))
     counted = hits.select("tm_line", "tm_page").join(groups, "tm_page").select("tm_line", "tm_group").distinct()
-    return counted.groupBy("tm_line").agg(F.count("*").alias("tm_docs")).where(F.col("tm_docs") > rules.max_docs)
+    frequent = counted.groupBy("tm_line").agg(F.count("*").alias("tm_docs")).where(F.col("tm_docs") > rules.max_docs)
+    return stored(frequent.join(often, "tm_line").select("tm_line", "tm_rows"), "frequent-lines")
 
 
 def removed_lines(docs: DataFrame, host: str, rules: QualityRules) -> DataFrame:
     """A row for each document that loses lines: tm_doc, tm_id and tm_gone, the (number, key, words) of those lines."""
-    lines = host_lines(docs, host)
-    hit = lines.join(frequent_lines(lines, rules), "tm_line")
+    lines = stored(host_lines(docs, host), "lines")
+    frequent = frequent_lines(lines, rules)
+    hit = spread_join(lines, frequent.select("tm_line"), "tm_line", frequent, F.xxhash64("tm_page", "tm_at"))
     gone = F.collect_set(F.struct(F.col("tm_at").alias("at"), F.col("tm_line").alias("k"), F.col("tm_words").alias("w")))
     return hit.groupBy(F.col("doc_id").alias("tm_doc"), F.col("tm_text").alias("tm_id")).agg(gone.alias("tm_gone"))
 
