@@ -4,12 +4,13 @@ Each line of MIN_KEY or more code points (stripped, ASCII letters lower-cased) b
 The rows are range-partitioned by hash and document and sorted within partitions, largest document first. A pass over
 each partition sees every hash as one run: its first document keeps the lines, the others lose theirs if the run has
 MIN_DOCS documents. Range bounds may cut the run of a very frequent line, so a hot line spreads over many tasks; the
-runs at both ends of a partition are reported with their counts, which are added up in one row a partition and hash.
-The result is a keep bitmap for each document that loses lines, not a text.
+runs at both ends of a partition, and such as are longer than HELD rows, are reported with their counts, which are added
+up by hash. The result is a keep bitmap for each document that loses lines, not a text.
 
-Defined results: null and empty texts are one empty line; a null doc_id is a document smaller than all others; rows with
-equal doc_id are one document, which keeps or loses a key as a whole; equal rows get equal results; extra columns are
-untouched. Keys are told apart by 64 bits of XXH64.
+Defined results: doc_id is a whole number; null and empty texts are one empty line; a null doc_id is a document smaller
+than all others; rows with equal doc_id are one document, which keeps or loses a key as a whole, so there are no ties;
+equal rows get equal results; a very long text is one row, whose lines are rows of their own; extra columns are untouched,
+whatever their names; an empty table gives an empty result. Keys are told apart by 64 bits of XXH64.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, digest60, stored
+from .common import BLANKS, ascii_lower, spread_join, stored, text_id
 
 MIN_KEY, MIN_DOCS = 40, 5
 #: Stands for a null doc_id.
@@ -37,8 +38,10 @@ def text_lines(text: Column) -> Column:
 
 def line_rows(docs: DataFrame, min_key: int) -> DataFrame:
     """tm_hash, tm_doc, tm_id (digest of the text), tm_at (position) and tm_lines (number) of each line with a long key."""
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id has to be a whole number: the largest one keeps a line")
     keys = F.transform(text_lines(F.col("text")), lambda x: F.btrim(x, F.lit(BLANKS)))
-    rows = docs.select("doc_id", digest60(F.coalesce("text", F.lit(""))).alias("tm_id"), keys.alias("tm_keys"))
+    rows = docs.select("doc_id", text_id(F.col("text")).alias("tm_id"), keys.alias("tm_keys"))
     rows = rows.select("doc_id", "tm_id", F.size("tm_keys").alias("tm_lines"), F.posexplode("tm_keys").alias("tm_at", "tm_key")).where(F.length("tm_key") >= min_key)
     return rows.select(F.xxhash64(ascii_lower(F.col("tm_key"))).alias("tm_hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("tm_doc"), "tm_id", "tm_at", "tm_lines")
 
@@ -123,14 +126,13 @@ def lost_lines(bitmap: pd.Series) -> pd.Series:
 
 def keep_bitmaps(docs: DataFrame, min_key: int = MIN_KEY, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, tm_id (digest of the text), n_lines, n_dropped, keep_bitmap of each document that loses lines."""
-    lines = line_rows(docs.select("doc_id", "text"), min_key)
+    lines = stored(line_rows(docs.select("doc_id", "text"), min_key), "line-rows")  # so that range bounds read no text
     order = [F.asc("tm_hash"), F.desc("tm_doc")]
     ranked = lines.repartitionByRange(*order).sortWithinPartitions(*order, "tm_id", "tm_at")
     found = stored(ranked.mapInArrow(partial(run_pass, min_docs=min_docs), RUN_SCHEMA), "runs")
     edges = found.where("tm_edge")
-    # Two hashes a partition at most: as many rows as partitions times two bound what is broadcast.
-    totals = edges.groupBy("tm_hash").agg(F.sum("tm_first").alias("tm_docs"), F.max("tm_doc").alias("tm_top")).where(F.col("tm_docs") >= min_docs)
-    cut = edges.join(F.broadcast(totals), "tm_hash").where("tm_doc <> tm_top")
+    totals = edges.groupBy("tm_hash").agg(F.sum("tm_first").alias("tm_docs"), F.max("tm_doc").alias("tm_top"), F.count("*").alias("tm_rows")).where(F.col("tm_docs") >= min_docs)
+    cut = spread_join(edges, totals.select("tm_hash", "tm_top"), "tm_hash", totals.select("tm_hash", "tm_rows"), F.xxhash64("tm_doc", "tm_at")).where("tm_doc <> tm_top")
     lost = found.where("not tm_edge").select("tm_doc", "tm_id", "tm_at", "tm_lines").unionByName(cut.select("tm_doc", "tm_id", "tm_at", "tm_lines"))
     lost = lost.groupBy("tm_doc", "tm_id").agg(F.max("tm_lines").alias("n_lines"), F.collect_set("tm_at").alias("tm_lost"))
     pack = F.pandas_udf(packed, "binary")
@@ -140,7 +142,7 @@ def keep_bitmaps(docs: DataFrame, min_key: int = MIN_KEY, min_docs: int = MIN_DO
 def kept_lines(docs: DataFrame, bitmaps: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep of docs, then tm_kept (the text without its lost lines), tm_n and tm_dropped."""
     maps = bitmaps.select(F.col("doc_id").alias("tm_doc"), F.col("tm_id").alias("tm_id2"), F.pandas_udf(lost_lines, "array<int>")("keep_bitmap").alias("tm_lost"), "n_dropped")
-    rows = docs.select(*keep, "text" if "text" not in keep else F.lit(0).alias("tm_none"), digest60(F.coalesce("text", F.lit(""))).alias("tm_id"))
+    rows = docs.select(*keep, "text" if "text" not in keep else F.lit(0).alias("tm_none"), text_id(F.col("text")).alias("tm_id"))
     both = rows.join(maps, (F.col("tm_id") == F.col("tm_id2")) & F.col("doc_id").eqNullSafe(F.col("tm_doc")), "left")
     left = F.filter(text_lines(F.col("text")), lambda x, i: ~F.array_contains(F.col("tm_lost"), i))
     kept = F.when(F.col("tm_lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(left, "\n"))
