@@ -10,9 +10,14 @@ A leaf then takes whole epochs of its documents, each in an order of its own see
 prefix that its budget pays for. Orders are cut into BUCKETS ranges of the seeded hash: sums per range tell which range
 holds the end of the prefix, and only that range is ranked row by row, so no task orders a hot leaf as a whole.
 
+Tokens are blank-separated words unless another column expression is given; a tokenizer's counts can be joined to docs
+before and named there.
+
 Defined results: missing weights are 1; null names are nodes of their own; documents without tokens come with each epoch
-that reaches them; repeated rows count each by itself; a zero or negative weight takes nothing; an empty table gives an
-empty result.
+that reaches them; repeated rows count each by itself, and where the budget ends among equal rows as many as it pays for
+are taken; equal places in a seeded order go by the text's digest, and rows equal in that too are alike; a very long text
+is one record, which the prefix takes as a whole or ends before; a zero or negative weight takes nothing; columns beside
+the levels, doc_id and text play no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import digest60, stored, words
+from .common import digest60, stored, text_id, words
 
 BUCKETS = 256
 
@@ -88,7 +93,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), tokens: Column | None = None) -> Da
     and budget (of the leaf): a row for each time a document is taken."""
     levels = list(mix.levels)
     size = (F.size(words(F.col("text"))) if tokens is None else tokens).cast("long")
-    rows = stored(docs.select("doc_id", digest60(F.coalesce("text", F.lit(""))).alias("tm_text"), *levels, size.alias("n_tokens")), "sizes")
+    rows = stored(docs.select("doc_id", text_id(F.col("text")).alias("tm_text"), *levels, size.alias("n_tokens")), "sizes")
     leaf = budgets(rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tm_tokens")), mix)
     leaf = leaf.withColumn("tm_leaf", F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in levels)))
     leaf = stored(leaf.where("budget > 0").select("tm_leaf", *(F.col(c).alias(f"tm_{c}") for c in levels), "tm_tokens", "budget"), "leaves")
@@ -120,7 +125,12 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     """The rows of docs that are taken, each once; mix.epochs has to be 1. The levels are columns of docs."""
     if mix.epochs != 1:
         raise ValueError("documents repeat with more than one epoch; use mixed()")
-    chosen = mixed(docs, mix).select(F.col("doc_id").alias("tm_id"), F.col("tm_text").alias("tm_text2")).distinct()
-    rows = docs.withColumn("tm_text", digest60(F.coalesce("text", F.lit(""))))
-    kept = rows.join(chosen, (F.col("tm_text") == F.col("tm_text2")) & F.col("doc_id").eqNullSafe(F.col("tm_id")), "left_semi")
-    return kept.drop("tm_text")
+    key = [F.col("doc_id").alias("tm_id"), F.col("tm_text").alias("tm_text2")]
+    chosen = stored(mixed(docs, mix).groupBy(*key).agg(F.count("*").alias("tm_taken")), "chosen")
+    rows = docs.select(F.struct(*docs.columns).alias("tm_row"), "doc_id", text_id(F.col("text")).alias("tm_text"))
+    equal = rows.groupBy(*key).agg(F.count("*").alias("tm_equal")).where("tm_equal > 1")
+    chosen = chosen.join(equal, [chosen.tm_id.eqNullSafe(equal.tm_id), chosen.tm_text2 == equal.tm_text2], "left").select(chosen.tm_id, chosen.tm_text2, "tm_taken", F.coalesce("tm_equal", F.lit(1)).alias("tm_equal"))
+    taken = rows.join(stored(chosen, "taken"), (F.col("tm_text") == F.col("tm_text2")) & F.col("doc_id").eqNullSafe(F.col("tm_id")))
+    among = F.row_number().over(Window.partitionBy("tm_text", "doc_id").orderBy(F.lit(1)))
+    part = taken.where("tm_taken < tm_equal").withColumn("tm_place", among).where("tm_place <= tm_taken")
+    return taken.where("tm_taken >= tm_equal").select("tm_row.*").unionByName(part.select("tm_row.*"))
