@@ -404,6 +404,38 @@ def test_mix_budgets_and_prefixes(docs, odd, none):
     assert mixing.mixed(none, mix).count() == 0
 
 
+def test_mix_takes_the_seeded_prefix_of_each_leaf(spark):
+    """The chosen documents, not only their number, in a leaf whose budget ends within an epoch."""
+    rng = random.Random(2)
+    rows = [(k, " ".join(["w"] * rng.randrange(1, 30)) + f" {k}", f"s{k % 3}") for k in range(900)]
+    mix = mixing.Mix(levels=("source",), weights={"source": {"s0": 5.0}}, share=0.5, epochs=2, seed=3)
+    n = {k: len(t.split()) for k, t, _ in rows}
+    leaf = collections.defaultdict(list)
+    for k, t, s in rows:
+        leaf[s].append((k, int(hashlib.md5(t.encode()).hexdigest()[:15], 16)))
+    budget = shares({s: sum(n[k] for k, _ in v) for s, v in leaf.items()}, sum(n.values()) // 2, {"s0": 5.0}, 2)
+    expected = set()
+    for s, own in leaf.items():
+        left = int(budget[s,] + 1e-6)
+        for epoch in range(2):
+            place = lambda x: int(hashlib.md5(f"3:{epoch}:{x[0]}:{x[1]}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+            for k, _ in sorted(own, key=place):
+                left -= n[k]
+                if left < 0:
+                    break
+                expected.add((k, epoch))
+    assert {(r.doc_id, r.epoch) for r in mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), mix).collect()} == expected
+
+
+def test_mixed_documents_take_equal_rows_one_by_one(spark):
+    rows = [(1, "one two three", "en", "own", 7)] * 10 + [(2, "four five", "en", "own", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, tm_text string, tm_id long")
+    out = mixing.mixed_documents(df, mixing.Mix(levels=("lang",), share=0.5, epochs=1))
+    assert out.columns == df.columns
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) <= set(rows) and 11 <= sum(len(r[1].split()) for r in got) <= 16 and len(got) < 8
+
+
 # --- 10
 
 
