@@ -6,15 +6,20 @@ each row, which holds a count, the XOR of its digests and the XOR of their check
 cell by cell; a cell that holds a single digest gives it away, and taking that digest out of its other cells frees
 further ones. When nothing can be freed although cells are left, the comparison is repeated with four times the cells.
 
-The printed fingerprint has BASE cells a row, so equal texts have equal fingerprints. A comparison starts with the
-smallest size that suits the number of digests on both sides. Likeness is shared / all distinct digests, 1.0 for two
-empty texts.
+The fingerprint is the sketch of BASE cells a row, so equal texts have equal fingerprints. A comparison begins by
+subtracting the two fingerprints, whatever the texts' sizes: it is the difference that has to fit. Where it does not, the
+sketches are made anew with GROWTH times the cells, until all differing digests are recovered. Likeness is shared / all
+distinct digests, 1.0 for two empty texts.
 
 Everything is joins, aggregates and expressions. Peeling frees one row of cells at a time, so that each digest is freed
-by one cell only; since all rows of a document stay in one partition, the rounds need no shuffle.
+by one cell only; since all rows of a document stay in one partition, the rounds need no shuffle. A digest has 20 bits for
+each row of cells, so sketches end at LARGEST cells a row; a difference of millions of paragraphs, which does not fit
+there, is taken from the digests themselves.
 
 Defined results: a null text is empty; documents of equal doc_id are ordered by a digest of their text; rows with equal
-doc_id and text count as one document and all get its result; a null doc_id comes last; a lone document follows itself.
+doc_id and text count as one document and all get its result; a null doc_id comes last and is not that of an empty text id;
+a lone document follows itself; a very long text is many paragraphs, compared like any other; columns beside doc_id and
+text play no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,18 +33,23 @@ PIECE, BASE, GROWTH, LARGEST = 200, 8, 4, 1 << 20
 PRIME = 4294967291
 ROUNDS = 5
 MASK60 = (1 << 60) - 1
-#: Digests a row of cells can take before peeling gets unlikely.
-LOAD = 2
+#: Documents whose cells one task peels, about.
+TOGETHER = 20_000
 
 
 def paragraphs(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"[^\n]{1,%d}" % PIECE), F.lit(0)), digest60)
 
 
+def doc_key(doc_id: Column) -> Column:
+    """doc_id as a text that differs from all others for null."""
+    return F.coalesce(F.concat(F.lit("d"), doc_id.cast("string")), F.lit(""))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """One row for each distinct (doc_id, text): tm_doc, tm_text, text, tm_times."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(text.alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("tm_doc"), digest60(text).alias("tm_text"))
+    rows = docs.select(text.alias("text"), doc_key(F.col("doc_id")).alias("tm_doc"), digest60(text).alias("tm_text"))
     once = rows.groupBy("tm_doc", "tm_text").agg(F.first("text").alias("text"), F.count("*").alias("tm_times"))
     return once.where("tm_times > 0")  # true for all; both uses of this frame then read all its columns and share one shuffle
 
@@ -48,7 +58,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     """tm_doc, tm_text, tm_seq, tm_next (the tm_seq that follows, in descending order of doc_id) and n_chars, stored."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    ids = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("tm_doc"), digest60(text).alias("tm_text"), F.length(text).cast("long").alias("n_chars")).distinct()
+    ids = docs.select("doc_id", doc_key(F.col("doc_id")).alias("tm_doc"), digest60(text).alias("tm_text"), F.length(text).cast("long").alias("n_chars")).distinct()
     order = [F.desc_nulls_last("doc_id"), F.asc("tm_text")]
     ranked = ids.repartitionByRange(*order).sortWithinPartitions(*order)
     ranked = stored(ranked.withColumn("tm_seq", F.monotonically_increasing_id()), "order")
@@ -68,7 +78,7 @@ def versions(docs: DataFrame) -> DataFrame:
     heads = pairs.join(source, ["tm_doc2", "tm_text2"]).select("tm_doc", "tm_text", "tm_seq", "tm_next", "n_chars", "tm_need", F.expr("substring(tm_other, 1, tm_need)").alias("tm_head"))
     both = texts.join(heads, ["tm_doc", "tm_text"])
     both = both.withColumn("tm_edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - tm_need)"), "tm_head"))
-    doc_id = F.nullif("tm_doc", F.lit("")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    doc_id = F.when(F.col("tm_doc") != "", F.expr("substring(tm_doc, 2)")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
     return stored(
         both.select("tm_seq", "tm_next", "tm_times", doc_id, "n_chars", F.sha2("tm_edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("tm_own"), paragraphs(F.col("tm_edited")).alias("tm_edit")),
         "versions",
@@ -76,9 +86,10 @@ def versions(docs: DataFrame) -> DataFrame:
 
 
 def together(rows: DataFrame) -> DataFrame:
-    """rows with all those of a document in one partition. The number is explicit, as cells take many times the room of
-    the arrays that the shuffle measures."""
-    return rows.repartition(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tm_seq")
+    """rows, which are stored, with all those of a document in one partition. The number of partitions follows the rows,
+    as cells take many times the room of the arrays that the shuffle measures."""
+    least = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // TOGETHER)), "tm_seq")
 
 
 def places(digest: Column, size: Column) -> list[Column]:
@@ -139,33 +150,30 @@ def differing_digests(pairs: DataFrame) -> DataFrame:
 
 
 def likeness(pairs: DataFrame) -> DataFrame:
-    """pairs: tm_seq, tm_kind, tm_a, tm_b, partitioned by tm_seq. Gives tm_seq, tm_kind, tm_near."""
-    sizes = [BASE * GROWTH**k for k in range(20) if BASE * GROWTH**k <= LARGEST]
-    items = F.array_size(F.array_distinct("tm_a")) + F.array_size(F.array_distinct("tm_b"))
-    size = F.lit(sizes[-1])
-    for s in reversed(sizes[:-1]):
-        size = F.when(items <= LOAD * s, F.lit(s)).otherwise(size)
-    pairs = pairs.withColumn("tm_size", size.cast("long"))
-    counts = pairs.select("tm_seq", "tm_kind", F.array_size(F.array_distinct("tm_a")).alias("tm_na"))
-    todo, done = pairs, []
-    for _ in sizes:
-        found = stored(peeled(todo), "peeled")
+    """pairs: tm_seq, tm_kind ("e" or "n"), tm_a, tm_b, partitioned by tm_seq. Gives tm_seq, tm_kind, tm_near."""
+    todo, done = pairs.withColumn("tm_size", F.lit(BASE).cast("long")), []
+    while True:
+        found = peeled(todo).select(F.col("tm_seq").alias("tm_seq2"), F.col("tm_kind").alias("tm_kind2"), "tm_left", "tm_less", "tm_more")
+        # both sides are partitioned by tm_seq, so the kind is left out of the join's keys
+        both = todo.join(found, (F.col("tm_seq") == F.col("tm_seq2")) & F.concat("tm_kind", "tm_kind2").isin("ee", "nn"))
+        again = lambda c: F.when(F.col("tm_left") > 0, F.col(c)).alias(c)
+        own = F.array_size(F.array_distinct("tm_a")).alias("tm_na")
+        found = stored(both.select("tm_seq", "tm_kind", "tm_size", "tm_left", "tm_less", "tm_more", own, again("tm_a"), again("tm_b")), "peeled")
         done.append(found.where("tm_left = 0"))
-        failed = found.where("tm_left > 0")
+        failed = found.where("tm_left > 0").withColumn("tm_size", F.col("tm_size") * GROWTH).select("tm_seq", "tm_kind", "tm_size", "tm_a", "tm_b", "tm_na")
         if failed.isEmpty():
             break
-        todo = pairs.drop("tm_size").join(failed.select("tm_seq", "tm_kind", (F.col("tm_size") * GROWTH).alias("tm_size")), ["tm_seq", "tm_kind"])
-        over = todo.where(F.col("tm_size") > LARGEST)  # beyond the largest sketch the digests themselves are compared
-        exact = over.select("tm_seq", "tm_kind", "tm_size", F.lit(0).cast("long").alias("tm_left"), F.size(F.array_except("tm_a", "tm_b")).cast("long").alias("tm_less"), F.size(F.array_except("tm_b", "tm_a")).cast("long").alias("tm_more"))
-        done.append(exact)
-        todo = together(todo.where(F.col("tm_size") <= LARGEST))
-    all_done = done[0]
+        missing = lambda a, b: F.size(F.array_except(a, b)).cast("long")
+        over = failed.where(F.col("tm_size") > LARGEST)
+        done.append(over.withColumns({"tm_less": missing("tm_a", "tm_b"), "tm_more": missing("tm_b", "tm_a")}))
+        todo = together(failed.where(F.col("tm_size") <= LARGEST).drop("tm_na"))
+    columns = ("tm_seq", "tm_kind", "tm_na", "tm_less", "tm_more")
+    all_done = done[0].select(*columns)
     for d in done[1:]:
-        all_done = all_done.unionByName(d)
-    joined = counts.join(all_done, ["tm_seq", "tm_kind"])
+        all_done = all_done.unionByName(d.select(*columns))
     total = F.col("tm_na") + F.col("tm_more")
     near = F.when(total == 0, F.lit(1.0)).otherwise((F.col("tm_na") - F.col("tm_less")) / total)
-    return joined.select("tm_seq", "tm_kind", near.alias("tm_near"))
+    return all_done.select("tm_seq", "tm_kind", near.alias("tm_near"))
 
 
 def printed(rows: DataFrame) -> DataFrame:

@@ -29,30 +29,35 @@ _DIGEST = "cast('0x' || substr(md5({0}), 1, 15) AS bigint)"
 _PIECES = "regexp_extract_all({0}, '[^\\n]{{1,200}}')"
 
 
+def _digests(kind: str, column: str) -> str:
+    """The digests of column's paragraphs with their numbers mixed in."""
+    return f"""{kind}h AS MATERIALIZED (SELECT r, h, count(*) AS c FROM (SELECT r, {_DIGEST.format('p')} AS h FROM (SELECT r, unnest({_PIECES.format(column)}) AS p FROM e)) GROUP BY r, h),
+{kind}d AS MATERIALIZED (SELECT r, (h + (c - 1) * 1000000007) & 1152921504606846975 AS k FROM {kind}h)"""
+
+
 def _sketch(kind: str, column: str) -> str:
     """Fingerprint text of column: 24 cells of count, digest and check sum."""
-    return f"""{kind}h AS (SELECT r, h, count(*) AS c FROM (SELECT r, {_DIGEST.format('p')} AS h FROM (SELECT r, unnest({_PIECES.format(column)}) AS p FROM e)) GROUP BY r, h),
-{kind}d AS (SELECT r, (h + (c - 1) * 1000000007) & 1152921504606846975 AS k FROM {kind}h),
-{kind}c AS (SELECT r, t * 8 + ((k >> (20 * t)) & 7) AS cell, count(*) AS n, bit_xor(k) AS k, bit_xor(k % 4294967291) AS x FROM {kind}d, (SELECT unnest([0, 1, 2]) AS t) GROUP BY r, cell),
-{kind}f AS (SELECT e.r, string_agg(CASE WHEN n IS NULL THEN repeat('0', 27) ELSE printf('%04x', n) || printf('%015x', k) || printf('%08x', x) END, '' ORDER BY g.cell) AS f FROM e CROSS JOIN (SELECT unnest(range(0, 24)) AS cell) g LEFT JOIN {kind}c ON {kind}c.r = e.r AND {kind}c.cell = g.cell GROUP BY e.r)"""
+    return f"""{_digests(kind, column)},
+{kind}c AS MATERIALIZED (SELECT r, t * 8 + ((k >> (20 * t)) & 7) AS cell, count(*) AS n, bit_xor(k) AS k, bit_xor(k % 4294967291) AS x FROM {kind}d, (SELECT unnest([0, 1, 2]) AS t) GROUP BY r, cell),
+{kind}f AS MATERIALIZED (SELECT e.r, string_agg(CASE WHEN n IS NULL THEN repeat('0', 27) ELSE printf('%04x', n) || printf('%015x', k) || printf('%08x', x) END, '' ORDER BY g.cell) AS f FROM e CROSS JOIN (SELECT unnest(range(0, 24)) AS cell) g LEFT JOIN {kind}c ON {kind}c.r = e.r AND {kind}c.cell = g.cell GROUP BY e.r)"""
 
 
 def _near(kind: str) -> str:
     """Share of digests in common between a text and the other version."""
-    return f"""{kind}n AS (SELECT e.r, CASE WHEN count(u.k) = 0 THEN 1.0 ELSE cast(count(u.k) FILTER (u.m = 2) AS double) / count(u.k) END AS near FROM e LEFT JOIN
+    return f"""{kind}n AS MATERIALIZED (SELECT e.r, CASE WHEN count(u.k) = 0 THEN 1.0 ELSE cast(count(u.k) FILTER (u.m = 2) AS double) / count(u.k) END AS near FROM e LEFT JOIN
 (SELECT r, k, count(*) AS m FROM (SELECT r, k FROM ad UNION ALL SELECT r, k FROM {kind}d) GROUP BY r, k) u ON u.r = e.r GROUP BY e.r)"""
 
 
 OP2 = f"""
-WITH d AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(text)) AS r, doc_id, text, times FROM (SELECT doc_id, coalesce(text, '') AS text, count(*) AS times FROM documents GROUP BY 1, 2)),
-e AS (SELECT a.r, a.doc_id, a.times, a.text, b.text AS nxt, substr(a.text, 1, cast(length(a.text) - length(a.text) // 3 AS bigint)) || substr(b.text, 1, cast(length(a.text) // 3 AS bigint)) AS edited FROM d a JOIN d b ON b.r = CASE WHEN a.r = (SELECT max(r) FROM d) THEN 1 ELSE a.r + 1 END),
+WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(text)) AS r, doc_id, text, times FROM (SELECT doc_id, coalesce(text, '') AS text, count(*) AS times FROM documents GROUP BY 1, 2)),
+e AS MATERIALIZED (SELECT a.r, a.doc_id, a.times, a.text, b.text AS nxt, substr(a.text, 1, cast(length(a.text) - length(a.text) // 3 AS bigint)) || substr(b.text, 1, cast(length(a.text) // 3 AS bigint)) AS edited FROM d a JOIN d b ON b.r = CASE WHEN a.r = (SELECT max(r) FROM d) THEN 1 ELSE a.r + 1 END),
 {_sketch('a', 'text')},
 {_sketch('b', 'edited')},
-{_sketch('c', 'nxt')},
+{_digests('c', 'nxt')},
 {_near('b')},
 {_near('c')}
 SELECT doc_id, cast(length(text) AS bigint) AS n_chars, sha256(edited) AS edited_sha256, af.f AS fingerprint, bf.f AS edited_fingerprint, bn.near AS near_edited, cn.near AS near_next
-FROM e JOIN af USING (r) JOIN bf USING (r) JOIN bn USING (r) JOIN cn USING (r) JOIN (SELECT unnest(range(1, 1000)) AS copy) ON copy <= times"""
+FROM (SELECT *, unnest(range(times)) AS copy FROM e) e JOIN af USING (r) JOIN bf USING (r) JOIN bn USING (r) JOIN cn USING (r)"""
 
 OP3 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
