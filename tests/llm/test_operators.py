@@ -116,6 +116,17 @@ def test_sketches_recover_digests(spark):
     assert small.tm_left > 0  # too small to resolve, so likeness() goes on to a larger one
 
 
+def test_comparison_grows_until_the_difference_fits(spark, monkeypatch):
+    """Differences from none to far above the first size, and beyond the largest one."""
+    spread = lambda x: [int(hashlib.md5(str(v).encode()).hexdigest()[:15], 16) for v in x]
+    rows = [(k, kind, list(range(300)), list(range(n, 300 + n))) for k, n in enumerate((0, 1, 5, 30, 300)) for kind in "en"]
+    pairs = spark.createDataFrame([(k, kind, spread(a), spread(b)) for k, kind, a, b in rows], "tm_seq long, tm_kind string, tm_a array<long>, tm_b array<long>")
+    expected = {(k, kind): len(set(a) & set(b)) / len(set(a) | set(b)) for k, kind, a, b in rows}
+    for largest in (fingerprints.LARGEST, 32):
+        monkeypatch.setattr(fingerprints, "LARGEST", largest)
+        assert {(r.tm_seq, r.tm_kind): r.tm_near for r in fingerprints.likeness(pairs.repartition(4, "tm_seq")).collect()} == expected
+
+
 def test_fingerprints_odd_rows(odd, none):
     got = fingerprints.fingerprints(odd).collect()
     assert len(got) == len(ODD) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
