@@ -12,13 +12,15 @@ one leading space, a text is cut before each space that follows a non-blank and
 chunks are kept in a bounded table.
 
 Defined results: null and empty texts have no ids; lone surrogates cannot occur in Spark strings; rows are independent,
-so repeated rows, clashing extra columns and empty tables need no care.
+so repeated rows, ties and empty tables need no care; a very long text is one row, encoded as a whole in linear time; a
+kept column with the name of a result is refused.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import sys
 import types
 from collections.abc import Iterator
@@ -39,12 +41,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+#: A text with each sort of character on both sides of a lone space, which no piece may go across.
+PROBE = " ".join(["a", "1", ".", "é", "'s", "日", "_", "-1", "\u0301", "x\ny", "\U0001f389", "a1."] * 2 + ["a", ".", "1", "日", "'", "A"])
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import ahocorasick
         import regex
 
         self.pieces = regex.compile(pattern).findall
+        if self.pieces(PROBE) != [p for c in chunks(PROBE) for p in self.pieces(c)]:
+            raise ValueError("the pattern joins characters across a lone space, where texts are cut")
         self.ranks, self.bytes = ranks, {r: b for b, r in ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
@@ -159,12 +167,22 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+_FOLLOWED, _LED = re.compile(r" \s").search, re.compile(r"[^\S ] ").search
+
+
+def spaces_stand_alone(text: str) -> bool:
+    """Whether each space has a non-blank on both sides."""
+    return text[:1] != " " and text[-1:] != " " and "  " not in text and not _FOLLOWED(text) and not _LED(text)
+
+
 def chunks(text: str) -> list[str]:
     """text cut before each space that stands alone between non-blank characters; the space leads the chunk.
 
     A space next to other white space stays within its chunk, which the pattern then splits.
     """
     parts = text.split(" ")
+    if spaces_stand_alone(text):
+        return [parts[0], *map(" ".__add__, parts[1:])]
     out: list[str] = []
     open_part = None  # a chunk that may go on
     for part in parts:
@@ -197,6 +215,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFr
             new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], "n_tokens", "ids", "decoded"])
 
+    if clash := {"n_tokens", "ids", "decoded"} & set(keep):
+        raise ValueError(f"columns that cannot be kept, as results have their names: {sorted(clash)}")
     rows = docs.select(*keep, F.col("text").alias("tm_text"))
     kept = rows.drop("tm_text").schema.fields
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_tokens long, ids binary, decoded binary"])
