@@ -6,12 +6,15 @@ memory-mapped file is read without a copy, and beside it a file with the documen
 where the vocabulary allows it. A task writes under a name of its own attempt and renames at the end, so a repeated or
 lost attempt leaves one whole file.
 
-The ids are those of the tokenizers library. Texts are cut before lone spaces, which the vocabulary's pre-tokenizer never
-joins across (see bpe.chunks); chunks met before come from a bounded table. An added token that a text spells out gets its
-own id, as the library does by default.
-
-Defined results: null and empty texts have only the end id; documents of equal doc_id follow one another in the order of
-a digest of their text; a null doc_id comes first; an empty table writes no file and gives no row.
+The ids are those of the tokenizers library. Texts are cut before lone spaces (see bpe.chunks) and between a letter and
+the stops that end such a part; parts met before come from a bounded table, new ones are encoded together. A tokenizer
+whose pre-tokenizer joins characters across these places is recognised by a probe and gets whole texts instead. An added
+token that a text spells out gets its own id, as the library does by default.
+
+Defined results: doc_id is a number, text or date; null and empty texts have only the end id; documents of equal doc_id
+follow one another in the order of a digest of their text, and rows equal in that too are alike; a null doc_id comes
+first; a very long text fills as many sequences as it needs; columns beside doc_id and text play no part, whatever their
+names; an empty table writes no file and gives no row.
 """
 
 from __future__ import annotations
@@ -28,11 +31,16 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .bpe import CHUNKS, chunks
-from .common import digest60, fresh_path
+from .bpe import PROBE, chunks, spaces_stand_alone
+from .common import fresh_path
 
 SEQUENCE, BATCH = 2048, 64
+#: Stops that end a part and never join with a letter before them.
+STOPS = ".,;:!?"
+#: Entries of a worker's table of parts; a full table starts anew, which changes no result.
+PARTS = 800_000
 #: Documents that are encoded at once.
 GROUP = 64
 
@@ -47,6 +55,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)  # parts come once; filling the library's own table costs more than it saves
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
@@ -54,39 +63,67 @@ class Encoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes; the vocabulary writes each as one sign
         for token, number in vocabulary.items():
             self.lengths[number] = len(token)
-
-    def fresh(self, new: list[str]) -> list[bytes]:
-        """Ids of chunks. Those that begin with a lone space and do not end in white space are encoded as one text, as
-        the pre-tokenizer joins nothing across their borders; token lengths tell where each ends."""
-        alone = [c[:1] != " " or c[1:2].isspace() or len(c) == 1 or c[-1].isspace() or any(t in c for t in self.added) for c in new]
-        together = [c for c, a in zip(new, alone) if not a]
+        self.stops: dict[str, bytes] = {}
+        self.cuts = self.tokenizer.normalizer is None and not any(c.isspace() or c in STOPS for t in self.added for c in t)
+        probe = [PROBE, "".join(f" a{x} b{x}{y} é{y}" for x in STOPS for y in STOPS)]
+        try:
+            self.cuts = self.cuts and self.encode(probe) == self.whole(probe)
+        except ValueError:
+            self.cuts = False
+
+    def spaced(self, wanted: list[str]) -> list[bytes]:
+        """Ids of parts, each with a space before it. They are encoded as one text, as the pre-tokenizer joins nothing
+        across a lone space; token lengths tell where each part ends. Such as end in white space or spell out an added
+        token go by themselves."""
+        joined = " " + " ".join(wanted)
+        alone = {p for p in wanted if p[-1:].isspace()}
+        for token in self.added:
+            if token in joined:
+                alone.update(p for p in wanted if token in p)
+        parts = [p for p in wanted if p not in alone] if alone else wanted
+        joined = " " + " ".join(parts) if alone else joined
         out: dict[str, bytes] = {}
-        if together:
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(together)], add_special_tokens=False)[0].ids)
-            ends = np.cumsum([len(c.encode()) for c in together])
+        if parts:
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids)
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, parts)), np.int64, len(parts)) + 1)
             upto = np.cumsum(self.lengths[ids])
             cuts = np.searchsorted(upto, ends) + 1
             if not np.array_equal(upto[cuts - 1], ends):
-                raise ValueError("a token crosses the border of two chunks")
-            data, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
-            for c, start, end in zip(together, [0, *cuts[:-1].tolist()], cuts.tolist()):
-                out[c] = data[start * size : end * size]
-        rest = [c for c, a in zip(new, alone) if a]
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []):
-            out[c] = np.array(e.ids, self.kind).tobytes()
-        return [out[c] for c in new]
+                raise ValueError("a token crosses a lone space")
+            data, at = ids.astype(self.kind).tobytes(), (cuts * self.kind.itemsize).tolist()
+            out = dict(zip(parts, map(data.__getitem__, map(slice, [0, *at[:-1]], at))))
+        out |= dict(zip(alone, self.whole([" " + p for p in alone])))
+        return [out[p] for p in wanted]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def learn(self, new: list[str]) -> list[str]:
+        """Puts new parts, each with a space before it, into the table; gives those that are too long to stay there."""
+        ending = {p: stem for p, stem in zip(new, (p.rstrip(STOPS) for p in new)) if len(stem) < len(p) and stem[-1:].isalpha()}
+        need = list({p for p in new if p not in ending}.union(ending.values()).difference(self.known))
+        self.known.update(zip(need, self.spaced(need)))
+        if len(self.stops) >= PARTS:
+            self.stops.clear()
+        stops = list({p[len(stem) :] for p, stem in ending.items()}.difference(self.stops))
+        self.stops.update(zip(stops, self.whole(stops)))
+        self.known.update((p, self.known[stem] + self.stops[p[len(stem) :]]) for p, stem in ending.items())
+        return [p for p in {*need, *ending} if len(p) > 64]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(t) if t else [] for t in texts]
-        if len(self.known) >= CHUNKS:
+        if not self.cuts:
+            return self.whole(texts)
+        heads, tails = [], []
+        for t in texts:
+            head, *tail = t.split(" ") if spaces_stand_alone(t) else [c[k > 0 :] for k, c in enumerate(chunks(t))]
+            heads.append(head)
+            tails.append(tail)
+        if len(self.known) >= PARTS:
             self.known.clear()
-        known = self.known
-        new = list({c for parts in cut for c in parts if c not in known})
-        known.update(zip(new, self.fresh(new)))
-        out = [b"".join([known[c] for c in parts]) for parts in cut]
-        for c in new:
-            if len(c) > 64:
-                del known[c]
+        long = self.learn(list(set().union(*tails).difference(self.known)))
+        out = [head + b"".join(map(self.known.__getitem__, tail)) for head, tail in zip(self.whole(heads), tails)]
+        for p in long:
+            del self.known[p]
         return out
 
 
@@ -133,7 +170,7 @@ class SequenceWriter:
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, length: int = SEQUENCE) -> list[tuple[str, str, int, int]]:
     """Writes the files below folder; gives (file of sequences, file of documents, documents, ids) in order. There is
     one entry a partition, so the list stays small."""
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[docs.schema["doc_id"].dataType.simpleString()]
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -153,7 +190,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
                     sequences = SequenceWriter(outs[0], own.kind, length)
                     index = pa.ipc.new_file(outs[1], pa.schema([("doc_id", kind), ("n_tokens", pa.int64())]))
                 counts = []
-                for ids in own.encode(part.column("text").to_pylist()):
+                for ids in own.encode([t or "" for t in part.column("text").to_pylist()]):
                     sequences.add(ids + end)
                     counts.append(len(ids) // own.kind.itemsize + 1)
                 index.write_batch(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"]))
@@ -166,7 +203,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
                 fs.move(f"{name}.{k}.arrow{attempt}", f"{name}.{k}.arrow")
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([docs_n], pa.int64()), pa.array([ids_n], pa.int64())], names=["part", "docs", "ids"])
 
-    order = [F.asc_nulls_first("doc_id"), digest60(F.coalesce("text", F.lit("")))]
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))]
     rows = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     manifest = rows.mapInArrow(run, "part int, docs long, ids long").collect()
     return [(f"{folder}/part-{r.part:05d}.ids.arrow", f"{folder}/part-{r.part:05d}.docs.arrow", r.docs, r.ids) for r in sorted(manifest)]
