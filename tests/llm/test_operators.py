@@ -370,6 +370,66 @@ def test_token_files(docs, odd, none):
     assert bpe.token_digests(odd, public.path("byte_bpe_50k.tiktoken"), public.PATTERN).where("doc_id < 3").agg(F.sum("n_tokens")).first()[0] == 0
 
 
+def test_sequences_are_read_at_random(spark, tmp_path):
+    """Files of several partitions: any sequence by its number without reading others, masks, and where documents lie."""
+    import pyarrow as pa
+
+    public = pytest.importorskip("public_tokenizers")
+    ship(spark)
+    path = public.path("byte_bpe_50k.json")
+    rows = [(k, f"text number {k}, " + "and more words " * (k % 50)) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = token_files.write_token_files(df, path, 2, str(tmp_path / "files"), length=64)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) > 1 and sum(f[2] for f in files) == 400
+    tokenizer, done = token_files.Encoder(path), 0
+    for ids_file, docs_file, n, total in files:
+        stream = [i for _, t in rows[done : done + n] for i in [*np.frombuffer(tokenizer.encode([t])[0], "<u2").tolist(), 2]]
+        assert pa.ipc.open_file(pa.memory_map(docs_file)).read_all().column("doc_id").to_pylist() == list(range(done, done + n))
+        reader = pa.ipc.open_file(pa.memory_map(ids_file))
+        before = pa.total_allocated_bytes()
+        for i in random.Random(1).sample(range(-(-total // 64)), 5):
+            batch = reader.get_batch(i // token_files.BATCH)
+            ids, mask = (batch.column(c)[i % token_files.BATCH].values for c in ("ids", "mask"))
+            own = stream[64 * i : 64 * i + 64]
+            assert len(ids) == len(mask) == 64 and ids.to_pylist()[: len(own)] == own and mask.to_pylist() == [True] * len(own) + [False] * (64 - len(own))
+        assert pa.total_allocated_bytes() - before < 1 << 16  # the ids are those of the mapped file
+        done += n
+
+
+def test_encoder_leaves_joining_tokenizers_alone():
+    """A pre-tokenizer that joins across spaces is seen by the probe."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    joining = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    own = token_files.Encoder(public.path("byte_bpe_50k.json"))
+    assert own.cuts
+    joining.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(r"\S+ \S+"), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:
+        f.write(joining.to_str())
+        f.flush()
+        other = token_files.Encoder(f.name)
+    texts = ["one two three four.", "a b"]
+    assert not other.cuts and [np.frombuffer(x, other.kind).tolist() for x in other.encode(texts)] == [joining.encode(t).ids for t in texts]
+
+
+def test_encoder_by_force():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    own, library = token_files.Encoder(path), Tokenizer.from_file(path)
+    rng = random.Random(4)
+    parts = ["a", "b", " ", " ", "  ", "\n", "\t", "'s", "é", "ß", "1", "23", "the", "ing", "!!", ".", ",", "?", "日本", "\xa0", "\x85", "🎉", "<|endoftext|>", "x" * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    for at in range(0, len(texts), 60):
+        assert [np.frombuffer(x, own.kind).tolist() for x in own.encode(texts[at : at + 60])] == [library.encode(t, add_special_tokens=False).ids for t in texts[at : at + 60]]
+
+
 # --- 8
 
 
