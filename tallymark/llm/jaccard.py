@@ -10,11 +10,13 @@ of their bits, far beyond what any index of them can search without comparing ne
 probability s ** rows, so a pair at exactly 0.8 is without a common key in 0.59 ** 40, or 7 in 10 ** 10, cases, a closer
 one more rarely. Unlike sets hardly ever share a key, so buckets are never sampled or cut.
 
-Links: each pair that shares a bucket is held against the exact similarity, unless other links connect it already.
-Buckets are worked off in rounds. Each round takes pivots, the members with most companions in each of 1, 2, 4, ... parts
-of the bucket, and holds them against the rest; a bucket ends when its members are connected or all have been pivots. A
-large group of copies of one text thus costs a row a copy, and not one for each two copies; no bucket is sorted or held as
-a whole, and one that holds a large part of the rows is spread over several tasks.
+Links: each pair that shares a bucket is held against the exact similarity, unless other links connect it already. First
+each set proposes one link, to the set with most companions that it shares a bucket with, which for a copy is about the
+text that was copied: a large group of copies of one text thus costs a row a copy, and not one for each two copies. The
+buckets whose members are not connected then are worked off in rounds. Each round takes pivots, the members with most
+companions in each of 1, 2, 4, ... parts of the bucket, and holds them against the rest; a bucket ends when its members
+are connected or all have been pivots. No bucket is sorted or held as a whole, and one that holds a large part of the rows
+is spread over several tasks.
 
 Defined results: texts without words have the empty set, which is linked to itself only; a text shorter than a shingle is
 one shingle; otherwise as in simhash.
@@ -42,7 +44,7 @@ class Shingles:
     percent: int = 80
     bands: int = 40
     rows: int = 4
-    small: int = 16  # all members of a bucket up to this size are pivots at once
+    small: int = 8  # all members of a bucket up to this size are pivots at once
     index: simhash.SimHash = simhash.SimHash(shingle=5)
 
 
@@ -149,25 +151,38 @@ def still_open(rows: DataFrame) -> DataFrame:
     return spread_join(rows, state.select("tm_key"), "tm_key", state.select("tm_key", "tm_rows"), F.xxhash64("tm_node"))
 
 
+def proposals(rows: DataFrame) -> DataFrame:
+    """a, b: for each set b the set a with most companions that shares a bucket with it."""
+    best = rows.groupBy("tm_key").agg(F.max(F.struct("tm_with", "tm_node")).alias("p"), F.count("*").alias("tm_rows"))
+    best = stored(best.select("tm_key", "p.tm_with", F.col("p.tm_node").alias("a"), "tm_rows"), "best")
+    seen = spread_join(rows.select("tm_key", F.col("tm_node").alias("b")), best.drop("tm_rows"), "tm_key", best.select("tm_key", "tm_rows"), F.xxhash64("b"))
+    return seen.groupBy("b").agg(F.max_by("a", F.struct("tm_with", "a")).alias("a")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def linked(docs: DataFrame, nodes: DataFrame, config: Shingles) -> DataFrame:
     """node, root: the least node of each node that is linked to a lesser one, over one row of docs for each node."""
     near = stored(index_pairs(nodes, config), "index-pairs")
     rows = stored(buckets(nodes, config), "buckets")
     wanted = rows.select("tm_node").unionByName(near.select(F.col("a").alias("tm_node"))).unionByName(near.select(F.col("b").alias("tm_node"))).distinct()
-    one = nodes.join(wanted, "tm_node", "left_semi").select("tm_text").distinct()
-    own = sets(docs.join(one, "tm_text", "left_semi").dropDuplicates(["tm_text"]), config, values=True)
+    one = nodes.join(wanted, "tm_node", "left_semi").select(F.col("tm_who.id").alias("tm_id"), F.col("tm_who.text").alias("tm_text2"))
+    one = docs.join(one, (F.col("tm_text") == F.col("tm_text2")) & F.col("doc_id").eqNullSafe(F.col("tm_id")), "left_semi")
+    own = sets(one, config, values=True)
     own = stored(own.dropDuplicates(["tm_node"]).select("tm_node", "tm_list"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(own.select(F.col("tm_node").alias("a"), F.col("tm_list").alias("x")), "a").join(own.select(F.col("tm_node").alias("b"), F.col("tm_list").alias("y")), "b")
+        """The pairs that are alike. One set may be in most pairs."""
+        pairs = stored(pairs, "pairs")
+        for side, name in (("a", "x"), ("b", "y")):
+            sizes = pairs.groupBy(side).agg(F.count("*").alias("tm_rows"))
+            pairs = spread_join(pairs, own.select(F.col("tm_node").alias(side), F.col("tm_list").alias(name)), side, sizes, F.xxhash64("a", "b"))
         return pairs.where(alike(F.col("x"), F.col("y"), config)).select("a", "b")
 
-    edges = stored(confirmed(near), "edges")
+    edges = stored(confirmed(near.unionByName(proposals(rows)).distinct()), "edges")
     links = stored(simhash.components(edges), "roots")
     rows, width = stored(still_open(with_roots(rows, links)), "open"), 1
     while not rows.isEmpty():
         part = F.pmod(F.xxhash64("tm_node"), F.lit(width))
-        first = rows.groupBy("tm_key", part.alias("tm_part")).agg(F.max_by(F.struct("tm_node", "root"), F.struct("tm_with", -F.col("tm_node"))).alias("p"))
+        first = rows.groupBy("tm_key", part.alias("tm_part")).agg(F.max_by(F.struct("tm_node", "root"), F.struct("tm_with", "tm_node")).alias("p"))
         first = first.select("tm_key", F.col("p.tm_node").alias("a"), F.col("p.root").alias("ra"))
         if width == 1:
             first = first.unionByName(rows.where(F.col("tm_n") <= config.small).select("tm_key", F.col("tm_node").alias("a"), F.col("root").alias("ra"))).distinct()
@@ -186,7 +201,8 @@ def near_copies(docs: DataFrame, config: Shingles = FIVE_WORDS) -> DataFrame:
     texts = docs.select("doc_id", text_id(F.col("text")).alias("tm_text"), "text")
     marked = stored(sets(texts, config, values=False), "keys")
     first = lambda c: F.first(c).alias(c)  # noqa: E731  # the same for all rows of a node
-    nodes = marked.groupBy("tm_node").agg(F.min("doc_id").alias("tm_least"), F.count("*").alias("tm_rows"), F.min("tm_text").alias("tm_text"), first("tm_code"), first("tm_list"))
+    who = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tm_text").alias("text")))
+    nodes = marked.groupBy("tm_node").agg(F.min("doc_id").alias("tm_least"), F.count("*").alias("tm_rows"), who.alias("tm_who"), first("tm_code"), first("tm_list"))
     nodes = stored(nodes, "nodes")
     found = simhash.with_components(marked.select("doc_id", "tm_text", "tm_node"), nodes.select("tm_node", "tm_least", "tm_rows"), linked(texts, nodes, config))
     return found.select("doc_id", "tm_text", F.hex("tm_node").alias("fingerprint"), "component_id")

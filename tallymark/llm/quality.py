@@ -105,11 +105,12 @@ def host_lines(docs: DataFrame, host: str) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     size = lambda x: F.size(F.split(F.btrim(x, F.lit(BLANKS)), BLANK_RUN))
     keyed = F.transform(lines, lambda x: F.struct(line_key(x, F.col(host)).alias("k"), size(x).alias("w")))
-    own = docs.where(F.col("text").isNotNull()).select("doc_id", text_id(F.col("text")).alias("tm_text"), F.col(host).alias("tm_host"), keyed.alias("tm_keys"))
-    total = F.aggregate(F.array_distinct("tm_keys"), F.lit(0), lambda a, x: a + x["w"])
-    page = digest(F.concat(F.coalesce(F.col("tm_host"), F.lit("\x00")), F.lit("\x1f"), F.hex("tm_text")))
-    rows = own.select("doc_id", "tm_text", page.alias("tm_page"), total.alias("tm_total"), F.posexplode("tm_keys").alias("tm_at", "tm_l"))
-    return rows.select("doc_id", "tm_text", "tm_page", "tm_total", F.col("tm_l.k").alias("tm_line"), "tm_at", F.col("tm_l.w").alias("tm_words"))
+    total = lambda keys: F.aggregate(F.array_distinct(keys), F.lit(0), lambda a, x: a + x["w"])
+    page = lambda text: digest(F.concat(F.coalesce(F.col(host), F.lit("\x00")), F.lit("\x1f"), F.hex(text)))
+    row = lambda text, page, n: lambda x, at: F.struct(text.alias("tm_text"), page.alias("tm_page"), n.alias("tm_total"), x["k"].alias("tm_line"), at.alias("tm_at"), x["w"].alias("tm_words"))
+    # each value is made once a document, though all its lines carry it
+    rows = let(keyed, lambda k: let(total(k), lambda n: let(text_id(F.col("text")), lambda t: let(page(t), lambda p: F.transform(k, row(t, p, n))))))
+    return docs.where(F.col("text").isNotNull()).select("doc_id", F.inline(rows))
 
 
 def frequent_lines(lines: DataFrame, rules: QualityRules) -> DataFrame:
@@ -145,7 +146,7 @@ def judged(docs: DataFrame, host: str, rules: QualityRules, keep: tuple[str, ...
         "left_words": F.col("n_words") - lost,
     })
     depleted = (F.col("n_removed_lines") > 0) & ((F.col("left_words") < rules.min_left_words) | (F.col("left_words") < rules.min_left_share * F.col("n_words")))
-    return both.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    return both.withColumns({"tm_depleted": depleted, "kept": ~F.col("base_failed") & ~depleted})
 
 
 def quality_verdicts(docs: DataFrame, host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
@@ -159,7 +160,9 @@ def clean_documents(docs: DataFrame, host: str = "source", rules: QualityRules =
     """The documents that are kept, without their boilerplate lines; n_chars, where there is one, follows the text."""
     named = ("doc_id", "text", host)
     rows = docs.select(*named, F.struct(F.lit(0).alias("tm_none"), *(c for c in docs.columns if c not in named)).alias("tm_row"))
-    rows = judged(rows, host, rules, (*named, "tm_row")).where("kept")
+    # one condition on both sides of the join, as a part of it alone would be moved below and counted there once more
+    bad = F.greatest(F.col("base_failed").cast("int"), F.col("tm_depleted").cast("int"))
+    rows = judged(rows, host, rules, (*named, "tm_row")).where(bad == 0)
     left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("tm_gone.k"), line_key(x, F.col(host))))
     text = F.when(F.col("tm_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     out = rows.withColumn("text", text)
