@@ -48,6 +48,8 @@ def text_id(text: Column) -> Column:
 
 #: Values that hold more than one in HOT of the rows of a join are spread over several tasks.
 HOT = 2000
+#: Values with fewer rows than this never burden a task.
+FEW = 500
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: str, sizes: DataFrame, by: Column) -> DataFrame:
@@ -55,12 +57,15 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, sizes: DataFrame, by
 
     sizes: (on, tm_rows) with one row for each value of right, tm_rows counting the rows of left that hold it. A value
     with more than one in HOT of all these rows is dealt over as many salts as it holds such parts, left by the hash
-    ``by``, right once for each salt. At most HOT values can be that hot, which bounds what is broadcast.
+    ``by``, right once for each salt. At most HOT values can be that hot; these come to the driver. Usually none is.
     """
     total = sizes.agg(F.sum("tm_rows").alias("tm_total"))
-    hot = sizes.join(F.broadcast(total)).where(F.col("tm_rows") * HOT > F.col("tm_total"))  # total is one row
-    hot = F.broadcast(hot.select(on, F.ceil(F.col("tm_rows") * HOT / F.col("tm_total")).cast("int").alias("tm_salts")))
-    salts = F.coalesce("tm_salts", F.lit(1))
+    hot = sizes.join(F.broadcast(total)).where((F.col("tm_rows") >= FEW) & (F.col("tm_rows") * HOT > F.col("tm_total")))  # total is one row
+    hot = hot.select(on, F.ceil(F.col("tm_rows") * HOT / F.col("tm_total")).cast("int").alias("tm_salts"))
+    rows = hot.collect()
+    if not rows:
+        return left.join(right, on)
+    hot, salts = F.broadcast(left.sparkSession.createDataFrame(rows, hot.schema)), F.coalesce("tm_salts", F.lit(1))
     one = left.join(hot, on, "left").withColumn("tm_salt", F.pmod(by, salts).cast("int")).drop("tm_salts")
     many = right.join(hot, on, "left").withColumn("tm_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("tm_salts")
     return one.join(many, [on, "tm_salt"]).drop("tm_salt")

@@ -141,14 +141,23 @@ def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.drop("root").join(links.withColumnRenamed("node", "tm_node"), "tm_node", "left").withColumn("root", F.coalesce("root", "tm_node"))
 
 
-def sized(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("tm_key").agg(F.count("*").alias("tm_rows"))
+def still_open(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets whose members are not all connected yet, with tm_rows, their number in the bucket."""
+    state = rows.drop("tm_rows").groupBy("tm_key").agg(F.min("root").alias("m"), F.max("root").alias("n"), F.count("*").alias("tm_rows"))
+    state = stored(state.where("m <> n").select("tm_key", "tm_rows"), "open-keys")
+    return spread_join(rows.drop("tm_rows"), state, "tm_key", state, F.xxhash64("tm_node"))
 
 
-def still_open(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets whose members are not all connected yet."""
-    state = rows.groupBy("tm_key").agg(F.min("root").alias("m"), F.max("root").alias("n"), F.count("*").alias("tm_rows")).where("m <> n")
-    return spread_join(rows, state.select("tm_key"), "tm_key", state.select("tm_key", "tm_rows"), F.xxhash64("tm_node"))
+def merged(links: DataFrame, edges: DataFrame) -> DataFrame:
+    """links (node, root) after the roots that edges (a, b) connect have become one."""
+    moved = stored(simhash.components(edges), "moved").withColumnRenamed("root", "to")
+    if moved.isEmpty():
+        return links
+    sizes = links.groupBy("root").agg(F.count("*").alias("tm_rows"))
+    to = moved.withColumnRenamed("node", "root")
+    old = spread_join(links, to, "root", sizes.join(to.select("root"), "root", "left_semi"), F.xxhash64("node")).select("node", F.col("to").alias("root"))
+    same = links.join(F.broadcast(to.select("root")) if moved.count() < 10_000 else to.select("root"), "root", "left_anti").select("node", "root")
+    return stored(old.unionByName(same).unionByName(moved.select("node", F.col("to").alias("root"))), "links")
 
 
 def proposals(rows: DataFrame) -> DataFrame:
@@ -177,8 +186,7 @@ def linked(docs: DataFrame, nodes: DataFrame, config: Shingles) -> DataFrame:
             pairs = spread_join(pairs, own.select(F.col("tm_node").alias(side), F.col("tm_list").alias(name)), side, sizes, F.xxhash64("a", "b"))
         return pairs.where(alike(F.col("x"), F.col("y"), config)).select("a", "b")
 
-    edges = stored(confirmed(near.unionByName(proposals(rows)).distinct()), "edges")
-    links = stored(simhash.components(edges), "roots")
+    links = stored(simhash.components(confirmed(near.unionByName(proposals(rows)).distinct())), "links")
     rows, width = stored(still_open(with_roots(rows, links)), "open"), 1
     while not rows.isEmpty():
         part = F.pmod(F.xxhash64("tm_node"), F.lit(width))
@@ -188,9 +196,11 @@ def linked(docs: DataFrame, nodes: DataFrame, config: Shingles) -> DataFrame:
             first = first.unionByName(rows.where(F.col("tm_n") <= config.small).select("tm_key", F.col("tm_node").alias("a"), F.col("root").alias("ra"))).distinct()
         first = stored(first, "pivots")
         rest = rows.select("tm_key", F.col("tm_node").alias("b"), F.col("root").alias("rb"))
-        pairs = spread_join(rest, first, "tm_key", sized(rows), F.xxhash64("b")).where("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = stored(edges.unionByName(confirmed(pairs)), "edges")
-        links = stored(simhash.components(edges), "roots")
+        pairs = spread_join(rest, first, "tm_key", rows.groupBy("tm_key").agg(F.first("tm_rows").alias("tm_rows")), F.xxhash64("b")).where("ra <> rb")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        ends = confirmed(pairs).select(F.col("a").alias("tm_node"), "b")
+        ends = with_roots(with_roots(ends, links).select(F.col("root").alias("ra"), F.col("b").alias("tm_node")), links)
+        links = merged(links, ends.select(F.col("ra").alias("a"), F.col("root").alias("b")))
         left = rows.join(first.select("tm_key", F.col("a").alias("tm_node")), ["tm_key", "tm_node"], "left_anti")
         rows, width = stored(still_open(with_roots(left, links)), "open"), 2 * width
     return links

@@ -249,10 +249,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(state)
     while before[0]:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("tm_rows"))
+        least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("tm_rows")), "least")
         large = joined_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("tm_rows"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("tm_rows")), "least")
         small = joined_least(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         now = mark(state)
@@ -270,7 +270,7 @@ def with_components(marked: DataFrame, nodes: DataFrame, roots: DataFrame) -> Da
     each node; roots: node, root of those that are not roots themselves."""
     named = nodes.join(roots, F.col("tm_node") == F.col("node"), "left").select("tm_node", "tm_least", "tm_rows", F.coalesce("root", "tm_node").alias("tm_root"))
     named = stored(named, "roots")
-    least = named.groupBy("tm_root").agg(F.min("tm_least").alias("component_id"), F.count("*").alias("tm_rows"))
+    least = stored(named.groupBy("tm_root").agg(F.min("tm_least").alias("component_id"), F.count("*").alias("tm_rows")), "least")
     members = spread_join(named.drop("tm_least"), least.drop("tm_rows"), "tm_root", least.drop("component_id"), F.xxhash64("tm_node"))
     members = stored(members.select("tm_node", "component_id", "tm_rows"), "members")
     return spread_join(marked, members.drop("tm_rows"), "tm_node", members.drop("component_id"), F.xxhash64("doc_id", "tm_text"))
