@@ -25,12 +25,16 @@ def unit_symbol(c: Column) -> Column:
 def net_quantity(raw: Column) -> Column:
     """struct<value double, unit string>: the total after an equals sign if there is one, else the last number with a
     unit; null members where no number has a unit."""
-    all_values, all_units = F.regexp_extract_all(raw, F.lit(NUMBER_UNIT), F.lit(1)), F.regexp_extract_all(raw, F.lit(NUMBER_UNIT), F.lit(2))
-    any_unit = F.size(all_units) > 0
-    total, total_unit = found(raw, TOTAL, 1), found(raw, TOTAL, 2)
-    value = F.when(any_unit, F.coalesce(total, F.try_element_at(all_values, F.lit(-1))))
-    unit = F.when(any_unit, F.when(total.isNotNull(), F.coalesce(total_unit, F.try_element_at(all_units, F.lit(1)))).otherwise(F.try_element_at(all_units, F.lit(-1))))
-    return F.struct(value.try_cast("double").alias("value"), unit_symbol(unit).alias("unit"))
+    group = lambda n: F.regexp_extract_all(raw, F.lit(NUMBER_UNIT), F.lit(n))
+    parts = F.struct(group(1).alias("values"), group(2).alias("units"), found(raw, TOTAL, 1).alias("total"), found(raw, TOTAL, 2).alias("total_unit"))
+
+    def chosen(p: Column) -> Column:
+        end = lambda c, at: F.try_element_at(c, F.lit(at))
+        value = F.coalesce(p["total"], end(p["values"], -1))
+        unit = F.when(p["total"].isNotNull(), F.coalesce(p["total_unit"], end(p["units"], 1))).otherwise(end(p["units"], -1))
+        return let(F.when(F.size(p["units"]) > 0, F.struct(value.try_cast("double").alias("value"), unit.alias("unit"))), lambda x: F.struct(x["value"].alias("value"), unit_symbol(x["unit"]).alias("unit")))
+
+    return let(parts, chosen)
 
 
 def first_number(raw: Column) -> Column:
@@ -38,7 +42,8 @@ def first_number(raw: Column) -> Column:
 
 
 def reference_price(text: Column) -> Column:
-    return first_number(F.replace(text, F.lit(","), F.lit("")))
+    """The first number of a catalogue's price text, commas and currency signs left out."""
+    return found(F.replace(text, F.lit(","), F.lit("")), r"(\d+(?:\.\d+)?)").try_cast("double")
 
 
 def close(a: Column, b: Column) -> Column:
@@ -46,8 +51,16 @@ def close(a: Column, b: Column) -> Column:
 
 
 def plain_number(c: Column) -> Column:
-    """A number with at most six significant digits and no trailing zeros, as in 250 or 0.5."""
-    return F.regexp_replace(c.cast("string"), r"\.0$", "")
+    """A number with at most six significant digits and no trailing zeros, as in 250, 0.5 or 1.5e+06."""
+
+    def shown(x: Column) -> Column:
+        size = F.when(x["v"] == 0, 0).otherwise(F.floor(F.log10(F.abs(x["v"])) + 1e-12)).cast("int")
+        fixed = F.call_function("format_number", F.round(x["v"] * F.pow(F.lit(10.0), 5 - size)) / F.pow(F.lit(10.0), 5 - size), F.lit("0.##########"))
+        power = F.concat(F.when(size < 0, "e-").otherwise("e+"), F.lpad(F.abs(size).cast("string"), 2, "0"))
+        scientific = F.concat(F.call_function("format_number", x["v"] / F.pow(F.lit(10.0), size), F.lit("0.#####")), power)
+        return F.when((size < -4) | (size > 5), scientific).otherwise(fixed)
+
+    return let(F.struct(c.cast("double").alias("v")), lambda x: F.when(x["v"].isNotNull(), shown(x)))
 
 
 def check_digit(body: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as label engines see it: Unicode blanks and the ASCII separators U+001C to U+001F.
@@ -22,6 +22,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns, each computed once a row. They go through a generator of one row, through which the
+    optimizer copies no expression into its users, however many they are, nor into a filter below."""
+    new = F.struct(*(c.alias(name) for name, c in columns.items()))
+    return df.select(*(c for c in df.columns if c not in columns), F.inline(F.array(new)))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -45,10 +52,6 @@ def lines(c: Column) -> Column:
     return F.transform(F.coalesce(trimmed, F.array().cast("array<string>")), clean)
 
 
-def full_lines(c: Column) -> Column:
-    return F.filter(lines(c), lambda x: x != "")
-
-
 def is_major(line: Column) -> Column:
     return line.rlike(MAJOR)
 

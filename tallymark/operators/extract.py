@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
-from ..functions.text import LEGAL_FORM, clean, for_matching, found, full_lines, is_major, let, lines
+from ..functions.text import LEGAL_FORM, clean, for_matching, found, is_major, let, lines, once
 
 #: Fixed values of the label patterns.
 MRP_LINE = r"(?i)\b(?:mrp|m\.r\.p)\b\s*(?:[:=\-x]\s*)?(?:(₹|rs\.?|inr)\s*)?(\d+(?:[.,]\s*\d+)?)\b"
@@ -272,26 +272,34 @@ def maker_address(a: Column, maker: Column) -> Column:
 
 def with_lines(scans: DataFrame) -> DataFrame:
     """scans (scan_id, text, ...) with tm_text ready for matching, tm_lines and tm_full (without empty lines)."""
-    matched = scans.withColumn("tm_text", for_matching(F.coalesce("text", F.lit(""))))
-    return matched.withColumns({"tm_lines": lines(F.col("tm_text")), "tm_full": full_lines(F.col("tm_text"))})
+    cut = once(once(scans, tm_text=for_matching(F.coalesce("text", F.lit("")))), tm_lines=lines(F.col("tm_text")))
+    return once(cut, tm_full=F.filter("tm_lines", lambda x: x != ""))
 
 
-def raw_fields(scans: DataFrame, as_of: Column) -> DataFrame:
-    """scans with a raw text (or null) for each declared field."""
+def raw_fields(scans: DataFrame, as_of: Column, only: tuple[str, ...] | None = None) -> DataFrame:
+    """scans with a raw text (or null) for each declared field, or for those named in only."""
     a, full, text = F.col("tm_lines"), F.col("tm_full"), F.col("tm_text")
-    out = with_lines(scans).withColumns({
-        "mrp_raw": price(a),
-        "net_quantity_raw": quantity(a),
-        "packing_date_raw": packing_date(a, as_of),
-        "use_by_raw": date_after(a, USE_BY_LABEL),
-        "best_before_raw": date_after(a, BEST_BEFORE_LABEL),
+    labelled = lambda label, value: F.when(text.rlike(f"(?i){label}"), value)  # noqa: E731  # lines are only searched for labels that the text has
+    of_text = {
+        "mrp_raw": labelled(r"mrp|m\.r\.p", price(a)),
+        "net_quantity_raw": labelled(NET_LABEL, quantity(a)),
+        "packing_date_raw": labelled(PACKED_LABEL, packing_date(a, as_of)),
+        "use_by_raw": labelled(USE_BY_LABEL, date_after(a, USE_BY_LABEL)),
+        "best_before_raw": labelled(BEST_BEFORE_LABEL, date_after(a, BEST_BEFORE_LABEL)),
         "tm_maker": F.coalesce(maker_explicit(full), maker_at(full), maker_split(full), maker_scored(full)),
         "care_raw": F.trim(found(text, CARE)),
         "batch_raw": found(text, BATCH),
         "origin_raw": F.trim(found(text, ORIGIN)),
-    })
-    out = out.withColumn("address_raw", maker_address(full, F.col("tm_maker"))).withColumn("maker_raw", F.col("tm_maker.name"))
-    return out.withColumn("maker_address_raw", F.coalesce("address_raw", "maker_raw")).drop("tm_maker", "tm_text", "tm_lines", "tm_full")
+    }
+    of_maker = ("maker_raw", "address_raw", "maker_address_raw")
+    wanted = (*of_text, *of_maker) if only is None else only
+    own = {k: v for k, v in of_text.items() if k in wanted or (k == "tm_maker" and set(of_maker) & set(wanted))}
+    out = once(with_lines(scans), **own)
+    if "tm_maker" in own:
+        out = out.withColumn("maker_raw", F.col("tm_maker.name"))
+        if {"address_raw", "maker_address_raw"} & set(wanted):
+            out = once(out, address_raw=maker_address(full, F.col("tm_maker"))).withColumn("maker_address_raw", F.coalesce("address_raw", "maker_raw"))
+    return out.drop("tm_maker", "tm_text", "tm_lines", "tm_full")
 
 
 def normal_fields(raw: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import nonblank, windows
+from ..functions.text import let, once
 
 THRESHOLD, PREFIX = 0.72, 200
 BRAND_AND_NAME, BRAND_ONLY = 0.85, 0.6
@@ -30,23 +31,28 @@ def by_barcode(scans: DataFrame, products: DataFrame) -> DataFrame:
     return scans.select("scan_id", nonblank(F.col("barcode")).alias("tm_code")).join(small(unique), "tm_code").select("scan_id", "reference_product_id")
 
 
-def known_brand(scans: DataFrame, products: DataFrame, few: int = 1_000) -> DataFrame:
-    """scan_id, brand: the first brand in alphabetic order that the text contains, whatever the case.
+def with_brand(scans: DataFrame, products: DataFrame, few: int = 1_000) -> DataFrame:
+    """scans with brand: the first brand in alphabetic order that the text contains, whatever the case, or null.
 
-    A few brands go to all scans as one sorted array. Many are found by an equi-join of their first three letters with
-    the text's distinct windows of three, which holds every hit; only these candidates are held against the text.
+    A few brands go to all scans as one sorted array, without a shuffle. Many are found by an equi-join of their first
+    letters with the text's distinct windows of that length, which holds every hit; only these are held against the text.
     """
     brands = products.select(nonblank(F.col("brand")).alias("brand")).where("brand is not null").distinct()
-    text = scans.select("scan_id", F.lower("text").alias("tm_text"))
     if brands.limit(few + 1).count() <= few:
-        listed = brands.agg(F.array_sort(F.collect_list("brand")).alias("tm_brands"))
-        hit = F.get(F.filter("tm_brands", lambda b: F.contains(F.col("tm_text"), F.lower(b))), F.lit(0))
-        return text.crossJoin(F.broadcast(listed)).select("scan_id", hit.alias("brand")).where("brand is not null")
+        listed = brands.agg(F.array_sort(F.collect_list("brand")).alias("tm_brands"))  # one row of few brands at most
+        hit = lambda low: F.get(F.filter("tm_brands", lambda b: F.contains(low, F.lower(b))), F.lit(0))
+        return once(scans.crossJoin(F.broadcast(listed)), brand=let(F.lower("text"), hit)).drop("tm_brands")
+    text = scans.select("scan_id", F.lower("text").alias("tm_text"))
     size = F.least(F.lit(3), F.length("brand"))
     keyed = brands.withColumn("tm_gram", F.substring(F.lower("brand"), F.lit(1), size))
     grams = F.array_distinct(F.flatten(F.array(*(windows(F.col("tm_text"), n) for n in (1, 2, 3)))))
     hits = text.withColumn("tm_gram", F.explode(grams)).join(keyed, "tm_gram").where(F.contains("tm_text", F.lower("brand")))
-    return hits.groupBy("scan_id").agg(F.min("brand").alias("brand"))
+    return scans.join(hits.groupBy("scan_id").agg(F.min("brand").alias("brand")), "scan_id", "left")
+
+
+def known_brand(scans: DataFrame, products: DataFrame, few: int = 1_000) -> DataFrame:
+    """scan_id, brand of the scans whose text holds a known brand."""
+    return with_brand(scans.select("scan_id", "text"), products, few).select("scan_id", "brand").where("brand is not null")
 
 
 def by_brand(scans: DataFrame, products: DataFrame) -> DataFrame:
@@ -69,20 +75,42 @@ def similarity(a: Column, b: Column) -> Column:
     return F.pandas_udf(ratios, T.DoubleType())(a, b)
 
 
+SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def sign_counts(c: Column) -> Column:
+    """How often each of SIGNS occurs in the lower-case text c, and all other signs together."""
+    counts = [F.length(c) - F.length(F.replace(c, F.lit(x))) for x in SIGNS]
+    return let(F.array(*counts), lambda a: F.concat(a, F.array(F.length(c) - F.aggregate(a, F.lit(0), lambda x, y: x + y))))
+
+
 def by_similarity(scans: DataFrame, products: DataFrame) -> DataFrame:
     """scan_id, reference_product_id, score of the most similar product at or above THRESHOLD, the first of equals.
 
-    The ratio of texts of lengths a and b is 2 min(a, b) / (a + b) at most, so a scan meets only products whose label is
-    about as long: pairs are made by an equi-join on the label's length, which each scan explodes to its feasible range.
+    Distinct texts meet distinct labels. The ratio of texts of lengths a and b is 2 min(a, b) / (a + b) at most, so pairs
+    are made by an equi-join on the label's length, which each text explodes to its feasible range among those there are;
+    a text that is too long for every label, as most are, makes none. Of the pairs, the signs in common bound the ratio
+    once more before any goes to Python.
     """
     own = F.lower("brand") if "brand" in scans.columns else F.lit(None).cast("string")  # a guessed brand's products are scored by by_brand
-    label = products.select("reference_product_id", "catalogue_pos", F.lower("brand").alias("tm_brand"), F.concat_ws(" ", F.col("brand"), F.col("product_name")).alias("tm_label")).withColumn("tm_size", F.length("tm_label"))
-    text = scans.select("scan_id", own.alias("tm_own"), F.substring("text", 1, PREFIX).alias("tm_text")).withColumn("tm_n", F.length("tm_text"))
+    label = products.select("reference_product_id", "catalogue_pos", F.lower("brand").alias("tm_brand"), F.concat_ws(" ", F.col("brand"), F.col("product_name")).alias("tm_label"))
+    label = label.groupBy("tm_label", "tm_brand").agg(F.min(F.struct("catalogue_pos", "reference_product_id")).alias("tm_first"))
+    label = label.select("tm_label", "tm_brand", "tm_first", F.length("tm_label").alias("tm_size"), sign_counts(F.lower("tm_label")).alias("tm_has"))
+    reach = label.agg(F.min("tm_size").alias("tm_low"), F.max("tm_size").alias("tm_high"))  # one row
+    text = scans.select("scan_id", own.alias("tm_own"), F.substring("text", 1, PREFIX).alias("tm_text")).where("tm_text <> ''")
+    text = text.withColumn("tm_n", F.length("tm_text")).join(F.broadcast(reach))
     factor = (2 - THRESHOLD) / THRESHOLD
-    text = text.where("tm_n > 0").withColumn("tm_size", F.explode(F.sequence(F.ceil(F.col("tm_n") / factor).cast("int"), F.floor(F.col("tm_n") * factor).cast("int"))))
-    pairs = text.join(label, "tm_size").where("not coalesce(tm_own = tm_brand, false)").withColumn("score", similarity(F.col("tm_label"), F.col("tm_text"))).where(F.col("score") >= THRESHOLD)
-    best = F.max_by(F.struct("reference_product_id", "score"), F.struct("score", -F.col("catalogue_pos")))
-    return pairs.groupBy("scan_id").agg(best.alias("tm_best")).select("scan_id", "tm_best.reference_product_id", F.round("tm_best.score", 3).alias("score"))
+    low, high = F.greatest(F.ceil(F.col("tm_n") / factor).cast("int"), "tm_low"), F.least(F.floor(F.col("tm_n") * factor).cast("int"), "tm_high")
+    text = text.where(low <= high).withColumns({"tm_from": low, "tm_to": high})
+    short = text.select("tm_own", "tm_text", "tm_n", "tm_from", "tm_to").distinct()
+    sizes = once(short, tm_signs=sign_counts(F.lower("tm_text"))).withColumn("tm_size", F.explode(F.sequence("tm_from", "tm_to")))
+    common = F.aggregate(F.zip_with("tm_has", "tm_signs", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    pairs = sizes.join(small(label), "tm_size").where("not coalesce(tm_own = tm_brand, false)").where(2 * common >= THRESHOLD * (F.col("tm_n") + F.col("tm_size")))
+    pairs = pairs.withColumn("score", similarity(F.col("tm_label"), F.col("tm_text"))).where(F.col("score") >= THRESHOLD)
+    best = F.max_by(F.struct("tm_first.reference_product_id", "score"), F.struct("score", -F.col("tm_first.catalogue_pos")))
+    found = pairs.groupBy(F.col("tm_own").alias("tm_own2"), F.col("tm_text").alias("tm_text2")).agg(best.alias("tm_best"))
+    named = text.join(found, (F.col("tm_text") == F.col("tm_text2")) & F.col("tm_own").eqNullSafe(F.col("tm_own2")))
+    return named.select("scan_id", "tm_best.reference_product_id", F.round("tm_best.score", 3).alias("score"))
 
 
 def matched(scans: DataFrame, products: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -91,12 +119,11 @@ def matched(scans: DataFrame, products: DataFrame, fuzzy: bool = True) -> DataFr
     Barcode hits come first; only the rest go on. The best of brand and similarity counts.
     """
     exact = by_barcode(scans, products).select("scan_id", "reference_product_id", F.lit("barcode").alias("match_method"), F.lit(1.0).alias("match_score"))
-    rest = scans.join(exact, "scan_id", "left_anti")
+    rest = scans.select("scan_id", "text", "brand").join(exact, "scan_id", "left_anti")
     branded = by_brand(rest.where("brand is not null"), products).where(F.col("score") >= THRESHOLD)
     if fuzzy:
-        other = by_similarity(rest, products)
         place = small(products.select("reference_product_id", "catalogue_pos"))
-        scored = branded.unionByName(other).join(place, "reference_product_id")
+        scored = branded.unionByName(by_similarity(rest, products)).join(place, "reference_product_id")
         best = F.max_by(F.struct("reference_product_id", "score"), F.struct("score", -F.col("catalogue_pos"))).alias("b")
         branded = scored.groupBy("scan_id").agg(best).select("scan_id", "b.reference_product_id", "b.score")
     found = exact.unionByName(branded.select("scan_id", "reference_product_id", F.lit("fuzzy").alias("match_method"), F.col("score").alias("match_score")))

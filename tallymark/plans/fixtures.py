@@ -106,7 +106,7 @@ FROM {lineitem}"""
 
 REGIONS = """
 SELECT l_orderkey AS scan_id, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) AS pos, 10 AS x, cast(l_partkey % 600 as int) AS y,
-  cast(l_quantity * 8 as int) AS w, cast(20 + l_partkey % 90 as int) AS h, 400 AS img_w, 700 AS img_h, cast(l_suppkey % 40 as double) / 8 AS gradient_ratio
+  cast(l_quantity * 8 as int) AS w, cast(20 + l_partkey % 90 as int) AS h, 400 AS img_w, 700 AS img_h, cast((l_suppkey + l_partkey) % 40 as double) / 8 AS gradient_ratio
 FROM {lineitem}"""
 
 CONTOURS = """
@@ -124,9 +124,17 @@ VIEWS = {
 TABLES = ("orders", "part", "lineitem")
 
 
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table. The texts that views make of its rows are far larger than the rows; a table of fewer files than the
+    cluster has cores is therefore dealt over all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name == "orders" and len(rows.inputFiles()) < cores else rows
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name].replace('"left"', "`left`")
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in text}
+    used = {t: source(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text}
     literal = re.sub(r"\{(?!(?:%s)\})" % "|".join(TABLES), "{{", re.sub(r"(?<!orders)(?<!part)(?<!lineitem)\}", "}}", text))
     return spark.sql(literal, **used)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, numbers, text
 from ..operators import barcode, compare, extract, match, ocr, rules, vision
 from ..sources import sinks
+from ..storage import stored
 from . import pipeline
 from .fixtures import VIEWS, oracle_view, view
 
@@ -49,12 +50,13 @@ LINES = f"L AS (SELECT scan_id, i, trim(s[i]) AS line, trim(s[i + 1]) AS n1, tri
 MAJOR = "(?i)" + text.MAJOR.replace("(?i)", "")
 
 
-def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.raw_fields(view(spark, sf_dir, "label_scans"), F.lit(AS_OF))
+def fields(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    return extract.raw_fields(view(spark, sf_dir, "label_scans"), F.lit(AS_OF), only or None)
 
 
 def field(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return fields(spark, sf_dir).select("scan_id", name).where(F.col(name).isNotNull())
+    """The rows that have the field. The generator drops the others, as a filter on the column would compute it twice."""
+    return fields(spark, sf_dir, name).select("scan_id", F.explode(F.array_compact(F.array(name))).alias(name))
 
 
 # --- sources, filters, projections
@@ -223,7 +225,7 @@ def manufacturer_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def manufacturer_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fields(spark, sf_dir).select("scan_id", "maker_raw", "address_raw", "maker_address_raw")
+    return fields(spark, sf_dir, "maker_raw", "address_raw", "maker_address_raw").select("scan_id", "maker_raw", "address_raw", "maker_address_raw")
 
 
 def _whole(pattern: str, column: str) -> str:
@@ -297,7 +299,7 @@ _BEST = "T AS (SELECT scan_id, reference_product_id, score FROM (SELECT *, row_n
 
 def guessed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     scans, products = view(spark, sf_dir, "label_scans"), view(spark, sf_dir, "products")
-    return scans.join(match.known_brand(scans, products), "scan_id", "left"), products
+    return stored(match.with_brand(scans.select("scan_id", "text", "barcode"), products), "branded"), products
 
 
 @query("SELECT * FROM T", "label_scans", "products", _BRAND, _SCORED, _BEST)

@@ -109,3 +109,9 @@ def test_queries_take_whole_texts(spark, tmp_path):
     rows = lambda name: {r.doc_id: tuple(r)[1:] for r in QUERIES[name](spark, str(tmp_path)).collect()}
     assert rows("ocr_confusions") == {1: (long.replace("O", "0"), False), 2: ("123 05", True), 3: ("123 abc", False)}
     assert rows("filename_sanitize") == {1: (long[-100:],), 2: ("123_O5",), 3: ("123_abc",)}
+
+
+def test_numbers_are_shown_with_six_digits(spark):
+    values = [250.0, 0.5, 1.25, 1234.5678, 999999.0, 1234567.0, 0.0001234, 0.00001234, 0.0, 100000.4, -2.5, 33.333333333]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(numbers.plain_number(F.col("v")).alias("t")).collect()
+    assert [r.t for r in got] == [f"{v:g}" for v in values]
