@@ -91,6 +91,11 @@ def safe_file_name(c: Column) -> Column:
     return F.coalesce(blank_to_null(F.right(kept, F.lit(100))), F.lit("upload"))
 
 
+def payload_text(c: Column) -> Column:
+    """The text of a decoder's bytes: invalid ones are left out, blanks at the ends too, and nothing is null."""
+    return blank_to_null(F.trim(F.replace(F.make_valid_utf8(c.cast("string")), F.lit("\ufffd"), F.lit(""))))
+
+
 def comma_list(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
 

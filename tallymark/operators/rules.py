@@ -44,9 +44,8 @@ def checks(evidence: DataFrame, rules: DataFrame) -> DataFrame:
     evidence: scan_id, ocr_status, presence (map<field, found>), address_value, address_raw, tampering_status,
     tampering_score, reference_found, comparisons (map<field, struct<live, reference, match, status>>).
     """
-    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; the rule table is broadcast to all scans")
-    rows = evidence.crossJoin(F.broadcast(rules))
+    few = rules.limit(MAX_RULES + 1).count() <= MAX_RULES
+    rows = evidence.crossJoin(F.broadcast(rules) if few else rules)  # the result has a row for each scan and rule either way
     present = lambda n: F.coalesce(F.try_element_at("presence", n), F.lit(False))
     noisy = contact_noise(F.col("address_value"), F.col("address_raw"))
     op, expected, field = F.col("operator"), F.col("expected_value"), F.col("field_name")
@@ -63,6 +62,7 @@ def checks(evidence: DataFrame, rules: DataFrame) -> DataFrame:
     below = score < F.coalesce(expected.try_cast("double"), F.lit(TAMPERING_LIMIT))
     entry = F.try_element_at("comparisons", expected)
     company = (expected == "manufacturer") & same_company(entry["live"], entry["reference"])
+    # The messages of the checks.
     cases = [
         case((F.col("ocr_status") != "success") & (op != "tampering_score_below"), NOT_APPLICABLE, F.lit("Could not be evaluated: text extraction (OCR) was unavailable for this scan.")),
         case((op == "field_present") & bad_address, REVIEW, F.lit("Review required: OCR extracted contact-section text instead of a verified manufacturer/address declaration.")),
@@ -117,6 +117,11 @@ def folded(checked: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
+def applicable(results: Column) -> Column:
+    """The results of rules that could be evaluated."""
+    return F.filter(results, lambda x: x["status"] != NOT_APPLICABLE)
+
+
 def explanation(ocr: Column) -> Column:
     n, m = F.size("missing_fields"), F.size("mismatched_fields")
     gaps = F.when(n > 0, F.concat(n.cast("string"), F.lit(" mandatory declaration(s) missing: "), F.array_join("missing_fields", ", "), F.lit(".")))

@@ -25,10 +25,15 @@ def barcode_regions(regions: DataFrame) -> DataFrame:
 
 
 def sticker_boxes(contours: DataFrame) -> DataFrame:
-    """Four-cornered contours of a sticker's size, BOXES_KEPT a scan at most in the order found."""
+    """Four-cornered contours of a sticker's size."""
     share = F.col("w") * F.col("h") / F.col("image_area")
-    kept = contours.where(share.between(0.004, 0.12) & (F.col("vertices") == 4) & (F.col("rectangularity") > 0.85))
-    return kept
+    return contours.where(share.between(0.004, 0.12) & (F.col("vertices") == 4) & (F.col("rectangularity") > 0.85))
+
+
+def shown_boxes(contours: DataFrame) -> DataFrame:
+    """The sticker boxes that a response lists: the first BOXES_KEPT of each scan in the order found (pos)."""
+    ranked = sticker_boxes(contours).withColumn("tm_rank", F.row_number().over(Window.partitionBy("scan_id").orderBy("pos")))
+    return ranked.where(F.col("tm_rank") <= BOXES_KEPT).drop("tm_rank")
 
 
 def noise_spread(tiles: DataFrame) -> DataFrame:
@@ -48,6 +53,21 @@ def tampering(contours: DataFrame, tiles: DataFrame) -> DataFrame:
     return both.select("scan_id", F.coalesce("n_boxes", F.lit(0)).alias("n_boxes"), score.alias("tampering_score"), (score > ANOMALY).alias("anomaly_detected"))
 
 
+def tampering_evidence(contours: DataFrame, tiles: DataFrame, mode: str, remote: DataFrame | None = None) -> DataFrame:
+    """scan_id, tampering_status, tampering_score by mode: "heuristic" scores the features, "remote" takes the scores
+    (scan_id, tampering_score) that a remote scorer gave, "disabled" gives none. Scans without a score are unavailable."""
+    if mode not in ("heuristic", "remote", "disabled"):
+        raise ValueError(f"unknown tampering mode {mode!r}")
+    scans = contours.select("scan_id").unionByName(tiles.select("scan_id")).distinct()
+    scored = tampering(contours, tiles).select("scan_id", "tampering_score") if mode == "heuristic" else remote if mode == "remote" else None
+    if scored is None:
+        return scans.select("scan_id", F.lit("unavailable").alias("tampering_status"), F.lit(None).cast("double").alias("tampering_score"))
+    both = scans.join(scored, "scan_id", "left")
+    if mode == "heuristic":
+        both = both.where("tampering_score is not null")  # scans without boxes and smooth tiles have no features
+    return both.select("scan_id", F.when(F.col("tampering_score").isNull(), "unavailable").otherwise("success").alias("tampering_status"), "tampering_score")
+
+
 def resize_factor(height: Column, width: Column, low: int = 800, high: int = 1800) -> Column:
     """The factor that brings the longer side into a range."""
     side = F.greatest(height, width)

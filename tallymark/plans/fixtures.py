@@ -46,6 +46,7 @@ SELECT o_orderkey AS scan_id, o_orderdate AS created_at,
   cast(o_orderkey * 37 % 101 as double) / 100 AS tampering_score
 FROM {{orders}} JOIN {{part}} ON p_partkey = o_orderkey % (SELECT count(*) FROM {{part}})"""
 
+#: The shipped rules.
 _RULES = [
     ("LM-001", "MRP declaration present", "mrp", "field_present", None, "high", "Every packaged commodity must declare the Maximum Retail Price."),
     ("LM-002", "Net quantity declaration present", "net_quantity", "field_present", None, "high", "Every packaged commodity must declare its net quantity."),
@@ -110,7 +111,7 @@ SELECT l_orderkey AS scan_id, cast(row_number() OVER (PARTITION BY l_orderkey OR
 FROM {lineitem}"""
 
 CONTOURS = """
-SELECT l_orderkey AS scan_id, 0 AS x, 0 AS y, cast(l_quantity as int) * 2 AS w, cast(10 + l_partkey % 60 as int) AS h, cast(3 + l_linenumber % 2 as int) AS vertices, cast(80 + l_suppkey % 20 as double) / 100 AS rectangularity, cast(40000 as bigint) AS image_area
+SELECT l_orderkey AS scan_id, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) AS pos, 0 AS x, 0 AS y, cast(l_quantity as int) * 2 AS w, cast(10 + l_partkey % 60 as int) AS h, cast(3 + l_linenumber % 2 as int) AS vertices, cast(80 + l_suppkey % 20 as double) / 100 AS rectangularity, cast(40000 as bigint) AS image_area
 FROM {lineitem}"""
 
 TILES = """

@@ -216,11 +216,12 @@ def address_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT scan_id, CASE scan_id % 6 WHEN 0 THEN 'Maker ' || substr('ABCDEFG', cast(scan_id % 7 AS int) + 1, 1) || ' Foods Pvt Ltd' WHEN 1 THEN 'Acme Foods Private Limited' WHEN 2 THEN 'Northern Food Specialities Limited Sector 9, Delhi' WHEN 3 THEN 'Zed Products Industries Ltd' ELSE 'Global Biscuits Foods Pvt Ltd' END AS maker_raw FROM label_scans WHERE text IS NOT NULL AND scan_id % 6 IN (0, 1, 3, 4)",
+    r"""SELECT scan_id, coalesce(nullif(regexp_extract(t, '(?i)(?:^|\n)(?:mfd|manufactured|packed|marketed) by[ :]*\n?([^\n]*(?:limited|ltd)[^\n]*)', 1), ''), nullif(regexp_extract(t, '(?i)(?:^|\n)(?:mfd|manufactured|packed|marketed)\nby\n([^\n]*(?:limited|ltd)[^\n]*)', 1), ''),
+    nullif(regexp_extract(t, '(?i)(?:^|\n)((?:at:)?[a-z ]*(?:limited|ltd))(?:\n|$)', 1), '')) AS maker_raw FROM (SELECT scan_id, """ + NORMAL + r""" AS t FROM label_scans WHERE text IS NOT NULL) WHERE regexp_matches(t, '(?i)\b(?:limited|ltd)\b')""",
     "label_scans",
 )
 def manufacturer_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return field(spark, sf_dir, "maker_raw").where("scan_id % 6 in (0, 1, 3, 4)")
+    return field(spark, sf_dir, "maker_raw")
 
 
 @query()
@@ -257,7 +258,7 @@ def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.clean(F.col("text")).alias("clean"))
 
 
-@query("SELECT doc_id, translate(substr(text, 1, 40), 'OoIlS', '00115') AS digits, regexp_full_match(regexp_replace(regexp_replace(substr(text, 1, 3), '[\\s()]', '', 'g'), '(?i)^(?:₹|rs\\.?|inr)', ''), '[0-9OoIlS.,/]+') AS numeric_like FROM documents")
+@query("SELECT doc_id, translate(text, 'OoIlS', '00115') AS digits, regexp_full_match(regexp_replace(regexp_replace(text, '[\\s()]', '', 'g'), '(?i)^(?:₹|rs\\.?|inr)', ''), '[0-9OoIlS.,/]+') AS numeric_like FROM documents")
 def ocr_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.digits_for_letters(F.col("text")).alias("digits"), text.looks_numeric(F.col("text")).alias("numeric_like"))
 
@@ -267,7 +268,7 @@ def currency_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "label_scans").select("scan_id", text.rupee_prefix(F.col("text")).alias("marked"))
 
 
-@query("SELECT doc_id, coalesce(nullif(right(regexp_replace(replace(trim(substr(text, 1, 130)), ' ', '_'), '[^A-Za-z0-9._-]', '', 'g'), 100), ''), 'upload') AS name FROM documents")
+@query("SELECT doc_id, coalesce(nullif(right(regexp_replace(replace(trim(text), ' ', '_'), '[^A-Za-z0-9._-]', '', 'g'), 100), ''), 'upload') AS name FROM documents")
 def filename_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.safe_file_name(F.col("text")).alias("name"))
 
@@ -318,6 +319,13 @@ def match_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT scan_id, coalesce(x.reference_product_id, y.reference_product_id) AS reference_product_id, CASE WHEN x.scan_id IS NOT NULL THEN 'barcode' WHEN y.scan_id IS NOT NULL THEN 'fuzzy' END AS match_method, CASE WHEN x.scan_id IS NOT NULL THEN 1.0::double WHEN y.scan_id IS NOT NULL THEN y.score ELSE 0.0::double END AS match_score FROM label_scans LEFT JOIN E x USING (scan_id) LEFT JOIN (SELECT * FROM T WHERE score >= 0.72) y USING (scan_id)",
     "label_scans", "products", _BRAND, _SCORED, _BEST, "E AS (SELECT scan_id, arg_min(reference_product_id, catalogue_pos) AS reference_product_id FROM label_scans JOIN products USING (barcode) WHERE barcode <> '' GROUP BY scan_id)",
 )
+def match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Barcode, then brand and name, without the similarity of texts."""
+    scans, products = guessed(spark, sf_dir)
+    return match.matched(scans, products, fuzzy=False).select("scan_id", "reference_product_id", "match_method", "match_score")
+
+
+@query()
 def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans, products = guessed(spark, sf_dir)
     return match.matched(scans, products).select("scan_id", "reference_product_id", "match_method", "match_score")
@@ -450,11 +458,44 @@ def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.folded(*checked(spark, sf_dir)).select("scan_id", F.array_join("warnings", "|").alias("warnings"))
 
 
-@query()
+_GAPS = "CASE WHEN missing <> '' THEN cast(len(string_split(missing, ', ')) AS varchar) || ' mandatory declaration(s) missing: ' || missing || '.' END"
+_DIFFER = "CASE WHEN c_mrp = 'MISMATCH' AND c_net = 'MISMATCH' THEN '2 field(s) do not match the reference: mrp, net_quantity.' WHEN c_mrp = 'MISMATCH' THEN '1 field(s) do not match the reference: mrp.' WHEN c_net = 'MISMATCH' THEN '1 field(s) do not match the reference: net_quantity.' END"
+
+
+@query(
+    f"""SELECT scan_id, CASE WHEN ocr <> 'success' THEN 'Text could not be read, so text rules were not evaluated. Risk level: MEDIUM.' ELSE
+    concat_ws(' ', {_GAPS}, {_DIFFER}, CASE WHEN missing = '' AND coalesce(c_mrp, '') <> 'MISMATCH' AND coalesce(c_net, '') <> 'MISMATCH' THEN 'All evaluated declarations are present and consistent.' END, 'Risk level: ' || {_RISK} || '.') END AS explanation FROM F JOIN evidence USING (scan_id)""",
+    "evidence", "rules", _CHECKS, _FOLD,
+)
 def explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.folded(*checked(spark, sf_dir)).select("scan_id", "explanation")
 
 
+@query("SELECT scan_id, string_agg(rule_code || '=' || status || ':' || severity, ',' ORDER BY rule_pos) AS results FROM K GROUP BY scan_id", "evidence", "rules", _CHECKS)
+def rule_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.transform("rule_results", lambda x: F.concat(x["rule_code"], F.lit("="), x["status"], F.lit(":"), x["severity"]))
+    return rules.folded(*checked(spark, sf_dir)).select("scan_id", F.array_join(shown, ",").alias("results"))
+
+
+@query("SELECT scan_id, string_agg(rule_code, ',' ORDER BY rule_pos) AS applicable FROM K WHERE status <> 'NOT_APPLICABLE' GROUP BY scan_id", "evidence", "rules", _CHECKS)
+def applicable_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.transform(rules.applicable(F.col("rule_results")), lambda x: x["rule_code"])
+    return rules.folded(*checked(spark, sf_dir)).select("scan_id", F.array_join(kept, ",").alias("applicable")).where("applicable <> ''")
+
+
+@query(
+    """SELECT scan_id, array_to_string(list_filter([CASE WHEN ocr <> 'success' THEN 'OCR unavailable' END, CASE WHEN zero THEN 'near-zero declarations' END, CASE WHEN ocr <> 'success' THEN 'OCR did not complete successfully; results may be incomplete.' END,
+    CASE WHEN scan_id % 4 <> 0 THEN 'No barcode detected on this image.' END, CASE WHEN tampering_status <> 'success' THEN 'Tampering evidence unavailable for this scan.' END,
+    CASE WHEN NOT reference_found THEN 'No matching reference product found; showing extraction and available checks only.' END], lambda x: x IS NOT NULL), '|') AS warnings FROM F JOIN evidence USING (scan_id)""",
+    "evidence", "rules", _CHECKS, _FOLD,
+)
+def response_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks, seen = checked(spark, sf_dir)
+    seen = seen.withColumn("barcode", F.when(F.col("scan_id") % 4 == 0, F.lit("8901")).otherwise(""))
+    rows = rules.folded(checks, seen).join(seen.drop("comparisons"), "scan_id")
+    return rows.select("scan_id", F.array_join(pipeline.response_warnings(), "|").alias("warnings"))
+
+
 @query(f"SELECT scan_id, {_COUNT} AS declarations FROM evidence", "evidence")
 def declaration_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = gathered(spark, sf_dir)
@@ -487,6 +528,11 @@ def ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.scan_texts(ocr.text_lines(view(spark, sf_dir, "ocr_words"))).select("scan_id", "pass_no", "text")
 
 
+@query("SELECT scan_id, pass_no FROM (SELECT scan_id, pass_no, round(avg(confidence), 4) AS confidence FROM N GROUP BY scan_id, pass_no) WHERE confidence < 0.45", "ocr_words", _USABLE, _OCR_LINES)
+def ocr_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.needs_retry(ocr.scan_texts(ocr.text_lines(view(spark, sf_dir, "ocr_words")))).select("scan_id", "pass_no")
+
+
 @query("SELECT scan_id, pass_no FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY quality DESC, pass_no) AS r FROM X) WHERE r = 1", "ocr_words", _USABLE, _OCR_LINES, _OCR_TEXTS)
 def ocr_pass_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.best_pass(ocr.scan_texts(ocr.text_lines(view(spark, sf_dir, "ocr_words")))).select("scan_id", "pass_no")
@@ -552,9 +598,79 @@ def tamper_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vision.tampering(view(spark, sf_dir, "contours"), view(spark, sf_dir, "tiles")).select("scan_id", "n_boxes", "tampering_score")
 
 
+@query("SELECT scan_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY pos) AS r FROM contours WHERE w * h / image_area::double BETWEEN 0.004 AND 0.12 AND vertices = 4 AND rectangularity > 0.85) WHERE r <= 20", "contours")
+def sticker_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vision.shown_boxes(view(spark, sf_dir, "contours")).select("scan_id", "pos")
+
+
+_SIDES = "S AS (SELECT p_partkey AS scan_id, (p_partkey * 37 % 3000 + 40)::int AS width, (p_partkey * 53 % 2500 + 40)::int AS height FROM part)"
+
+
+def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k.alias("scan_id"), (k * 37 % 3000 + 40).cast("int").alias("width"), (k * 53 % 2500 + 40).cast("int").alias("height"))
+
+
+@query("SELECT scan_id, round(CASE WHEN greatest(width, height) > 1800 THEN 1800.0::double / greatest(width, height) WHEN greatest(width, height) < 800 THEN 800.0::double / greatest(width, height) ELSE 1.0 END, 6)::double AS factor FROM S", _SIDES)
+def resize_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sides(spark, sf_dir).select("scan_id", F.round(vision.resize_factor(F.col("height"), F.col("width")), 6).alias("factor"))
+
+
+@query(
+    "SELECT scan_id, 'whole' AS region, 0 AS x, 0 AS y, width AS w, height AS h FROM S UNION ALL SELECT scan_id, 'lower', 0, height // 2, width, height - height // 2 FROM S UNION ALL SELECT scan_id, 'lower_left', 0, height // 2, width // 2, height - height // 2 FROM S UNION ALL SELECT scan_id, 'lower_right', width // 2, height // 2, width - width // 2, height - height // 2 FROM S",
+    _SIDES,
+)
+def decoder_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vision.decoder_regions(sides(spark, sf_dir))
+
+
+@query("SELECT k, regexp_full_match(t, '([0-9]{1,2} *[/-] *[0-9]{1,2}( *[/-] *[0-9]{2,4})?|[0-9]{1,2} *[.] *[0-9]{1,2} *[.] *[0-9]{2,4})') AS looks FROM (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN '5/3/24' WHEN 1 THEN '05 - 03' WHEN 2 THEN '5.3' WHEN 3 THEN '5.3.2024' WHEN 4 THEN 'May 2024' ELSE '123/4/24' END AS t FROM part)")
+def date_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text_ = F.element_at(F.array(*map(F.lit, ("5/3/24", "05 - 03", "5.3", "5.3.2024", "May 2024", "123/4/24"))), (k % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(k.alias("k"), dates.looks_like_date(text_).alias("looks"))
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 4 THEN NULL ELSE round(p_partkey + 1000, 2)::double END AS price FROM part")
+def reference_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    shown = F.call_function("format_number", k + 1000, F.lit("#,##0.00"))
+    forms = F.when(k % 5 == 0, F.concat(F.lit("₹"), shown)).when(k % 5 == 1, F.concat(F.lit("Rs. "), shown, F.lit(" (incl.)"))).when(k % 5 == 2, shown).when(k % 5 == 3, (k + 1000).cast("string")).otherwise("on request")
+    return table(spark, sf_dir, "part").select(k.alias("k"), numbers.reference_price(forms).alias("price"))
+
+
+@query("SELECT k, printf('%g', v) AS shown FROM (SELECT p_partkey AS k, p_partkey * 12.5 / (1 + p_partkey % 7) AS v FROM part)")
+def number_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k.alias("k"), numbers.plain_number(k * 12.5 / (1 + k % 7)).alias("shown"))
+
+
+@query("SELECT k, CASE WHEN k % 3 = 0 THEN NULL ELSE 'code ' || k END AS payload FROM (SELECT p_partkey AS k FROM part)")
+def payload_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    raw = F.when(k % 3 == 0, F.lit(b"  \xff ")).otherwise(F.concat(F.lit(b" \xfecode "), k.cast("string").cast("binary"), F.lit(b"\xc3")))
+    return table(spark, sf_dir, "part").select(k.alias("k"), text.payload_text(raw).alias("payload"))
+
+
+@query("SELECT mode, scan_id, status, score FROM (SELECT 'heuristic' AS mode, coalesce(b.scan_id, Z.scan_id) AS scan_id, 'success' AS status, round(0.5 * least(coalesce(n, 0) / 3.0, 1.0) + 0.5 * coalesce(s, 0), 3)::double AS score FROM (SELECT scan_id, count(*) AS n FROM contours WHERE w * h / image_area::double BETWEEN 0.004 AND 0.12 AND vertices = 4 AND rectangularity > 0.85 GROUP BY scan_id) b FULL JOIN Z ON b.scan_id = Z.scan_id) UNION ALL SELECT m, scan_id, 'unavailable', NULL FROM (SELECT unnest(['disabled', 'remote']) AS m), (SELECT scan_id FROM contours UNION SELECT scan_id FROM tiles)", "contours", "tiles", _NOISE)
+def tampering_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a remote scorer the remote mode is unavailable, as the disabled one is."""
+    seen = {m: vision.tampering_evidence(view(spark, sf_dir, "contours"), view(spark, sf_dir, "tiles"), m) for m in ("heuristic", "disabled", "remote")}
+    rows = [d.select(F.lit(m).alias("mode"), "scan_id", F.col("tampering_status").alias("status"), F.col("tampering_score").alias("score")) for m, d in seen.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 # --- tables
 
 
+@query("SELECT o_orderkey AS scan_id, o_orderstatus AS status, count(l_linenumber) AS details FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+def header_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan_id"), F.col("o_orderstatus").alias("status"))
+    details = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scan_id"), "l_linenumber")
+    joined = sinks.with_details(header, details=details)
+    return joined.select("scan_id", "status", F.size("details").cast("long").alias("details"))
+
+
 _OLD = "A AS (SELECT reference_product_id, brand, mrp FROM products WHERE catalogue_pos % 2 = 0), B AS (SELECT reference_product_id, 'new ' || brand AS brand, NULL::double AS mrp FROM products WHERE catalogue_pos % 3 = 0)"
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .. import schemas
+from ..context import RunContext
 from ..operators.rules import stored_risk, stored_status
 
 
@@ -33,35 +36,69 @@ def insert_missing(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     return target.unionByName(source.join(target.select(key), key, "left_anti"))
 
 
+FIELDS = {
+    "mrp": ("mrp", "mrp_raw"), "net_quantity": ("net_quantity", "net_quantity_raw"), "manufacturer": ("manufacturer", "maker_raw"), "manufacturer_address": ("maker_address_raw", "maker_address_raw"),
+    "manufacturing_date": ("manufacturing_date", "packing_date_raw"), "packing_date": ("packing_date", "packing_date_raw"), "use_by": ("use_by", "use_by_raw"), "best_before": ("best_before", "best_before_raw"),
+    "consumer_care_contact": ("customer_care", "care_raw"), "batch_lot_number": ("batch_raw", "batch_raw"), "country_of_origin": ("origin_raw", "origin_raw"), "brand": ("brand", "brand"),
+}
+
+
+def field_struct() -> Column:
+    """struct<field: struct<value, unit, raw, found>> of an evaluated scan."""
+    unit = {"net_quantity": F.col("net_quantity_unit"), "mrp": F.col("mrp_currency")}
+    one = lambda name, value, raw: F.struct(F.col(value).cast("string").alias("value"), unit.get(name, F.lit(None).cast("string")).alias("unit"), F.col(raw).alias("raw"), F.col(raw).isNotNull().alias("found"))
+    return F.struct(*(one(name, *columns).alias(name) for name, columns in FIELDS.items()))
+
+
 def detail_tables(results: DataFrame) -> dict[str, DataFrame]:
-    """The rows of the five result tables of evaluated scans."""
-    header = results.select("scan_id", "created_at", F.col("barcode").alias("detected_barcode"), "reference_product_id", "tampering_score", F.col("overall_status").alias("status"))
-    return {
-        "scan_records": header,
-        "ocr_results": results.select("scan_id", F.col("text").alias("raw_text"), F.to_json(F.struct("mrp", "net_quantity", "net_quantity_unit"), {"ignoreNullFields": "false"}).alias("structured_data")),
-        "barcode_results": results.select("scan_id", "barcode", (F.coalesce("barcode", F.lit("")) != "").alias("detected")),
-        "tampering_results": results.select("scan_id", "tampering_score", F.col("tampering_status").alias("status")),
-        "compliance_results": results.select("scan_id", stored_status(F.col("overall_status")).alias("overall_status"), stored_risk(F.col("risk_level")).alias("risk_level"), F.to_json("missing_fields").alias("missing_fields"), "explanation", "engine_version"),
-    }
-
-
-def append(results: DataFrame, folder: str) -> dict[str, str]:
-    """Appends the result tables below folder, the header first; a detail that fails does not undo the others. Gives
-    each table's error or an empty text."""
-    done = {}
+    """The rows of the five result tables of evaluated scans, with the columns of schemas. Confidences, paths and times
+    are those of the engines that read the scans, null where results have none."""
+    have = lambda name, kind: F.col(name) if name in results.columns else F.lit(None).cast(kind).alias(name)
+    rows = results.select("*", *(have(n, k) for n, k in (("ocr_confidence", "double"), ("barcode_confidence", "double"), ("heatmap_path", "string"), ("image_path", "string"), ("image_url", "string"), ("processing_time_ms", "int")) if n not in results.columns))
+    json = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    status, risk = stored_status(F.col("overall_status")), stored_risk(F.col("risk_level"))
+    tables = {
+        "scan_records": rows.select(
+            "scan_id", "created_at", "image_path", "image_url", F.nullif("barcode", F.lit("")).alias("detected_barcode"), F.col("ref_product_name").alias("detected_product_name"),
+            F.coalesce("ref_brand", "brand").alias("detected_brand"), "reference_product_id", "ocr_confidence", "tampering_score", status.alias("status"),
+        ),
+        "ocr_results": rows.select("scan_id", F.col("text").alias("raw_text"), F.col("ocr_confidence").alias("confidence"), json(field_struct()).alias("structured_data")),
+        "barcode_results": rows.select("scan_id", F.nullif("barcode", F.lit("")).alias("barcode"), (F.coalesce("barcode", F.lit("")) != "").alias("detected"), F.col("barcode_confidence").alias("confidence")),
+        "tampering_results": rows.select("scan_id", "tampering_score", F.col("tampering_status").alias("status"), "heatmap_path"),
+        "compliance_results": rows.select(
+            "scan_id", status.alias("overall_status"), risk.alias("risk_level"), F.col("reference_found").alias("reference_match"), json("matched_fields").alias("matched_fields"), json("mismatched_fields").alias("mismatched_fields"),
+            json("missing_fields").alias("missing_fields"), json("rule_results").alias("rule_results"), "explanation", "engine_version", "rules_version", "processing_time_ms",
+        ),
+    }
+    return {name: df.to(spark_schema(name)) for name, df in tables.items()}
+
+
+def spark_schema(table: str) -> StructType:
+    return StructType.fromDDL(getattr(schemas, table.upper()))
+
+
+def append(results: DataFrame, folder: str, batch: int | None = None) -> None:
+    """Appends the result tables below folder, the header first, so that no detail is without its header. An error goes
+    to the caller. With a batch number each table's part of that batch is replaced, so a batch that is repeated after a
+    failure leaves its rows once."""
     for name, rows in detail_tables(results).items():
-        try:
+        if batch is None:
             rows.write.mode("append").parquet(f"{folder}/{name}")
-            done[name] = ""
-        except Exception as e:  # reported to the caller, who decides
-            done[name] = str(e)
-            if name == "scan_records":
-                break
-    return done
+        else:
+            rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/{name}")
+
+
+def with_details(header: DataFrame, **details: DataFrame) -> DataFrame:
+    """header with an array column for each table of details, in no order; empty where a scan has none."""
+    for name, rows in details.items():
+        own = rows.groupBy("scan_id").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "scan_id"))).alias(name))
+        header = header.join(own, "scan_id", "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
+    return header
 
 
-def history(records: DataFrame, limit: int = 50) -> DataFrame:
-    """The latest scans. The order is total, so ties are settled by id."""
-    rows = records.orderBy(F.desc("created_at"), F.desc("scan_id")).limit(limit)
+def history(records: DataFrame, limit: int | None = None, context: RunContext = RunContext()) -> DataFrame:
+    """The latest scans, at least one and at most context.history_most. The order is total, so ties are settled by id."""
+    wanted = context.history_default if limit is None else limit
+    rows = records.orderBy(F.desc("created_at"), F.desc("scan_id")).limit(max(1, min(wanted, context.history_most)))
     found = F.coalesce("reference_product_id", F.lit("")) != ""
     return rows.select(F.col("scan_id").cast("string").alias("scan_id"), "created_at", F.coalesce("detected_product_name", F.lit("")).alias("product_name"), found.alias("reference_found"), F.col("status").alias("compliance_status"))

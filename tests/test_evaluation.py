@@ -94,7 +94,17 @@ def test_evaluation(spark, sf, products):
     assert checks["LM-001"] == checks["LM-006"] == checks["TP-001"] == checks["REF-001"] == "PASS"
     assert "X-003" not in checks and "X-005" not in checks and "X-006" not in checks and "X-004" in checks
     body = json.loads(pipeline.response_json(pipeline.evaluate(s, products, view(spark, sf, "rules"))).where("scan_id = 1").first().response)
-    assert body["match_method"] is None and body["overall_status"] == "NON_COMPLIANT"
+    assert body["product"]["match_method"] is None and body["compliance"]["overall_status"] == "NON_COMPLIANT" and body["status"] == "completed"
+    assert list(body["extracted_fields"]) == list(sinks.FIELDS) and body["extracted_fields"]["mrp"] == {"value": None, "unit": None, "raw": None, "found": False}
+    assert body["warnings"][-1].startswith("No matching reference product") and body["ocr"]["raw_text"] == "blank"
+
+
+def test_reference_prices_as_printed(spark, sf, products):
+    """Prices with signs and commas in the catalogue's texts compare as numbers."""
+    shop = products.where("catalogue_pos = 1").withColumn("barcode", F.lit("1")).withColumn("reference_fields_json", F.lit('{"mrp": "₹1,250.50"}'))
+    s = scans(spark, ("MRP Rs. 1250.50", "1", "success"), ("MRP Rs. 1251", "1", "success"))
+    got = {r.scan_id: r for r in pipeline.evaluate(s, shop, view(spark, sf, "rules")).collect()}
+    assert "mrp" in got[0].matched_fields and "mrp" in got[1].mismatched_fields
 
 
 def test_order_and_partitions_do_not_matter(spark, sf, products):
@@ -118,7 +128,9 @@ def test_ids_run_on(spark):
 
 def test_tables(spark, sf, products, tmp_path):
     out = pipeline.evaluate(scans(spark, ("blank", None, "success")), products, view(spark, sf, "rules"))
-    assert set(sinks.append(out, str(tmp_path)).values()) == {""}
+    sinks.append(out, str(tmp_path))
+    for name, rows in sinks.detail_tables(out).items():
+        assert rows.schema.names == sinks.spark_schema(name).names and spark.read.parquet(f"{tmp_path}/{name}").count() == 1
     row = spark.read.parquet(f"{tmp_path}/compliance_results").first()
     assert (row.overall_status, row.risk_level) == ("non_compliant", "high")
     twice = sinks.upsert(products.select("reference_product_id", "mrp"), spark.createDataFrame([("p0", None), ("p9", 9.0)], "reference_product_id string, mrp double"), "reference_product_id")
@@ -175,12 +187,16 @@ def test_empty_inputs(spark, sf, products):
 
 
 def test_stream(spark, sf, products, tmp_path):
-    from tallymark.streaming.scans import start
+    from tallymark.streaming.scans import SCANS, start
 
     scans(spark, ("MRP Rs. 30", None, "success"), ("blank", None, "success")).write.json(str(tmp_path / "in"))
     run = start(spark, str(tmp_path / "in"), products, view(spark, sf, "rules"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert run.awaitTermination(180)
     assert spark.read.parquet(str(tmp_path / "out/scan_records")).count() == 2
+    # the batch comes again, as after a failure between writing and its record
+    again = pipeline.evaluate(spark.read.schema(SCANS).json(str(tmp_path / "in")), products, view(spark, sf, "rules"))
+    sinks.append(again, str(tmp_path / "out"), 0)
+    assert spark.read.parquet(str(tmp_path / "out/compliance_results")).count() == 2
 
 
 @settings(max_examples=15, deadline=None)
