@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import collections
+import hashlib
+import math
 import random
+import re
+
+import pytest
 
 import corpus_pipeline
+from tallymark.llm import bpe
 from tallymark.llm.common import ship
 
 
@@ -19,6 +26,121 @@ def test_stages(spark, sf):
     assert last.count() == before and last.where("not round_trip").count() == 0
 
 
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def quality_by_force(rows):
+    """The quality stage over dictionaries; no near copies but exact ones are among the rows."""
+    pages = collections.defaultdict(set)
+    split = lambda t: [x for x in t.split("\n") if x.strip(BLANKS)]
+    for r in rows:
+        for line in split(r["text"] or ""):
+            pages[r["source"], line.strip(BLANKS).lower()].add(r["text"])
+    out = []
+    for r in rows:
+        words = (r["text"] or "").split()
+        windows = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        again = {i + k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(8)}
+        gone = [x for x in split(r["text"] or "") if len(pages[r["source"], x.strip(BLANKS).lower()]) > 20]
+        left = len(words) - sum(len(x.split()) for x in gone)
+        if len(words) < 20 or 100 * len(again) > 30 * len(words) or (gone and (left < 20 or left < 0.3 * len(words))):
+            continue
+        out.append(r | {"text": "\n".join(x for x in r["text"].split("\n") if x not in gone)})
+    return out
+
+
+def lines_by_force(rows):
+    holders = collections.defaultdict(set)
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(BLANKS))
+    for r in rows:
+        for x in r["text"].split("\n"):
+            if len(key(x)) >= 40:
+                holders[key(x)].add(r["doc_id"])
+    keep = lambda r, x: len(holders[key(x)]) < 5 or max(holders[key(x)]) == r["doc_id"]
+    return [r | {"text": "\n".join(x for x in r["text"].split("\n") if keep(r, x))} for r in rows]
+
+
+def copies_by_force(rows):
+    of = [{tuple(r["text"].lower().split()[i : i + 5]) for i in range(max(1, len(r["text"].split()) - 4))} for r in rows]
+    label = list(range(len(rows)))
+    grew = True
+    while grew:
+        grew = False
+        for a in range(len(rows)):
+            for b in range(a):
+                if label[a] != label[b] and 5 * len(of[a] & of[b]) >= 4 * len(of[a] | of[b]):
+                    label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+                    grew = True
+    return [min((r for r, x in zip(rows, label) if x == group), key=lambda r: r["doc_id"]) for group in set(label)]
+
+
+def mix_by_force(rows):
+    """Languages by weight, sources evenly, each filled up to what it has, then the seeded prefix of each leaf."""
+
+    def share(budget, caps, weights):
+        out, open_ = {}, set(caps)
+        while open_:
+            total = sum(weights.get(k, 1.0) for k in open_)
+            full = {k for k in open_ if caps[k] * total <= budget * weights.get(k, 1.0)}
+            if not full:
+                return out | {k: budget * weights.get(k, 1.0) / total for k in open_}
+            out |= {k: caps[k] for k in full}
+            budget -= sum(caps[k] for k in full)
+            open_ -= full
+        return out
+
+    mix, n = corpus_pipeline.MIX, lambda r: len(r["text"].split())
+    md5 = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    tree = collections.defaultdict(lambda: collections.defaultdict(list))
+    for r in rows:
+        tree[r["lang"]][r["source"]].append(r)
+    size = lambda x: sum(map(n, x)) if isinstance(x, list) else sum(map(size, x.values()))
+    langs = share(float(math.floor(size(tree) * mix.share)), {k: size(v) for k, v in tree.items()}, mix.weights["lang"])
+    out = []
+    for lang, sources in tree.items():
+        for source, budget in share(langs[lang], {k: size(v) for k, v in sources.items()}, {}).items():
+            left = math.floor(budget + 1e-6)
+            for r in sorted(sources[source], key=lambda r: md5(f"{mix.seed}:0:{r['doc_id']}:{md5(r['text'])}")):
+                left -= n(r)
+                if left < 0:
+                    break
+                out.append(r)
+    return out
+
+
+def test_pipeline_by_force(spark, tmp_path):
+    """Each stage, and all together, against plain Python over a table with a case for every stage."""
+    public = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    rng = random.Random(21)
+    line = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    notice, passage = line(12), f"{line(10)} and so on to the end of it"
+    texts = [f"{line(40)}\n{line(30)}" + (f"\n{notice}" if k % 3 == 0 else "") + (f"\n  {passage.upper() if k % 2 else passage}" if k % 7 == 0 else "") for k in range(110)]
+    texts += [f"{notice}\n{line(9)}", "too short", "again and again " * 30, "", None]
+    for k in range(10):  # near copies of the first
+        w = texts[1].split(" ")
+        w[rng.randrange(10, 60)] = f"x{k}"
+        texts.append(" ".join(w))
+    texts += [texts[2], texts[4]]
+    rows = [{"doc_id": i, "text": t, "lang": ("en", "de", "fr", "es")[i % 4], "source": f"s{i % 2}", "n_chars": len(t or "")} for i, t in enumerate(texts)]
+    path = tmp_path / "documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(path))
+    plain = lambda found: sorted((r["doc_id"], r["text"], r["lang"], r["source"]) for r in found)
+    for (name, stage), force in zip(corpus_pipeline.STAGES, (quality_by_force, lines_by_force, copies_by_force, mix_by_force)):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        expected = force(rows)
+        got = stage(spark, df, str(tmp_path)).collect()
+        assert plain(got) == plain(expected) and len(expected) < len(rows) + (name == "line_dedup"), name
+        assert all(r["n_chars"] == len(r["text"]) for r in got), name
+        rows = [r | {"n_chars": len(r["text"])} for r in expected]
+    ranks = bpe.read_ranks(public.path("byte_bpe_50k.tiktoken"))
+    other = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = sorted((r.doc_id, r.n_tokens, bytes(r.token_ids), r.round_trip) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    ids = {r["doc_id"]: other.encode_ordinary(r["text"]) for r in rows}
+    assert got == sorted((i, len(x), b"".join(v.to_bytes(4, "little") for v in x), True) for i, x in ids.items())
+
+
 def test_near_copies_go_and_clean_documents_stay(spark):
     ship(spark)
     rng = random.Random(7)
