@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Its result is written as Parquet to
 the shared folder and read again, so a lost executor repeats one stage at most. All stages but the last return the
-columns of documents.
+columns of documents, further ones included, whatever their names.
+
+Defined results of all stages: an empty table gives an empty table. A null or empty text has no words, so the quality
+stage rejects it; a later stage on its own keeps it (line_dedup and near_dedup, which takes all such texts as copies of
+one) or takes it with the epoch (mix), and bpe gives it no ids. A null doc_id is smaller than any other. A very long text
+is one row throughout. Each stage's docstring says what it does with repeated rows and ties.
 """
 
 from __future__ import annotations
@@ -25,29 +30,34 @@ MIX = Mix(levels=("lang", "source"), weights={"lang": {"en": 6.0, "de": 1.5, "fr
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents by the base rules and those depleted of their boilerplate lines, and removes these lines."""
+    """Rejects documents by the base rules and those depleted of their boilerplate lines, and removes these lines.
+    Repeated rows share one verdict; counts decide, so there are no ties."""
     return clean_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes long lines that five or more documents hold out of all of them but the one of largest doc_id."""
+    """Takes long lines that five or more documents hold out of all of them but the one of largest doc_id. Rows of equal
+    doc_id are one document, which keeps or loses a line as a whole."""
     ship(spark)
     return without_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group whose sets of five-word shingles are 0.8 alike or more (Jaccard)."""
+    """Keeps one document of each group whose sets of five-word shingles are 0.8 alike or more (Jaccard), links found by
+    the SimHash operator and completed. Of a group the least doc_id stays, of repeated rows and ties one."""
     ship(spark)
     return representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents to the target weights of languages and sources."""
+    """Takes documents to the target weights of languages and sources, in a seeded order. Of repeated rows as many are
+    taken as the budget pays for."""
     return mixed_documents(docs, MIX)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, token_ids and whether decoding the ids gives the text's bytes."""
+    """doc_id, lang, source, n_tokens, token_ids and whether decoding the ids gives the text's bytes. Rows are encoded one
+    by one, so repeated rows get equal results."""
     import public_tokenizers
 
     ship(spark)
