@@ -55,7 +55,7 @@ def plain_number(c: Column) -> Column:
 
     def shown(x: Column) -> Column:
         size = F.when(x["v"] == 0, 0).otherwise(F.floor(F.log10(F.abs(x["v"])) + 1e-12)).cast("int")
-        fixed = F.call_function("format_number", F.round(x["v"] * F.pow(F.lit(10.0), 5 - size)) / F.pow(F.lit(10.0), 5 - size), F.lit("0.##########"))
+        fixed = F.call_function("format_number", F.bround(x["v"] * F.pow(F.lit(10.0), 5 - size)) / F.pow(F.lit(10.0), 5 - size), F.lit("0.##########"))
         power = F.concat(F.when(size < 0, "e-").otherwise("e+"), F.lpad(F.abs(size).cast("string"), 2, "0"))
         scientific = F.concat(F.call_function("format_number", x["v"] / F.pow(F.lit(10.0), size), F.lit("0.#####")), power)
         return F.when((size < -4) | (size > 5), scientific).otherwise(fixed)

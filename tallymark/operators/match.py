@@ -110,7 +110,7 @@ def by_similarity(scans: DataFrame, products: DataFrame) -> DataFrame:
     best = F.max_by(F.struct("tm_first.reference_product_id", "score"), F.struct("score", -F.col("tm_first.catalogue_pos")))
     found = pairs.groupBy(F.col("tm_own").alias("tm_own2"), F.col("tm_text").alias("tm_text2")).agg(best.alias("tm_best"))
     named = text.join(found, (F.col("tm_text") == F.col("tm_text2")) & F.col("tm_own").eqNullSafe(F.col("tm_own2")))
-    return named.select("scan_id", "tm_best.reference_product_id", F.round("tm_best.score", 3).alias("score"))
+    return named.select("scan_id", "tm_best.reference_product_id", F.bround("tm_best.score", 3).alias("score"))
 
 
 def matched(scans: DataFrame, products: DataFrame, fuzzy: bool = True) -> DataFrame:
