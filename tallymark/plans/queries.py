@@ -30,7 +30,7 @@ def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            parts = [f"{v} AS ({oracle_view(v)})" if v in VIEWS else v for v in views]
+            parts = [f"{v} AS MATERIALIZED ({oracle_view(v)})" if v in VIEWS else v for v in views]
             ORACLE[f.__name__] = (f"WITH {', '.join(parts)} " if parts else "") + sql
         return f
 
@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 NORMAL = r"regexp_replace(regexp_replace(replace(text, '₹', ' ₹ '), '[ \t]+', ' ', 'g'), ' *([:/]) *', '\1', 'g')"
-LINES = f"L AS (SELECT scan_id, i, trim(s[i]) AS line, trim(s[i + 1]) AS n1, trim(s[i + 2]) AS n2, trim(s[i + 3]) AS n3 FROM (SELECT scan_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT scan_id, string_split({NORMAL}, chr(10)) AS s FROM label_scans WHERE text IS NOT NULL)))"
+LINES = f"L AS MATERIALIZED (SELECT scan_id, i, trim(s[i]) AS line, trim(s[i + 1]) AS n1, trim(s[i + 2]) AS n2, trim(s[i + 3]) AS n3 FROM (SELECT scan_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT scan_id, string_split({NORMAL}, chr(10)) AS s FROM label_scans WHERE text IS NOT NULL)))"
 MAJOR = "(?i)" + text.MAJOR.replace("(?i)", "")
 
 
@@ -695,8 +695,50 @@ def identity_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [F.asc("o_orderdate"), F.asc("o_orderkey")], 100).select("o_orderkey", "scan_id")
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.evaluate(view(spark, sf_dir, "label_scans"), view(spark, sf_dir, "products"), view(spark, sf_dir, "rules"))
+def results(spark: SparkSession, sf_dir: str, fuzzy: bool = True) -> DataFrame:
+    return pipeline.evaluate(view(spark, sf_dir, "label_scans"), view(spark, sf_dir, "products"), view(spark, sf_dir, "rules"), fuzzy=fuzzy)
+
+
+_ZOOMED = "zoomed AS (SELECT scan_id, ocr_status, barcode, tampering_status, tampering_score, CASE WHEN ocr_status = 'success' AND coalesce(zoom_text, '') <> '' AND NOT regexp_matches(text, '(?i)mfg|pkd|use by|best before') THEN text || chr(10) || zoom_text ELSE text END AS text FROM label_scans)"
+
+
+def _over_zoomed(name: str) -> str:
+    """The twin of another query as a subquery, over the texts with their zoomed part."""
+    return ORACLE[name].replace(f"label_scans AS MATERIALIZED ({oracle_view('label_scans')})", "label_scans AS (SELECT * FROM zoomed)")
+
+
+_FOUND = f"""R AS MATERIALIZED (SELECT z.*, mrp_raw, net_quantity_raw, packing_date_raw, use_by_raw, best_before_raw, maker_raw, care_raw, reference_product_id, match_method, match_score FROM zoomed z LEFT JOIN ({_over_zoomed('mrp_extract')}) USING (scan_id)
+  LEFT JOIN ({_over_zoomed('net_quantity_extract')}) USING (scan_id) LEFT JOIN ({_over_zoomed('date_extract_pkd')}) USING (scan_id) LEFT JOIN ({_over_zoomed('date_extract_use_by')}) USING (scan_id)
+  LEFT JOIN ({_over_zoomed('date_extract_best_before')}) USING (scan_id) LEFT JOIN ({_over_zoomed('manufacturer_phases')}) USING (scan_id) LEFT JOIN ({_over_zoomed('contact_extract')}) USING (scan_id) JOIN ({_over_zoomed('match_exact')}) USING (scan_id)),
+Y AS MATERIALIZED (SELECT *, try_cast(nullif(regexp_extract(mrp_raw, '[0-9]+[.]?[0-9]*'), '') AS double) AS live_mrp, try_cast(CASE WHEN len(vs) = 0 THEN NULL WHEN t <> '' THEN t ELSE vs[-1] END AS double) AS qty, lower(CASE WHEN len(vs) = 0 THEN NULL WHEN t <> '' THEN coalesce(nullif(tu, ''), us[1]) ELSE us[-1] END) AS u FROM
+  (SELECT *, regexp_extract_all(net_quantity_raw, {q(numbers.NUMBER_UNIT)}, 1) AS vs, regexp_extract_all(net_quantity_raw, {q(numbers.NUMBER_UNIT)}, 2) AS us, regexp_extract(net_quantity_raw, {q(numbers.TOTAL)}, 1) AS t, regexp_extract(net_quantity_raw, {q(numbers.TOTAL)}, 2) AS tu, string_split_regex(packing_date_raw, '[/.\\-]') AS p FROM R)),
+V AS MATERIALIZED (SELECT Y.*, {_UNIT_CASE} AS unit, CASE WHEN len(p) = 3 THEN coalesce(cast({_DAY} AS varchar), packing_date_raw) ELSE packing_date_raw END AS packed, coalesce(r.mrp, CASE WHEN r.catalogue_pos % 6 = 0 THEN cast(replace(json_extract_string(r.reference_fields_json, '$.mrp'), ',', '') AS double) END) AS ref_mrp, r.net_weight AS ref_weight, r.product_name AS ref_name, r.brand AS ref_brand, r.reference_product_id IS NOT NULL AS known FROM Y LEFT JOIN products r USING (reference_product_id)),
+evidence AS MATERIALIZED (SELECT scan_id, ocr_status, mrp_raw IS NOT NULL AS p_mrp, net_quantity_raw IS NOT NULL AS p_net, maker_raw IS NOT NULL AS p_addr, packing_date_raw IS NOT NULL AS p_mfg, use_by_raw IS NOT NULL AS p_use, best_before_raw IS NOT NULL AS p_best, care_raw IS NOT NULL AS p_care, coalesce(maker_raw, '') AS address,
+  tampering_status, tampering_score, known AS reference_found, CASE WHEN known THEN CASE WHEN ref_mrp IS NULL THEN 'NOT_AVAILABLE' WHEN live_mrp IS NULL THEN 'REVIEW_REQUIRED' WHEN abs(live_mrp - ref_mrp) < 0.01 THEN 'MATCH' ELSE 'MISMATCH' END END AS c_mrp,
+  CASE WHEN known THEN CASE WHEN ref_weight IS NULL THEN 'NOT_AVAILABLE' WHEN qty IS NULL THEN 'REVIEW_REQUIRED' WHEN abs(qty - cast(split_part(ref_weight, ' ', 1) AS double)) < 0.01 AND unit = 'g' THEN 'MATCH' ELSE 'MISMATCH' END END AS c_net FROM V)"""
+
+
+@query(
+    f"""SELECT scan_id, live_mrp AS mrp, qty AS net_quantity, unit AS net_quantity_unit, packed AS packing_date, match_method, match_score, {_STATUS} AS overall_status, {_RISK} AS risk_level, missing AS missing_fields FROM F JOIN V USING (scan_id)""",
+    "label_scans", "products", "rules", _ZOOMED, _FOUND, _CHECKS, _FOLD,
+)
+def scan_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan but for the similarity of texts, which has no SQL form."""
+    return results(spark, sf_dir, fuzzy=False).select("scan_id", "mrp", "net_quantity", "net_quantity_unit", "packing_date", "match_method", "match_score", "overall_status", "risk_level", F.array_join("missing_fields", ", ").alias("missing_fields"))
+
+
+@query(
+    f"""SELECT scan_id, nullif(barcode, '') AS detected_barcode, ref_name AS detected_product_name, coalesce(ref_brand, G.brand) AS detected_brand, reference_product_id, length(V.text) AS text_length, coalesce(barcode, '') <> '' AS detected, V.tampering_score, V.tampering_status,
+    CASE {_STATUS} WHEN 'PASS' THEN 'compliant' ELSE lower({_STATUS}) END AS overall_status, nullif(lower({_RISK}), 'none') AS risk_level, known AS reference_match, CASE WHEN missing = '' THEN '[]' ELSE '["' || replace(missing, ', ', '","') || '"]' END AS missing_fields FROM F JOIN V USING (scan_id) LEFT JOIN G USING (scan_id)""",
+    "label_scans", "products", "rules", _BRAND, _ZOOMED, _FOUND, _CHECKS, _FOLD,
+)
+def result_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five result tables, joined by scan."""
+    tables = sinks.detail_tables(stored(results(spark, sf_dir, fuzzy=False), "results"))
+    rows = tables["scan_records"].select("scan_id", "detected_barcode", "detected_product_name", "detected_brand", "reference_product_id")
+    rows = rows.join(tables["ocr_results"].select("scan_id", F.length("raw_text").cast("long").alias("text_length")), "scan_id").join(tables["barcode_results"].select("scan_id", "detected"), "scan_id")
+    rows = rows.join(tables["tampering_results"].select("scan_id", "tampering_score", F.col("status").alias("tampering_status")), "scan_id")
+    return rows.join(tables["compliance_results"].select("scan_id", "overall_status", "risk_level", "reference_match", "missing_fields"), "scan_id")
 
 
 @query()
