@@ -35,6 +35,19 @@ SKIP_STARTS = ("from ", "visit us", "manufactured for", "for sale", "storage con
 TRADE_WORDS = ("biscuits", "foods", "food", "products", "industries", "nutritionals", "specialities")
 #: One brand's name that recognition runs together; a row of data, so that others can be added.
 REPAIRS = (("PARLE", ("BISCUTS", "BISCUITS"), r"PVT\.?\s*LTD", "Parle Biscuits Pvt Ltd"),)
+#: Points of a line as a company name.
+POINTS = {
+    "private limited, short": 8,
+    "private limited": 8,
+    "limited": 4,
+    "trade word": 3,
+    "made by": 7,
+    "address": 2,
+    "each digit": -10,
+    "brackets": -8,
+    "three words": 3,
+}
+ENOUGH = 4
 
 
 def at(a: Column, i: Column) -> Column:
@@ -231,21 +244,23 @@ def name_score(line: Column, name: Column, low: Column, upper: Column) -> Column
     skip = low.rlike(f"^(?:{'|'.join(map(re.escape, SKIP_STARTS))})")
     head = F.regexp_replace(F.regexp_extract(line, r"^(\S+)", 1), r"^[.,()]+|[.,()]+$", "")
     form = upper.rlike(r"\b(?:PVT\.?\s*LTD|PRIVATE\s+LIMITED|LIMITED|LTD\.?)\b")
-    run_on = F.contains(upper, F.lit("PARLE")) & F.contains(upper, F.lit("PVT")) & any_in(upper, ("BISCUTS", "BISCUITS"))
+    run_on = F.lit(False)
+    for brand, variants, _, _ in REPAIRS:
+        run_on = run_on | (F.contains(upper, F.lit(brand)) & F.contains(upper, F.lit("PVT")) & any_in(upper, variants))
     count = lambda c, pattern: F.regexp_count(c, F.lit(pattern))
-    flag = lambda cond, points: F.when(cond, points).otherwise(0)
-    points = flag(name.rlike(r"(?i)\bPVT\.?\s*LTD\b"), 8) + flag(name.rlike(r"(?i)PRIVATE\s+LIMITED"), 8) + flag(name.rlike(r"(?i)\bLIMITED\b"), 4)
+    flag = lambda cond, points: F.when(cond, POINTS[points]).otherwise(0)
+    points = flag(name.rlike(r"(?i)\bPVT\.?\s*LTD\b"), "private limited, short") + flag(name.rlike(r"(?i)PRIVATE\s+LIMITED"), "private limited") + flag(name.rlike(r"(?i)\bLIMITED\b"), "limited")
     for w in TRADE_WORDS:
-        points = points + flag(F.contains(F.lower(name), F.lit(w)), 3)
-    points = points + flag(any_in(low, ("manufacturer", "manufactured by", "mfd by")), 7) + flag(address_evidence(name), 2)
-    points = points - 10 * count(name, r"\d") - flag(name.rlike(r"[()\[\]{}]"), 8) + flag(count(name, "[A-Za-z]{3,}") >= 3, 3)
+        points = points + flag(F.contains(F.lower(name), F.lit(w)), "trade word")
+    points = points + flag(any_in(low, ("manufacturer", "manufactured by", "mfd by")), "made by") + flag(address_evidence(name), "address")
+    points = points + POINTS["each digit"] * count(name, r"\d") + flag(name.rlike(r"[()\[\]{}]"), "brackets") + flag(count(name, "[A-Za-z]{3,}") >= 3, "three words")
     return F.when(~skip & (F.length(head) >= 2) & (form | run_on) & is_company(name), points)
 
 
 def maker_scored(a: Column) -> Column:
     """Phase 4: the line with most points, the first of equals, if it has four or more."""
     rated = F.transform(numbered(a), lambda x: F.struct((-maker_score(x["line"])).alias("rank"), x["i"].alias("i"), x["line"].alias("line")))
-    best = F.array_min(F.filter(rated, lambda x: x["rank"] <= -4))
+    best = F.array_min(F.filter(rated, lambda x: x["rank"] <= -ENOUGH))
     return let(best, lambda b: F.when(b.isNotNull(), F.struct(repaired(b["line"]).alias("name"), F.lit(None).cast("string").alias("address"), b["i"].cast("int").alias("end"))))
 
 

@@ -685,6 +685,12 @@ def upsert_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.upsert(*halves(spark, sf_dir), "reference_product_id")
 
 
+@query("SELECT reference_product_id, coalesce(B.brand, A.brand) AS brand, coalesce(B.mrp, A.mrp) AS mrp FROM A FULL JOIN B USING (reference_product_id)", "products", _OLD)
+def seed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = halves(spark, sf_dir)
+    return sinks.seeded(old, new.withColumn("extra", F.lit(1)).unionByName(new.limit(1).select(F.lit(None).cast("string").alias("reference_product_id"), "brand", "mrp", F.lit(1).alias("extra"))), "reference_product_id")
+
+
 @query("SELECT * FROM A UNION ALL SELECT * FROM B WHERE reference_product_id NOT IN (SELECT reference_product_id FROM A)", "products", _OLD)
 def insert_missing_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.insert_missing(*halves(spark, sf_dir), "reference_product_id")

@@ -31,6 +31,14 @@ def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     return old.select(*(F.col(key) if c == key else F.coalesce(F.col(f"s.{c}"), F.col(f"t.{c}")).alias(c) for c in target.columns))
 
 
+def seeded(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """target with the rows of a seed file put in by key: columns that the table lacks are left out, and so are rows
+    without a key. Writing it is up to the caller; comparing it with target first is a dry run."""
+    known = [c for c in source.columns if c in target.columns]
+    rows = source.where(F.col(key).isNotNull()).dropDuplicates([key]).select(*known)
+    return upsert(target, rows.select(*(F.col(c) if c in known else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns)), key)
+
+
 def insert_missing(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """target and those rows of source whose key it lacks."""
     return target.unionByName(source.join(target.select(key), key, "left_anti"))
