@@ -14,10 +14,15 @@ Links: each pair that shares a bucket is held against the exact similarity, unle
 each set proposes one link, to the set with most companions that it shares a bucket with, which for a copy is about the
 text that was copied: a large group of copies of one text thus costs a row a copy, and not one for each two copies. The
 buckets whose members are not connected then are worked off in rounds. Each round takes pivots, the members with most
-companions in each of 1, 2, 4, ... parts of the bucket, and holds them against the rest; a bucket ends when its members
+companions in each of 1, 8, 64, ... parts of the bucket, and holds them against the rest; a bucket ends when its members
 are connected or all have been pivots. No bucket is sorted or held as a whole, and one that holds a large part of the rows
 is spread over several tasks.
 
+Large groups of texts that are somewhat alike, but not enough, would make a pair for each two of them. What keeps these
+apart is shingles of their own: of a set with n hashes of which only x occur in any other open set, x at most can be
+shared. Two sets then have at most m = min(x, x') in common and a similarity of m / (n + n' - m) at most. Sets and pairs
+whose bound is below ``percent`` are left out, which loses no link; a pair is made only where the bound allows one.
+
 Defined results: texts without words have the empty set, which is linked to itself only; a text shorter than a shingle is
 one shingle; otherwise as in simhash.
 """
@@ -148,6 +153,27 @@ def still_open(rows: DataFrame) -> DataFrame:
     return spread_join(rows.drop("tm_rows"), state, "tm_key", state, F.xxhash64("tm_node"))
 
 
+def can_link(x: Column, n: Column, x2: Column, n2: Column, config: Shingles) -> Column:
+    """Whether sets of n and n2 hashes, of which x and x2 can be shared, may be alike."""
+    m = F.least(x, x2)
+    return 100 * m >= config.percent * (n + n2 - m)
+
+
+def bounded(rows: DataFrame, own: DataFrame, config: Shingles) -> DataFrame:
+    """rows with x and n of can_link, without members that can be linked to none of their bucket. Hashes are counted over
+    the sets of rows, as only these are still to be linked."""
+    nodes = rows.select("tm_node").distinct()
+    hashes = own.join(nodes, "tm_node", "left_semi").select("tm_node", F.explode("tm_list").alias("h"))
+    alone = hashes.groupBy("h").agg(F.min("tm_node").alias("tm_node"), F.count("*").alias("c")).where("c = 1").groupBy("tm_node").agg(F.count("*").alias("u"))
+    size = own.select("tm_node", F.size("tm_list").cast("long").alias("n")).join(nodes, "tm_node", "left_semi").join(alone, "tm_node", "left")
+    size = stored(size.select("tm_node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("x")), "bounds")
+    rows = stored(rows.join(size, "tm_node"), "bounded")
+    # the smallest set and the one with most to share stand for all others of the bucket
+    best = stored(rows.groupBy("tm_key").agg(F.min("n").alias("n2"), F.max("x").alias("x2"), F.count("*").alias("tm_rows")), "bucket-bounds")
+    both = spread_join(rows.drop("tm_rows"), best.drop("tm_rows"), "tm_key", best.select("tm_key", "tm_rows"), F.xxhash64("tm_node"))
+    return both.where(can_link(F.col("x"), F.col("n"), F.least("x2", "n2"), F.col("n2"), config)).drop("n2", "x2")
+
+
 def merged(links: DataFrame, edges: DataFrame) -> DataFrame:
     """links (node, root) after the roots that edges (a, b) connect have become one."""
     moved = stored(simhash.components(edges), "moved").withColumnRenamed("root", "to")
@@ -188,21 +214,24 @@ def linked(docs: DataFrame, nodes: DataFrame, config: Shingles) -> DataFrame:
 
     links = stored(simhash.components(confirmed(near.unionByName(proposals(rows)).distinct())), "links")
     rows, width = stored(still_open(with_roots(rows, links)), "open"), 1
+    if not rows.isEmpty():
+        rows = stored(still_open(bounded(rows, own, config)), "open")
     while not rows.isEmpty():
         part = F.pmod(F.xxhash64("tm_node"), F.lit(width))
-        first = rows.groupBy("tm_key", part.alias("tm_part")).agg(F.max_by(F.struct("tm_node", "root"), F.struct("tm_with", "tm_node")).alias("p"))
-        first = first.select("tm_key", F.col("p.tm_node").alias("a"), F.col("p.root").alias("ra"))
+        first = rows.groupBy("tm_key", part.alias("tm_part")).agg(F.max_by(F.struct("tm_node", "root", "x", "n"), F.struct("tm_with", "tm_node")).alias("p"))
+        first = first.select("tm_key", F.col("p.tm_node").alias("a"), F.col("p.root").alias("ra"), F.col("p.x").alias("xa"), F.col("p.n").alias("na"))
         if width == 1:
-            first = first.unionByName(rows.where(F.col("tm_n") <= config.small).select("tm_key", F.col("tm_node").alias("a"), F.col("root").alias("ra"))).distinct()
+            first = first.unionByName(rows.where(F.col("tm_n") <= config.small).select("tm_key", F.col("tm_node").alias("a"), F.col("root").alias("ra"), F.col("x").alias("xa"), F.col("n").alias("na"))).distinct()
         first = stored(first, "pivots")
-        rest = rows.select("tm_key", F.col("tm_node").alias("b"), F.col("root").alias("rb"))
-        pairs = spread_join(rest, first, "tm_key", rows.groupBy("tm_key").agg(F.first("tm_rows").alias("tm_rows")), F.xxhash64("b")).where("ra <> rb")
+        rest = rows.select("tm_key", F.col("tm_node").alias("b"), F.col("root").alias("rb"), F.col("x").alias("xb"), F.col("n").alias("nb"))
+        pairs = spread_join(rest, first, "tm_key", rows.groupBy("tm_key").agg(F.first("tm_rows").alias("tm_rows")), F.xxhash64("b"))
+        pairs = pairs.where((F.col("ra") != F.col("rb")) & can_link(F.col("xa"), F.col("na"), F.col("xb"), F.col("nb"), config))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         ends = confirmed(pairs).select(F.col("a").alias("tm_node"), "b")
         ends = with_roots(with_roots(ends, links).select(F.col("root").alias("ra"), F.col("b").alias("tm_node")), links)
         links = merged(links, ends.select(F.col("ra").alias("a"), F.col("root").alias("b")))
         left = rows.join(first.select("tm_key", F.col("a").alias("tm_node")), ["tm_key", "tm_node"], "left_anti")
-        rows, width = stored(still_open(with_roots(left, links)), "open"), 2 * width
+        rows, width = stored(still_open(with_roots(left, links)), "open"), 8 * width
     return links
 
 
