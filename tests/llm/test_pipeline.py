@@ -215,3 +215,27 @@ def test_large_buckets_are_worked_off_whole(spark):
     for small in (2, 16):
         got = {r.doc_id: r.component_id for r in jaccard.near_copies(rows, jaccard.Shingles(small=small)).collect()}
         assert got == label
+
+
+def test_texts_that_are_nearly_alike_make_no_pairs(spark):
+    """A large group of variants of one text below the limit: its buckets are full, but the bounds leave none open."""
+    from tallymark.llm import jaccard
+    from tallymark.llm.common import text_id
+    from pyspark.sql import functions as F
+
+    ship(spark)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(200):
+        w = list(base)
+        for at in rng.sample(range(2, 118, 6), 4):
+            w[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = rows.select("doc_id", text_id(F.col("text")).alias("tm_text"), "text")
+    nodes = jaccard.sets(docs, jaccard.FIVE_WORDS, values=False).select("tm_node", "tm_list").cache()
+    own = jaccard.sets(docs, jaccard.FIVE_WORDS, values=True).select("tm_node", "tm_list").cache()
+    full = jaccard.buckets(nodes, jaccard.FIVE_WORDS).withColumns({"root": F.col("tm_node"), "tm_rows": F.col("tm_n")})
+    assert full.count() > 2000 and jaccard.bounded(full, own, jaccard.FIVE_WORDS).count() == 0
+    assert {r.component_id for r in jaccard.near_copies(rows).collect()} == set(range(200))
