@@ -66,4 +66,18 @@ f AS (SELECT k, max(doc_id) AS top FROM l WHERE length(k) >= 40 GROUP BY k HAVIN
 j AS (SELECT l.*, f.k IS NOT NULL AND doc_id <> top AS lost FROM l LEFT JOIN f ON l.k = f.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256 FROM j GROUP BY r, doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_fingerprints": OP2, "op3_line_dedup": OP3}
+OP11 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS c FROM g GROUP BY 1, 2, 3),
+t AS (SELECT lang, cast(sum(c) AS bigint) AS n FROM f WHERE k = 1 GROUP BY 1),
+q AS MATERIALIZED (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS s FROM f WHERE k >= 2 AND c >= 10),
+u AS (SELECT lang, k, phrase, a, cut, array_to_string(list_slice(s, 1, cut), ' ') AS lp, array_to_string(list_slice(s, cut + 1, k), ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS cut FROM q)),
+v AS (SELECT u.lang, u.k, u.phrase, a, cut, x.c AS l, y.c AS r, cast(1000000::hugeint * a * a // (x.c::hugeint * y.c) AS bigint) AS score FROM u JOIN f x ON x.lang = u.lang AND x.phrase = lp AND x.k = cut JOIN f y ON y.lang = u.lang AND y.phrase = rp AND y.k = u.k - cut),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM v) WHERE o = 1),
+e AS (SELECT lang, part, max(a) AS m FROM (SELECT lang, a, unnest([array_to_string(s[1:2], ' '), array_to_string(s[2:3], ' ')]) AS part FROM q WHERE k = 3) GROUP BY 1, 2)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b JOIN t USING (lang)
+  WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.lang = b.lang AND e.part = b.phrase AND 100 * m >= 50 * a)) WHERE rank <= 2000"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_fingerprints": OP2, "op3_line_dedup": OP3, "op11_collocations": OP11}

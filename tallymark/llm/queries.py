@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import token_digests
+from .collocations import collocations
 from .common import documents, ship
 from .fingerprints import fingerprints
 from .line_dedup import line_dedup
 from .mixing import Mix, mixed
+from .neighbours import nearest_rows
 from .pii import personal_data
 from .quality import quality_verdicts
 from .secret_scan import secrets
 from .sharding import sharded
 from .simhash import near_duplicates
 from .token_files import token_files
+from .whitening import whitened
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,3 +97,22 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(embeddings(spark, sf_dir)).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_rows(embeddings(spark, sf_dir))
