@@ -33,6 +33,11 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def clean(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(c, SPACE + "+", " "))
@@ -87,7 +92,7 @@ def rupee_prefix(c: Column) -> Column:
 
 
 def safe_file_name(c: Column) -> Column:
-    kept = F.regexp_replace(F.replace(F.trim(c), F.lit(" "), F.lit("_")), r"[^A-Za-z0-9._-]", "")
+    kept = F.regexp_replace(F.replace(stripped(c), F.lit(" "), F.lit("_")), r"[^A-Za-z0-9._-]", "")
     return F.coalesce(blank_to_null(F.right(kept, F.lit(100))), F.lit("upload"))
 
 

@@ -32,7 +32,7 @@ def distinct_codes(candidates: DataFrame) -> DataFrame:
 def best(candidates: DataFrame) -> DataFrame:
     """One code of each scan: known format, retail digits, usual length, then area decide; the first of equals."""
     kept = distinct_codes(valid(candidates))
-    retail = F.col("type").isin("EAN13", "EAN8", "UPCA", "UPCE") & F.col("value").rlike("^[0-9]+$")
+    retail = F.col("type").isin(*NUMERIC) & F.col("value").rlike("^[0-9]+$")
     known, usual = F.col("type").isin(*FORMATS), F.length("value").between(7, 20)
     order = Window.partitionBy("scan_id").orderBy(known.desc(), retail.desc(), usual.desc(), F.desc("area"), "pos")
     return kept.withColumn("tm_rank", F.row_number().over(order)).where("tm_rank = 1").select("scan_id", "value", "type", "area", "pos")

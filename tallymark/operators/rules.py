@@ -1,15 +1,17 @@
 """The rule table: which rules hold on a day, one check for each scan and rule, and the folds of a scan's checks.
 
-Rules are few, as their table is curated, so they are broadcast after a check of their number. A check is one CASE over
-the operator; folding is one aggregation by scan.
+Rules are few, as their table is curated, so they are broadcast as one array after a check of their number. A check is one
+CASE over the operator; a scan's checks are made and folded within its row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import comma_list, contact_noise, same_company
+from ..functions.text import comma_list, contact_noise, let, once, same_company
 
 PASS, FAIL, REVIEW, NOT_APPLICABLE = "PASS", "FAIL", "REVIEW_REQUIRED", "NOT_APPLICABLE"
 #: Fields that differ by batch, and the ones that count as declarations.
@@ -32,27 +34,30 @@ def rules_version(rules: DataFrame) -> DataFrame:
     return rules.agg(F.coalesce(F.nullif(joined, F.lit("")), F.lit("unversioned")).alias("rules_version"))
 
 
+def joined_versions(versions: Iterable[str | None]) -> str:
+    """What rules_version gives, of versions at hand."""
+    return ",".join(sorted({v for v in versions if v})) or "unversioned"
+
+
 def declaration_count(presence: Column, noisy_address: Column) -> Column:
     names = F.array(*map(F.lit, COUNTED))
     here = lambda n: F.coalesce(F.try_element_at(presence, n), F.lit(False)) & ~((n == "manufacturer_address") & noisy_address)
     return F.size(F.filter(names, here))
 
 
-def checks(evidence: DataFrame, rules: DataFrame) -> DataFrame:
-    """A row for each scan and rule: scan_id, rule_pos, rule_code, field_name, status, message, severity, missing.
+RULE_FIELDS = ("rule_pos", "rule_code", "rule_name", "field_name", "operator", "expected_value", "severity", "description")
+CHECK = "struct<rule_pos:bigint,rule_code:string,field_name:string,status:string,message:string,severity:string,missing:boolean>"
 
-    evidence: scan_id, ocr_status, presence (map<field, found>), address_value, address_raw, tampering_status,
-    tampering_score, reference_found, comparisons (map<field, struct<live, reference, match, status>>).
-    """
-    few = rules.limit(MAX_RULES + 1).count() <= MAX_RULES
-    rows = evidence.crossJoin(F.broadcast(rules) if few else rules)  # the result has a row for each scan and rule either way
+
+def check(rule: Column) -> Column:
+    """The check of one rule over a row of evidence: struct<rule_pos, rule_code, field_name, status, message, severity, missing>."""
     present = lambda n: F.coalesce(F.try_element_at("presence", n), F.lit(False))
     noisy = contact_noise(F.col("address_value"), F.col("address_raw"))
-    op, expected, field = F.col("operator"), F.col("expected_value"), F.col("field_name")
-    ok = F.concat(F.lit("OK: "), F.col("rule_name"), F.lit("."))
-    about = F.coalesce("description", "rule_name")
+    op, expected, field = rule["operator"], rule["expected_value"], rule["field_name"]
+    ok = F.concat(F.lit("OK: "), rule["rule_name"], F.lit("."))
+    about = F.coalesce(rule["description"], rule["rule_name"])
     issue, review = F.concat(F.lit("Issue: "), about), F.concat(F.lit("Review required: "), about)
-    case = lambda cond, status, message: (cond, F.lit(status), message)
+    case = lambda cond, status, message: (cond, F.struct(F.lit(status).alias("status"), message.alias("message")))
 
     here = present(field)
     bad_address = here & (field == "manufacturer_address") & noisy
@@ -82,39 +87,76 @@ def checks(evidence: DataFrame, rules: DataFrame) -> DataFrame:
         case((op == "reference_field_match") & company, PASS, F.lit("OK: Manufacturer matches the reference after text normalization.")),
         case(op == "reference_field_match", REVIEW, review),
     ]
-    status, message = F.lit(NOT_APPLICABLE), ok
-    for cond, s, m in reversed(cases):
-        status, message = F.when(cond, s).otherwise(status), F.when(cond, m).otherwise(message)
-    missing = (op == "field_present") & status.isin(FAIL, REVIEW) | (op == "any_field_present") & (status == FAIL)
-    return rows.select("scan_id", "rule_pos", "rule_code", "field_name", status.alias("status"), message.alias("message"), F.coalesce("severity", F.lit("medium")).alias("severity"), missing.alias("missing"))
-
-
-def folded(checked: DataFrame, evidence: DataFrame) -> DataFrame:
-    """A row for each scan: overall_status, risk_level, missing_fields, rule_results, explanation, warnings."""
-    rank = F.when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)
-    open_ = F.col("status").isin(FAIL, REVIEW)
-    result = F.struct("rule_pos", "rule_code", "field_name", "status", "message", "severity")
-    sums = checked.groupBy("scan_id").agg(
-        F.max(F.when((F.col("status") == FAIL) & (F.col("severity") == "high"), 1).otherwise(0)).alias("tm_high"),
-        F.max(F.when(open_, 1).otherwise(0)).alias("tm_open"),
-        F.max(F.when(open_, rank).otherwise(0)).alias("tm_rank"),
-        F.max(F.when((F.col("rule_code") == "LM-006") & (F.col("status") == FAIL), 1).otherwise(0)).alias("tm_near_zero"),
-        F.array_sort(F.collect_list(F.when(F.col("missing"), F.struct("rule_pos", "field_name")))).alias("tm_missing"),
-        F.array_sort(F.collect_list(result)).alias("rule_results"),
-    )
-    both = sums.join(evidence.select("scan_id", "ocr_status", "comparisons"), "scan_id")
-    ocr = F.col("ocr_status") == "success"
-    status = F.when(~ocr, REVIEW).when(F.col("tm_high") == 1, "NON_COMPLIANT").when(F.col("tm_open") == 1, REVIEW).otherwise(PASS)
-    risk = F.when(~ocr, F.when(F.col("tm_high") == 1, "HIGH").otherwise("MEDIUM")).otherwise(F.element_at(F.array(*map(F.lit, ("NONE", "LOW", "MEDIUM", "HIGH"))), F.col("tm_rank") + 1))
-    missing = F.array_distinct(F.transform("tm_missing", lambda x: x["field_name"]))
-    both = both.withColumns({"overall_status": status, "risk_level": risk, "missing_fields": missing})
-    matched = F.map_filter("comparisons", lambda k, v: ~k.isin(*BATCH_FIELDS) & ((v["status"] == "MATCH") | ((k == "manufacturer") & (v["status"] == "MISMATCH") & same_company(v["live"], v["reference"]))))
-    mismatched = F.map_filter("comparisons", lambda k, v: ~k.isin(*BATCH_FIELDS) & (v["status"] == "MISMATCH") & ~((k == "manufacturer") & same_company(v["live"], v["reference"])))
-    both = both.withColumns({"matched_fields": matched, "mismatched_fields": mismatched})
-    warnings = F.array_compact(F.array(F.when(~ocr, F.lit("OCR unavailable")), F.when(F.col("tm_near_zero") == 1, F.lit("near-zero declarations"))))
-    return both.withColumns({"explanation": explanation(ocr), "warnings": warnings}).select(
-        "scan_id", "overall_status", "risk_level", "matched_fields", "mismatched_fields", "missing_fields", "rule_results", "explanation", "warnings", F.lit(ENGINE_VERSION).alias("engine_version")
-    )
+    result = case(F.lit(True), NOT_APPLICABLE, ok)[1]
+    for cond, found in reversed(cases):
+        result = F.when(cond, found).otherwise(result)
+
+    def shown(r: Column) -> Column:
+        missing = (op == "field_present") & r["status"].isin(FAIL, REVIEW) | (op == "any_field_present") & (r["status"] == FAIL)
+        return F.struct(rule["rule_pos"].cast("long").alias("rule_pos"), rule["rule_code"], field.alias("field_name"), r["status"], r["message"], F.coalesce(rule["severity"], F.lit("medium")).alias("severity"), F.coalesce(missing, F.lit(False)).alias("missing"))
+
+    return let(result, shown).cast(CHECK)
+
+
+def judged(evidence: DataFrame, rules: DataFrame) -> DataFrame:
+    """evidence with tm_checks, the checks of all rules in the order of rule_pos, and rules_version.
+
+    evidence: scan_id, ocr_status, presence (map<field, found>), address_value, address_raw, tampering_status,
+    tampering_score, reference_found, comparisons (map<field, struct<live, reference, match, status>>).
+
+    Rules are curated, so they are few: compiled into one row with one array, they go to all scans and each scan is judged
+    within its own row, without a shuffle. Beyond MAX_RULES, a count decides, scans and rules are joined and gathered again.
+    """
+    few = rules.select(*RULE_FIELDS, "version").limit(MAX_RULES + 1).collect()
+    if len(few) <= MAX_RULES:
+        table = [tuple(r[c] for c in RULE_FIELDS) for r in sorted(few, key=lambda r: r["rule_pos"])]
+        kinds = ", ".join(f"{c}: {rules.schema[c].dataType.simpleString()}" for c in RULE_FIELDS)
+        compiled = evidence.sparkSession.createDataFrame([(table, joined_versions(r["version"] for r in few))], f"tm_rules array<struct<{kinds}>>, rules_version string")
+        return once(evidence.crossJoin(F.broadcast(compiled)), tm_checks=F.transform("tm_rules", check)).drop("tm_rules")  # one row
+    each = evidence.crossJoin(rules.select(F.struct(*RULE_FIELDS).alias("tm_rule")))  # the result has a check for each scan and rule
+    results = each.select("scan_id", check(F.col("tm_rule")).alias("tm_check")).groupBy("scan_id").agg(F.array_sort(F.collect_list("tm_check")).alias("tm_checks"))
+    return evidence.join(results, "scan_id").crossJoin(F.broadcast(rules_version(rules)))  # one row
+
+
+def checks(evidence: DataFrame, rules: DataFrame) -> DataFrame:
+    """A row for each scan and rule: scan_id, rule_pos, rule_code, field_name, status, message, severity, missing."""
+    return judged(evidence, rules).select("scan_id", F.inline("tm_checks"))
+
+
+RISKS = ("NONE", "LOW", "MEDIUM", "HIGH")
+
+
+def folded(seen: DataFrame) -> DataFrame:
+    """Judged evidence with overall_status, risk_level, matched_fields, mismatched_fields, missing_fields, rule_results,
+    explanation, warnings and engine_version, instead of tm_checks and comparisons. All is done within a scan's row."""
+    ocr, found = F.col("ocr_status") == "success", F.col("tm_checks")
+    failed = lambda x: x["status"] == FAIL
+    rank = lambda x: F.when(x["severity"] == "high", 3).when(x["severity"] == "medium", 2).otherwise(1)
+    worst = F.aggregate(found, F.lit(0), lambda a, x: F.when(x["status"].isin(FAIL, REVIEW), F.greatest(a, rank(x))).otherwise(a))
+    # a struct: the flags of a scan's checks, taken once
+    flags = F.struct(
+        F.exists(found, lambda x: failed(x) & (x["severity"] == "high")).alias("high"), worst.alias("worst"),
+        F.exists(found, lambda x: failed(x) & (x["rule_code"] == "LM-006")).alias("near_zero"),
+    )
+    company = lambda k, v: (k == "manufacturer") & (v["status"] == "MISMATCH") & same_company(v["live"], v["reference"])
+    compared = F.map_filter("comparisons", lambda k, v: ~k.isin(*BATCH_FIELDS) & v["status"].isin("MATCH", "MISMATCH"))
+    as_match = lambda v: v.withField("match", F.lit(True)).withField("status", F.lit("MATCH"))
+    settled = F.transform_values(compared, lambda k, v: F.when(company(k, v), as_match(v)).otherwise(v))
+    both = once(seen, tm_flags=flags, tm_settled=settled)
+    high, open_ = F.col("tm_flags.high"), F.col("tm_flags.worst") > 0
+    status = F.when(~ocr, REVIEW).when(high, "NON_COMPLIANT").when(open_, REVIEW).otherwise(PASS)
+    risk = F.when(~ocr, F.when(high, "HIGH").otherwise("MEDIUM")).otherwise(F.element_at(F.array(*map(F.lit, RISKS)), F.col("tm_flags.worst") + 1))
+    both = once(
+        both, overall_status=status, risk_level=risk,
+        matched_fields=F.map_filter("tm_settled", lambda k, v: v["status"] == "MATCH"), mismatched_fields=F.map_filter("tm_settled", lambda k, v: v["status"] == "MISMATCH"),
+        missing_fields=F.transform(F.filter(found, lambda x: x["missing"]), lambda x: x["field_name"]), rule_results=F.transform(found, lambda x: x.dropFields("missing")),
+        # The warnings of a verdict.
+        warnings=F.array_compact(F.array(
+            F.when(~ocr, F.lit("Declaration checks could not be run because OCR was unavailable - rescan or review manually."))
+            .when(F.col("tm_flags.near_zero"), F.lit("Near-zero declarations found - likely a completely unlabeled or non-compliant product."))
+        )),
+    )
+    return both.withColumns({"explanation": explanation(ocr), "engine_version": F.lit(ENGINE_VERSION)}).drop("tm_checks", "tm_flags", "tm_settled", "comparisons")
 
 
 def applicable(results: Column) -> Column:
@@ -123,12 +165,16 @@ def applicable(results: Column) -> Column:
 
 
 def explanation(ocr: Column) -> Column:
+    """The sentences on a verdict: names of fields are in the order of checks and comparisons."""
     n, m = F.size("missing_fields"), F.size("mismatched_fields")
-    gaps = F.when(n > 0, F.concat(n.cast("string"), F.lit(" mandatory declaration(s) missing: "), F.array_join("missing_fields", ", "), F.lit(".")))
-    differ = F.when(m > 0, F.concat(m.cast("string"), F.lit(" field(s) do not match the reference: "), F.array_join(F.array_sort(F.map_keys("mismatched_fields")), ", "), F.lit(".")))
-    clear = F.when((n == 0) & (m == 0), F.lit("All evaluated declarations are present and consistent."))
-    risk = F.concat(F.lit("Risk level: "), F.col("risk_level"), F.lit("."))
-    return F.when(~ocr, F.concat_ws(" ", F.lit("Text could not be read, so text rules were not evaluated."), risk)).otherwise(F.concat_ws(" ", gaps, differ, clear, risk))
+    listed = lambda count, text, names: F.when(count > 0, F.concat(count.cast("string"), F.lit(text), F.array_join(names, ", "), F.lit(".")))
+    # The sentences.
+    gaps = listed(n, " mandatory declaration(s) missing: ", F.col("missing_fields"))
+    differ = listed(m, " field(s) do not match the reference product: ", F.map_keys("mismatched_fields"))
+    clear = F.when((n == 0) & (m == 0), F.lit("All applicable declarations were found and passed the configured consistency checks."))
+    risk = F.concat(F.lit("Overall risk level: "), F.col("risk_level"), F.lit("."))
+    unread = F.lit("Label text could not be read (OCR unavailable) - declaration checks were skipped for this scan.")
+    return F.when(~ocr, unread).otherwise(F.concat_ws(" ", gaps, differ, clear, risk))
 
 
 def stored_status(c: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 REGIONS_KEPT, BOXES_KEPT, MIN_TILES = 4, 20, 12
 ANOMALY = 0.55
+#: Share of an image's height below which a region counts as low.
+LOWER = 0.45
 
 
 def barcode_regions(regions: DataFrame) -> DataFrame:
@@ -18,9 +20,9 @@ def barcode_regions(regions: DataFrame) -> DataFrame:
     aspect, area = F.col("w") / F.greatest("h", F.lit(1)), F.col("w") * F.col("h")
     whole = (F.col("w") > 0.9 * F.col("img_w")) & (F.col("h") > 0.5 * F.col("img_h"))
     kept = regions.where((F.col("w") >= 60) & (F.col("h") >= 30) & (area >= 1500) & (aspect >= 1.25) & ~whole & (F.col("gradient_ratio") >= 2.0))
-    lower = F.when(F.col("y") + F.col("h") / 2 > F.col("img_h") / 2, 2.0).otherwise(0.0)
+    lower = F.when(F.col("y") > LOWER * F.col("img_h"), 2.0).otherwise(0.0)
     score = F.col("gradient_ratio") + lower + F.least(area / 20000, F.lit(2.0)) + F.least(aspect / 4, F.lit(2.0))
-    ranked = kept.withColumn("score", F.round(score, 6)).withColumn("region_rank", F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("score"), "pos")))
+    ranked = kept.withColumn("score", F.bround(score, 6)).withColumn("region_rank", F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("score"), "pos")))
     return ranked.where(F.col("region_rank") <= REGIONS_KEPT)
 
 
@@ -49,7 +51,7 @@ def tampering(contours: DataFrame, tiles: DataFrame) -> DataFrame:
     """scan_id, tampering_score, anomaly_detected for scans that have boxes or tiles."""
     boxes = sticker_boxes(contours).groupBy("scan_id").agg(F.count("*").alias("n_boxes"))
     both = boxes.join(noise_spread(tiles), "scan_id", "full_outer")
-    score = F.round(0.5 * F.least(F.coalesce("n_boxes", F.lit(0)) / 3, F.lit(1.0)) + 0.5 * F.coalesce("noise_signal", F.lit(0.0)), 3)
+    score = F.bround(0.5 * F.least(F.coalesce("n_boxes", F.lit(0)) / 3, F.lit(1.0)) + 0.5 * F.coalesce("noise_signal", F.lit(0.0)), 3)
     return both.select("scan_id", F.coalesce("n_boxes", F.lit(0)).alias("n_boxes"), score.alias("tampering_score"), (score > ANOMALY).alias("anomaly_detected"))
 
 
@@ -75,10 +77,12 @@ def resize_factor(height: Column, width: Column, low: int = 800, high: int = 180
 
 
 def decoder_regions(images: DataFrame) -> DataFrame:
-    """The four crops of an image that decoders look at: whole, lower half, lower left, lower right."""
+    """The crops of an image that decoders look at, cut to whole pixels; of an image with a side under 20 only the full one."""
     w, h = F.col("width"), F.col("height")
-    half = lambda c: F.floor(c / 2).cast("int")
-    box = lambda n, x, y, bw, bh: F.struct(F.lit(n).alias("region"), x.cast("int").alias("x"), y.cast("int").alias("y"), bw.cast("int").alias("w"), bh.cast("int").alias("h"))
+    box = lambda n, left, right, top: F.struct(F.lit(n).alias("region"), left.alias("x"), top.alias("y"), (right - left).alias("w"), (h - top).alias("h"))
+    at = lambda c, share: F.floor(c * F.lit(share)).cast("int")
     zero = F.lit(0)
-    boxes = F.array(box("whole", zero, zero, w, h), box("lower", zero, half(h), w, h - half(h)), box("lower_left", zero, half(h), half(w), h - half(h)), box("lower_right", half(w), half(h), w - half(w), h - half(h)))
-    return images.select("scan_id", F.inline(boxes))
+    # The crops.
+    parts = [box("lower_60", zero, w, at(h, 0.40)), box("lower_40", zero, w, at(h, 0.60)), box("lower_left", at(w, 0.05), at(w, 0.65), at(h, 0.45))]
+    full = F.array(box("full", zero, w, zero))
+    return images.select("scan_id", F.inline(F.when(F.least(w, h) < 20, full).otherwise(F.concat(full, F.array(*parts)))))

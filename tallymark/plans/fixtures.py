@@ -88,7 +88,8 @@ SELECT o_orderkey AS scan_id, CASE WHEN o_orderkey % 23 = 0 THEN 'failed' ELSE '
   CASE WHEN o_orderkey % 9 = 0 THEN 'unavailable' ELSE 'success' END AS tampering_status, cast(o_orderkey * 37 % 101 as double) / 100 AS tampering_score,
   o_orderkey % 8 <> 0 AS reference_found,
   CASE o_orderkey % 6 WHEN 0 THEN 'MISMATCH' WHEN 1 THEN 'NOT_AVAILABLE' WHEN 2 THEN 'REVIEW_REQUIRED' ELSE 'MATCH' END AS c_mrp,
-  CASE o_orderkey % 5 WHEN 0 THEN 'MISMATCH' WHEN 1 THEN CAST(NULL AS string) ELSE 'MATCH' END AS c_net
+  CASE o_orderkey % 5 WHEN 0 THEN 'MISMATCH' WHEN 1 THEN CAST(NULL AS string) ELSE 'MATCH' END AS c_net,
+  CASE o_orderkey % 4 WHEN 0 THEN 'ACME Foods (Private) Limited' WHEN 1 THEN 'Zed Foods Private Limited' ELSE CAST(NULL AS string) END AS known_maker
 FROM {orders}"""
 
 OCR_WORDS = """

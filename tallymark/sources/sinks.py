@@ -2,29 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..context import RunContext
 from ..operators.rules import stored_risk, stored_status
+from ..storage import stored
+from .commits import Log
 
 
-def numbered(rows: DataFrame, order: list[Column], last: int = 0, name: str = "scan_id", parts: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, order: list[Column], last: int = 0, name: str = "scan_id") -> DataFrame:
     """rows with ids last + 1, last + 2, ... in the given order of unique keys.
 
-    Ranges of the order are numbered side by side; one row a range with its size gives the offsets.
+    Ranges of the order are numbered side by side; one row a range with its size gives the offsets. The ranges are stored
+    first: their bounds come from samples, so rows and sizes have to be of one and the same partitioning.
     """
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("tm_part", F.spark_partition_id())
-    ranged = ranged.withColumn("tm_id", F.monotonically_increasing_id())
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"tm_part": F.spark_partition_id(), "tm_id": F.monotonically_increasing_id()})
+    ranged = stored(ranged, "ranges")
     low = ranged.groupBy("tm_part").agg(F.min("tm_id").alias("tm_low"), F.count("*").alias("tm_n"))
-    before = F.coalesce(F.sum("tm_n").over(Window.orderBy("tm_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # parts rows
+    before = F.coalesce(F.sum("tm_n").over(Window.orderBy("tm_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
     offsets = low.select("tm_part", "tm_low", before.alias("tm_before"))
     both = ranged.join(F.broadcast(offsets), "tm_part")
     return both.withColumn(name, F.col("tm_id") - F.col("tm_low") + F.col("tm_before") + 1 + last).drop("tm_part", "tm_id", "tm_low", "tm_before")
 
 
+def claimed(spark: SparkSession, folder: str, key: str, rows: int) -> dict:
+    """The ids first to first + rows - 1, which belong to the batch named key from now on, whoever asks at the same time. A
+    batch that asks again gets the range it has."""
+    ledger = Log(spark, f"{folder}/ids")
+
+    def next_range(before: list[dict]) -> dict | None:
+        if any(e["key"] == key for e in before):
+            return None
+        return {"key": key, "first": before[-1]["first"] + before[-1]["rows"] if before else 1, "rows": rows}
+
+    entry = ledger.add(next_range) or next(e for e in ledger.entries() if e["key"] == key)
+    if entry["rows"] != rows:
+        raise ValueError(f"batch {key!r} had {entry['rows']} rows before and has {rows} now")
+    return entry
+
+
+def append_batch(tables: dict[str, DataFrame], folder: str, key: str, order: list[Column] | None = None) -> bool:
+    """Appends the rows of a batch to tables below folder, all of them or none; False if the batch is there already.
+
+    Files go to folders of their own, which readers (see committed) do not know until the batch's entry in the log names
+    them; that is the last step. With an order, the rows of the one table get scan_id from the ledger of ids: each batch
+    the range after the last one, a repeated batch the range that it claimed before.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    done = Log(spark, f"{folder}/commits")
+    if any(e["key"] == key for e in done.entries()):
+        return False
+    if order is not None:
+        (name, rows), = tables.items()
+        rows = numbered(rows, order)
+        first = claimed(spark, folder, key, rows.count())["first"]
+        tables = {name: rows.withColumn("scan_id", F.col("scan_id") + (first - 1))}
+    at = f"batch-{uuid.uuid4().hex}"
+    for name, rows in tables.items():
+        rows.write.parquet(f"{folder}/{name}/{at}")
+    entry = lambda before: None if any(e["key"] == key for e in before) else {"key": key, "paths": {name: f"{name}/{at}" for name in tables}}
+    return done.add(entry) is not None
+
+
+def committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table's rows of all batches that are committed; of an unknown table an error."""
+    paths = [f"{folder}/{e['paths'][name]}" for e in Log(spark, f"{folder}/commits").entries() if name in e["paths"]]
+    if not paths:
+        raise ValueError(f"no batch of {name} is committed in {folder}")
+    return spark.read.parquet(*paths)
+
+
 def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """target with source's rows put in by key. A null in source leaves the column as it was."""
     old = target.alias("t").join(source.alias("s"), key, "full_outer")
@@ -68,9 +120,9 @@ def detail_tables(results: DataFrame) -> dict[str, DataFrame]:
     tables = {
         "scan_records": rows.select(
             "scan_id", "created_at", "image_path", "image_url", F.nullif("barcode", F.lit("")).alias("detected_barcode"), F.col("ref_product_name").alias("detected_product_name"),
-            F.coalesce("ref_brand", "brand").alias("detected_brand"), "reference_product_id", "ocr_confidence", "tampering_score", status.alias("status"),
+            F.coalesce("ref_brand", "brand").alias("detected_brand"), "reference_product_id", "ocr_confidence", "tampering_score", F.col("overall_status").alias("status"),
         ),
-        "ocr_results": rows.select("scan_id", F.col("text").alias("raw_text"), F.col("ocr_confidence").alias("confidence"), json(field_struct()).alias("structured_data")),
+        "ocr_results": rows.select("scan_id", F.col("ocr_text").alias("raw_text"), F.col("ocr_confidence").alias("confidence"), json(field_struct()).alias("structured_data")),
         "barcode_results": rows.select("scan_id", F.nullif("barcode", F.lit("")).alias("barcode"), (F.coalesce("barcode", F.lit("")) != "").alias("detected"), F.col("barcode_confidence").alias("confidence")),
         "tampering_results": rows.select("scan_id", "tampering_score", F.col("tampering_status").alias("status"), "heatmap_path"),
         "compliance_results": rows.select(
@@ -85,15 +137,11 @@ def spark_schema(table: str) -> StructType:
     return StructType.fromDDL(getattr(schemas, table.upper()))
 
 
-def append(results: DataFrame, folder: str, batch: int | None = None) -> None:
-    """Appends the result tables below folder, the header first, so that no detail is without its header. An error goes
-    to the caller. With a batch number each table's part of that batch is replaced, so a batch that is repeated after a
-    failure leaves its rows once."""
-    for name, rows in detail_tables(results).items():
-        if batch is None:
-            rows.write.mode("append").parquet(f"{folder}/{name}")
-        else:
-            rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/{name}")
+def append(results: DataFrame, folder: str, key: str | None = None) -> bool:
+    """Appends the five result tables of evaluated scans below folder, all or none: a header is never without its details.
+    The results are computed once, for all five. A batch that is repeated under its key leaves its rows once. An error goes
+    to the caller."""
+    return append_batch(detail_tables(stored(results, "results")), folder, key or uuid.uuid4().hex)
 
 
 def with_details(header: DataFrame, **details: DataFrame) -> DataFrame:
@@ -105,8 +153,8 @@ def with_details(header: DataFrame, **details: DataFrame) -> DataFrame:
 
 
 def history(records: DataFrame, limit: int | None = None, context: RunContext = RunContext()) -> DataFrame:
-    """The latest scans, at least one and at most context.history_most. The order is total, so ties are settled by id."""
+    """The latest scans, as many as asked for and at most context.history_most. The order is total, so ties are settled by id."""
     wanted = context.history_default if limit is None else limit
-    rows = records.orderBy(F.desc("created_at"), F.desc("scan_id")).limit(max(1, min(wanted, context.history_most)))
+    rows = records.orderBy(F.desc("created_at"), F.desc("scan_id")).limit(max(0, min(wanted, context.history_most)))
     found = F.coalesce("reference_product_id", F.lit("")) != ""
     return rows.select(F.col("scan_id").cast("string").alias("scan_id"), "created_at", F.coalesce("detected_product_name", F.lit("")).alias("product_name"), found.alias("reference_found"), F.col("status").alias("compliance_status"))

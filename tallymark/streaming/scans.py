@@ -13,8 +13,8 @@ SCANS = "scan_id long, created_at timestamp, ocr_status string, text string, zoo
 
 
 def start(spark: SparkSession, folder: str, products: DataFrame, rules: DataFrame, out: str, checkpoint: str, context: RunContext = RunContext()) -> StreamingQuery:
-    """Evaluates JSON files of scans as they arrive in folder. Tables are partitioned by batch, and a batch that is
-    repeated after a failure replaces its own partition."""
+    """Evaluates JSON files of scans as they arrive in folder. A batch is committed to all tables at once, and one that
+    is repeated after a failure adds nothing if it was committed (see sinks.append)."""
     scans = spark.readStream.schema(SCANS).json(folder)
-    write = lambda batch, number: append(evaluate(batch, products, rules, context), out, number)
+    write = lambda batch, number: append(evaluate(batch, products, rules, context), out, f"stream-{number}")
     return scans.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

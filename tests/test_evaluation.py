@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -14,7 +15,7 @@ from tallymark.context import RunContext
 from tallymark.operators import barcode, compare, match, ocr, rules, vision
 from tallymark.plans import pipeline
 from tallymark.plans.fixtures import view
-from tallymark.sources import adapters, readers, sinks
+from tallymark.sources import adapters, buckets, readers, sinks
 
 AS_OF = datetime.date(2024, 6, 30)
 PRODUCTS = "catalogue_pos long, reference_product_id string, brand string, product_name string, barcode string, mrp double, net_weight string, manufacturer string, pkd string, best_before string, use_by string, reference_fields_json string"
@@ -85,7 +86,7 @@ def test_evaluation(spark, sf, products):
     label = "Acme Glucose\nMRP Rs. 30\nNet Wt: 250 g\nMfd by: Acme Foods Pvt Ltd, Plot 4, Pune\nPKD 05/03/24\nConsumer care: 1800 123 4567"
     s = scans(spark, (label, "8901719123870", "success"), ("blank", None, "success"), (None, None, "failed"))
     out = {r.scan_id: r for r in pipeline.evaluate(s, products, view(spark, sf, "rules")).collect()}
-    assert out[1].overall_status == "NON_COMPLIANT" and out[1].risk_level == "HIGH" and "near-zero declarations" in out[1].warnings
+    assert out[1].overall_status == "NON_COMPLIANT" and out[1].risk_level == "HIGH" and out[1].warnings == ["Near-zero declarations found - likely a completely unlabeled or non-compliant product."]
     assert out[1].missing_fields[:3] == ["mrp", "net_quantity", "manufacturer_address"]
     assert out[2].overall_status == "REVIEW_REQUIRED" and out[2].risk_level == "MEDIUM"
     assert out[0].comparisons is None if "comparisons" in out[0] else True
@@ -120,18 +121,104 @@ def test_rule_plan_has_no_python(spark, sf):
         assert "Python" not in QUERIES[name](spark, sf)._jdf.queryExecution().toString()
 
 
+def test_rules_are_judged_without_a_shuffle(spark, sf, tmp_path):
+    from tallymark.plans.queries import gathered
+
+    gathered(spark, sf).write.parquet(str(tmp_path / "evidence"))
+    seen = spark.read.parquet(str(tmp_path / "evidence"))
+    table = rules.active(view(spark, sf, "rules"), F.lit(AS_OF))
+    found = rules.folded(rules.judged(seen, table))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan and "Exchange SinglePartition" not in plan and "RoundRobin" not in plan
+    rows = lambda d: sorted(map(str, d.select("scan_id", "overall_status", "risk_level", "missing_fields", "rule_results", "explanation", "warnings", "rules_version").collect()))
+    few, rules.MAX_RULES = rules.MAX_RULES, 3
+    try:
+        assert rows(rules.folded(rules.judged(seen, table))) == rows(found)
+    finally:
+        rules.MAX_RULES = few
+
+
+def test_makers_that_match_after_normalising_are_shown_as_matches(spark, sf, products):
+    shop = products.where("catalogue_pos = 0").withColumn("manufacturer", F.lit("Acme Foods (Private) Limited"))
+    s = scans(spark, ("MRP Rs. 30\nMfd by: Acme Foods Pvt Ltd", "8901719123870", "success"))
+    got = pipeline.evaluate(s, shop, view(spark, sf, "rules")).first()
+    assert (got.matched_fields["manufacturer"].match, got.matched_fields["manufacturer"].status) == (True, "MATCH") and "manufacturer" not in got.mismatched_fields
+    assert got.explanation.endswith(f"Overall risk level: {got.risk_level}.") and list(got.matched_fields)[0] == "mrp"
+
+
 def test_ids_run_on(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
     got = sinks.numbered(rows, [F.asc("k")], 10).collect()
     assert sorted((r.k, r.scan_id) for r in got) == [(k, k + 11) for k in range(1000)]
 
 
+def test_ids_run_on_with_a_payload(spark):
+    rows = spark.range(0, 400_000, 1, 7).select((F.col("id") * 7919 % 400_000).alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 3).alias("payload"))
+    got = sinks.numbered(rows, [F.asc("k")])
+    sums = got.agg(F.countDistinct("scan_id"), F.min("scan_id"), F.max("scan_id"), F.count_if(F.col("scan_id") != F.col("k") + 1), F.countDistinct("payload")).first()
+    assert tuple(sums) == (400_000, 1, 400_000, 0, 400_000)
+
+
+def test_batches_claim_ids_once(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    batch = lambda low, high: {"t": spark.range(low, high).select((-F.col("id")).alias("k"))}
+    assert sinks.append_batch(batch(0, 10), folder, "a", [F.asc("k")]) and sinks.append_batch(batch(10, 15), folder, "b", [F.asc("k")])
+    assert not sinks.append_batch(batch(0, 10), folder, "a", [F.asc("k")])
+    assert sinks.claimed(spark, folder, "c", 4)["first"] == 16  # a batch that stops after its claim and before its commit
+    assert sinks.append_batch(batch(20, 22), folder, "d", [F.asc("k")]) and sinks.append_batch(batch(30, 34), folder, "c", [F.asc("k")])
+    with pytest.raises(ValueError):
+        sinks.claimed(spark, folder, "c", 5)
+    got = sorted((r.scan_id, r.k) for r in sinks.committed(spark, folder, "t").collect())
+    assert got == [(i + 1, k) for i, k in enumerate([*range(-9, 1), *range(-14, -9), *range(-33, -29), -21, -20])]
+
+
+def test_writers_at_the_same_time_get_ranges_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda k: sinks.claimed(spark, str(tmp_path), f"batch {k}", k + 1), range(12)))
+    taken = sorted(i for e in got for i in range(e["first"], e["first"] + e["rows"]))
+    assert taken == list(range(1, sum(range(1, 13)) + 1))
+
+
+def test_a_failed_table_leaves_no_batch(spark, tmp_path):
+    from tallymark.sources.commits import Log
+
+    folder = str(tmp_path / "store")
+    assert sinks.append_batch({n: spark.range(2) for n in "abcde"}, folder, "first")
+    broken = spark.range(2).select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        sinks.append_batch({"a": spark.range(3), "b": spark.range(3), "c": broken, "d": spark.range(3), "e": spark.range(3)}, folder, "second")
+    assert [sinks.committed(spark, folder, n).count() for n in "abcde"] == [2] * 5
+    assert sinks.append_batch({n: spark.range(3) for n in "abcde"}, folder, "second") and [sinks.committed(spark, folder, n).count() for n in "abcde"] == [5] * 5
+    assert not Log(spark, f"{folder}/commits").create(1, {"key": "other"}) and len(Log(spark, f"{folder}/commits").entries()) == 2
+    with pytest.raises(ValueError):
+        sinks.committed(spark, folder, "f")
+
+
+def test_upsert_writes_touched_buckets_only(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    rows = spark.range(5000).select(F.concat(F.lit("k"), F.col("id")).alias("key"), F.col("id").alias("n"), F.lit("x").alias("s"))
+    first = buckets.upsert(rows, folder, "key")
+    kept = {p: p.stat().st_mtime_ns for p in Path(folder).rglob("*.parquet")}
+    second = buckets.upsert(spark.createDataFrame([("k7", None, "y"), ("new", 1, None)], "key string, n long, s string"), folder, "key")
+    changed = [b for b in second["buckets"] if second["buckets"][b] != first["buckets"].get(b)]
+    assert 1 <= len(changed) <= 2 and len(first["buckets"]) == buckets.BUCKETS
+    assert all(p.stat().st_mtime_ns == t for p, t in kept.items())
+    wanted = {f"k{i}": (i, "x") for i in range(5000)} | {"k7": (7, "y"), "new": (1, None)}
+    assert {r.key: (r.n, r.s) for r in buckets.read(spark, folder).collect()} == wanted
+    assert buckets.read(spark, folder, 0).count() == 5000 and buckets.read(spark, folder).columns == ["key", "n", "s"]
+    with pytest.raises(ValueError):
+        buckets.read(spark, str(tmp_path / "none"))
+
+
 def test_tables(spark, sf, products, tmp_path):
     out = pipeline.evaluate(scans(spark, ("blank", None, "success")), products, view(spark, sf, "rules"))
     sinks.append(out, str(tmp_path))
     for name, rows in sinks.detail_tables(out).items():
-        assert rows.schema.names == sinks.spark_schema(name).names and spark.read.parquet(f"{tmp_path}/{name}").count() == 1
-    row = spark.read.parquet(f"{tmp_path}/compliance_results").first()
+        assert rows.schema.names == sinks.spark_schema(name).names and sinks.committed(spark, str(tmp_path), name).count() == 1
+    assert sinks.committed(spark, str(tmp_path), "scan_records").first().status == "NON_COMPLIANT"
+    row = sinks.committed(spark, str(tmp_path), "compliance_results").first()
     assert (row.overall_status, row.risk_level) == ("non_compliant", "high")
     twice = sinks.upsert(products.select("reference_product_id", "mrp"), spark.createDataFrame([("p0", None), ("p9", 9.0)], "reference_product_id string, mrp double"), "reference_product_id")
     assert sorted(map(tuple, twice.collect()), key=repr) == [("p0", 30.0), ("p1", None), ("p2", 45.0), ("p9", 9.0)]
@@ -192,11 +279,11 @@ def test_stream(spark, sf, products, tmp_path):
     scans(spark, ("MRP Rs. 30", None, "success"), ("blank", None, "success")).write.json(str(tmp_path / "in"))
     run = start(spark, str(tmp_path / "in"), products, view(spark, sf, "rules"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert run.awaitTermination(180)
-    assert spark.read.parquet(str(tmp_path / "out/scan_records")).count() == 2
+    assert sinks.committed(spark, str(tmp_path / "out"), "scan_records").count() == 2
     # the batch comes again, as after a failure between writing and its record
     again = pipeline.evaluate(spark.read.schema(SCANS).json(str(tmp_path / "in")), products, view(spark, sf, "rules"))
-    sinks.append(again, str(tmp_path / "out"), 0)
-    assert spark.read.parquet(str(tmp_path / "out/compliance_results")).count() == 2
+    assert not sinks.append(again, str(tmp_path / "out"), "stream-0")
+    assert sinks.committed(spark, str(tmp_path / "out"), "compliance_results").count() == 2
 
 
 @settings(max_examples=15, deadline=None)
