@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.numbers import nonblank, windows
 from ..functions.text import let, once
+from ..storage import stored
 
 THRESHOLD, PREFIX = 0.72, 200
 BRAND_AND_NAME, BRAND_ONLY = 0.85, 0.6
@@ -55,15 +56,68 @@ def known_brand(scans: DataFrame, products: DataFrame, few: int = 1_000) -> Data
     return with_brand(scans.select("scan_id", "text"), products, few).select("scan_id", "brand").where("brand is not null")
 
 
-def by_brand(scans: DataFrame, products: DataFrame) -> DataFrame:
-    """scan_id, reference_product_id, score for scans (scan_id, text, brand) with a guessed brand: 0.85 for a product of
-    that brand whose name is in the text, else 0.6; the best, the first of equals. An equi-join on the brand."""
-    own = products.select(F.lower("brand").alias("tm_brand"), "reference_product_id", "product_name", "catalogue_pos").where("tm_brand <> ''")
-    pairs = scans.select("scan_id", "text", F.lower("brand").alias("tm_brand")).join(small(own), "tm_brand")
-    named = F.contains(F.lower("text"), F.lower(F.coalesce("product_name", F.lit("")))) & (F.coalesce("product_name", F.lit("")) != "")
-    score = F.when(named, BRAND_AND_NAME).otherwise(BRAND_ONLY)
-    best = F.max_by(F.struct("reference_product_id", score.alias("score")), F.struct(score, -F.col("catalogue_pos")))
-    return pairs.groupBy("scan_id").agg(best.alias("tm_best")).select("scan_id", "tm_best.reference_product_id", "tm_best.score")
+#: Code points of an index gram.
+GRAM = 6
+
+
+def name_index(products: DataFrame) -> DataFrame:
+    """An inverted index of product names, to be stored where it has several users: tm_brand, tm_gram, tm_size, tm_name and
+    tm_first (catalogue_pos, reference_product_id), one row for each distinct name of a brand, all lower case.
+
+    tm_gram is the hash of the name's gram (GRAM code points, or the whole of a shorter name, tm_size) that fewest names of
+    the brand have. A text that holds a name holds this gram as well, so only names whose rarest gram is in a text have to
+    be compared with it, however many names a brand has.
+    """
+    names = products.select(F.lower("brand").alias("tm_brand"), F.lower("product_name").alias("tm_name"), "catalogue_pos", "reference_product_id").where("tm_brand <> '' and tm_name <> ''")
+    first = names.groupBy("tm_brand", "tm_name").agg(F.min(F.struct("catalogue_pos", "reference_product_id")).alias("tm_first"))
+    size = F.least(F.length("tm_name"), F.lit(GRAM))
+    each = first.withColumn("tm_size", size).withColumn("tm_gram", F.explode(gram_hashes(F.col("tm_name"), [GRAM], whole_below=GRAM)))
+    often = each.groupBy("tm_brand", "tm_gram").agg(F.count("*").alias("tm_names"))
+    best = F.min_by(F.struct("tm_gram", "tm_size", "tm_first"), F.struct("tm_names", "tm_gram"))
+    return each.join(often, ["tm_brand", "tm_gram"]).groupBy("tm_brand", "tm_name").agg(best.alias("tm_best")).select("tm_brand", "tm_name", "tm_best.*")
+
+
+def gram_hashes(text: Column, sizes: list[int], whole_below: int = 0) -> Column:
+    """Hashes of the distinct substrings of text of the given sizes; of a text shorter than whole_below, of itself."""
+    hashed = lambda a: F.transform(a, lambda x: F.xxhash64(x))
+    found = F.array_distinct(F.flatten(F.array(*(hashed(windows(text, n)) for n in sizes))))
+    return F.when(F.length(text) < whole_below, F.array(F.xxhash64(text))).otherwise(found) if whole_below else found
+
+
+def name_probes(scans: DataFrame, index: DataFrame) -> DataFrame:
+    """scan_id, tm_name, tm_first, tm_text: the names of each scan's brand whose rarest gram its text holds."""
+    sizes = [r[0] for r in index.select("tm_size").distinct().collect()]  # GRAM values at most
+    if not sizes:
+        return scans.limit(0).select("scan_id", F.lit("").alias("tm_name"), F.struct(F.lit(0).cast("long").alias("catalogue_pos"), F.lit("").alias("reference_product_id")).alias("tm_first"), F.lit("").alias("tm_text"))
+    text = once(scans.select("scan_id", "text", F.lower("brand").alias("tm_brand")).where("tm_brand <> ''"), tm_text=F.lower("text")).drop("text")
+    probes = text.withColumn("tm_gram", F.explode(gram_hashes(F.col("tm_text"), sorted(sizes))))
+    names = index.select("tm_brand", "tm_gram", "tm_name", "tm_first")
+    if index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return probes.join(F.broadcast(names), ["tm_brand", "tm_gram"]).select("scan_id", "tm_name", "tm_first", "tm_text")
+    found = probes.drop("tm_text").join(names, ["tm_brand", "tm_gram"]).select("scan_id", "tm_name", "tm_first")  # texts do not go with every gram
+    return found.join(text.select("scan_id", "tm_text"), "scan_id").select("scan_id", "tm_name", "tm_first", "tm_text")
+
+
+def by_name(scans: DataFrame, products: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """scan_id, reference_product_id, catalogue_pos of the first product of a scan's brand whose name is in its text. A name
+    without letters is in every text."""
+    index = stored(name_index(products), "names") if index is None else index
+    held = name_probes(scans, index).where(F.contains("tm_text", "tm_name")).select("scan_id", "tm_first")
+    blank = products.where("product_name = ''").groupBy(F.lower("brand").alias("tm_brand")).agg(F.min(F.struct("catalogue_pos", "reference_product_id")).alias("tm_first"))
+    nameless = scans.select("scan_id", F.lower("brand").alias("tm_brand"), "text").where("text is not null").join(small(blank), "tm_brand").select("scan_id", "tm_first")
+    found = held.unionByName(nameless).groupBy("scan_id").agg(F.min("tm_first").alias("tm_first"))
+    return found.select("scan_id", "tm_first.reference_product_id", "tm_first.catalogue_pos")
+
+
+def by_brand(scans: DataFrame, products: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """scan_id, reference_product_id, score for scans (scan_id, text, brand) with a guessed brand: 0.85 for the first product
+    of that brand whose name is in the text, else 0.6 for the brand's first product, which is one row a brand."""
+    first = products.select(F.lower("brand").alias("tm_brand"), "catalogue_pos", "reference_product_id").where("tm_brand <> ''")
+    first = first.groupBy("tm_brand").agg(F.min_by("reference_product_id", "catalogue_pos").alias("tm_first"))
+    own = scans.select("scan_id", F.lower("brand").alias("tm_brand")).join(small(first), "tm_brand")
+    both = own.join(by_name(scans, products, index).select("scan_id", F.col("reference_product_id").alias("tm_named")), "scan_id", "left")
+    score = F.when(F.col("tm_named").isNotNull(), BRAND_AND_NAME).otherwise(BRAND_ONLY)
+    return both.select("scan_id", F.coalesce("tm_named", "tm_first").alias("reference_product_id"), score.alias("score"))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -75,37 +129,66 @@ def similarity(a: Column, b: Column) -> Column:
     return F.pandas_udf(ratios, T.DoubleType())(a, b)
 
 
-SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+def numbered_signs(c: Column) -> Column:
+    """The signs of c, each with the number of its occurrences so far, so that no two are equal: a bag as a set."""
+    signs = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(c, i, F.lit(1)))
+    return let(signs, lambda a: F.transform(a, lambda x, i: F.concat(x, F.size(F.filter(F.slice(a, F.lit(1), i + 1), lambda y: y == x)).cast("string"))))
+
+
+def least_common(n: Column, m: Column) -> Column:
+    """Signs that texts of n and m signs have in common at least if their ratio reaches THRESHOLD."""
+    return F.ceil((n + m) * (THRESHOLD / 2) - 1e-9).cast("int")
 
 
-def sign_counts(c: Column) -> Column:
-    """How often each of SIGNS occurs in the lower-case text c, and all other signs together."""
-    counts = [F.length(c) - F.length(F.replace(c, F.lit(x))) for x in SIGNS]
-    return let(F.array(*counts), lambda a: F.concat(a, F.array(F.length(c) - F.aggregate(a, F.lit(0), lambda x, y: x + y))))
+REACH = (2 - THRESHOLD) / THRESHOLD
+
+
+def rare_first(rows: DataFrame, keys: list[str], often: DataFrame) -> DataFrame:
+    """rows (keys, tm_signs) with tm_signs in the order of often, the rarest first."""
+    each = rows.select(*keys, F.explode("tm_signs").alias("tm_sign")).join(small(often), "tm_sign")
+    sets = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tm_often", "tm_sign"))).alias("tm_signs"))
+    return sets.withColumn("tm_signs", F.transform("tm_signs", lambda x: x["tm_sign"]))
+
+
+def similar_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (tm_text, tm_label and the other keys) whose signs alone do not rule a ratio of THRESHOLD out.
+
+    The ratio is 2 M / (n + m), and M is at most the number of signs in common. Two sets that have so many in common share
+    one among the n - least + 1 first of the one and the m - least + 1 first of the other, in any one order, so these
+    prefixes are joined; with the rarest signs first they meet seldom. The place where they meet bounds what may follow
+    (positional filter), and the sets themselves decide. texts: tm_own, tm_text; labels: tm_label, tm_brand, tm_first.
+    """
+    signs = lambda c: numbered_signs(F.lower(c))
+    label = once(labels, tm_signs=signs(F.col("tm_label"))).withColumn("tm_m", F.size("tm_signs")).where("tm_m > 0")
+    reach = label.agg(F.min("tm_m").alias("tm_low"), F.max("tm_m").alias("tm_high"))  # one row
+    text = texts.withColumn("tm_n", F.length(F.lower("tm_text"))).join(F.broadcast(reach)).where((F.col("tm_low") <= F.col("tm_n") * REACH) & (F.col("tm_n") <= F.col("tm_high") * REACH))
+    text = stored(once(text, tm_signs=signs(F.col("tm_text"))).withColumn("tm_n", F.size("tm_signs")), "short-texts")
+    label = stored(label.join(F.broadcast(text.agg(F.min("tm_n").alias("tm_least")))), "labels")  # one row
+    often = text.select(F.explode("tm_signs").alias("tm_sign")).unionByName(label.select(F.explode("tm_signs").alias("tm_sign"))).groupBy("tm_sign").agg(F.count("*").alias("tm_often"))
+    left = rare_first(text, ["tm_own", "tm_text", "tm_n", "tm_low"], often)
+    right = rare_first(label, ["tm_label", "tm_brand", "tm_first", "tm_m", "tm_least"], often)
+    shortest = lambda n, low: F.greatest(F.ceil(n / REACH - 1e-9).cast("int"), low)
+    head = lambda n, low: F.greatest(n - least_common(n, shortest(n, low)) + 1, F.lit(0))
+    left = left.withColumnRenamed("tm_signs", "tm_a").select("*", F.posexplode(F.slice("tm_a", F.lit(1), head(F.col("tm_n"), F.col("tm_low")))).alias("tm_i", "tm_sign"))
+    right = right.withColumnRenamed("tm_signs", "tm_b").select("*", F.posexplode(F.slice("tm_b", F.lit(1), head(F.col("tm_m"), F.col("tm_least")))).alias("tm_j", "tm_sign"))
+    wanted = least_common(F.col("tm_n"), F.col("tm_m"))
+    rest = F.least(F.col("tm_n") - F.col("tm_i"), F.col("tm_m") - F.col("tm_j"))  # this sign and those behind it
+    met = left.join(right, "tm_sign").where((wanted <= F.least("tm_n", "tm_m")) & (rest >= wanted) & ~F.coalesce(F.col("tm_own") == F.col("tm_brand"), F.lit(False)))
+    return met.where(F.size(F.array_intersect("tm_a", "tm_b")) >= wanted).select("tm_own", "tm_text", "tm_label", "tm_first").distinct()
 
 
 def by_similarity(scans: DataFrame, products: DataFrame) -> DataFrame:
     """scan_id, reference_product_id, score of the most similar product at or above THRESHOLD, the first of equals.
 
-    Distinct texts meet distinct labels. The ratio of texts of lengths a and b is 2 min(a, b) / (a + b) at most, so pairs
-    are made by an equi-join on the label's length, which each text explodes to its feasible range among those there are;
-    a text that is too long for every label, as most are, makes none. Of the pairs, the signs in common bound the ratio
-    once more before any goes to Python.
+    Distinct texts meet distinct labels by the prefixes of their rare signs (similar_pairs); a text that is too long for
+    every label, as most are, meets none. Only pairs that the signs leave open go to Python. A guessed brand's products
+    are scored by by_brand, so a scan's own brand makes no pair.
     """
-    own = F.lower("brand") if "brand" in scans.columns else F.lit(None).cast("string")  # a guessed brand's products are scored by by_brand
+    own = F.lower("brand") if "brand" in scans.columns else F.lit(None).cast("string")
     label = products.select("reference_product_id", "catalogue_pos", F.lower("brand").alias("tm_brand"), F.concat_ws(" ", F.col("brand"), F.col("product_name")).alias("tm_label"))
     label = label.groupBy("tm_label", "tm_brand").agg(F.min(F.struct("catalogue_pos", "reference_product_id")).alias("tm_first"))
-    label = label.select("tm_label", "tm_brand", "tm_first", F.length("tm_label").alias("tm_size"), sign_counts(F.lower("tm_label")).alias("tm_has"))
-    reach = label.agg(F.min("tm_size").alias("tm_low"), F.max("tm_size").alias("tm_high"))  # one row
     text = scans.select("scan_id", own.alias("tm_own"), F.substring("text", 1, PREFIX).alias("tm_text")).where("tm_text <> ''")
-    text = text.withColumn("tm_n", F.length("tm_text")).join(F.broadcast(reach))
-    factor = (2 - THRESHOLD) / THRESHOLD
-    low, high = F.greatest(F.ceil(F.col("tm_n") / factor).cast("int"), "tm_low"), F.least(F.floor(F.col("tm_n") * factor).cast("int"), "tm_high")
-    text = text.where(low <= high).withColumns({"tm_from": low, "tm_to": high})
-    short = text.select("tm_own", "tm_text", "tm_n", "tm_from", "tm_to").distinct()
-    sizes = once(short, tm_signs=sign_counts(F.lower("tm_text"))).withColumn("tm_size", F.explode(F.sequence("tm_from", "tm_to")))
-    common = F.aggregate(F.zip_with("tm_has", "tm_signs", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    pairs = sizes.join(small(label), "tm_size").where("not coalesce(tm_own = tm_brand, false)").where(2 * common >= THRESHOLD * (F.col("tm_n") + F.col("tm_size")))
+    pairs = similar_pairs(text.select("tm_own", "tm_text").distinct(), label)
     pairs = pairs.withColumn("score", similarity(F.col("tm_label"), F.col("tm_text"))).where(F.col("score") >= THRESHOLD)
     best = F.max_by(F.struct("tm_first.reference_product_id", "score"), F.struct("score", -F.col("tm_first.catalogue_pos")))
     found = pairs.groupBy(F.col("tm_own").alias("tm_own2"), F.col("tm_text").alias("tm_text2")).agg(best.alias("tm_best"))
@@ -120,7 +203,8 @@ def matched(scans: DataFrame, products: DataFrame, fuzzy: bool = True) -> DataFr
     """
     exact = by_barcode(scans, products).select("scan_id", "reference_product_id", F.lit("barcode").alias("match_method"), F.lit(1.0).alias("match_score"))
     rest = scans.select("scan_id", "text", "brand").join(exact, "scan_id", "left_anti")
-    branded = by_brand(rest.where("brand is not null"), products).where(F.col("score") >= THRESHOLD)
+    named = by_name(rest.where("brand is not null"), products)  # a brand alone scores below THRESHOLD
+    branded = named.select("scan_id", "reference_product_id", F.lit(BRAND_AND_NAME).alias("score"))
     if fuzzy:
         place = small(products.select("reference_product_id", "catalogue_pos"))
         scored = branded.unionByName(by_similarity(rest, products)).join(place, "reference_product_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import datetime
 import json
 from pathlib import Path
@@ -70,6 +71,67 @@ def test_similarity_needs_no_cross_join(spark, products):
     assert "CartesianProduct" not in found._jdf.queryExecution().toString()
 
 
+def test_names_are_found_by_their_rarest_gram(spark, monkeypatch):
+    """One brand of 50,000 products: a text meets the few names whose rarest gram it holds, not all of them."""
+    names = spark.range(50_000).select(
+        F.col("id").alias("catalogue_pos"), F.concat(F.lit("p"), F.col("id")).alias("reference_product_id"), F.lit("Acme").alias("brand"),
+        F.when(F.col("id") % 1000 == 0, F.concat(F.lit("X"), F.col("id") / 1000 % 7)).otherwise(F.concat(F.lit("Glucose biscuit no. "), F.col("id"), F.lit(" Family"))).alias("product_name"),
+    )
+    index = names.sparkSession.createDataFrame(match.name_index(names).collect(), match.name_index(names).schema).cache()
+    rows = [(k, f"ACME some text, glucose Biscuit NO. {k * 37 % 60_000} family pack", "acme") for k in range(1000)] + [(5000, "acme x3.0 glucose biscuit", "ACME"), (5001, None, "Acme"), (5002, "glucose", "other"), (5003, "", "acme")]
+    s = spark.createDataFrame(rows, "scan_id long, text string, brand string")
+    assert match.name_probes(s, index).count() <= 5 * len(rows)
+    wanted = {k: f"p{k * 37 % 60_000}" for k in range(1000) if k * 37 % 60_000 < 50_000 and k * 37 % 60_000 % 1000} | {5000: "p3000"}
+    found = lambda: {r.scan_id: r.reference_product_id for r in match.by_name(s, names, index).collect()}
+    assert found() == wanted
+    monkeypatch.setattr(match, "BROADCAST_ROWS", 10)
+    assert found() == wanted
+
+
+def test_brand_scores_by_force(spark):
+    import random
+
+    own = random.Random(4)
+    word = lambda: "".join(own.choice("abAB é") for _ in range(own.randint(0, 9)))
+    shop = [(i, f"p{i}", own.choice(["Acme", "zed", "ACME", "", None]), own.choice([word(), None])) for i in range(300)]
+    rows = [(i, own.choice([word() + word() + word(), None]), own.choice(["acme", "Zed", "none"])) for i in range(200)]
+    table = spark.createDataFrame(shop, "catalogue_pos long, reference_product_id string, brand string, product_name string")
+    got = {r.scan_id: (r.reference_product_id, r.score) for r in match.by_brand(spark.createDataFrame(rows, "scan_id long, text string, brand string"), table).collect()}
+    for i, text, brand in rows:
+        scored = [(0.85 if text is not None and name is not None and name.lower() in text.lower() else 0.6, -at, p) for at, p, b, name in shop if b and b.lower() == brand.lower()]
+        assert got.get(i) == ((max(scored)[2], max(scored)[0]) if scored else None)
+
+
+def test_similarity_by_force(spark):
+    """2,000 labels and 2,000 texts, most of them unlike; the prefixes leave few pairs."""
+    import random
+    from difflib import SequenceMatcher
+
+    own = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzäß 0123456789"
+    label = lambda: "".join(own.choice(letters) for _ in range(own.randint(4, 24)))
+    shop = [(i, f"p{i}", "B", label()) for i in range(2000)]
+
+    def damaged(text):
+        return "".join(own.choice(letters) if own.random() < 0.2 else c.upper() if own.random() < 0.3 else c for c in text)
+
+    rows = [(i, damaged("B " + shop[own.randrange(2000)][3]) if i % 2 else label()) for i in range(2000)]
+    rows += [(3000, "b"), (3001, "B" * 250), (3002, ""), (3003, None)]
+    table, texts = spark.createDataFrame(shop, "catalogue_pos long, reference_product_id string, brand string, product_name string"), spark.createDataFrame(rows, "scan_id long, text string")
+    labels = table.select("catalogue_pos", F.lower("brand").alias("tm_brand"), F.concat_ws(" ", "brand", "product_name").alias("tm_label"), F.struct("catalogue_pos", "reference_product_id").alias("tm_first"))
+    pairs = match.similar_pairs(texts.where("text <> ''").select(F.lit(None).cast("string").alias("tm_own"), F.col("text").alias("tm_text")), labels)
+    assert pairs.count() <= 0.01 * 2000 * 2000
+    got = {r.scan_id: (r.reference_product_id, r.score) for r in match.by_similarity(texts, table).collect()}
+    bags = [(collections.Counter(f"B {name}".lower()), f"B {name}".lower(), p) for _, p, _, name in shop]
+    for i, text in rows:
+        best, low = (0.0, None), (text or "")[:200].lower()
+        bag = collections.Counter(low)
+        for other, name, p in bags:
+            if low and 2 * sum((bag & other).values()) >= 0.7199 * (len(low) + len(name)):
+                best = max(best, (SequenceMatcher(None, name, low).ratio(), p), key=lambda x: x[0])
+        assert got.get(i) == ((best[1], round(best[0], 3)) if best[0] >= 0.72 else None)
+
+
 def test_comparison_ladder(spark):
     pair = lambda a, b, f: spark.range(1).select(f(F.lit(a).cast("string"), F.lit(b).cast("string")).alias("e")).first().e.status
     assert pair(None, None, compare.compare_text) == "NOT_AVAILABLE"
