@@ -1,14 +1,17 @@
 """Phrase collocations (operator 11).
 
-Texts are lower-cased (A-Z), cut into pieces at punctuation and line ends, and pieces into words. An Arrow pass explodes
-their 1- to max_n-grams into rows (lang, words, phrase, n), equal grams of a stretch of texts already added up; these rows
-are hash-aggregated per language, and phrases seen min_count times are kept in a stored table. Each candidate's cuts are
-joined with the counts of their first and second parts, scored in Decimal (products may pass 64 bits), reduced to the
-lowest-scoring cut, anti-joined with the one-word extensions that hold most of their occurrences, and ranked by a window.
-
-A gram of three or more words can reach min_count only if both grams that are one word shorter do. Those are known from the
-level before, so a Bloom filter of them (of BLOOM_BITS at most, a bounded broadcast) keeps grams that cannot out of the
-rows. A false hit only costs a row, so counts and results are exact with a filter of any size.
+Texts are lower-cased (A-Z), cut into pieces at punctuation and line ends, and pieces into words. Arrow passes explode the
+1- to max_n-grams of each language into rows; equal grams of a stretch of texts come added up. Nearly all distinct grams
+are rare, so words and pairs are first hash-aggregated by a 64-bit hash of language and words. The hashes seen min_count
+times go into a Bloom filter (of BLOOM_BITS at most, a bounded broadcast), and a second pass gives the phrases themselves,
+as rows (lang, words, phrase, n): words and pairs that the filter holds, and longer grams all of whose pairs it holds, as no
+other can be frequent. These are hash-aggregated per language and kept, if seen min_count times, in a stored table. Hashes
+that fall together and false hits of the filter only let some rare phrases through to the second count, which is by the
+phrase, so counts are exact.
+
+Each candidate's cuts are joined with the counts of their first and second parts, scored in Decimal (products may pass 64
+bits), reduced to the lowest-scoring cut, anti-joined with the one-word extensions that hold most of their occurrences, and
+ranked by a window.
 
 Extensions by one word are enough: of a longer phrase with so many occurrences, the part one word shorter has as many.
 
@@ -19,7 +22,7 @@ words, over which phrases go on; a lang without phrases gives no rows, an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,11 @@ from .common import spread_join, stored
 MAX_N, MIN_COUNT, SHARE, TOP = 3, 10, 50, 2000
 NO_LANG = "und"
 #: Words that a task holds before it adds up their grams, and bytes of a text that are cut into words at once.
-HELD, STRETCH = 3_000_000, 1 << 20
+HELD, STRETCH = 1_000_000, 1 << 20
+#: Words of the longest grams that are counted by hash.
+PAIR = 2
+#: Rows of a batch that goes to Spark.
+ROWS = 50_000
 #: Bits of the filter: the least and most, and for each entry.
 BLOOM_LEAST, BLOOM_BITS, BLOOM_EACH, PROBES = 1 << 16, 1 << 28, 16, 3
 
@@ -90,45 +97,61 @@ def holds(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def gram_table(lang: str, ids: np.ndarray, numbers: Numbers, sizes: tuple[int, ...], filter_: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Rows of the grams in ids: for size 0 the number of words, for others a row for each distinct gram. filter_ holds the
-    grams one word shorter than the largest size that are frequent enough."""
+def starts(ids: np.ndarray, size: int) -> np.ndarray:
+    """Whether a gram of that size begins at a place; a mark is in none."""
+    places_ = max(0, len(ids) - size + 1)
+    return np.logical_and.reduce([ids[k : k + places_] > 0 for k in range(size)])
+
+
+def gram_hashes(lang: str, ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of the grams of that size that begin at the places at."""
+    out = np.full(len(at), np.uint64(lang_hash(lang) + size & 2**64 - 1))
+    for k in range(size):
+        out = mixed(out, hashes[ids[at + k]])
+    return out
+
+
+def hash_table(lang: str, ids: np.ndarray, numbers: Numbers, sizes: range) -> Iterator[pa.RecordBatch]:
+    """Rows (hash, n) of all grams in ids."""
+    hashes = word_hashes(list(numbers))
+    for size in sizes:
+        own = np.sort(gram_hashes(lang, ids, hashes, np.flatnonzero(starts(ids, size)), size))
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(first, len(own)))
+        for k in range(0, len(first), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(own[first[k : k + ROWS]].view(np.int64)), pa.array(counts[k : k + ROWS])], names=["hash", "n"])
+
+
+def phrase_table(lang: str, ids: np.ndarray, numbers: Numbers, sizes: range, filter_: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, words, phrase, n) of the grams in ids that may be frequent, and one for the number of words."""
     words = list(numbers)
-    names = pa.array(words[1:], pa.binary()).cast(pa.string())
-    hashes = word_hashes(words) if filter_ is not None else None
-    whole = ids > 0
+    names, hashes = pa.array(words[1:], pa.binary()).cast(pa.string()), word_hashes(words)
+    yield phrase_rows(lang, 0, pa.array([""]), np.array([np.count_nonzero(ids)]))
+    pairs = np.zeros(0, bool)
     for size in sizes:
-        if size == 0:
-            phrases, counts = pa.array([""]), np.array([np.count_nonzero(whole)])
-        elif size == 1:
-            counts = np.bincount(ids, minlength=len(words))[1:]
-            used = np.flatnonzero(counts)
-            phrases, counts = names.take(pa.array(used)), counts[used]
-        else:
-            start = len(ids) - size + 1
-            if start <= 0:
-                continue
-            ok = np.logical_and.reduce([whole[k : start + k] for k in range(size)])
-            if filter_ is not None:
-                part = np.full(len(ids), np.uint64(lang_hash(lang)))
-                for k in range(size - 1):
-                    part = mixed(part[: len(ids) - k], hashes[ids[k:]])
-                known = holds(filter_, part)
-                ok &= known[:start] & known[1 : start + 1]
-            at = np.flatnonzero(ok)
-            rank = ids[at].astype(np.int64)
-            for k in range(1, size):
-                pair = rank << 32 | ids[at + k]
-                if k < size - 1:
-                    rank = np.unique(pair, return_inverse=True)[1]
-            if not len(at):
-                continue
-            _, first, counts = np.unique(pair, return_index=True, return_counts=True)
-            columns = [names.take(pa.array(ids[at[first] + k] - 1)) for k in range(size)]
-            phrases = pc.binary_join_element_wise(*columns, " ")
-        for k in range(0, len(counts), 50_000):
-            n = pa.array(counts[k : k + 50_000], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), pa.repeat(pa.scalar(size, pa.int32()), len(n)), phrases.slice(k, 50_000), n], schema=SCHEMA)
+        good = starts(ids, size)
+        if size > PAIR:
+            good = np.logical_and.reduce([pairs[k : k + len(good)] for k in range(size - 1)])
+        at = np.flatnonzero(good)
+        own = gram_hashes(lang, ids, hashes, at, size)
+        if size <= PAIR:
+            known = holds(filter_, own)
+            at, own = at[known], own[known]
+            pairs = np.zeros(len(good), bool)
+            pairs[at] = True
+        if not len(at):
+            continue
+        _, first, group, counts = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+        if any((ids[at + k] != ids[at[first] + k][group]).any() for k in range(size)):  # two grams with one hash
+            _, first, counts = np.unique(np.stack([ids[at + k] for k in range(size)]), axis=1, return_index=True, return_counts=True)
+        columns = [names.take(pa.array(ids[at[first] + k] - 1)) for k in range(size)]
+        phrases = pc.binary_join_element_wise(*columns, " ")
+        for k in range(0, len(first), ROWS):
+            yield phrase_rows(lang, size, phrases.slice(k, ROWS), counts[k : k + ROWS])
+
+
+def phrase_rows(lang: str, size: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.repeat(lang, len(counts)), pa.repeat(pa.scalar(size, pa.int32()), len(counts)), phrases, pa.array(counts, pa.int64())], schema=SCHEMA)
 
 
 def lang_hash(lang: str) -> int:
@@ -137,17 +160,15 @@ def lang_hash(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode())
 
 
-def gram_rows(docs: DataFrame, sizes: tuple[int, ...], filter_=None) -> DataFrame:
-    """lang, words, phrase, n: the grams of the given sizes in docs, added up within stretches of HELD words. filter_: a
-    broadcast array that tells which shorter grams may be frequent."""
+def gram_rows(docs: DataFrame, table: Callable[[str, np.ndarray, Numbers], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """The rows that table makes of each lang's word numbers, HELD words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, texts, held = Numbers({MARK: 0}), {}, 0
-        known = None if filter_ is None else filter_.value
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, parts in texts.items():
-                yield from gram_table(lang, np.concatenate(parts), numbers, sizes, known)
+                yield from table(lang, np.concatenate(parts), numbers)
 
         for batch in batches:
             for lang, text in zip(batch.column("lang"), batch.column("text")):
@@ -161,44 +182,38 @@ def gram_rows(docs: DataFrame, sizes: tuple[int, ...], filter_=None) -> DataFram
                     numbers, texts, held = Numbers({MARK: 0}), {}, 0
         yield from flush()
 
-    return docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text").mapInArrow(run, GRAMS)
+    return docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text").mapInArrow(run, schema)
 
 
-def bloom(phrases: DataFrame, count: int):
-    """A broadcast Bloom filter of count phrases (lang, phrase): its set bits are found and OR-ed by Spark."""
-    bits = BLOOM_LEAST
-    while bits < min(count * BLOOM_EACH, BLOOM_BITS):
+def bloom(hashes: DataFrame):
+    """A broadcast Bloom filter of the column hash: its set bits are found and OR-ed by Spark."""
+    bits, wanted = BLOOM_LEAST, hashes.count() * BLOOM_EACH
+    while bits < min(wanted, BLOOM_BITS):
         bits *= 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = [p.split(b" ") for p in batch.column("phrase").cast(pa.binary()).to_pylist()]
-            if not split:
+            if not len(batch):
                 continue
-            hashes = np.fromiter(map(lang_hash, batch.column("lang").to_pylist()), np.uint64, len(split))
-            for k in range(len(split[0])):
-                hashes = mixed(hashes, word_hashes([s[k] for s in split]))
-            at = np.unique(np.concatenate(places(hashes, bits)))
+            at = np.unique(np.concatenate(places(batch.column("hash").to_numpy().view(np.uint64), bits)))
             cell, first = np.unique(at >> np.uint64(6), return_index=True)
             value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(value.view(np.int64))], names=["cell", "value"])
 
-    set_ = phrases.select("lang", "phrase").mapInArrow(run, "cell long, value long").groupBy("cell").agg(F.bit_or("value").alias("value")).toArrow()
+    found = hashes.select("hash").mapInArrow(run, "cell long, value long").groupBy("cell").agg(F.bit_or("value").alias("value")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
-    out[set_.column("cell").to_numpy()] = set_.column("value").to_numpy().view(np.uint64)
-    return phrases.sparkSession.sparkContext.broadcast(out)
+    out[found.column("cell").to_numpy()] = found.column("value").to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(out)
 
 
 def frequent_grams(docs: DataFrame, max_n: int, min_count: int) -> DataFrame:
     """lang, words, phrase, n of all phrases of up to max_n words that docs hold min_count times; in the row of each lang
     with 0 words, n counts all its words. Stored, as it has many users."""
-    frequent = lambda rows: rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | (F.col("words") == 0))
-    known = stored(frequent(gram_rows(docs, (0, 1, 2)[: 1 + max_n])), "grams")
-    for size in range(3, max_n + 1):
-        shorter = known.where(F.col("words") == size - 1)
-        rows = gram_rows(docs, (size,), bloom(shorter, shorter.count()))
-        known = known.unionByName(stored(frequent(rows), "grams"))
-    return known
+    sizes = range(1, max_n + 1)
+    hashes = gram_rows(docs, lambda *one: hash_table(*one, sizes[:PAIR]), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    known = bloom(stored(hashes, "gram-hashes"))
+    rows = gram_rows(docs, lambda *one: phrase_table(*one, sizes, known.value), GRAMS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    return stored(rows.where((F.col("n") >= min_count) | (F.col("words") == 0)), "grams")
 
 
 def joined_words(words: Column, start: Column | int, length: Column) -> Column:
