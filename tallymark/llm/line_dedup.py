@@ -118,10 +118,10 @@ def packed(lines: pd.Series, lost: pd.Series) -> pd.Series:
     return pd.Series([one(n, at) for n, at in zip(lines, lost)], dtype=object)
 
 
-def lost_lines(bitmap: pd.Series) -> pd.Series:
-    """The positions of the zero bits of packed bitmaps; padding bits beyond the last line may be among them."""
-    unpack = lambda b: None if b is None else np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(b), np.uint8)) == 0).astype(np.int32)
-    return bitmap.map(unpack, na_action="ignore")
+def unpacked(bitmap: pd.Series) -> pd.Series:
+    """Whether each line is kept, from packed bitmaps; padding bits are beyond the last line."""
+    bits = lambda b: np.unpackbits(np.frombuffer(zlib.decompress(b), np.uint8)).astype(bool)
+    return bitmap.map(bits, na_action="ignore")
 
 
 def keep_bitmaps(docs: DataFrame, min_key: int = MIN_KEY, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -141,11 +141,11 @@ def keep_bitmaps(docs: DataFrame, min_key: int = MIN_KEY, min_docs: int = MIN_DO
 
 def kept_lines(docs: DataFrame, bitmaps: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep of docs, then tm_kept (the text without its lost lines), tm_n and tm_dropped."""
-    maps = bitmaps.select(F.col("doc_id").alias("tm_doc"), F.col("tm_id").alias("tm_id2"), F.pandas_udf(lost_lines, "array<int>")("keep_bitmap").alias("tm_lost"), "n_dropped")
+    maps = bitmaps.select(F.col("doc_id").alias("tm_doc"), F.col("tm_id").alias("tm_id2"), F.pandas_udf(unpacked, "array<boolean>")("keep_bitmap").alias("tm_keep"), "n_dropped")
     rows = docs.select(*keep, "text" if "text" not in keep else F.lit(0).alias("tm_none"), text_id(F.col("text")).alias("tm_id"))
     both = rows.join(maps, (F.col("tm_id") == F.col("tm_id2")) & F.col("doc_id").eqNullSafe(F.col("tm_doc")), "left")
-    left = F.filter(text_lines(F.col("text")), lambda x, i: ~F.array_contains(F.col("tm_lost"), i))
-    kept = F.when(F.col("tm_lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(left, "\n"))
+    left = F.filter(text_lines(F.col("text")), lambda x, i: F.get(F.col("tm_keep"), i))
+    kept = F.when(F.col("tm_keep").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(left, "\n"))
     return both.select(*keep, kept.alias("tm_kept"), F.size(text_lines(F.col("text"))).cast("long").alias("tm_n"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("tm_dropped"))
 
 

@@ -87,6 +87,10 @@ def base_counts(docs: DataFrame, rules: QualityRules = QualityRules(), keep: tup
     return counted.withColumn("base_failed", failed)
 
 
+#: Signs of a key in base64.
+KEY_TEXT = 24
+
+
 def digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
@@ -102,12 +106,15 @@ def line_key(line: Column, host: Column) -> Column:
 def host_lines(docs: DataFrame, host: str) -> DataFrame:
     """A row for each non-blank line: doc_id, tm_text, tm_page (the text on its host), tm_total (words of its distinct
     lines), tm_line, tm_at (the line's number) and tm_words."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
-    size = lambda x: F.size(F.split(F.btrim(x, F.lit(BLANKS)), BLANK_RUN))
-    keyed = F.transform(lines, lambda x: F.struct(line_key(x, F.col(host)).alias("k"), size(x).alias("w")))
-    total = lambda keys: F.aggregate(F.array_distinct(keys), F.lit(0), lambda a, x: a + x["w"])
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.btrim(x, F.lit(BLANKS)).alias("x"), i.alias("i")))
+    lines = F.filter(numbered, lambda x: F.length(x["x"]) > 0)
+    size = lambda x: F.size(F.split(x, BLANK_RUN))
+    keyed = F.transform(lines, lambda x: F.struct(line_key(x["x"], F.col(host)).alias("k"), size(x["x"]).alias("w"), x["i"].alias("i")))
+    # keys with their words as text, as equal texts are found by hash; of equal keys the words are as many
+    weighted = lambda keys: F.array_distinct(F.transform(keys, lambda x: F.concat(F.base64(x["k"]), x["w"].cast("string"))))
+    total = lambda keys: F.aggregate(weighted(keys), F.lit(0), lambda a, x: a + F.substr(x, F.lit(KEY_TEXT + 1)).cast("int"))
     page = lambda text: digest(F.concat(F.coalesce(F.col(host), F.lit("\x00")), F.lit("\x1f"), F.hex(text)))
-    row = lambda text, page, n: lambda x, at: F.struct(text.alias("tm_text"), page.alias("tm_page"), n.alias("tm_total"), x["k"].alias("tm_line"), at.alias("tm_at"), x["w"].alias("tm_words"))
+    row = lambda text, page, n: lambda x: F.struct(text.alias("tm_text"), page.alias("tm_page"), n.alias("tm_total"), x["k"].alias("tm_line"), x["i"].alias("tm_at"), x["w"].alias("tm_words"))
     # each value is made once a document, though all its lines carry it
     rows = let(keyed, lambda k: let(total(k), lambda n: let(text_id(F.col("text")), lambda t: let(page(t), lambda p: F.transform(k, row(t, p, n))))))
     return docs.where(F.col("text").isNotNull()).select("doc_id", F.inline(rows))
@@ -127,14 +134,20 @@ def frequent_lines(lines: DataFrame, rules: QualityRules) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, host: str, rules: QualityRules) -> DataFrame:
-    """A row for each document that loses lines: tm_doc, tm_id and tm_gone, the (number, key, words) of those lines."""
+    """A row for each document that loses lines: tm_doc, tm_id and tm_gone, the (number, words) of those lines."""
     lines = stored(host_lines(docs, host), "lines")
     frequent = frequent_lines(lines, rules)
     hit = spread_join(lines, frequent.select("tm_line"), "tm_line", frequent, F.xxhash64("tm_page", "tm_at"))
-    gone = F.collect_set(F.struct(F.col("tm_at").alias("at"), F.col("tm_line").alias("k"), F.col("tm_words").alias("w")))
+    gone = F.collect_set(F.struct(F.col("tm_at").alias("at"), F.col("tm_words").alias("w")))
     return hit.groupBy(F.col("doc_id").alias("tm_doc"), F.col("tm_text").alias("tm_id")).agg(gone.alias("tm_gone"))
 
 
+def stays(gone: Column) -> Column:
+    """Whether a line stays, by its number up to the last one that goes, from the sorted numbers of those that go."""
+    before = lambda i: F.coalesce(F.get(gone, i - 1), F.lit(-1))
+    return F.flatten(F.transform(gone, lambda at, i: F.concat(F.array_repeat(F.lit(True), at - before(i) - 1), F.array(F.lit(False)))))
+
+
 def judged(docs: DataFrame, host: str, rules: QualityRules, keep: tuple[str, ...]) -> DataFrame:
     """Base counts, tm_gone and the verdict of each row, with the columns in keep."""
     counts = base_counts(docs.withColumn("tm_text", text_id(F.col("text"))), rules, (*keep, "tm_text"))
@@ -163,7 +176,8 @@ def clean_documents(docs: DataFrame, host: str = "source", rules: QualityRules =
     # one condition on both sides of the join, as a part of it alone would be moved below and counted there once more
     bad = F.greatest(F.col("base_failed").cast("int"), F.col("tm_depleted").cast("int"))
     rows = judged(rows, host, rules, (*named, "tm_row")).where(bad == 0)
-    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("tm_gone.k"), line_key(x, F.col(host))))
+    kept_of = lambda gone: let(stays(gone), lambda keep: F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(F.get(keep, i), F.lit(True))))
+    left = let(F.array_sort("tm_gone.at"), kept_of)
     text = F.when(F.col("tm_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     out = rows.withColumn("text", text)
     columns = {c: F.col(c) if c in named else F.col(f"tm_row.`{c}`") for c in docs.columns}

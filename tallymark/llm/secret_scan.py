@@ -68,7 +68,10 @@ def decoded(text: str) -> bytes | None:
         return None
 
 
-def der_size(data: bytes, at: int) -> tuple[int, int] | None:
+Bytes = bytes | memoryview
+
+
+def der_size(data: Bytes, at: int) -> tuple[int, int] | None:
     """Where the content of the item at ``at`` begins and ends; None where its head is cut off or no DER."""
     if at + 2 > len(data):
         return None
@@ -81,74 +84,106 @@ def der_size(data: bytes, at: int) -> tuple[int, int] | None:
     return begin, begin + size
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of the items that fill data exactly, constructed ones checked inside at any depth; else None."""
-    items, open_ = [], [(0, len(data), True)]
+def first_items(data: Bytes, most: int) -> list[tuple[int, Bytes]]:
+    """(tag, content) of the first items of data, at most so many and only such as lie within it."""
+    items, at = [], 0
+    while len(items) < most and at < len(data) and (head := der_size(data, at)) is not None and head[1] <= len(data):
+        items.append((data[at], data[head[0] : head[1]]))
+        at = head[1]
+    return items
+
+
+def is_der(data: Bytes) -> bool:
+    """Whether items fill data exactly, constructed ones checked inside at any depth."""
+    open_ = [(0, len(data))]
     while open_:
-        at, end, outer = open_.pop()
+        at, end = open_.pop()
         while at < end:
             head = der_size(data, at)
             if head is None or head[1] > end:
-                return None
-            if outer:
-                items.append((data[at], data[head[0] : head[1]]))
+                return False
             if data[at] & 0x20:
-                open_.append((*head, False))
+                open_.append(head)
             at = head[1]
-    return items
+    return True
 
 
-def is_key_der(data: bytes) -> bool:
+def is_key_der(data: Bytes) -> bool:
     """Whether data is one DER sequence with the members of a key:
 
     * a version of one byte, at most 3, then a private key in octets, an algorithm, or a modulus or prime of 64 bytes or
       more and another number;
     * a modulus of 64 bytes or more and an odd exponent of 8 bytes at most, and nothing else;
     * a known algorithm, then the key's bits, or a cipher, then the encrypted key.
+
+    The first members are looked at before all items are checked, so most candidates end after a few bytes.
     """
-    outer = der_items(data)
-    if not outer or len(outer) != 1 or outer[0][0] != SEQUENCE:
+    outer = first_items(data, 1)
+    head = der_size(data, 0)
+    if not outer or head is None or head[1] != len(data) or outer[0][0] != SEQUENCE:
         return False
-    inner = der_items(outer[0][1])
-    if not inner or len(inner) < 2:
+    inner = first_items(outer[0][1], 3)
+    if len(inner) < 2:
         return False
     (tag, content), (tag2, content2) = inner[:2]
     if tag == INTEGER and len(content) == 1 and content[0] <= 3:
-        return tag2 == OCTETS or (tag2 == SEQUENCE and has_algorithm(content2, KEY_ALGORITHMS)) or (tag2 == INTEGER and len(content2) >= 64 and len(inner) > 2 and inner[2][0] == INTEGER)
-    if tag == INTEGER:
-        return len(inner) == 2 and tag2 == INTEGER and len(content) >= 64 and 1 <= len(content2) <= 8 and content2[-1] % 2 == 1
-    return tag == SEQUENCE and (tag2 == BITS and has_algorithm(content, KEY_ALGORITHMS) or tag2 == OCTETS and has_algorithm(content, CIPHERS))
+        fits = tag2 == OCTETS or (tag2 == SEQUENCE and has_algorithm(content2, KEY_ALGORITHMS)) or (tag2 == INTEGER and len(content2) >= 64 and len(inner) > 2 and inner[2][0] == INTEGER)
+    elif tag == INTEGER:
+        fits = len(inner) == 2 and tag2 == INTEGER and len(content) >= 64 and 1 <= len(content2) <= 8 and content2[-1] % 2 == 1
+    else:
+        fits = tag == SEQUENCE and (tag2 == BITS and has_algorithm(content, KEY_ALGORITHMS) or tag2 == OCTETS and has_algorithm(content, CIPHERS))
+    return bool(fits) and is_der(data)
 
 
-def has_algorithm(content: bytes, known: tuple[bytes, ...]) -> bool:
+def has_algorithm(content: Bytes, known: tuple[bytes, ...]) -> bool:
     """Whether the first item of content is an object identifier that begins as one of the known."""
-    items = der_items(content)
-    return bool(items) and items[0][0] == OID and items[0][1].startswith(known)
-
-
-def base64_key(text: str, start: int) -> int | None:
-    """The end of a base64 key that begins at start: as many signs as its own length asks for, over lines if need be."""
+    items = first_items(content, 1)
+    return bool(items) and items[0][0] == OID and bytes(items[0][1][:16]).startswith(known)
+
+
+class Base64Run:
+    """The base64 lines that follow one another from a place in a text, read and decoded once for all that begins in them."""
+
+    def __init__(self, text: str, start: int):
+        parts, self.begins, self.ends, size = [], {}, {}, 0
+        at = start
+        while (m := BODY.match(text, at)) is not None:
+            part = m[0].rstrip("\r\n")
+            parts.append(part)
+            self.begins[at] = size
+            size += len(part)
+            self.ends[size] = at + len(part)
+            at = m.end()
+            if len(part) == len(m[0]):
+                break
+        self.signs = "".join(parts).replace("-", "+").replace("_", "/")
+        self.read: dict[int, bytes] = {}
+
+    def data(self, begin: int, size: int) -> memoryview:
+        """size bytes from the sign begin on; the signs are decoded once for each of the four ways to group them."""
+        way = begin % 4
+        if way not in self.read:
+            signs = self.signs[way:]
+            self.read[way] = base64.b64decode(signs + "A" * (-len(signs) % 4))
+        first = (begin - way) // 4 * 3
+        return memoryview(self.read[way])[first : first + size]
+
+
+def base64_key(text: str, start: int, run: Base64Run) -> int | None:
+    """The end of a base64 key that begins at start, a line's begin in run: as many signs as its own length asks for, which
+    have to end with a line."""
     head = decoded(text[start : start + 16])
     size = der_size(head, 0) if head and head[0] == SEQUENCE else None
     if size is None or size[1] < 36:
         return None
-    need, parts, at = -(-size[1] * 4 // 3), [], start
-    if need > len(text) - start:
-        return None
-    while need > 0:
-        m = BODY.match(text, at)
-        if m is None:
-            return None
-        part = m[0].rstrip("\r\n")
-        parts.append(part)
-        need, last, at = need - len(part), at + len(part), m.end()
-    if need < 0:
+    begin = run.begins[start]
+    last = run.ends.get(begin - (-size[1] * 4 // 3))
+    if last is None:
         return None
     at = last
     while at < len(text) and text[at] == "=" and at < last + 2:
         at += 1
-    data = decoded("".join(parts))
-    return at if data and text[at : at + 1] != "=" and is_key_der(data) else None
+    return at if text[at : at + 1] != "=" and is_key_der(run.data(begin, size[1])) else None
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -186,12 +221,17 @@ def confirmed(text: str) -> Iterator[tuple[int, int, str]]:
                 blocks.append(m.span())
                 yield *m.span(), "pem"
     upto = block = 0
+    run: Base64Run | None = None
     for m in DER_START.finditer(text):
         while block < len(blocks) and blocks[block][1] <= m.start():
             block += 1
         if block < len(blocks) and blocks[block][0] <= m.start():
             continue  # the body of a block that is reported as such
-        if m.start() >= upto and (end := base64_key(text, m.start())):
+        if m.start() < upto:
+            continue
+        if run is None or m.start() not in run.begins:
+            run = Base64Run(text, m.start())
+        if end := base64_key(text, m.start(), run):
             upto = end
             yield m.start(), end, "der"
     if "AAAA" in text:

@@ -89,6 +89,13 @@ def test_scores_beyond_64_bits(spark):
     assert [tuple(r) for r in collocations.scored(known).select("a", "l", "r", "score").collect()] == [(big - 7, big, big - 1, 1_000_000 * (big - 7) ** 2 // (big * (big - 1)))]
 
 
+def test_grams_of_one_hash_stay_apart(monkeypatch):
+    ids = np.array([1, 2, 0, 2, 1, 0, 1, 2], np.int32)
+    monkeypatch.setattr(collocations, "mixed", lambda a, b: np.zeros(len(a), np.uint64) + np.uint64(5))
+    batches = list(collocations.phrase_table("en", ids, collocations.Numbers({collocations.MARK: 0, b"a": 1, b"b": 2}), range(1, 3), np.full(1, 2**64 - 1, np.uint64)))
+    assert sorted((w, p, n) for b in batches for w, p, n in zip(*(b.column(c).to_pylist() for c in ("words", "phrase", "n")))) == [(0, "", 6), (1, "a", 3), (1, "b", 3), (2, "a b", 2), (2, "b a", 1)]
+
+
 def test_filter_has_no_false_misses():
     random = np.random.default_rng(1)
     hashes = random.integers(0, 2**63, 5000).astype(np.uint64)
@@ -273,5 +280,65 @@ def test_nearest_query(spark, sf):
 
 
 def test_batches_without_rows():
-    assert list(collocations.gram_table("en", np.zeros(3, np.int32), collocations.Numbers({collocations.MARK: 0}), (1, 2), None)) == []
+    marks, numbers = np.zeros(3, np.int32), collocations.Numbers({collocations.MARK: 0})
+    assert list(collocations.hash_table("en", marks, numbers, range(1, 6))) == []
+    assert [b.column("n").to_pylist() for b in collocations.phrase_table("en", marks, numbers, range(1, 6), np.zeros(1, np.uint64))] == [[0]]
     assert isinstance(whitening.Whitening(1, (0,), np.zeros((1, 0)), np.zeros(0), 1).deviations(np.zeros((0, 1), np.int64)), pa.Array)
+
+
+# --- very many lines, very many heads: work grows with the text, not with its square
+
+
+def within(seconds, work):
+    import time
+
+    began = time.time()
+    out = work()
+    assert time.time() - began < seconds
+    return out
+
+
+MANY = 200_000
+
+
+@pytest.fixture(scope="module")
+def many_lines(spark):
+    """A text of MANY lines, one in ten of them repeated over 25 other documents."""
+    ship(spark)
+    shared = [f"shared line {i} that is long enough to be a key of its own" for i in range(20)]
+    long = "\n".join(shared[i // 10 % 20] if i % 10 == 0 else f"own line {i} with some words" for i in range(MANY))
+    rows = [(0, long), *((k, "\n".join([f"page {k} {w} says this and that" for w in range(60)] + shared)) for k in range(1, 26))]
+    return spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").cache()
+
+
+def test_quality_of_very_many_lines(many_lines):
+    from tallymark.llm.quality import clean_documents, quality_verdicts
+
+    got = {r.doc_id: r for r in within(60, lambda: quality_verdicts(many_lines).collect())}
+    assert got[0].n_removed_lines == MANY // 10 and got[0].n_dup_lines == MANY // 10 - 20 and got[1].n_removed_lines == 20
+    kept = {r.doc_id: r.text for r in within(60, lambda: clean_documents(many_lines).collect())}
+    assert kept[0] == "\n".join(f"own line {i} with some words" for i in range(MANY) if i % 10) and len(kept[7].split("\n")) == 60
+
+
+def test_line_dedup_of_very_many_lines(many_lines):
+    from tallymark.llm.line_dedup import line_dedup, without_repeated_lines
+
+    got = {r.doc_id: r for r in within(60, lambda: line_dedup(many_lines).collect())}
+    assert (got[0].n_lines, got[0].n_dropped, got[25].n_dropped) == (MANY, MANY // 10, 0)
+    kept = {r.doc_id: r.text for r in within(60, lambda: without_repeated_lines(many_lines).collect())}
+    assert kept[0] == "\n".join(f"own line {i} with some words" for i in range(MANY) if i % 10)
+
+
+def test_secret_scan_of_very_many_heads():
+    import base64
+
+    from tallymark.llm.secret_scan import scan
+
+    lines = []
+    for i in range(15_625):  # one megabyte of lines of 64 signs, each a head; all bodies end at the end of the last line
+        size = (15_625 - i) * 48 - 5
+        lines.append(base64.b64encode(b"\x30\x83" + size.to_bytes(3, "big") + b"\x02\x01\x00\x04\x7f" + bytes(38)).decode())
+    assert within(20, lambda: scan("\n".join(lines)))[4].count("der") == 0
+    key = b"\x30\x2e\x02\x01\x00\x04\x29" + bytes(41)  # 48 bytes: one line of signs
+    text = "\n".join([*lines[:9], base64.b64encode(key).decode(), *lines[9:18]])
+    assert scan(text)[4] == f"der:{9 * 65}:{9 * 65 + 64}"
