@@ -6,6 +6,7 @@ The twins are written apart from the Column code: lines become rows, cascades be
 from __future__ import annotations
 
 import datetime
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
 from ..operators import barcode, compare, extract, match, ocr, rules, vision
-from ..sources import buckets, sinks
+from ..sources import buckets, constraints, headers, layout, sinks
 from ..storage import fresh, stored
-from . import pipeline
+from . import pipeline, runs
 from .fixtures import VIEWS, oracle_view, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -689,6 +690,23 @@ def header_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("scan_id", "status", F.size("details").cast("long").alias("details"))
 
 
+@query("SELECT o_orderkey AS scan_id, o_orderstatus AS status, count(l_linenumber) AS details, coalesce(sum(l_quantity), 0)::double AS quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+def header_details_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers with their details from tables in buckets of the scan: neither grouping nor join moves a row."""
+    header = layout.bucketed(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan_id"), F.col("o_orderstatus").alias("status")), "header")
+    details = layout.bucketed(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scan_id"), F.col("l_quantity").cast("double").alias("quantity")), "details")
+    joined = sinks.with_details(header, details=details)
+    total = F.aggregate("details", F.lit(0.0), lambda a, x: a + x["quantity"])
+    return joined.select("scan_id", "status", F.size("details").cast("long").alias("details"), total.alias("quantity"))
+
+
+@query("SELECT cast(event_id AS varchar) AS scan_id, ts AS created_at, event_type AS compliance_status FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
+def history_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest scans from a table in partitions of the day, of which only the newest are read."""
+    records = table(spark, sf_dir, "events").select(F.col("event_id").alias("scan_id"), F.col("ts").alias("created_at"), F.lit(None).cast("string").alias("detected_product_name"), F.lit("").alias("reference_product_id"), F.col("event_type").alias("status"))
+    return sinks.history(layout.latest(spark, layout.by_day(records, "records"), 200), 200).select("scan_id", "created_at", "compliance_status")
+
+
 _OLD = "A AS (SELECT reference_product_id, brand, mrp FROM products), B AS (SELECT CASE WHEN catalogue_pos % 2 = 0 THEN '' ELSE 'new ' END || reference_product_id AS reference_product_id, 'new ' || brand AS brand, NULL::double AS mrp FROM products)"
 
 
@@ -801,3 +819,75 @@ def scan_response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def compliance_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.detail_tables(results(spark, sf_dir))["compliance_results"]
+
+
+# --- constraints, uploads
+
+_AUDITED = """product_reference AS MATERIALIZED (SELECT CASE WHEN catalogue_pos % 19 = 0 THEN 'ref-1' ELSE reference_product_id END AS reference_product_id, CASE WHEN catalogue_pos % 17 = 0 THEN NULL ELSE brand END AS brand, product_name FROM products),
+compliance_rules AS MATERIALIZED (SELECT CASE WHEN rule_pos % 4 = 0 THEN NULL ELSE rule_code END AS rule_code, rule_name, operator, CASE WHEN rule_pos % 5 = 0 THEN 'severe' ELSE severity END AS severity, is_active FROM rules),
+scan_records AS MATERIALIZED (SELECT CASE WHEN o_orderkey % 101 = 0 THEN 1 ELSE o_orderkey END AS scan_id FROM orders),
+barcode_results AS MATERIALIZED (SELECT CASE WHEN l_linenumber = 7 THEN -l_orderkey WHEN l_partkey % 50 = 0 THEN NULL ELSE l_orderkey END AS scan_id, CASE WHEN l_partkey % 23 = 0 THEN NULL ELSE l_partkey % 2 = 0 END AS detected FROM lineitem),
+compliance_results AS MATERIALIZED (SELECT o_orderkey AS scan_id, CASE o_orderstatus WHEN 'F' THEN 'compliant' WHEN 'O' THEN 'review_required' ELSE 'odd' END AS overall_status, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'low' WHEN 2 THEN 'high' ELSE 'none' END AS risk_level FROM orders)"""
+
+
+def _row_audit(table: str, column: str, kind: str, bad: str) -> str:
+    return f"SELECT '{table}' AS table_name, '{table}.{column}:{kind}' AS constraint_name, '{kind}' AS kind, count(*) AS rows, count(*) FILTER ({bad}) AS violations FROM {table}"
+
+
+def _foreign_audit(table: str) -> str:
+    return f"SELECT '{table}', '{table}.scan_id:foreign', 'foreign', count(scan_id), count(*) FILTER (scan_id IS NOT NULL AND scan_id NOT IN (SELECT scan_id FROM scan_records)) FROM {table}"
+
+
+_AUDITS = [
+    *(_row_audit("product_reference", c, "not_null", f"{c} IS NULL") for c in ("reference_product_id", "brand", "product_name")),
+    *(_row_audit("compliance_rules", c, "not_null", f"{c} IS NULL") for c in ("rule_code", "rule_name", "operator", "severity", "is_active")),
+    _row_audit("compliance_rules", "severity", "check", "severity NOT IN ('low', 'medium', 'high')"), _row_audit("scan_records", "scan_id", "not_null", "scan_id IS NULL"),
+    _row_audit("barcode_results", "detected", "not_null", "detected IS NULL"),
+    _row_audit("compliance_results", "overall_status", "check", "overall_status NOT IN ('compliant', 'non_compliant', 'review_required', 'processing', 'failed')"),
+    _row_audit("compliance_results", "risk_level", "check", "risk_level NOT IN ('low', 'medium', 'high')"),
+    *(f"SELECT '{t}', '{t}.{c}:unique', 'unique', count({c}), count({c}) - count(DISTINCT {c}) FROM {t}" for t, c in (("product_reference", "reference_product_id"), ("scan_records", "scan_id"))),
+    _foreign_audit("barcode_results"), _foreign_audit("compliance_results"),
+]
+
+
+@query(" UNION ALL ".join(_AUDITS), "products", "rules", _AUDITED)
+def constraint_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The constraints of five tables in which each kind is broken here and there."""
+    sources = {"products": view(spark, sf_dir, "products"), "rules": view(spark, sf_dir, "rules"), "orders": table(spark, sf_dir, "orders"), "lineitem": table(spark, sf_dir, "lineitem")}
+    bodies = dict(part.strip().split(" AS MATERIALIZED ", 1) for part in _AUDITED.split(",\n"))
+    tables = {name: spark.sql(re.sub(r"\b(FROM) (products|rules|orders|lineitem)\b", r"\1 {\2}", body[1:-1]), **sources) for name, body in bodies.items()}
+    return constraints.audit(tables)
+
+
+_UPLOADS = """U AS (SELECT p_partkey AS k, p_partkey % 5 AS kind, (p_partkey * 7919 % 12000 + 5)::bigint AS w, (p_partkey * 104729 % 9000 + 5)::bigint AS h FROM part)"""
+
+
+@query(
+    """SELECT k, CASE WHEN kind IN (0, 1) THEN 'png' WHEN kind IN (2, 3) THEN 'jpeg' END AS format, CASE WHEN kind < 3 THEN w WHEN kind = 3 THEN NULL END AS width, CASE WHEN kind < 3 THEN h END AS height,
+    CASE WHEN k % 31 = 0 THEN 'EMPTY_UPLOAD' WHEN kind >= 3 OR w * h > 60000000 OR least(w, h) < 20 THEN 'INVALID_IMAGE' END AS error_code FROM (SELECT k, CASE WHEN k % 31 = 0 THEN 9 ELSE kind END AS kind, w, h FROM U)""",
+    _UPLOADS,
+)
+def upload_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose first bytes are made of parts: PNG, JPEG with other segments before the frame, JPEG cut off before it, a
+    file of another kind, and empty ones."""
+    k = F.col("p_partkey")
+    w, h = k * 7919 % 12000 + 5, k * 104729 % 9000 + 5
+    hexed = lambda c, n: F.lpad(F.hex(c), n, "0")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hexed(w, 8), hexed(h, 8), F.lit("0802000000"))
+    segments = F.concat(F.lit("FFD8FFE00010"), F.repeat(F.lit("4A"), 14), F.lit("FFFFE1"), hexed(k % 500 + 2, 4), F.repeat(F.lit("C0"), (k % 500).cast("int")))
+    frame = F.concat(F.lit("FFC2001108"), hexed(h, 4), hexed(w, 4), F.lit("03"))
+    kind = k % 5
+    content = F.when(k % 31 == 0, "").when(kind < 2, png).when(kind == 2, F.concat(segments, frame)).when(kind == 3, segments).otherwise("255044462D")
+    return headers.sniffed(table(spark, sf_dir, "part").select(k.alias("k"), F.unhex(content).alias("content"))).select("k", "format", "width", "height", "error_code")
+
+
+@query(
+    """SELECT stage, status, CASE WHEN status = 'success' THEN n END AS rows, error_code FROM (VALUES ('field_extraction', 'success', NULL), ('product_matching', 'failed', 'REFERENCE_LOOKUP_ERROR'), ('product_matching_fallback', 'success', NULL), ('compliance_engine', 'success', NULL)) t(stage, status, error_code)
+    CROSS JOIN (SELECT count(*) AS n FROM label_scans)""",
+    "label_scans",
+)
+def stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of a run whose catalogue has prices that cannot be read: the run goes on without references."""
+    broken = view(spark, sf_dir, "products").withColumn("mrp", F.raise_error(F.concat(F.lit("no price of "), "reference_product_id")).cast("double"))
+    _, stages = runs.run(view(spark, sf_dir, "label_scans"), broken, view(spark, sf_dir, "rules"), "stages", fuzzy=False)
+    return stages.table().select("stage", "status", "rows", "error_code")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +41,14 @@ def rules_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def products(spark: SparkSession, table: str | None, seed_path: str) -> DataFrame:
-    """The catalogue table where there is one, else the seed file."""
-    if table and spark.catalog.tableExists(table):
-        return spark.table(table)
+    """The catalogue table, or the seed file where there is none or it cannot be read (a warning says so)."""
+    if table:
+        try:
+            found = spark.table(table)
+            found.limit(1).collect()
+            return found
+        except PySparkException as error:
+            warnings.warn(f"catalogue {table} cannot be read, the seed file is used: {str(error)[:200]}", stacklevel=2)
     return products_json(spark, seed_path)
 
 

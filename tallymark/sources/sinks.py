@@ -13,6 +13,7 @@ from ..context import RunContext
 from ..operators.rules import stored_risk, stored_status
 from ..storage import stored
 from .commits import Log
+from .constraints import Guard
 
 
 def numbered(rows: DataFrame, order: list[Column], last: int = 0, name: str = "scan_id") -> DataFrame:
@@ -46,12 +47,13 @@ def claimed(spark: SparkSession, folder: str, key: str, rows: int) -> dict:
     return entry
 
 
-def append_batch(tables: dict[str, DataFrame], folder: str, key: str, order: list[Column] | None = None) -> bool:
+def append_batch(tables: dict[str, DataFrame], folder: str, key: str, order: list[Column] | None = None, **notes: str | None) -> bool:
     """Appends the rows of a batch to tables below folder, all of them or none; False if the batch is there already.
 
     Files go to folders of their own, which readers (see committed) do not know until the batch's entry in the log names
     them; that is the last step. With an order, the rows of the one table get scan_id from the ledger of ids: each batch
-    the range after the last one, a repeated batch the range that it claimed before.
+    the range after the last one, a repeated batch the range that it claimed before. Rows that break a constraint of their
+    table (see constraints) are found while they are written, and then nothing is committed. notes go into the entry.
     """
     spark = next(iter(tables.values())).sparkSession
     done = Log(spark, f"{folder}/commits")
@@ -64,8 +66,10 @@ def append_batch(tables: dict[str, DataFrame], folder: str, key: str, order: lis
         tables = {name: rows.withColumn("scan_id", F.col("scan_id") + (first - 1))}
     at = f"batch-{uuid.uuid4().hex}"
     for name, rows in tables.items():
-        rows.write.parquet(f"{folder}/{name}/{at}")
-    entry = lambda before: None if any(e["key"] == key for e in before) else {"key": key, "paths": {name: f"{name}/{at}" for name in tables}}
+        guard = Guard(name)
+        guard.watch(rows).write.parquet(f"{folder}/{name}/{at}")
+        guard.settle()
+    entry = lambda before: None if any(e["key"] == key for e in before) else {"key": key, "paths": {name: f"{name}/{at}" for name in tables}, **notes}
     return done.add(entry) is not None
 
 

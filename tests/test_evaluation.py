@@ -316,9 +316,9 @@ def test_images_and_adapters(spark, tmp_path):
     assert files["cut.png"].error_code is None and files["red.png"].error_code == readers.TOO_LARGE
     images = readers.images(spark, str(tmp_path)).where("error_code is null").withColumn("scan_id", F.lit(1).cast("long"))
     tiles = adapters.run(images, "tiles").collect()
-    assert [(t.tile_x, t.tile_y, t.edge_density, t.residual_median) for t in tiles] == [(0, 0, 0.0, 0.0)]
+    assert [(t.tile_x, t.tile_y, t.edge_density, t.residual_median, t.status) for t in tiles] == [(0, 0, 0.0, 0.0, "success")]
     broken = adapters.run(images.withColumn("height", F.lit(7)), "tiles").collect()
-    assert [(t.scan_id, t.tile_x) for t in broken] == [(1, None)]
+    assert [(t.scan_id, t.tile_x, t.status, t.error_code) for t in broken] == [(1, None, "failed", "TAMPERING_PROCESSING_ERROR")] and "reshape" in broken[0].error
     assert adapters.run(images, "no such engine").count() == 0
 
 
@@ -348,6 +348,110 @@ def test_stream(spark, sf, products, tmp_path):
     assert sinks.committed(spark, str(tmp_path / "out"), "compliance_results").count() == 2
 
 
+def test_late_scans_go_to_a_table_of_their_own(spark, sf, products, tmp_path):
+    from tallymark.streaming.scans import start
+
+    def arrive(name, *rows):
+        full = [(i, datetime.datetime(2024, 6, day), "success", "MRP Rs. 30", None, None, "success", 0.1) for i, day in rows]
+        spark.createDataFrame(full, "scan_id long, created_at timestamp, ocr_status string, text string, zoom_text string, barcode string, tampering_status string, tampering_score double").coalesce(1).write.json(str(tmp_path / "in" / name))
+        run = start(spark, str(tmp_path / "in/*"), products, view(spark, sf, "rules"), str(tmp_path / "out"), str(tmp_path / "state"), late=datetime.timedelta(days=5))
+        assert run.awaitTermination(180)
+
+    arrive("a", (1, 1), (2, 10))
+    arrive("b", (3, 4), (4, 5), (5, 20))
+    rows = lambda name: sorted(r.scan_id for r in sinks.committed(spark, str(tmp_path / "out"), name).collect())
+    assert rows("scan_records") == rows("ocr_results") == [1, 2, 4, 5] and rows("late_scans") == [3]
+
+
+def test_uploads_of_one_content_are_kept_once(spark, tmp_path):
+    import os
+
+    from tallymark.streaming.uploads import start
+
+    def arrive(*files):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for name, content, hour in files:
+            (tmp_path / "in" / name).write_bytes(content)
+            os.utime(tmp_path / "in" / name, (1_700_000_000 + 3600 * hour,) * 2)
+        assert start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), "2 hours").awaitTermination(180)
+
+    red = png([[(255, 0, 0)] * 64] * 64)
+    arrive(("a.png", red, 0), ("b.png", red, 0), ("bad name!.txt", b"text", 0))
+    arrive(("c.png", red, 1), ("d.png", red[:20], 1))
+    got = {r.name: (r.format, r.width, r.error_code) for r in sinks.committed(spark, str(tmp_path / "out"), "uploads").collect()}
+    assert len(got) == 3 and got["bad_name.txt"] == (None, None, "INVALID_IMAGE") and got["d.png"] == ("png", 64, "INVALID_IMAGE")
+    assert ("png", 64, None) in got.values() and "c.png" not in got
+
+
+def test_headers_are_read_before_decoders(spark):
+    from tallymark.sources.headers import sniffed
+
+    def jpeg(w, h, *segments):
+        return b"\xff\xd8" + b"".join(b"\xff" + bytes([m]) + (len(d) + 2).to_bytes(2, "big") + d for m, d in segments) + b"\xff\xff\xc1\x00\x11\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes(10)
+
+    files = [
+        ("png", png([[(0, 0, 0)] * 30] * 20)), ("small", png([[(0, 0, 0)] * 30] * 19)), ("bomb", png([[(0, 0, 0)] * 30] * 20)[:16] + (60_001).to_bytes(4, "big") + (1_000).to_bytes(4, "big") + bytes(9)),
+        ("jpeg", jpeg(640, 480, (0xE0, b"JFIF"), (0xE1, b"\xff\xc0" * 20_000), (0xDB, bytes(65)))), ("many", jpeg(25, 31, *[(0xE2, b"x")] * 100)), ("endless", jpeg(25, 31, *[(0xE2, b"x")] * 300)), ("cut", jpeg(640, 480)[:9]),
+        ("gif", b"GIF89a" + (300).to_bytes(2, "little") + (200).to_bytes(2, "little")), ("bmp", b"BM" + bytes(16) + (70).to_bytes(4, "little") + (-80).to_bytes(4, "little", signed=True)),
+        ("none", b""), ("null", None), ("large", bytes(13 * 1024 * 1024)), ("text", b"hello"),
+    ]
+    got = {r.name: (r.format, r.width, r.height, r.error_code) for r in sniffed(spark.createDataFrame(files, "name string, content binary")).collect()}
+    bad = "INVALID_IMAGE"
+    assert got == {
+        "png": ("png", 30, 20, None), "small": ("png", 30, 19, bad), "bomb": ("png", 60_001, 1_000, bad), "jpeg": ("jpeg", 640, 480, None), "many": ("jpeg", 25, 31, None), "endless": ("jpeg", None, None, bad), "cut": ("jpeg", None, None, bad),
+        "gif": ("gif", 300, 200, None), "bmp": ("bmp", 70, 80, None), "none": (None, None, None, "EMPTY_UPLOAD"), "null": (None, None, None, "EMPTY_UPLOAD"), "large": (None, None, None, "IMAGE_TOO_LARGE"), "text": (None, None, None, bad),
+    }
+
+
+def test_batches_that_break_constraints_are_not_committed(spark, tmp_path):
+    from tallymark.sources.constraints import ConstraintError
+
+    good = spark.createDataFrame([(1, "compliant", None), (2, None, "low")], "scan_id long, overall_status string, risk_level string")
+    bad = spark.createDataFrame([(3, "fine", "low"), (4, "failed", "huge")], good.schema)
+    assert sinks.append_batch({"compliance_results": good}, str(tmp_path), "a")
+    with pytest.raises(ConstraintError, match="overall_status:check .1 rows"):
+        sinks.append_batch({"compliance_results": bad}, str(tmp_path), "b")
+    assert sinks.committed(spark, str(tmp_path), "compliance_results").count() == 2
+
+
+def test_a_run_tells_its_stages(spark, sf, products, tmp_path):
+    from tallymark.plans.runs import run
+
+    s, folder = scans(spark, ("MRP Rs. 30", "8901719123870", "success"), ("blank", None, "success")), str(tmp_path)
+    results, stages = run(s, products, view(spark, sf, "rules"), "one", folder)
+    assert [(r.stage, r.status, r.rows) for r in stages.table().collect()] == [("field_extraction", "success", 2), ("product_matching", "success", 2), ("compliance_engine", "success", 2), ("persist_results", "success", None)]
+    assert {r.scan_id: r.reference_found for r in results.collect()} == {0: True, 1: False}
+    assert sinks.committed(spark, folder, "scan_records").count() == 2 and sinks.committed(spark, f"{folder}/metrics", "stage_metrics").where("duration_ms >= 0").count() == 4
+    broken = products.withColumn("mrp", F.raise_error(F.lit("no catalogue")).cast("double"))
+    results, stages = run(s, broken, view(spark, sf, "rules"), "two", folder)
+    assert {r.scan_id: r.reference_found for r in results.collect()} == {0: False, 1: False}
+    lost = stages.table().where("status = 'failed'").collect()
+    assert [(r.stage, r.error_code) for r in lost] == [("product_matching", "REFERENCE_LOOKUP_ERROR")] and "no catalogue" in lost[0].error
+
+
+def test_the_seed_file_stands_in_for_a_catalogue_that_cannot_be_read(spark, tmp_path):
+    seed = tmp_path / "seed.json"
+    seed.write_text(json.dumps([{"reference_product_id": "p", "brand": "b"}]))
+    spark.createDataFrame([("q",)], "reference_product_id string").createOrReplaceTempView("tm_catalogue")
+    assert readers.products(spark, "tm_catalogue", str(seed)).first().reference_product_id == "q"
+    spark.createDataFrame([("q",)], "reference_product_id string").select(F.raise_error(F.col("reference_product_id")).alias("reference_product_id")).createOrReplaceTempView("tm_catalogue")
+    for name in ("tm_catalogue", "no_such_table", None):
+        assert readers.products(spark, name, str(seed)).first().reference_product_id == "p"
+
+
+def test_layouts_need_no_shuffle_and_read_the_newest_days(spark, sf):
+    from tallymark.plans.queries import QUERIES
+    from tallymark.sources import layout
+
+    plan = QUERIES["header_details_bucketed"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Bucketed: true" in plan
+    rows = spark.range(1000).select(F.col("id").alias("scan_id"), (F.lit(datetime.datetime(2024, 1, 1)) + F.make_dt_interval(F.col("id").cast("int") % 100)).alias("created_at"))
+    path = layout.by_day(rows, "days")
+    part = layout.latest(spark, path, 35)
+    assert part.count() == 40 and "PartitionFilters: [day" in part._jdf.queryExecution().executedPlan().toString() and layout.latest(spark, path, 5000).count() == 1000
+    assert part.agg(F.min("created_at")).first()[0] == datetime.datetime(2024, 4, 6)
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.integers(0, 10**12 - 1), min_size=1, max_size=8))
 def test_check_digits_close(spark, bodies):
