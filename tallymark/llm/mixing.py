@@ -7,14 +7,15 @@ only when the family as a whole is short. Filling children in the order of capac
 pass of window sums.
 
 A leaf then takes whole epochs of its documents, each in an order of its own seeded by epoch, and of the last epoch the
-prefix that its budget pays for. Orders are cut into BUCKETS ranges of the seeded hash: sums per range tell which range
-holds the end of the prefix, and only that range is ranked row by row, so no task orders a hot leaf as a whole.
+prefix that its budget pays for. Orders are cut into ranges of the seeded hash, 2**STEP of them: sums per range tell which
+range holds the end of the prefix. A range that holds more than SMALL rows is cut again in the same way, and only what is
+left then is ranked row by row, so no task orders a large part of a hot leaf.
 
 Tokens are blank-separated words unless another column expression is given; a tokenizer's counts can be joined to docs
 before and named there.
 
 Defined results: missing weights are 1; null names are nodes of their own; documents without tokens come with each epoch
-that reaches them; repeated rows count each by itself, and where the budget ends among equal rows as many as it pays for
+that reaches them, those right behind the end of a prefix included; repeated rows count each by itself, and where the budget ends among equal rows as many as it pays for
 are taken; equal places in a seeded order go by the text's digest, and rows equal in that too are alike; a very long text
 is one record, which the prefix takes as a whole or ends before; a zero or negative weight takes nothing; columns beside
 the levels, doc_id and text play no part, whatever their names; an empty table gives an empty result.
@@ -24,13 +25,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import digest60, stored, text_id, words
 
-BUCKETS = 256
+#: Bits of a seeded hash, those that each cut takes, and the rows of a leaf that one task may rank.
+ORDER_BITS, STEP, SMALL = 60, 8, 100_000
 
 
 @dataclass(frozen=True)
@@ -105,20 +108,26 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), tokens: Column | None = None) -> Da
     same = [rows[c].eqNullSafe(parts[f"tm_{c}"]) for c in levels]
     taken = rows.join(parts, same).select(*rows.columns, "tm_leaf", "epoch", "budget", "tm_left", "tm_tokens")
     order = digest60(F.concat_ws(":", F.lit(str(mix.seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("tm_text").cast("string")))
-    taken = taken.withColumn("tm_order", order).withColumn("tm_bucket", F.shiftright("tm_order", 52))
-
-    sums = taken.where("tm_left < tm_tokens").groupBy("tm_leaf", "epoch", "tm_bucket", "tm_left").agg(F.sum("n_tokens").alias("tm_sum"))
-    before = F.sum("tm_sum").over(Window.partitionBy("tm_leaf", "epoch").orderBy("tm_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumn("tm_before", F.coalesce(before, F.lit(0)))
-    reached = sums.where("tm_before < tm_left").select("tm_leaf", "epoch", "tm_bucket", "tm_before", (F.col("tm_before") + F.col("tm_sum") > F.col("tm_left")).alias("tm_cut"))
-
+    taken = taken.withColumn("tm_order", order)
     columns = ["doc_id", "tm_text", *levels, "n_tokens", "epoch", "budget"]
-    entire = taken.where("tm_left >= tm_tokens").select(*columns)
-    prefix = taken.where("tm_left < tm_tokens").join(reached, ["tm_leaf", "epoch", "tm_bucket"])
-    ranked = Window.partitionBy("tm_leaf", "epoch", "tm_bucket").orderBy("tm_order", "tm_text")
+    parts = [taken.where("tm_left >= tm_tokens").select(*columns)]
+    cut, shift, key = taken.where("tm_left < tm_tokens").withColumn("tm_before", F.lit(0).cast("long")), ORDER_BITS, ["tm_leaf", "epoch"]
+    while True:
+        shift = max(0, shift - STEP)
+        cut = cut.withColumn("tm_bucket", F.shiftright("tm_order", shift))
+        sums = cut.groupBy(*key, "tm_bucket", "tm_left", "tm_before").agg(F.sum("n_tokens").alias("tm_sum"))
+        earlier = F.sum("tm_sum").over(Window.partitionBy(*key).orderBy("tm_bucket").rowsBetween(Window.unboundedPreceding, -1))
+        sums = sums.withColumn("tm_start", F.col("tm_before") + F.coalesce(earlier, F.lit(0)))
+        reached = sums.where("tm_start <= tm_left").select(*key, "tm_bucket", "tm_start", (F.col("tm_start") + F.col("tm_sum") > F.col("tm_left")).alias("tm_cut"))
+        both = cut.drop("tm_before").join(reached, [*key, "tm_bucket"])
+        parts.append(both.where("not tm_cut").select(*columns))
+        cut = stored(both.where("tm_cut").withColumnRenamed("tm_start", "tm_before").drop("tm_cut", "tm_bucket"), "cut-ranges")
+        if shift == 0 or (cut.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= SMALL:
+            break
+    ranked = Window.partitionBy(*key).orderBy("tm_order", "tm_text")
     upto = F.sum("n_tokens").over(ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cut = prefix.where("tm_cut").withColumn("tm_upto", F.col("tm_before") + upto).where("tm_upto <= tm_left")
-    return entire.unionByName(prefix.where("not tm_cut").select(*columns)).unionByName(cut.select(*columns))
+    parts.append(cut.withColumn("tm_upto", F.col("tm_before") + upto).where("tm_upto <= tm_left").select(*columns))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:

@@ -286,6 +286,44 @@ def test_batches_without_rows():
     assert isinstance(whitening.Whitening(1, (0,), np.zeros((1, 0)), np.zeros(0), 1).deviations(np.zeros((0, 1), np.int64)), pa.Array)
 
 
+# --- 7 and 8
+
+
+def test_bpe_query_gives_the_library_s_digests(spark, sf):
+    """The whole query against tiktoken, on the smallest table."""
+    import base64
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    codec = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    wanted = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = codec.encode_ordinary(r.text or "")
+        wanted.append((r.doc_id, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((r.text or "").encode())))
+    got = QUERIES["op7_byte_bpe"](spark, sf)
+    assert sorted(map(tuple, got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == sorted(wanted)
+
+
+@pytest.mark.parametrize("small", [0, 3, 100_000])
+def test_mix_prefixes_do_not_depend_on_how_ranges_are_cut(spark, monkeypatch, small):
+    """One leaf holds most rows; some have no tokens, some are equal."""
+    from tallymark.llm import mixing
+
+    rows = [(i % 450, "w " * (i % 5), "en" if i % 10 else "de", "src0" if i % 3 else "src1", 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mix = mixing.Mix(levels=("lang", "source"), weights={"lang": {"en": 3.0}}, share=0.5, epochs=2)
+    monkeypatch.setattr(mixing, "SMALL", 10**9)
+    count = lambda: collections.Counter(tuple(r) for r in mixing.mixed(docs, mix).collect())
+    whole = count()
+    monkeypatch.setattr(mixing, "SMALL", small)
+    assert count() == whole and sum(whole.values()) > 100
+
+
 # --- very many lines, very many heads: work grows with the text, not with its square
 
 
