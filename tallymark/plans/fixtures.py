@@ -81,6 +81,13 @@ def _rule(pos: int, r: tuple) -> str:
 
 RULES = "\nUNION ALL ".join(_rule(i, r) for i, r in enumerate(_RULES))
 
+#: A rule for each part: switched on, off or neither, with and without days.
+RULE_BOOK = """
+SELECT 'R-' || cast(p_partkey as string) AS rule_code, CASE p_partkey % 3 WHEN 0 THEN 'mrp' WHEN 1 THEN 'net_quantity' ELSE 'batch' END AS field_name, 'field_present' AS operator, CASE p_size % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS severity,
+  cast(CASE p_partkey % 5 WHEN 1 THEN '2024-06-30' WHEN 2 THEN '2024-07-01' ELSE NULL END as date) AS effective_from, cast(CASE p_partkey % 7 WHEN 1 THEN '2024-06-30' WHEN 2 THEN '2024-06-29' ELSE NULL END as date) AS effective_to,
+  CASE WHEN p_partkey % 13 = 0 THEN '' WHEN p_partkey % 17 = 0 THEN NULL ELSE 'v' || cast(p_size as string) END AS version, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_partkey % 4 <> 0 END AS is_active
+FROM {part}"""
+
 EVIDENCE = """
 SELECT o_orderkey AS scan_id, CASE WHEN o_orderkey % 23 = 0 THEN 'failed' ELSE 'success' END AS ocr_status,
   o_orderkey % 7 <> 0 AS p_mrp, o_orderkey % 11 <> 0 AS p_net, o_orderkey % 5 <> 0 AS p_addr, o_orderkey % 3 = 0 AS p_mfg, o_orderkey % 4 = 0 AS p_use, o_orderkey % 13 = 0 AS p_best, o_orderkey % 2 = 0 AS p_care,
@@ -120,7 +127,7 @@ SELECT l_suppkey % 50 AS scan_id, cast(l_linenumber as int) AS tile_x, cast(l_pa
 FROM {lineitem}"""
 
 VIEWS = {
-    "products": PRODUCTS, "label_scans": LABEL_SCANS, "rules": RULES, "evidence": EVIDENCE, "ocr_words": OCR_WORDS,
+    "products": PRODUCTS, "label_scans": LABEL_SCANS, "rules": RULES, "rule_book": RULE_BOOK, "evidence": EVIDENCE, "ocr_words": OCR_WORDS,
     "barcode_candidates": BARCODE_CANDIDATES, "regions": REGIONS, "contours": CONTOURS, "tiles": TILES,
 }
 TABLES = ("orders", "part", "lineitem")

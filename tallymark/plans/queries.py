@@ -63,14 +63,17 @@ def field(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- sources, filters, projections
 
 
-@query("SELECT rule_code, field_name, operator, severity FROM rules WHERE is_active AND (effective_from IS NULL OR effective_from <= DATE '2024-06-30') AND (effective_to IS NULL OR effective_to >= DATE '2024-06-30')", "rules")
+_VALID_ON = "coalesce(is_active, true) AND (effective_from IS NULL OR effective_from <= DATE '2024-06-30') AND (effective_to IS NULL OR effective_to >= DATE '2024-06-30')"
+
+
+@query(f"SELECT rule_code, field_name, operator, severity FROM rule_book WHERE {_VALID_ON}", "rule_book")
 def rules_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.active(view(spark, sf_dir, "rules"), F.lit(AS_OF)).select("rule_code", "field_name", "operator", "severity")
+    return rules.active(view(spark, sf_dir, "rule_book"), F.lit(AS_OF)).select("rule_code", "field_name", "operator", "severity")
 
 
-@query("SELECT string_agg(version, ',' ORDER BY version) AS rules_version FROM (SELECT DISTINCT version FROM rules WHERE is_active AND (effective_from IS NULL OR effective_from <= DATE '2024-06-30') AND (effective_to IS NULL OR effective_to >= DATE '2024-06-30'))", "rules")
+@query(f"SELECT string_agg(version, ',' ORDER BY version) AS rules_version FROM (SELECT DISTINCT version FROM rule_book WHERE version <> '' AND {_VALID_ON})", "rule_book")
 def rules_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.rules_version(rules.active(view(spark, sf_dir, "rules"), F.lit(AS_OF)))
+    return rules.rules_version(rules.active(view(spark, sf_dir, "rule_book"), F.lit(AS_OF)))
 
 
 @query("SELECT reference_product_id, brand, product_name FROM products WHERE contains(lower(brand), 'a') OR contains(lower(product_name), 'a')", "products")
@@ -520,10 +523,17 @@ def declaration_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("scan_id", rules.declaration_count(F.col("presence"), noisy).alias("declarations"))
 
 
-@query("SELECT s, CASE WHEN upper(trim(s)) IN ('PASS', 'COMPLIANT') THEN 'compliant' WHEN upper(trim(s)) IN ('NON_COMPLIANT', 'REVIEW_REQUIRED', 'PROCESSING', 'FAILED') THEN lower(trim(s)) ELSE 'review_required' END AS status, CASE WHEN upper(trim(r)) IN ('LOW', 'MEDIUM', 'HIGH') THEN lower(trim(r)) END AS risk FROM (VALUES (' pass', 'NONE'), ('Compliant', 'low '), ('non_compliant', 'HIGH'), ('FAILED', 'x'), ('odd', NULL), (NULL, 'Medium')) t(s, r)")
+_SPOKEN = """Q AS (SELECT o_orderkey AS k, CASE o_orderkey % 8 WHEN 0 THEN ' pass' WHEN 1 THEN 'Compliant' WHEN 2 THEN 'non_compliant' WHEN 3 THEN 'FAILED ' WHEN 4 THEN o_orderstatus WHEN 5 THEN NULL WHEN 6 THEN 'Processing' ELSE 'review_required' END AS s,
+  CASE o_orderkey % 5 WHEN 0 THEN 'NONE' WHEN 1 THEN 'low ' WHEN 2 THEN 'HIGH' WHEN 3 THEN NULL ELSE 'Medium' END AS r FROM orders)"""
+
+
+@query("SELECT k, CASE WHEN upper(trim(s)) IN ('PASS', 'COMPLIANT') THEN 'compliant' WHEN upper(trim(s)) IN ('NON_COMPLIANT', 'REVIEW_REQUIRED', 'PROCESSING', 'FAILED') THEN lower(trim(s)) ELSE 'review_required' END AS status, CASE WHEN upper(trim(r)) IN ('LOW', 'MEDIUM', 'HIGH') THEN lower(trim(r)) END AS risk FROM Q", _SPOKEN)
 def status_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(" pass", "NONE"), ("Compliant", "low "), ("non_compliant", "HIGH"), ("FAILED", "x"), ("odd", None), (None, "Medium")], "s string, r string")
-    return rows.select("s", rules.stored_status(F.col("s")).alias("status"), rules.stored_risk(F.col("r")).alias("risk"))
+    k = F.col("o_orderkey")
+    pick = lambda n, *values: F.get(F.array(*(F.lit(v) for v in values)), (k % n).cast("int"))
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), pick(8, " pass", "Compliant", "non_compliant", "FAILED ", F.col("o_orderstatus"), none, "Processing", "review_required").alias("s"), pick(5, "NONE", "low ", "HIGH", none, "Medium").alias("r"))
+    return rows.select("k", rules.stored_status(F.col("s")).alias("status"), rules.stored_risk(F.col("r")).alias("risk"))
 
 
 # --- recognised words, barcodes, images
