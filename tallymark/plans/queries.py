@@ -547,7 +547,7 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.text_lines(view(spark, sf_dir, "ocr_words")).select("scan_id", "pass_no", "block_num", "par_num", "line_num", "text", "confidence")
 
 
-_OCR_TEXTS = "X AS (SELECT scan_id, pass_no, string_agg(text, chr(10) ORDER BY t, l, p) AS text, round_even(sum(least(greatest(confidence, 0), 1) * least(length(text), 80)) + 0.08 * sum(length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))) + 1.5 * count(*) FILTER (confidence >= 0.6), 4) AS quality FROM N GROUP BY scan_id, pass_no)"
+_OCR_TEXTS = "X AS (SELECT scan_id, pass_no, string_agg(text, chr(10) ORDER BY t, l, p) AS text, round_even(sum(least(greatest(confidence, 0), 1) * least(length(text), 80)) + 0.08 * sum(length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))) + 1.5 * count(*) FILTER (confidence >= 0.6), 9) AS quality FROM N GROUP BY scan_id, pass_no)"
 
 
 @query("SELECT scan_id, pass_no, text FROM X", "ocr_words", _USABLE, _OCR_LINES, _OCR_TEXTS)
@@ -555,14 +555,22 @@ def ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.scan_texts(ocr.text_lines(view(spark, sf_dir, "ocr_words"))).select("scan_id", "pass_no", "text")
 
 
-@query("SELECT scan_id, pass_no FROM (SELECT scan_id, pass_no, round_even(avg(confidence), 4) AS confidence FROM N GROUP BY scan_id, pass_no) WHERE confidence < 0.45", "ocr_words", _USABLE, _OCR_LINES)
+_PASSES = "P AS (SELECT DISTINCT scan_id, pass_no FROM ocr_words)"
+
+
+def every_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = view(spark, sf_dir, "ocr_words")
+    return ocr.scan_texts(ocr.text_lines(words), ocr.all_passes(words))
+
+
+@query("SELECT scan_id, pass_no FROM P LEFT JOIN (SELECT scan_id, pass_no, round_even(avg(confidence), 4) AS confidence FROM N GROUP BY scan_id, pass_no) USING (scan_id, pass_no) WHERE coalesce(confidence, 0) < 0.45", "ocr_words", _PASSES, _USABLE, _OCR_LINES)
 def ocr_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.needs_retry(ocr.scan_texts(ocr.text_lines(view(spark, sf_dir, "ocr_words")))).select("scan_id", "pass_no")
+    return ocr.needs_retry(every_pass(spark, sf_dir)).select("scan_id", "pass_no")
 
 
-@query("SELECT scan_id, pass_no FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY quality DESC, pass_no) AS r FROM X) WHERE r = 1", "ocr_words", _USABLE, _OCR_LINES, _OCR_TEXTS)
+@query("SELECT scan_id, pass_no, round_even(quality, 6) AS quality FROM (SELECT scan_id, pass_no, coalesce(quality, 0) AS quality, row_number() OVER (PARTITION BY scan_id ORDER BY coalesce(quality, 0) DESC, pass_no) AS r FROM P LEFT JOIN X USING (scan_id, pass_no)) WHERE r = 1", "ocr_words", _PASSES, _USABLE, _OCR_LINES, _OCR_TEXTS)
 def ocr_pass_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.best_pass(ocr.scan_texts(ocr.text_lines(view(spark, sf_dir, "ocr_words")))).select("scan_id", "pass_no")
+    return ocr.best_pass(every_pass(spark, sf_dir)).select("scan_id", "pass_no", F.bround("quality", 6).alias("quality"))
 
 
 @query("SELECT scan_id, arg_min(value, (-n, f)) AS value, max(n) AS votes FROM (SELECT scan_id, text AS value, count(*) AS n, min(pos) AS f FROM ocr_words GROUP BY 1, 2) GROUP BY scan_id HAVING max(n) >= 2", "ocr_words")
