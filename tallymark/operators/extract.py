@@ -23,8 +23,13 @@ BEST_BEFORE_LABEL = r"\bbest\s*before\b"
 CARE = r"(?i)(?:\bphone\s*no\.?|\bconsumer\s*care\b|\bcustomer\s*care\b|\btoll\s*free\b)[.\s:]*([\d\s()+\-]{8,25}|[\w.\-+@]{5,60})"
 BATCH = r"(?i)\b(?:batch|lot)\b(?:\s*(?:no|number|num))?[:\s.\-]*([\w\-/]{2,30})"
 ORIGIN = r"(?i)\bcountry\s*of\s*origin\b[:\s]*(\w[\w \t]{2,39})"
+MADE_BY = r"^(?i)(?:mfd\.?\s*by|manufactured\s*by|packed\s*by|marketed\s*by)[ \t:.\-]*(.*?)[ \t]*$"
+MADE_AT = r"^(?i)(?:[A-Z0-9\-]{1,4}\s*[-:]\s*)?at\s*:\s*(.*)$"
+MADE_ALONE, BY_ALONE = r"^(?i)(?:mfd\.?|manufactured|packed|marketed)$", r"^(?i)by[:.\-]*$"
 
 #: Fixed values of the company and address tests.
+COMPANY_FORM = r"\b(?:PVT\.?\s*LTD|PRIVATE\s+LIMITED|LIMITED|LTD\.?)\b"
+MADE_BY_WORDS = ("manufacturer", "manufactured by", "mfd by")
 COMPANY_MARKERS = (" PVT", " PRIVATE", " LTD", " LIMITED", " LLP", " INC", " CORPORATION", " INDUSTRIES", " ENTERPRISES", " ENTERPRISE", " FOODS", " FOOD", " COMPANY", " CO.")
 COMPANY_CONTACT = r"\b(?:QUERIES|CONTACT|PHONE|EMAIL|E-MAIL|HELPLINE|CONSUMER CARE|CUSTOMER CARE)\b"
 NOT_COMPANY = ("queries", "contact", "consumer care", "customer care", "phone no", "e-mail", "email", "visit us", "for sale", "net weight", "nutrition", "mrp", "use by", "best before")
@@ -195,7 +200,7 @@ def joined_lines(a: Column, start: Column) -> Column:
 
 def maker_explicit(a: Column) -> Column:
     """Phase 1: lines that start with a "made by" label."""
-    label = r"^(?i)(?:mfd\.?\s*by|manufactured\s*by|packed\s*by|marketed\s*by)[ \t:.\-]*(.*?)[ \t]*$"
+    label = MADE_BY
 
     def near(x: Column) -> Column:
         below = at(a, x["i"] + 1)
@@ -215,7 +220,7 @@ def maker_explicit(a: Column) -> Column:
 
 def maker_at(a: Column) -> Column:
     """Phase 2: "at:" lines; at least one following line belongs to the declaration."""
-    label = r"^(?i)(?:[A-Z0-9\-]{1,4}\s*[-:]\s*)?at\s*:\s*(.*)$"
+    label = MADE_AT
 
     def near(x: Column) -> Column:
         start, one, two = trimmed(F.regexp_extract(x["line"], label, 1)), at(a, x["i"] + 1), at(a, x["i"] + 2)
@@ -230,7 +235,7 @@ def maker_at(a: Column) -> Column:
 
 def maker_split(a: Column) -> Column:
     """Phase 3: the label's words and the company on three lines."""
-    label = F.filter(numbered(a), lambda x: x["line"].rlike(r"^(?i)(?:mfd\.?|manufactured|packed|marketed)$") & F.coalesce(at(a, x["i"] + 1).rlike(r"^(?i)by[:.\-]*$"), F.lit(False)) & at(a, x["i"] + 2).isNotNull())
+    label = F.filter(numbered(a), lambda x: x["line"].rlike(MADE_ALONE) & F.coalesce(at(a, x["i"] + 1).rlike(BY_ALONE), F.lit(False)) & at(a, x["i"] + 2).isNotNull())
     hits = F.transform(label, lambda x: declared(at(a, x["i"] + 2), x["i"] + 2))
     return first(F.filter(hits, lambda d: d.isNotNull()))
 
@@ -243,7 +248,7 @@ def maker_score(line: Column) -> Column:
 def name_score(line: Column, name: Column, low: Column, upper: Column) -> Column:
     skip = low.rlike(f"^(?:{'|'.join(map(re.escape, SKIP_STARTS))})")
     head = F.regexp_replace(F.regexp_extract(line, r"^(\S+)", 1), r"^[.,()]+|[.,()]+$", "")
-    form = upper.rlike(r"\b(?:PVT\.?\s*LTD|PRIVATE\s+LIMITED|LIMITED|LTD\.?)\b")
+    form = upper.rlike(COMPANY_FORM)
     run_on = F.lit(False)
     for brand, variants, _, _ in REPAIRS:
         run_on = run_on | (F.contains(upper, F.lit(brand)) & F.contains(upper, F.lit("PVT")) & any_in(upper, variants))
@@ -252,7 +257,7 @@ def name_score(line: Column, name: Column, low: Column, upper: Column) -> Column
     points = flag(name.rlike(r"(?i)\bPVT\.?\s*LTD\b"), "private limited, short") + flag(name.rlike(r"(?i)PRIVATE\s+LIMITED"), "private limited") + flag(name.rlike(r"(?i)\bLIMITED\b"), "limited")
     for w in TRADE_WORDS:
         points = points + flag(F.contains(F.lower(name), F.lit(w)), "trade word")
-    points = points + flag(any_in(low, ("manufacturer", "manufactured by", "mfd by")), "made by") + flag(address_evidence(name), "address")
+    points = points + flag(any_in(low, MADE_BY_WORDS), "made by") + flag(address_evidence(name), "address")
     points = points + POINTS["each digit"] * count(name, r"\d") + flag(name.rlike(r"[()\[\]{}]"), "brackets") + flag(count(name, "[A-Za-z]{3,}") >= 3, "three words")
     return F.when(~skip & (F.length(head) >= 2) & (form | run_on) & is_company(name), points)
 

@@ -12,7 +12,7 @@ from ..context import RunContext
 from ..plans.pipeline import evaluate
 from ..sources.commits import Log
 from ..sources.sinks import append_batch, detail_tables
-from ..storage import stored
+from ..storage import scratch, stored
 
 SCANS = "scan_id long, created_at timestamp, ocr_status string, text string, zoom_text string, barcode string, tampering_status string, tampering_score double"
 
@@ -32,7 +32,12 @@ def add(batch: DataFrame, number: int, products: DataFrame, rules: DataFrame, ou
     """Evaluates one batch and commits it. Scans that are older by more than late than the latest scan of earlier batches go
     to the table late_scans as they are, in the same commit; evaluating them is up to who looks after that table."""
     spark, key = batch.sparkSession, f"stream-{number}"
-    rows = stored(batch, "batch")
+    with scratch(spark):  # a stream has no end, so what its batches store must have one
+        return settled(stored(batch, "batch"), key, products, rules, out, late, context)
+
+
+def settled(rows: DataFrame, key: str, products: DataFrame, rules: DataFrame, out: str, late: datetime.timedelta | None, context: RunContext) -> bool:
+    spark = rows.sparkSession
     high = high_water(spark, out, key)
     behind = F.lit(False) if late is None or high is None else F.coalesce(F.col("created_at") < F.lit(high - late), F.lit(False))
     rows = rows.withColumn("tm_late", behind)

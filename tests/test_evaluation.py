@@ -357,10 +357,13 @@ def test_late_scans_go_to_a_table_of_their_own(spark, sf, products, tmp_path):
         run = start(spark, str(tmp_path / "in/*"), products, view(spark, sf, "rules"), str(tmp_path / "out"), str(tmp_path / "state"), late=datetime.timedelta(days=5))
         assert run.awaitTermination(180)
 
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = {p.name for p in shared.iterdir()} if shared.exists() else set()
     arrive("a", (1, 1), (2, 10))
     arrive("b", (3, 4), (4, 5), (5, 20))
     rows = lambda name: sorted(r.scan_id for r in sinks.committed(spark, str(tmp_path / "out"), name).collect())
     assert rows("scan_records") == rows("ocr_results") == [1, 2, 4, 5] and rows("late_scans") == [3]
+    assert {p.name for p in shared.iterdir()} == before  # batches leave nothing behind
 
 
 def test_uploads_of_one_content_are_kept_once(spark, tmp_path):
