@@ -6,29 +6,31 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-SCRATCH = "spark.tallymark.scratch"
+#: The folder of the innermost scratch that this thread is in.
+SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
-    """Tables that this session stores within are deleted at the end: for work whose results are written elsewhere."""
-    path, before = fresh(spark, "scratch"), spark.conf.get(SCRATCH, None)
-    spark.conf.set(SCRATCH, path)
+    """Tables that this thread stores within are deleted at the end: for work whose results are written elsewhere."""
+    path = fresh(spark, "scratch")
+    token = SCRATCH.set(path)
     try:
         yield path
     finally:
-        spark.conf.unset(SCRATCH) if before is None else spark.conf.set(SCRATCH, before)
+        SCRATCH.reset(token)
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A path that is not in use, below spark.checkpoint.dir; with a local master a temporary folder will do where none is set."""
-    folder = spark.conf.get(SCRATCH, None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = SCRATCH.get() or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
