@@ -12,16 +12,17 @@ one more rarely. Unlike sets hardly ever share a key, so buckets are never sampl
 
 Links: each pair that shares a bucket is held against the exact similarity, unless other links connect it already. First
 each set proposes one link, to the set with most companions that it shares a bucket with, which for a copy is about the
-text that was copied: a large group of copies of one text thus costs a row a copy, and not one for each two copies. The
-buckets whose members are not connected then are worked off in rounds. Each round takes pivots, the members with most
-companions in each of 1, 8, 64, ... parts of the bucket, and holds them against the rest; a bucket ends when its members
-are connected or all have been pivots. No bucket is sorted or held as a whole, and one that holds a large part of the rows
-is spread over several tasks.
-
-Large groups of texts that are somewhat alike, but not enough, would make a pair for each two of them. What keeps these
-apart is shingles of their own: of a set with n hashes of which only x occur in any other open set, x at most can be
-shared. Two sets then have at most m = min(x, x') in common and a similarity of m / (n + n' - m) at most. Sets and pairs
-whose bound is below ``percent`` are left out, which loses no link; a pair is made only where the bound allows one.
+text that was copied: a large group of copies of one text thus costs a row a copy, and not one for each two copies. What
+is left are buckets whose members are not connected. Shingles of their own keep many sets out of these: of a set with n
+hashes of which only x occur in any other open set, x at most can be shared, so two sets have at most m = min(x, x') in
+common and a similarity of m / (n + n' - m) at most; a set whose bound is below ``percent`` with all others of its bucket
+is left out, which loses no link.
+
+The rest are mostly large groups of texts that are somewhat alike, but not enough, of which each two would be a pair. No
+pair is made of them: the sets that open buckets connect are dealt into blocks of ``small`` sets (fewer if they are long),
+and for each two blocks of a group one task has the sizes of all intersections from a product of matrices of zeros and
+ones, set by hash, which is exact. It returns links that connect what is alike, at most one fewer than it has sets. So rows
+and stored data grow with the sets times the blocks of their group, and only multiplications with the pairs.
 
 Defined results: texts without words have the empty set, which is linked to itself only; a text shorter than a shingle is
 one shingle; otherwise as in simhash.
@@ -49,13 +50,13 @@ class Shingles:
     percent: int = 80
     bands: int = 40
     rows: int = 4
-    small: int = 8  # all members of a bucket up to this size are pivots at once
+    small: int = 512  # sets of a block
     index: simhash.SimHash = simhash.SimHash(shingle=5)
 
 
 FIVE_WORDS = Shingles()
-#: Hashes of a set that meet all orders at once.
-FRONT = 2048
+#: Hashes of a set that meet all orders at once; those of a block on average at most, and of one product of matrices.
+FRONT, BLOCK_HASHES, PRODUCT = 2048, 500_000, 4096
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -194,6 +195,73 @@ def proposals(rows: DataFrame) -> DataFrame:
     return seen.groupBy("b").agg(F.max_by("a", F.struct("tm_with", "a")).alias("a")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def intersections(lists: pa.ListArray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many hashes each of the sets left has in common with each of the sets right; both are places in lists."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(lists)), sizes)
+    _, number, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = times[number] > 1  # the others are in no intersection
+    owner, number = owner[shared], np.unique(number[shared], return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    out = np.zeros((len(left), len(right)))
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, PRODUCT):
+        at = slice(*np.searchsorted(number, (low, low + PRODUCT)))
+        part = np.zeros((len(lists), PRODUCT), np.float32)
+        part[owner[at], number[at] - low] = 1
+        out += part[left] @ part[right].T
+    return out
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Those pairs of a and b that connect what is not connected by the ones before."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in above:
+            above[x] = x = above.get(above[x], above[x])
+        return x
+
+    kept = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        if (u := root(x)) != (v := root(y)):
+            above[max(u, v)] = min(u, v)
+            kept.append((x, y))
+    return kept
+
+
+def block_links(block: pa.Table, percent: int) -> pa.Table:
+    """a, b: roots that pairs of sets of one or two blocks connect. block: root, tm_block, tm_list."""
+    block = block.combine_chunks()
+    roots, own, lists = block.column("root").to_numpy(), block.column("tm_block").to_numpy(), block.column("tm_list").chunk(0)
+    left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+    both, sizes = intersections(lists, left, right), np.diff(lists.offsets.to_numpy())
+    x, y = np.nonzero((100 * both >= percent * (sizes[left][:, None] + sizes[right] - both)) & (roots[left][:, None] != roots[right]))
+    found = spanning(roots[left[x]], roots[right[y]])
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def linked_in_blocks(rows: DataFrame, own: DataFrame, config: Shingles) -> DataFrame:
+    """a, b: links between the roots of alike sets that open buckets connect. rows: tm_key, tm_node, root, tm_rows."""
+    least = stored(rows.groupBy("tm_key").agg(F.min("tm_node").alias("a"), F.count("*").alias("tm_rows")), "least-nodes")
+    edges = spread_join(rows.select("tm_key", F.col("tm_node").alias("b")), least.select("tm_key", "a"), "tm_key", least.select("tm_key", "tm_rows"), F.xxhash64("b")).select("a", "b")
+    group = simhash.components(edges).select(F.col("node").alias("tm_node"), F.col("root").alias("tm_group"))
+    nodes = rows.select("tm_node", "root").distinct().join(group, "tm_node", "left").withColumn("tm_group", F.coalesce("tm_group", "tm_node"))
+    sets_ = stored(nodes.join(own, "tm_node"), "open-sets")
+    sizes = sets_.groupBy("tm_group").agg(F.count("*").alias("tm_rows"), F.sum(F.size("tm_list")).alias("tm_hashes"))
+    sizes = stored(sizes.withColumn("tm_blocks", F.greatest(F.ceil(F.col("tm_rows") / config.small), F.ceil(F.col("tm_hashes") / BLOCK_HASHES))), "groups")
+    dealt = spread_join(sets_, sizes.select("tm_group", "tm_blocks"), "tm_group", sizes.select("tm_group", "tm_rows"), F.xxhash64("tm_node"))
+    dealt = dealt.withColumn("tm_block", F.pmod(F.xxhash64("tm_node"), "tm_blocks"))
+    dealt = dealt.withColumn("tm_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tm_blocks") - 1)))
+    dealt = dealt.select("tm_group", F.least("tm_block", "tm_other").alias("tm_i"), F.greatest("tm_block", "tm_other").alias("tm_j"), "root", "tm_block", "tm_list")
+
+    def compare(block: pa.Table) -> pa.Table:
+        return block_links(block, config.percent)
+
+    found = dealt.groupBy("tm_group", "tm_i", "tm_j").applyInArrow(compare, "a long, b long")
+    return stored(found.distinct(), "block-links")
+
+
 def linked(docs: DataFrame, nodes: DataFrame, config: Shingles) -> DataFrame:
     """node, root: the least node of each node that is linked to a lesser one, over one row of docs for each node."""
     near = stored(index_pairs(nodes, config), "index-pairs")
@@ -213,25 +281,11 @@ def linked(docs: DataFrame, nodes: DataFrame, config: Shingles) -> DataFrame:
         return pairs.where(alike(F.col("x"), F.col("y"), config)).select("a", "b")
 
     links = stored(simhash.components(confirmed(near.unionByName(proposals(rows)).distinct())), "links")
-    rows, width = stored(still_open(with_roots(rows, links)), "open"), 1
+    rows = stored(still_open(with_roots(rows, links)), "open")
     if not rows.isEmpty():
         rows = stored(still_open(bounded(rows, own, config)), "open")
-    while not rows.isEmpty():
-        part = F.pmod(F.xxhash64("tm_node"), F.lit(width))
-        first = rows.groupBy("tm_key", part.alias("tm_part")).agg(F.max_by(F.struct("tm_node", "root", "x", "n"), F.struct("tm_with", "tm_node")).alias("p"))
-        first = first.select("tm_key", F.col("p.tm_node").alias("a"), F.col("p.root").alias("ra"), F.col("p.x").alias("xa"), F.col("p.n").alias("na"))
-        if width == 1:
-            first = first.unionByName(rows.where(F.col("tm_n") <= config.small).select("tm_key", F.col("tm_node").alias("a"), F.col("root").alias("ra"), F.col("x").alias("xa"), F.col("n").alias("na"))).distinct()
-        first = stored(first, "pivots")
-        rest = rows.select("tm_key", F.col("tm_node").alias("b"), F.col("root").alias("rb"), F.col("x").alias("xb"), F.col("n").alias("nb"))
-        pairs = spread_join(rest, first, "tm_key", rows.groupBy("tm_key").agg(F.first("tm_rows").alias("tm_rows")), F.xxhash64("b"))
-        pairs = pairs.where((F.col("ra") != F.col("rb")) & can_link(F.col("xa"), F.col("na"), F.col("xb"), F.col("nb"), config))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        ends = confirmed(pairs).select(F.col("a").alias("tm_node"), "b")
-        ends = with_roots(with_roots(ends, links).select(F.col("root").alias("ra"), F.col("b").alias("tm_node")), links)
-        links = merged(links, ends.select(F.col("ra").alias("a"), F.col("root").alias("b")))
-        left = rows.join(first.select("tm_key", F.col("a").alias("tm_node")), ["tm_key", "tm_node"], "left_anti")
-        rows, width = stored(still_open(with_roots(left, links)), "open"), 8 * width
+    if not rows.isEmpty():
+        links = merged(links, linked_in_blocks(rows, own, config))
     return links
 
 

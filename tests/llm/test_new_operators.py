@@ -324,7 +324,7 @@ def test_mix_prefixes_do_not_depend_on_how_ranges_are_cut(spark, monkeypatch, sm
     assert count() == whole and sum(whole.values()) > 100
 
 
-# --- very many lines, very many heads: work grows with the text, not with its square
+# --- very many lines, very many heads: work grows with the text, not with its square. Limits leave room for a busy machine; quadratic work took 420 s and more.
 
 
 def within(seconds, work):
@@ -352,18 +352,18 @@ def many_lines(spark):
 def test_quality_of_very_many_lines(many_lines):
     from tallymark.llm.quality import clean_documents, quality_verdicts
 
-    got = {r.doc_id: r for r in within(60, lambda: quality_verdicts(many_lines).collect())}
+    got = {r.doc_id: r for r in within(150, lambda: quality_verdicts(many_lines).collect())}
     assert got[0].n_removed_lines == MANY // 10 and got[0].n_dup_lines == MANY // 10 - 20 and got[1].n_removed_lines == 20
-    kept = {r.doc_id: r.text for r in within(60, lambda: clean_documents(many_lines).collect())}
+    kept = {r.doc_id: r.text for r in within(150, lambda: clean_documents(many_lines).collect())}
     assert kept[0] == "\n".join(f"own line {i} with some words" for i in range(MANY) if i % 10) and len(kept[7].split("\n")) == 60
 
 
 def test_line_dedup_of_very_many_lines(many_lines):
     from tallymark.llm.line_dedup import line_dedup, without_repeated_lines
 
-    got = {r.doc_id: r for r in within(60, lambda: line_dedup(many_lines).collect())}
+    got = {r.doc_id: r for r in within(150, lambda: line_dedup(many_lines).collect())}
     assert (got[0].n_lines, got[0].n_dropped, got[25].n_dropped) == (MANY, MANY // 10, 0)
-    kept = {r.doc_id: r.text for r in within(60, lambda: without_repeated_lines(many_lines).collect())}
+    kept = {r.doc_id: r.text for r in within(150, lambda: without_repeated_lines(many_lines).collect())}
     assert kept[0] == "\n".join(f"own line {i} with some words" for i in range(MANY) if i % 10)
 
 

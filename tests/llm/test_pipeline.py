@@ -8,6 +8,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -239,3 +240,47 @@ def test_texts_that_are_nearly_alike_make_no_pairs(spark):
     full = jaccard.buckets(nodes, jaccard.FIVE_WORDS).withColumns({"root": F.col("tm_node"), "tm_rows": F.col("tm_n")})
     assert full.count() > 2000 and jaccard.bounded(full, own, jaccard.FIVE_WORDS).count() == 0
     assert {r.component_id for r in jaccard.near_copies(rows).collect()} == set(range(200))
+
+
+def test_blocks_give_exact_intersections_and_connect_what_is_alike():
+    import pyarrow as pa
+
+    from tallymark.llm import jaccard
+
+    rng = random.Random(11)
+    sets = [sorted(rng.sample(range(60), rng.randint(0, 40))) for _ in range(30)] + [[5], [], list(range(-9000, 9000))]
+    lists = pa.array(sets, pa.list_(pa.int64()))
+    left, right = np.arange(0, 20), np.arange(10, 33)
+    assert jaccard.intersections(lists, left, right).tolist() == [[len(set(sets[i]) & set(sets[j])) for j in right] for i in left]
+    assert jaccard.intersections(pa.array([[1], [2]], pa.list_(pa.int64())), left[:1], left[1:2]).tolist() == [[0]]
+    sets = [[*range(100)], [*range(1, 101)], [*range(12, 112)], [*range(500, 600)], [*range(501, 600)], [*range(24, 124)]]
+    block = pa.table({"root": pa.array([7, 3, 9, 4, 4, 5], pa.int64()), "tm_block": pa.array([0, 1, 0, 1, 0, 0], pa.int64()), "tm_list": pa.array(sets, pa.list_(pa.int64()))})
+    assert sorted(zip(*jaccard.block_links(block, 80).to_pydict().values())) == [(7, 3)] + [(9, 3)]  # across the blocks; equal roots are connected
+    whole = block.set_column(1, "tm_block", pa.array([2] * 6, pa.int64()))
+    found = list(zip(*jaccard.block_links(whole, 75).to_pydict().values()))
+    assert len(found) == 3 and {x for f in found for x in f} == {7, 3, 9, 5}
+
+
+def test_half_alike_groups_over_many_blocks(spark):
+    """Variants of one text, some of them alike to each other, in groups of many small blocks; by force."""
+    from tallymark.llm import jaccard
+
+    ship(spark)
+    rng = random.Random(12)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for _ in range(60):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 5)):
+            w[at] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(w))
+        if rng.random() < 0.3:
+            texts.append(" ".join([*w[:-3], "y", *w[-2:]]))
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(texts[i], texts[j]) >= 0.8 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_copies(rows, jaccard.Shingles(small=5)).collect()}
+    assert got == dict(enumerate(label)) and 1 < len(set(label)) < len(label)
