@@ -345,7 +345,7 @@ def many_lines(spark):
     ship(spark)
     shared = [f"shared line {i} that is long enough to be a key of its own" for i in range(20)]
     long = "\n".join(shared[i // 10 % 20] if i % 10 == 0 else f"own line {i} with some words" for i in range(MANY))
-    rows = [(0, long), *((k, "\n".join([f"page {k} {w} says this and that" for w in range(60)] + shared)) for k in range(1, 26))]
+    rows = [(0, long), *((k, "\n".join([f"page {k} {w} says this and that" for w in range(100)] + shared)) for k in range(1, 26))]
     return spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").cache()
 
 
@@ -355,7 +355,7 @@ def test_quality_of_very_many_lines(many_lines):
     got = {r.doc_id: r for r in within(150, lambda: quality_verdicts(many_lines).collect())}
     assert got[0].n_removed_lines == MANY // 10 and got[0].n_dup_lines == MANY // 10 - 20 and got[1].n_removed_lines == 20
     kept = {r.doc_id: r.text for r in within(150, lambda: clean_documents(many_lines).collect())}
-    assert kept[0] == "\n".join(f"own line {i} with some words" for i in range(MANY) if i % 10) and len(kept[7].split("\n")) == 60
+    assert kept[0] == "\n".join(f"own line {i} with some words" for i in range(MANY) if i % 10) and len(kept[7].split("\n")) == 100
 
 
 def test_line_dedup_of_very_many_lines(many_lines):
