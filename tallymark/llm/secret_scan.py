@@ -69,6 +69,8 @@ def decoded(text: str) -> bytes | None:
 
 
 Bytes = bytes | memoryview
+#: Members of a key's sequence at most; the longest, that of RSA, has ten.
+MEMBERS = 16
 
 
 def der_size(data: Bytes, at: int) -> tuple[int, int] | None:
@@ -122,8 +124,8 @@ def is_key_der(data: Bytes) -> bool:
     head = der_size(data, 0)
     if not outer or head is None or head[1] != len(data) or outer[0][0] != SEQUENCE:
         return False
-    inner = first_items(outer[0][1], 3)
-    if len(inner) < 2:
+    inner = first_items(outer[0][1], MEMBERS + 1)
+    if not 2 <= len(inner) <= MEMBERS:
         return False
     (tag, content), (tag2, content2) = inner[:2]
     if tag == INTEGER and len(content) == 1 and content[0] <= 3:
