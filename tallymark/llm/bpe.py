@@ -9,7 +9,10 @@ is memoised by token pair. The result is that of merging pairs in rank order.
 
 Texts are split by the pattern of the rank file. Because the pattern never joins characters across a blank other than
 one leading space, a text is cut before each space that follows a non-blank and precedes one, and the ids of these
-chunks are kept in a bounded table.
+chunks are kept in a bounded table: two generations, of which a full one displaces the older, so that chunks in use stay.
+
+Workers outlive their tasks and stand beside the heap in an executor's memory. So tables are small, and an Arrow batch is
+encoded and returned in slices.
 
 Defined results: null and empty texts have no ids; lone surrogates cannot occur in Spark strings; rows are independent,
 so repeated rows, ties and empty tables need no care; a very long text is one row, encoded as a whole in linear time; a
@@ -24,14 +27,18 @@ import re
 import sys
 import types
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's table of chunks, and of token pairs; a full table starts anew, which changes no result.
-CHUNKS, PAIRS = 400_000, 300_000
+#: Entries of a generation of a worker's chunks, and of its table of token pairs, which starts anew when full; neither
+#: changes a result.
+CHUNKS, PAIRS = 50_000, 300_000
+#: Rows of a batch that are encoded and returned at once.
+SLICE = 500
 
 _kept = sys.modules.setdefault("_tallymark_kept", types.ModuleType("_tallymark_kept"))
 
@@ -63,6 +70,7 @@ class Codec:
         self.shorter: dict[int, int | None] = {}
         self.fit: dict[tuple[int, int], bool] = {}
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes token; None for single bytes and tokens that no merge makes."""
@@ -155,10 +163,12 @@ class Codec:
         for chunk in chunks(text):
             ids = known.get(chunk)
             if ids is None:
-                if len(known) >= CHUNKS:
-                    known.clear()
-                ids = self.encode_chunk(chunk)
+                ids = self.older.get(chunk)
+                if ids is None:
+                    ids = self.encode_chunk(chunk)
                 if len(chunk) <= 64:
+                    if len(known) >= CHUNKS:
+                        self.older, self.chunks = known, (known := {})
                     known[chunk] = ids
             found.append(ids)
         return b"".join(found)
@@ -205,22 +215,26 @@ def codec(path: str, pattern: str) -> Codec:
     return table[path, pattern]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:
-    """The columns keep of docs with n_tokens, ids (binary, little-endian 32-bit) and decoded (bytes made from ids)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in batches:
-            ids = [own.encode(t) if t else b"" for t in batch.column("tm_text").to_pylist()]
+def encoded_slices(batches: Iterator[pa.RecordBatch], path: str, pattern: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE rows at most: the columns keep, n_tokens, ids and decoded of batches whose last column is the text."""
+    own = codec(path, pattern)
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            rows = batch.slice(at, SLICE)
+            ids = [own.encode(t.as_py() or "") for t in rows.column(rows.num_columns - 1)]
             new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], "n_tokens", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *new], names=[*keep, "n_tokens", "ids", "decoded"])
+
 
+def encoded(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:
+    """The columns keep of docs with n_tokens, ids (binary, little-endian 32-bit) and decoded (bytes made from ids)."""
     if clash := {"n_tokens", "ids", "decoded"} & set(keep):
         raise ValueError(f"columns that cannot be kept, as results have their names: {sorted(clash)}")
-    rows = docs.select(*keep, F.col("text").alias("tm_text"))
-    kept = rows.drop("tm_text").schema.fields
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_tokens long, ids binary, decoded binary"])
-    return rows.mapInArrow(run, schema)
+    kept = docs.select(*keep)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "n_tokens long, ids binary, decoded binary"])
+    # a text that is kept goes to the workers once
+    rows = kept if keep[-1:] == ["text"] else docs.select(*keep, F.col("text").alias("tm_text"))
+    return rows.mapInArrow(partial(encoded_slices, path=path, pattern=pattern, keep=keep), schema)
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

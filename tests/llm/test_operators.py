@@ -11,6 +11,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -352,6 +353,22 @@ def test_bpe_is_exact():
     assert own.encode_piece(long) == other.encode_ordinary(long)
 
 
+def test_bpe_workers_hold_little():
+    public = pytest.importorskip("public_tokenizers")
+
+    path = public.path("byte_bpe_50k.tiktoken")
+    texts = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(1100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1101), pa.int64()), pa.array([*texts, None])], names=["doc_id", "text"])
+    parts = list(bpe.encoded_slices(iter([batch]), path, public.PATTERN, ["doc_id", "text"]))
+    assert max(x.num_rows for x in parts) <= 500
+    found = pa.Table.from_batches(parts).to_pylist()
+    assert [(r["doc_id"], r["text"], r["decoded"].decode()) for r in found] == [(i, t, t or "") for i, t in enumerate([*texts, None])]
+    own = bpe.codec(path, public.PATTERN)
+    assert sum(len(t) for t in vars(own).values() if isinstance(t, dict) and isinstance(next(iter(t), None), str)) <= 100_000
+    fresh = bpe.Codec(bpe.read_ranks(path), public.PATTERN)  # chunks of a displaced generation get the same ids
+    assert [r["ids"] for r in found[:3]] == [own.encode(t) for t in texts[:3]] == [fresh.encode(t) for t in texts[:3]]
+
+
 def test_token_files(docs, odd, none):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
