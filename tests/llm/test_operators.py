@@ -369,6 +369,50 @@ def test_bpe_workers_hold_little():
     assert [r["ids"] for r in found[:3]] == [own.encode(t) for t in texts[:3]] == [fresh.encode(t) for t in texts[:3]]
 
 
+def test_bpe_takes_few_calls_for_a_new_word():
+    """Words that no table holds are encoded together. Word by word the calls were 40 and more each."""
+    public = pytest.importorskip("public_tokenizers")
+    import sys
+
+    path, rng = public.path("byte_bpe_50k.tiktoken"), random.Random(3)
+    words = ["".join(rng.choice(["th", "er", "on", "qu", "el", "ent", "ê", "ing", "at", "z"]) for _ in range(6)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array([" ".join(words[i::40]) for i in range(40)])], names=["doc_id", "text"])
+    run = lambda: list(bpe.encoded_slices(iter([batch]), path, public.PATTERN, ["doc_id", "text"]))
+    run()  # fills the table of token pairs
+    own, calls = bpe.codec(path, public.PATTERN), [0]
+    for table in vars(own).values():
+        if isinstance(table, dict) and isinstance(next(iter(table), None), str):
+            table.clear()
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        run()
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 15 * len(words)
+
+
+@pytest.mark.parametrize("points, together", [(500_000, 20_000), (30, 2), (1, 1)])
+def test_bpe_groups_do_not_change_ids(monkeypatch, points, together):
+    public = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    path, rng = public.path("byte_bpe_50k.tiktoken"), random.Random(4)
+    monkeypatch.setattr(bpe, "POINTS", points, raising=False)
+    monkeypatch.setattr(bpe, "TOGETHER", together, raising=False)
+    monkeypatch.setattr(bpe, "IDS", 7, raising=False)
+    parts = ["th", "e", "on", "qu", "é", "Ā", "日本", "🎉", "1", "23", " ", "  ", "\n", "!?", "\x00", "ÿ", "'s", "a" * 70, "ab" * 40]
+    texts = ["", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(300)), "", "x", "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    other = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rows = pa.Table.from_batches(bpe.encoded_slices(iter([batch]), path, public.PATTERN, ["doc_id"])).to_pylist()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in rows] == [other.encode_ordinary(t) for t in texts]
+    assert [r["decoded"].decode() for r in rows] == texts
+
+
 def test_token_files(docs, odd, none):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
