@@ -51,16 +51,30 @@ def close(a: Column, b: Column) -> Column:
 
 
 def plain_number(c: Column) -> Column:
-    """A number with at most six significant digits and no trailing zeros, as in 250, 0.5 or 1.5e+06."""
+    """A number with at most six significant digits and no trailing zeros, as in 250, 0.5 or 1.5e+06. Digits are those of the
+    exact value, halves to the even one; the exponent is that of the rounded value, so 999999.5 is 1e+06."""
+    form = lambda v, pattern: F.call_function("format_number", v, pattern)
 
     def shown(x: Column) -> Column:
-        size = F.when(x["v"] == 0, 0).otherwise(F.floor(F.log10(F.abs(x["v"])) + 1e-12)).cast("int")
-        fixed = F.call_function("format_number", F.bround(x["v"] * F.pow(F.lit(10.0), 5 - size)) / F.pow(F.lit(10.0), 5 - size), F.lit("0.##########"))
-        power = F.concat(F.when(size < 0, "e-").otherwise("e+"), F.lpad(F.abs(size).cast("string"), 2, "0"))
-        scientific = F.concat(F.call_function("format_number", x["v"] / F.pow(F.lit(10.0), size), F.lit("0.#####")), power)
-        return F.when((size < -4) | (size > 5), scientific).otherwise(fixed)
-
-    return let(F.struct(c.cast("double").alias("v")), lambda x: F.when(x["v"].isNotNull(), shown(x)))
+        power = x["power"].cast("int")
+        fixed = form(x["v"], F.when(power > 4, F.lit("0")).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("#"), 5 - power))))
+        scientific = F.concat(x["digits"], F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
+        odd = F.when(F.isnan(x["v"]), "nan").when(x["v"] == float("inf"), "inf").when(x["v"] == float("-inf"), "-inf")
+        return F.coalesce(odd, F.when((power < -4) | (power > 5), scientific).otherwise(fixed))
+
+    def halved(x: Column) -> Column:
+        """v, or a little less where it is the very half of an odd step above an even one: formats round halves up."""
+        m, power = F.replace(F.substring_index(x["all"], "E", 1), F.lit("."), F.lit("")), F.substring_index(x["all"], "E", -1).try_cast("int")
+        n, e = F.abs(m.try_cast("long")), power - 6
+        # seven digits, the last a 5: an odd number times a power of ten, which a double is only if its odd factor fits
+        exact = F.when(e < 0, n % F.pow(F.lit(5.0), F.least(-e, F.lit(10))).cast("long") == 0).otherwise(n * F.pow(F.lit(5.0), e) < 2.0**53)
+        down = F.length(F.regexp_replace(m, "-", "")).eqNullSafe(7) & (n % 20 == 5) & exact
+        return F.when(F.coalesce(down, F.lit(False)), x["v"] * (1 - 1e-9)).otherwise(x["v"])
+
+    parts = lambda x: F.struct(x["v"].alias("v"), F.substring_index(x["shown"], "E", 1).alias("digits"), F.substring_index(x["shown"], "E", -1).try_cast("int").alias("power"))
+    rounded = lambda v: F.struct(v.alias("v"), form(v, F.lit("0.#####E0")).alias("shown"))
+    value = F.struct(c.cast("double").alias("v"), form(c.cast("double"), F.lit("0.################E0")).alias("all"))
+    return let(value, lambda x: F.when(x["v"].isNotNull(), let(halved(x), lambda v: let(rounded(v), lambda y: let(parts(y), shown)))))
 
 
 def check_digit(body: Column) -> Column:

@@ -115,3 +115,10 @@ def test_numbers_are_shown_with_six_digits(spark):
     values = [250.0, 0.5, 1.25, 1234.5678, 999999.0, 1234567.0, 0.0001234, 0.00001234, 0.0, 100000.4, -2.5, 33.333333333]
     got = spark.createDataFrame([(v,) for v in values], "v double").select(numbers.plain_number(F.col("v")).alias("t")).collect()
     assert [r.t for r in got] == [f"{v:g}" for v in values]
+
+
+def test_numbers_are_shown_by_their_exact_values(spark):
+    """Halves go to the even digit, and a number that is rounded up to the next power of ten has its exponent."""
+    values = [1000005.0, 1000015.0, 1000125.0, -1000125.0, 999999.5, 999999.4, 99999.95, 9.9999996, 0.00009999999, 0.1234565, 8.333335, 100000.5, 100001.5, 2.0**60, float("inf"), float("-inf"), float("nan"), -0.0]
+    got = spark.createDataFrame([(v,) for v in [*values, None]], "v double").select(numbers.plain_number(F.col("v")).alias("t")).collect()
+    assert [r.t for r in got] == [*(f"{v:g}" for v in values), None]
