@@ -13,10 +13,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallymark.context import RunContext
-from tallymark.operators import barcode, compare, match, ocr, rules, vision
+from tallymark.functions.text import comma_list
+from tallymark.operators import barcode, compare, extract, match, ocr, rules, vision
 from tallymark.plans import pipeline
 from tallymark.plans.fixtures import view
 from tallymark.sources import adapters, buckets, readers, sinks
+from tallymark.storage import stored
 
 AS_OF = datetime.date(2024, 6, 30)
 PRODUCTS = "catalogue_pos long, reference_product_id string, brand string, product_name string, barcode string, mrp double, net_weight string, manufacturer string, pkd string, best_before string, use_by string, reference_fields_json string"
@@ -463,3 +465,35 @@ def test_check_digits_close(spark, bodies):
     rows = spark.createDataFrame([(f"{b:012d}",) for b in bodies], "b string")
     full = rows.select(F.concat("b", check_digit(F.col("b")).cast("string")).alias("c"))
     assert full.where(is_article_number(F.col("c"))).count() == len(bodies)
+
+
+def test_known_rules_are_built_into_the_plan(spark, sf, monkeypatch):
+    """Checks of few rules are constants that cases choose from; they are those of the array that more rules go by."""
+    seen = stored(pipeline.evidence(view(spark, sf, "label_scans"), view(spark, sf, "products"), fuzzy=False), "seen")
+    odd = "SELECT 90 AS rule_pos, 'Y-1' AS rule_code, 'Any' AS rule_name, 'any' AS field_name, 'any_field_present' AS operator, ' use_by , mrp' AS expected_value, CAST(NULL AS string) AS severity, CAST(NULL AS string) AS description, '1' AS version"
+    odd += " UNION ALL SELECT 91, 'Y-2', 'No operator', NULL, NULL, NULL, 'low', NULL, NULL UNION ALL SELECT 92, 'Y-3', 'Maker', 'manufacturer', 'reference_field_match', 'manufacturer', 'low', NULL, '2'"
+    columns = [*rules.RULE_FIELDS, "version"]
+    table = view(spark, sf, "rules").select(*columns).unionByName(spark.sql(odd))
+    plan = rules.judged(seen, table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "tm_rules" not in plan and "lambda" not in plan
+    one = {tuple(map(str, r)) for r in rules.folded(rules.judged(seen, table)).collect()}
+    monkeypatch.setattr(rules, "UNROLLED", 0)
+    assert one == {tuple(map(str, r)) for r in rules.folded(rules.judged(seen, table)).collect()}
+
+
+def test_blanks_of_any_kind_part_the_words_of_labels_and_lists(spark):
+    rows = spark.createDataFrame([(1, "Net  Wt: 370 g\nUse　by 08/10/24\nMfd. by Acme Foods Pvt Ltd")], "scan_id long, text string")
+    row = extract.raw_fields(rows, F.to_date(F.lit("2024-06-30"))).select("net_quantity_raw", "use_by_raw", "maker_raw").first()
+    assert tuple(row) == ("370 g", "08/10/24", "Acme Foods Pvt Ltd")
+    assert spark.range(1).select(comma_list(F.lit("a0, b1 ,, c2")).alias("a")).first().a == ["a0", "b1", "c2"]
+
+
+def test_few_names_are_searched_as_the_index_is_probed(spark, sf):
+    scans = match.with_brand(view(spark, sf, "label_scans").select("scan_id", "text"), view(spark, sf, "products"))
+    found = lambda few: {tuple(r) for r in match.by_name(scans, view(spark, sf, "products"), few=few).collect()}
+    assert found(500) == found(0) and found(0)
+
+
+def test_comparisons_wait_for_a_reference(spark, sf):
+    seen = pipeline.evidence(view(spark, sf, "label_scans"), view(spark, sf, "products"), fuzzy=False)
+    assert seen.where("reference_found <> (size(comparisons) = 6)").isEmpty()
