@@ -20,8 +20,9 @@ BROADCAST_ROWS = 100_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if counting it up to the limit shows that it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df with a broadcast hint if counting it up to the limit shows that it is small. Otherwise with one against it: Spark
+    goes by the size of compressed files, so a table of many short rows would go to the driver all the same."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def by_barcode(scans: DataFrame, products: DataFrame) -> DataFrame:
@@ -210,7 +211,7 @@ def matched(scans: DataFrame, products: DataFrame, fuzzy: bool = True) -> DataFr
     Barcode hits come first; only the rest go on. The best of brand and similarity counts.
     """
     exact = by_barcode(scans, products).select("scan_id", "reference_product_id", F.lit("barcode").alias("match_method"), F.lit(1.0).alias("match_score"))
-    rest = scans.select("scan_id", "text", "brand").join(exact, "scan_id", "left_anti")
+    rest = scans.select("scan_id", "text", "brand").join(exact.hint("merge"), "scan_id", "left_anti")  # grows with the scans
     named = by_name(rest.where("brand is not null"), products)  # a brand alone scores below THRESHOLD
     branded = named.select("scan_id", "reference_product_id", F.lit(BRAND_AND_NAME).alias("score"))
     if fuzzy:
@@ -219,7 +220,7 @@ def matched(scans: DataFrame, products: DataFrame, fuzzy: bool = True) -> DataFr
         best = F.max_by(F.struct("reference_product_id", "score"), F.struct("score", -F.col("catalogue_pos"))).alias("b")
         branded = scored.groupBy("scan_id").agg(best).select("scan_id", "b.reference_product_id", "b.score")
     found = exact.unionByName(branded.select("scan_id", "reference_product_id", F.lit("fuzzy").alias("match_method"), F.col("score").alias("match_score")))
-    both = scans.join(found, "scan_id", "left")
+    both = scans.join(found.hint("merge"), "scan_id", "left")
     return both.withColumn("reference_found", F.col("reference_product_id").isNotNull()).withColumn("match_score", F.coalesce("match_score", F.lit(0.0)))
 
 

@@ -816,12 +816,12 @@ def scan_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     "label_scans", "products", "rules", _BRAND, _ZOOMED, _FOUND, _CHECKS, _FOLD,
 )
 def result_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five result tables, joined by scan."""
+    """The five result tables, joined by scan. Each has a row for every scan, so none is broadcast."""
     tables = sinks.detail_tables(stored(results(spark, sf_dir, fuzzy=False), "results"))
     rows = tables["scan_records"].select("scan_id", "detected_barcode", "detected_product_name", "detected_brand", "reference_product_id", "status")
-    rows = rows.join(tables["ocr_results"].select("scan_id", F.length("raw_text").cast("long").alias("text_length")), "scan_id").join(tables["barcode_results"].select("scan_id", "detected"), "scan_id")
-    rows = rows.join(tables["tampering_results"].select("scan_id", "tampering_score", F.col("status").alias("tampering_status")), "scan_id")
-    return rows.join(tables["compliance_results"].select("scan_id", "overall_status", "risk_level", "reference_match", "missing_fields"), "scan_id")
+    rows = rows.join(tables["ocr_results"].select("scan_id", F.length("raw_text").cast("long").alias("text_length")).hint("merge"), "scan_id").join(tables["barcode_results"].select("scan_id", "detected").hint("merge"), "scan_id")
+    rows = rows.join(tables["tampering_results"].select("scan_id", "tampering_score", F.col("status").alias("tampering_status")).hint("merge"), "scan_id")
+    return rows.join(tables["compliance_results"].select("scan_id", "overall_status", "risk_level", "reference_match", "missing_fields").hint("merge"), "scan_id")
 
 
 @query()

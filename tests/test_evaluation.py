@@ -497,3 +497,15 @@ def test_few_names_are_searched_as_the_index_is_probed(spark, sf):
 def test_comparisons_wait_for_a_reference(spark, sf):
     seen = pipeline.evidence(view(spark, sf, "label_scans"), view(spark, sf, "products"), fuzzy=False)
     assert seen.where("reference_found <> (size(comparisons) = 6)").isEmpty()
+
+
+def test_tables_over_the_bound_are_not_broadcast_for_their_file_size(spark, sf, monkeypatch):
+    monkeypatch.setattr(match, "BROADCAST_ROWS", 10)
+    found = match.by_barcode(view(spark, sf, "label_scans"), view(spark, sf, "products"))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 0
+
+
+def test_result_tables_are_joined_without_a_broadcast(spark, sf):
+    from tallymark.plans.queries import QUERIES
+
+    assert "BroadcastHashJoin" not in QUERIES["result_tables"](spark, sf)._jdf.queryExecution().executedPlan().toString()
